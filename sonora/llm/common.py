@@ -32,8 +32,8 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(text, ASCII_UPPER, ASCII_LOWER)
+    """Lower-cases A-Z only; lower() does the same, and faster, where all characters are ASCII."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
 
 
 def n_words(text: Column) -> Column:
