@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .common import ranked, read, settled
 
 #: Closes every document.
@@ -77,6 +78,7 @@ def _encoder(vocabulary: str) -> Encoder:
 
 def pieces(docs: DataFrame, capacity: int, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the token sequence of each text and END_ID, cut only beyond the capacity, where all pieces but the first are full."""
+    ship_package(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)

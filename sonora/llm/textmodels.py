@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
+
 #: Rows that are scored together.
 ROWS = 256
 
@@ -47,6 +49,7 @@ def scored(docs: DataFrame, keep: list[str], text: str, features: Callable[[str]
 
     Works through Arrow batches in blocks of ROWS, so memory follows the block and not the partition.
     """
+    ship_package(docs.sparkSession)
     schema = docs.select(*keep).schema
     for name, kind, _ in fields:
         schema = schema.add(name, kind)
@@ -70,6 +73,8 @@ def scored(docs: DataFrame, keep: list[str], text: str, features: Callable[[str]
 def sample_features(rows: DataFrame, features: Callable[[str], np.ndarray | None], text: str = "text", label: str = "label") -> tuple[list, np.ndarray]:
     """Labels and features of a bounded sample, brought to the driver as packed single-precision numbers in the order of _order."""
 
+    ship_package(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [None if x is None or (v := features(x)) is None else v.astype(np.float16).tobytes() for x in batch.column(2).to_pylist()]
