@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder: computed once, and not lost with an executor."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -89,20 +89,22 @@ def min_cost_flow(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequenc
     return given
 
 
-def mix(docs: DataFrame, members: Column, size: Column, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id") -> DataFrame:
-    """Adds to the `keep` columns: _size, _source_size, _target (of the document's first source) and _copies.
-
-    members: array of a document's sources. Sources in code point order, null last, take the weights in
-    turn; targets share `share` times all words. Documents are summed by membership pattern, the flow
-    gives each pattern its words, and whole documents are drawn in the order of a seeded hash until these
-    are reached, with one closing document whose size is nearest to what is left. A size of 0 is never
-    taken; null or empty `members` count as the null source; repeated rows are documents of their own and
-    are drawn in one go; an empty table gives an empty mix. Re-runs draw the same documents.
-    """
-    spark = docs.sparkSession
+def measured(docs: DataFrame, members: Column, size: Column, seed: int = 17, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id") -> DataFrame:
+    """The keep columns, _size (null: 0), _key (the sorted source set) and _hash (the place in the seeded order)."""
     members = F.when(F.coalesce(F.size(members), F.lit(-1)) < 1, F.array(F.lit(None).cast("string"))).otherwise(members)
     key = F.array_join(F.transform(F.array_sort(F.array_distinct(members)), lambda x: F.coalesce(F.concat(F.lit("s"), x.cast("string")), F.lit("n"))), SEP)
-    rows = settled(docs.select(*[F.col(c) for c in keep], F.coalesce(size, F.lit(0)).cast("long").alias("_size"), key.alias("_key"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("_hash")))
+    return docs.select(*[F.col(c) for c in keep], F.coalesce(size, F.lit(0)).cast("long").alias("_size"), key.alias("_key"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("_hash"))
+
+
+def decide(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """One row for each membership pattern (at most MAX_PATTERNS): how often to take all its documents, and which ones once more.
+
+    rows: _size, _key, _hash. Sources in code point order, null last, take the weights in turn; targets
+    share `share` times all words. Documents are summed by pattern and the flow gives each pattern its
+    words; whole documents are drawn in the order of a seeded hash until these are reached, with one
+    closing document whose size is nearest to what is left.
+    """
+    spark = rows.sparkSession
     patterns = rows.groupBy("_key").agg(F.sum("_size").alias("words"), F.count("*").alias("rows")).limit(MAX_PATTERNS + 1).collect()
     if len(patterns) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns")
@@ -118,28 +120,52 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: Sequence[float]
     given = min_cost_flow([(own, r["words"]) for own, r in zip(sets, patterns, strict=True)], [round(t) for t in targets], most)
     buckets = max(1, sum(r["rows"] for r in patterns) // 20_000)
     table = [(r["_key"], g // max(1, r["words"]), g % max(1, r["words"]), sizes[own[0]], float(targets[own[0]])) for r, g, own in zip(patterns, given, sets, strict=True)]
-    plan = F.broadcast(spark.createDataFrame(table or [("", 0, 0, 0, 0.0)], "_key string, _whole long, _part long, _source_size long, _target double"))  # at most MAX_PATTERNS rows
+    plan = spark.createDataFrame(table or [("", 0, 0, 0, 0.0)], "_key string, _whole long, _part long, _source_size long, _target double").withColumn("_buckets", F.lit(buckets))
 
     # Documents before the bucket in which the running sum passes the part are in; only that bucket is sorted.
-    rows = rows.join(plan, "_key").withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
+    rows = rows.join(F.broadcast(plan), "_key").withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
     before = W.Window.partitionBy("_key").orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     sums = rows.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_words"), F.first("_part").alias("_cap")).withColumn("_below", F.coalesce(F.sum("_words").over(before), F.lit(0)))
     edge = sums.filter((F.col("_below") < F.col("_cap")) & (F.col("_below") + F.col("_words") >= F.col("_cap"))).select("_key", F.col("_bucket").alias("_edge"), F.col("_below"))
-    rows = rows.join(F.broadcast(edge), "_key", "left")  # one row a pattern at most
+    plan = settled(plan.join(F.broadcast(edge), "_key", "left"))
+    rows = rows.select("_key", "_size", "_hash", "_bucket").join(F.broadcast(plan), "_key")
     run = W.Window.partitionBy("_key").orderBy("_hash").rangeBetween(W.Window.unboundedPreceding, W.Window.currentRow)
-    inside = rows.filter(F.col("_bucket") == F.col("_edge")).groupBy("_key", "_hash").agg(F.sum("_size").alias("_words"), F.first("_below").alias("_below"), F.first("_part").alias("_cap")).withColumn("_sum", F.col("_below") + F.sum("_words").over(run)).filter(F.col("_sum") <= F.col("_cap"))
+    inside = rows.filter(F.col("_bucket") == F.col("_edge")).groupBy("_key", "_hash").agg(F.sum("_size").alias("_words"), F.first("_below").alias("_start"), F.first("_part").alias("_cap"))
+    inside = inside.withColumn("_sum", F.col("_start") + F.sum("_words").over(run)).filter(F.col("_sum") <= F.col("_cap"))
     last = inside.groupBy("_key").agg(F.max("_hash").alias("_last"), F.max("_sum").alias("_got"))
-    rows = rows.join(F.broadcast(last), "_key", "left")
-    extra = (F.col("_bucket") < F.col("_edge")) | ((F.col("_bucket") == F.col("_edge")) & (F.col("_hash") <= F.col("_last")))
-    rows = rows.withColumn("_in", F.coalesce(extra, F.lit(False)) & (F.col("_part") > 0)).withColumn("_gap", F.col("_part") - F.coalesce("_got", "_below", F.lit(0)))
-    near = rows.filter(~F.col("_in") & (F.col("_part") > 0) & (F.col("_size") > 0)).groupBy("_key").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_gap")).alias("off"), F.col("_hash").alias("hash"), F.col("_gap").alias("gap"))).alias("m"))
+    plan = settled(plan.join(F.broadcast(last), "_key", "left"))
+    rows = rows.select("_key", "_size", "_hash", "_bucket").join(F.broadcast(plan), "_key").withColumn("_gap", F.col("_part") - F.coalesce("_got", "_below", F.lit(0)))
+    near = rows.filter(~_drawn() & (F.col("_part") > 0) & (F.col("_size") > 0)).groupBy("_key").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_gap")).alias("off"), F.col("_hash").alias("hash"), F.col("_gap").alias("gap"))).alias("m"))
     near = near.filter("m.off < m.gap").select("_key", F.col("m.hash").alias("_closing"))
-    rows = rows.join(F.broadcast(near), "_key", "left").withColumn("_in", F.col("_in") | F.coalesce(F.col("_hash") == F.col("_closing"), F.lit(False)))
-    copies = F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.least(F.col("_whole") + F.col("_in").cast("long"), F.lit(most)))
-    return rows.select(*keep, "_size", "_source_size", "_target", copies.cast("int").alias("_copies"))
+    return settled(plan.join(F.broadcast(near), "_key", "left"))
+
+
+def _drawn() -> Column:
+    bucket = F.pmod(F.col("_hash"), F.col("_buckets"))
+    return F.coalesce((F.col("_part") > 0) & ((bucket < F.col("_edge")) | ((bucket == F.col("_edge")) & (F.col("_hash") <= F.col("_last")))), F.lit(False))
+
+
+def with_copies(rows: DataFrame, decisions: DataFrame, most: int = 2) -> DataFrame:
+    """Adds _copies, _source_size and _target (both of the document's first source) to measured rows, without a shuffle."""
+    once_more = _drawn() | F.coalesce(F.col("_hash") == F.col("_closing"), F.lit(False))
+    copies = F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.least(F.col("_whole") + once_more.cast("long"), F.lit(most)))
+    own = [c for c in rows.columns if c not in ("_key", "_hash")]
+    return rows.join(F.broadcast(decisions), "_key").select(*own, "_source_size", "_target", copies.cast("int").alias("_copies"))
+
+
+def mix_documents(docs: DataFrame, members: Column, size: Column, **parameters) -> DataFrame:
+    """docs, each row as often as the mix takes it.
+
+    A size of 0 is never taken; null or empty `members` count as the null source; rows that repeat a doc_id
+    are drawn in one go; an empty table gives an empty mix; all columns stay. Re-runs draw the same rows.
+    """
+    decisions = decide(settled(measured(docs, members, size, keep=())), **parameters)
+    taken = with_copies(measured(docs, members, size, keep=docs.columns), decisions)
+    return taken.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = mix(docs, F.array("source"), n_words(F.col("text")))
+    rows = settled(measured(docs, F.array("source"), n_words(F.col("text"))))
+    out = with_copies(rows, decide(rows))
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))

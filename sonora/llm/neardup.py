@@ -181,7 +181,7 @@ def _verifier(percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs.
+    """doc_id, text_key, n_shingles, component_id, kept: one row per row of docs.
 
     Equal sets are one class. Classes that share a band are candidates; candidates that hang together form
     groups, whose texts meet in blocks of bounded size: there, register estimates leave out pairs far below
@@ -213,10 +213,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     rooted = classes.select("sig", "class_id").join(roots, "sig")
     least = rooted.groupBy("root").agg(F.min("class_id").alias("least"))
     ids = classes.select("sig", "class_id").join(rooted.join(least, "root").select("sig", "least"), "sig", "left").select("sig", F.coalesce("least", "class_id").alias("component_id"))
-    linked = rows.select("doc_id", "n_shingles", "sig").join(ids, "sig").select("doc_id", "n_shingles", "component_id")
-    alone = all_rows.filter("sig IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = rows.select("doc_id", "text_key", "n_shingles", "sig").join(ids, "sig").select("doc_id", "text_key", "n_shingles", "component_id")
+    alone = all_rows.filter("sig IS NULL").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def without_near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows that near_duplicates doesn't keep; all columns stay."""
+    gone = near_duplicates(docs, percent, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_gone_id")) & (text_key(F.col(text)) == F.col("_gone_key"))
+    return docs.join(gone, same, "left_anti")
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")

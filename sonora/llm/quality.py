@@ -49,6 +49,10 @@ class Model:
     scale: np.ndarray
     prior: float
 
+    @property
+    def fitted(self) -> bool:
+        return bool(np.any(self.weights))
+
     def margin(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1]
 
@@ -147,7 +151,8 @@ def rate(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     Null and empty texts score like an empty text; without training rows every score is 0.5. Repeated
     rows and null ids are scored like others; other columns are neither read nor returned.
     """
-    return scored(docs.withColumn("_value", F.coalesce(F.col(text).cast("string"), F.lit(""))), keep, "_value", features, lambda x: [model.score(x)], (0.0,), [("score", "double", pa.float64())])
+    empty = float(model.score(features("")[None, :])[0])
+    return scored(docs, keep, text, features, lambda x: [model.score(x)], (empty,), [("score", "double", pa.float64())])
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

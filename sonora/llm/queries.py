@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from .html import op7_html
 from .language import op6_language
 from .licenses import OP4_SQL, op4_licenses
 from .mixing import op1_mix
 from .neardup import op8_neardup
+from .neighbours import op2_neighbours
 from .packing import op9_pack
 from .quality import op5_quality
 from .rules import OP3_SQL, op3_rules
 from .sharding import op10_shard
 
-QUERIES = {f.__name__: f for f in (op1_mix, op3_rules, op4_licenses, op5_quality, op6_language, op8_neardup, op9_pack, op10_shard)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_neighbours, op3_rules, op4_licenses, op5_quality, op6_language, op7_html, op8_neardup, op9_pack, op10_shard)}
 ORACLES = {"op3_rules": OP3_SQL, "op4_licenses": OP4_SQL}

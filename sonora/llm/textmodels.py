@@ -54,20 +54,23 @@ def scored(docs: DataFrame, keep: list[str], text: str, features: Callable[[str]
     for name, kind, _ in fields:
         schema = schema.add(name, kind)
 
+    own = [*keep, *([] if text in keep else ["_text"])]
+    at_text = own.index(text) if text in keep else len(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [features(x.as_py()) if x.is_valid else None for x in part.column(part.num_columns - 1)]
+                found = [features(x.as_py()) if x.is_valid else None for x in part.column(at_text)]
                 full = [i for i, x in enumerate(found) if x is not None]
                 columns = [[e] * part.num_rows for e in empty]
                 if full:
                     for column, values in zip(columns, score(np.stack([found[i] for i in full])), strict=True):
                         for i, v in zip(full, values, strict=True):
                             column[i] = v.item() if hasattr(v, "item") else v
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(c, t) for c, (_, _, t) in zip(columns, fields, strict=True)]], [f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *[pa.array(c, t) for c, (_, _, t) in zip(columns, fields, strict=True)]], [f.name for f in schema])
 
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text in keep else [F.col(text).cast("string").alias("_text")])).mapInArrow(run, schema)
 
 
 def sample_features(rows: DataFrame, features: Callable[[str], np.ndarray | None], text: str = "text", label: str = "label") -> tuple[list, np.ndarray]:
