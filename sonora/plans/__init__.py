@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import sound
+from . import sound, statistics, study
 from .registry import ORACLES, QUERIES
 
-MODULES = (sound,)
+MODULES = (sound, study, statistics)
 
 
 def all_queries() -> dict:
