@@ -8,6 +8,7 @@ from ..operators import responses as R
 from ..operators import scoring as C
 from ..operators import sequences as Q
 from ..operators import stats as S
+from ..runtime import shared_folder
 from ..sources import adapters as D
 from ..streaming import monitor
 from .registry import plan
@@ -232,26 +233,28 @@ def rating_outliers_hd(spark, d):
 def _event_stream(spark, d):
     """The events table as a stream; its file is read in one available-now batch."""
     schema = D.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d).select("ts", F.col("user_id").alias("recording"), ((F.col("value") - 20.0) / 1000.0).alias("p"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"))
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+    return stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("recording"), ((F.col("value") - 20.0) / 1000.0).alias("p"))
 
 
-def _finished(df, mode, name):
-    """Runs a stream to the end of what is there and returns its memory table."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def _finished(df):
+    """Runs a stream to the end of what is there, into Parquet files in the shared folder, and reads them."""
+    folder = shared_folder(df.sparkSession)
+    query = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-@plan("SELECT user_id AS recording, time_bucket(INTERVAL '1 day', ts) AS block_start, 10 * log10(avg(pow((value - 20.0e0) / 1000.0e0, 2)) / 4e-10) AS leq, count(*) AS n FROM events GROUP BY ALL", "leq")
+@plan("""SELECT recording, epoch_us(b) // 1000000 AS block_start, 10 * log10(avg(p * p) / 4e-10) AS leq, count(*) AS n FROM (SELECT user_id AS recording, time_bucket(INTERVAL '1 day', ts) AS b, (value - 20.0e0) / 1000.0e0 AS p FROM events)
+WHERE b + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events) GROUP BY recording, b""", "leq")
 def stream_block_leq(spark, d):
-    # complete mode keeps every block, as a table of past data has no later rows that would close the last ones
-    return _finished(monitor.stream_block_leq(_event_stream(spark, d), "1 day", "1 hour"), "complete", "sonora_block_leq").select("recording", "block_start", "leq", "n")
+    out = _finished(monitor.stream_block_leq(_event_stream(spark, d), "1 day", "1 hour"))
+    return out.select("recording", F.unix_seconds("block_start").alias("block_start"), "leq", "n")
 
 
 @plan()
 def stream_time_weight(spark, d):
-    stream = _event_stream(spark, d).select("recording", (F.col("_us") / 1e6).alias("t"), "p")
-    return _finished(monitor.stream_time_weight(stream, 3600.0), "append", "sonora_time_weight")
+    return _finished(monitor.stream_time_weight(_event_stream(spark, d).select("recording", (F.unix_micros("ts") / 1e6).alias("t"), "p"), 3600.0))
 
 
 @plan()

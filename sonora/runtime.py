@@ -1,8 +1,9 @@
-"""Makes the package importable for Spark's Python workers."""
+"""What jobs need of the cluster: the package on the executors, and a folder that all share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,3 +22,13 @@ def ship_package(spark: SparkSession) -> None:
             z.write(file, file.relative_to(top.parent).as_posix())
     sc.addPyFile(str(archive))
     sc._sonora_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; below a local folder only where none is named, as in tests."""
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if top is None:
+        top = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(top)
+    return f"{top}/{uuid.uuid4().hex}"
