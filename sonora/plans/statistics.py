@@ -193,7 +193,7 @@ def score_probit(spark, d):
     return C.score_mean_model(D.ratings(spark, d), {"": -1.0, "rating": 0.1}, "probit").select("participant", "ambient", "lvl", "mu")
 
 
-@plan("SELECT vec_id, CAST(i AS INT) AS i, 40 + i * 5.0e0 AS x, 1 / (1 + exp(-(embedding[1] * 10 - 8 + (0.1e0 + embedding[2] / 10) * (40 + i * 5.0e0)))) AS y FROM embeddings, range(0, 9) t(i)", "x y", digits=4)
+@plan("SELECT vec_id, CAST(i AS INT) AS i, 40 + i * 5.0e0 AS x, 1 / (1 + exp(-(CAST(embedding[1] AS DOUBLE) * 10 - 8 + (0.1e0 + CAST(embedding[2] AS DOUBLE) / 10) * (40 + i * 5.0e0)))) AS y FROM embeddings, range(0, 9) t(i)", "x y", digits=4)
 def dose_response_curves(spark, d):
     p = D.table(spark, d, "embeddings").select("vec_id", (F.get("embedding", F.lit(0)).cast("double") * 10 - 8).alias("intercept"), (0.1 + F.get("embedding", F.lit(1)).cast("double") / 10).alias("slope"))
     return C.dose_response_curves(p, 40.0, 80.0, 5.0, ["vec_id"])
