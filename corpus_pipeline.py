@@ -22,9 +22,9 @@ LANGUAGE_SCORE, QUALITY_SCORE = 0.2, 0.7
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no sure language, go. With nothing to learn from, all without letters go."""
     model = language.fit_on_fold(docs)
-    out = language.identify(docs, model, docs.columns)
+    out = language.identify(docs, model, docs.columns, names=("_lang_pred", "_lang_score"))
     if model.families:
-        out = out.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LANGUAGE_SCORE))
+        out = out.filter((F.col("_lang_pred") != language.UNDETERMINED) & (F.col("_lang_score") >= LANGUAGE_SCORE))
     else:
         out = out.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return out.select(*docs.columns)
@@ -35,7 +35,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = quality.fit_on_fold(docs, read(spark, sf_dir, "labels"))
     if not model.fitted:
         return docs
-    return quality.rate(docs, model, docs.columns).filter(F.col("score") >= QUALITY_SCORE).select(*docs.columns)
+    return quality.rate(docs, model, docs.columns, name="_quality").filter(F.col("_quality") >= QUALITY_SCORE).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,13 +104,13 @@ def classify(model: Model, x: np.ndarray) -> list[np.ndarray]:
     return [out, score]
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The keep columns, lang_pred and score (0 to 1) of every row by its whole text.
+def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The keep columns, lang_pred and score (0 to 1) of every row by its whole text; `names` are theirs, where kept columns have these.
 
     A null text or one without a letter is `und` with score 0; without training rows all are. Repeated
     rows and null ids are scored like others; other columns are neither read nor returned.
     """
-    return scored(docs, keep, text, features, lambda x: classify(model, x), (UNDETERMINED, 0.0), [("lang_pred", "string", pa.string()), ("score", "double", pa.float64())])
+    return scored(docs, keep, text, features, lambda x: classify(model, x), (UNDETERMINED, 0.0), [(names[0], "string", pa.string()), (names[1], "double", pa.float64())])
 
 
 def fit_on_fold(docs: DataFrame) -> Model:

@@ -89,11 +89,11 @@ def min_cost_flow(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequenc
     return given
 
 
-def measured(docs: DataFrame, members: Column, size: Column, seed: int = 17, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id") -> DataFrame:
+def measured(docs: DataFrame, members: Column, size: Column, seed: int = 17, keep: Sequence[str | Column] = ("doc_id",), doc_id: str = "doc_id") -> DataFrame:
     """The keep columns, _size (null: 0), _key (the sorted source set) and _hash (the place in the seeded order)."""
     members = F.when(F.coalesce(F.size(members), F.lit(-1)) < 1, F.array(F.lit(None).cast("string"))).otherwise(members)
     key = F.array_join(F.transform(F.array_sort(F.array_distinct(members)), lambda x: F.coalesce(F.concat(F.lit("s"), x.cast("string")), F.lit("n"))), SEP)
-    return docs.select(*[F.col(c) for c in keep], F.coalesce(size, F.lit(0)).cast("long").alias("_size"), key.alias("_key"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("_hash"))
+    return docs.select(*keep, F.coalesce(size, F.lit(0)).cast("long").alias("_size"), key.alias("_key"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("_hash"))
 
 
 def decide(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -160,8 +160,8 @@ def mix_documents(docs: DataFrame, members: Column, size: Column, **parameters)
     are drawn in one go; an empty table gives an empty mix; all columns stay. Re-runs draw the same rows.
     """
     decisions = decide(settled(measured(docs, members, size, keep=())), **parameters)
-    taken = with_copies(measured(docs, members, size, keep=docs.columns), decisions)
-    return taken.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = with_copies(measured(docs, members, size, keep=(F.struct(*docs.columns).alias("_row"),)), decisions)
+    return taken.filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from .textmodels import gram_counts, in_fold, sample_features, sampled, scored,
 GRAMS = 1024
 #: Rows of each kind that the classifier is fitted on, about; the sample's bound.
 POSITIVES, UNLABELLED = 4000, 8000
+ALONE = re.compile(rb"(?<![^\s])[!-/:-@\[-`{-~]+(?![^\s])")
 SYMBOLS = re.compile(rb"[#*$%&|<>!^~=_@{}\[\]\\+]")
 
 
@@ -28,7 +29,8 @@ def features(text: str) -> np.ndarray | None:
     upper = sum(map(str.isupper, text)) / max(1, len(text))
     same = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
     own = [
-        min(3.0, len(SYMBOLS.findall(data)) / n),
+        min(1.0, len(SYMBOLS.findall(data)) / n) ** 0.5,
+        min(1.0, 4 * len(ALONE.findall(data)) / n),
         min(1.0, 2 * upper),
         same,
         len(set(words)) / n,
@@ -145,14 +147,14 @@ def fit_on_fold(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(kept(docs.select("doc_id", "text")), kept(labels.select("doc_id", "quality")))
 
 
-def rate(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The keep columns and score (0 to 1) of every row by its whole text.
+def rate(docs: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """The keep columns and score (0 to 1) of every row by its whole text; `name` is its name, where a kept column has this.
 
     Null and empty texts score like an empty text; without training rows every score is 0.5. Repeated
     rows and null ids are scored like others; other columns are neither read nor returned.
     """
     empty = float(model.score(features("")[None, :])[0])
-    return scored(docs, keep, text, features, lambda x: [model.score(x)], (empty,), [("score", "double", pa.float64())])
+    return scored(docs, keep, text, features, lambda x: [model.score(x)], (empty,), [(name, "double", pa.float64())])
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
