@@ -199,6 +199,17 @@ def logit_exposure_response(df: DataFrame, y: str, x: Sequence[str], fold: str)
     return out.drop("_x", "_y")
 
 
+def calibration(df: DataFrame, y: str, mu: str, clip: float = 1e-6) -> DataFrame:
+    """Intercept and slope of a logit fit of 0/1 outcomes on the logit of their predictions; 0 and 1 if these are calibrated."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    p = F.least(F.greatest(F.col(mu), F.lit(clip)), F.lit(1 - clip))
+    rows = VectorAssembler(inputCols=["_l"], outputCol="_x").transform(df.select(F.col(y).cast("double").alias("_y"), F.log(p / (1 - p)).alias("_l")).dropna())
+    model = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_y").fit(rows)
+    return df.sparkSession.createDataFrame([(float(model.intercept), float(model.coefficients[0]))], "intercept double, slope double")
+
+
 def trial_trend(df: DataFrame, by: Sequence[str], y: str, x: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(y).alias("mean_change"), F.avg(x).alias("mean_x"), F.count("*").alias("n"))
 

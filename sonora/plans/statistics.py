@@ -157,6 +157,11 @@ def logit_exposure_response(spark, d):
     return p.select("l_orderkey", "fold", "y", "p")
 
 
+@plan()
+def calibration(spark, d):
+    return S.calibration(predictions(spark, d), "y", "mu")
+
+
 @plan(f"SELECT lvl, avg(d_rating) AS mean_change, avg(rating) AS mean_x, count(*) AS n FROM (SELECT *, CASE WHEN lvl = 1 THEN 0 ELSE rating - max(rating) FILTER (lvl = 1) OVER (PARTITION BY participant, ambient) END AS d_rating FROM ratings) GROUP BY lvl", "mean_change mean_x")
 def trial_trend(spark, d):
     return S.trial_trend(changed(spark, d), ["lvl"], "d_rating", "rating")

@@ -104,6 +104,12 @@ def test_icc_of_identical_raters(spark):
     assert T.icc_consistency(df, "s", "r", "y").first()["icc"] == pytest.approx(1)
 
 
+def test_calibrated_predictions_have_slope_one(spark):
+    rows = [(float(i < round(100 * p)), p) for p in (0.1, 0.3, 0.5, 0.8) for i in range(100)]
+    row = T.calibration(spark.createDataFrame(rows, "y double, mu double"), "y", "mu").first()
+    assert row["slope"] == pytest.approx(1, abs=1e-6) and row["intercept"] == pytest.approx(0, abs=1e-6)
+
+
 def test_binary_group_interval(spark):
     df = spark.createDataFrame([("a", 0.0)] * 5 + [("b", 1.0)] * 5 + [("c", float(i)) for i in range(9)], "k string, v double")
     out = {r["k"]: (r["low"], r["high"]) for r in Q.bootstrap_ci(df, ["k"], "v", "mean", 500).collect()}
