@@ -18,7 +18,7 @@ RULES: dict[str, Callable[[], Column]] = {
     "few_words": lambda: F.col("n_words") < 20,
     "repeated_words": lambda: 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
     "symbols": lambda: 10 * F.col("n_symbols") > 3 * F.col("n_words"),
-    "repeated_lines": lambda: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
+    "repeated_lines": lambda: 100 * F.col("n_dup_lines") > 50 * F.col("n_lines"),
     "shouting": lambda: 2 * F.col("n_upper") > F.col("n_letters"),
     "word_length": lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words")),
 }
@@ -129,7 +129,7 @@ m AS (SELECT d.doc_id, len(d.w) AS n_words, length(array_to_string(d.w, '')) AS
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 2 * n_upper > n_letters
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 2 * n_upper > n_letters
        OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM b
 """
