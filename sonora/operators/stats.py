@@ -11,11 +11,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
+#: Distinct value pairs that Kendall's tau takes.
+MOST_CELLS = 20_000
+#: Ranges of values that running counts are taken in.
+RANGES = 64
+
+
+def running_counts(counts: DataFrame, col: str, n: str, out: str) -> DataFrame:
+    """Adds the sum of n over all smaller values of col. counts: one row for each value.
+
+    Values are dealt to ranges between approximate quantiles (RANGES - 1 numbers on the driver); the sums of
+    the ranges before, and a window inside each range, make the exact sums, so no task sorts all values.
+    """
+    probabilities = [i / RANGES for i in range(1, RANGES)]
+    cuts = sorted(set(counts.agg(F.percentile_approx(col, probabilities, 10_000).alias("c")).first()["c"] or []))
+    if not cuts:
+        return counts.withColumn(out, F.coalesce(F.sum(n).over(W.Window.partitionBy(F.lit(0)).orderBy(col).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
+    dealt = counts.withColumn("_range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(col))))
+    before = W.Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)
+    first = dealt.groupBy("_range").agg(F.sum(n).alias("_sum")).withColumn("_first", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")  # RANGES rows
+    inside = W.Window.partitionBy("_range").orderBy(col).rowsBetween(W.Window.unboundedPreceding, -1)
+    rows = dealt.withColumn("_below", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(F.broadcast(first), "_range")
+    return rows.withColumn(out, F.col("_below") + F.col("_first")).drop("_range", "_below", "_first")
+
+
 def mean_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
     """Adds average ranks (from 1). Distinct values are counted first, and only the counts are summed in order; a NULL has no rank."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(W.Window.partitionBy(F.lit(0)).orderBy(col).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(col).alias("_v"), (below + (F.col("_n") + 1) / 2).alias(out))
+    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
+    ranks = running_counts(counts, "_v", "_n", "_before").select("_v", (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, F.col(col) == F.col("_v"), "left").drop("_v")
 
 
@@ -47,8 +70,11 @@ def _with_interval(df: DataFrame) -> DataFrame:
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """tau-b by the contingency table: concordant and discordant pairs of distinct values, from cumulative counts of few levels."""
+    """tau-b by the contingency table: concordant and discordant pairs of distinct value pairs. For ratings and other columns of
+    few levels: more than MOST_CELLS distinct pairs is an error (bin the columns, or take Spearman)."""
     t = df.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").cast("double").alias("k"))
+    if t.limit(MOST_CELLS + 1).count() > MOST_CELLS:
+        raise ValueError(f"over {MOST_CELLS} distinct pairs of {a} and {b}")
     u = t.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("k").alias("k2"))
     sums = t.join(u, (F.col("x") < F.col("x2")) & (F.col("y") != F.col("y2"))).agg(F.sum(F.when(F.col("y2") > F.col("y"), F.col("k") * F.col("k2")).otherwise(-F.col("k") * F.col("k2"))).alias("s"))
     half = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
@@ -116,7 +142,7 @@ def conformal_margin(df: DataFrame, y: str, mu: str, level: float) -> DataFrame:
     """
     counts = df.select(F.abs(F.col(y) - F.col(mu)).alias("r")).groupBy("r").agg(F.count("*").alias("k"))
     n = counts.agg(F.sum("k").alias("n"))
-    running = counts.withColumn("upto", F.sum("k").over(W.Window.partitionBy(F.lit(0)).orderBy("r")))
+    running = running_counts(counts, "r", "k", "before").withColumn("upto", F.col("before") + F.col("k"))
     rows = running.join(F.broadcast(n))
     want = F.least(F.ceil(level * (F.col("n") + 1)), F.col("n"))
     return rows.filter(F.col("upto") >= want).agg(F.min(F.struct("r", "upto", "n")).alias("m")).select(F.col("m.r").alias("margin"), (F.col("m.upto") / F.col("m.n")).alias("coverage"))

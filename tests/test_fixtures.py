@@ -110,6 +110,16 @@ def test_calibrated_predictions_have_slope_one(spark):
     assert row["slope"] == pytest.approx(1, abs=1e-6) and row["intercept"] == pytest.approx(0, abs=1e-6)
 
 
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 1.0, 2.0], list(np.random.default_rng(6).exponential(size=3000)), [5.0] * 400 + [float(i) for i in range(100)]])
+def test_mean_ranks(spark, values):
+    import pandas as pd
+
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    got = sorted((r["v"], r["rank"]) for r in T.mean_ranks(df, "v", "rank").collect() if r["v"] is not None)
+    want = sorted(zip(values, pd.Series(values, dtype=float).rank(), strict=True))
+    assert got == [(float(a), b) for a, b in want]
+
+
 def test_binary_group_interval(spark):
     df = spark.createDataFrame([("a", 0.0)] * 5 + [("b", 1.0)] * 5 + [("c", float(i)) for i in range(9)], "k string, v double")
     out = {r["k"]: (r["low"], r["high"]) for r in Q.bootstrap_ci(df, ["k"], "v", "mean", 500).collect()}
