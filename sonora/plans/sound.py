@@ -322,7 +322,14 @@ def bins_to_bands(spark, d):
     return B.bins_to_bands(x, B.octave_bands(spark, 20, 20000, 3))
 
 
-@plan()
+def _dft(window: str) -> str:
+    """Power of each block and bin of 16 samples, 8 apart."""
+    return f"""SELECT recording, channel, block_idx, k, (pow(sum(w * p * cos(2 * pi() * k * pos / 16)), 2) + pow(sum(w * p * sin(2 * pi() * k * pos / 16)), 2)) / pow(sum(w), 2) * CASE WHEN k = 0 THEN 1 ELSE 2 END AS power
+FROM (SELECT *, {window} AS w FROM (SELECT *, sample_idx - block_idx * 8 AS pos FROM (SELECT recording, channel, sample_idx, p, unnest(range(greatest(0, CAST(ceil((sample_idx - 15) / 8.0e0) AS BIGINT)), sample_idx // 8 + 1)) AS block_idx FROM signals))), range(0, 9) t(k)
+GROUP BY recording, channel, block_idx, k HAVING count(*) = 16"""
+
+
+@plan(f"SELECT recording, channel, CAST(k AS INT) AS bin, k * 8 / 16.0e0 AS freq, avg(power) AS power, sqrt(avg(power)) AS rms, sqrt(2 * avg(power)) AS peak, avg(power) / 0.5e0 AS psd, 1.0e0 AS noise_bandwidth FROM ({_dft('1.0e0')}) WHERE k < 8 GROUP BY recording, channel, k", "freq power rms peak psd noise_bandwidth")
 def autospectrum(spark, d):
     return Q.autospectrum(D.signals(spark, d), D.RATE, 16)
 
@@ -333,7 +340,7 @@ def frame_blocks(spark, d):
     return f.select("recording", "channel", "block_idx", F.aggregate("frame", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
 
 
-@plan()
+@plan(f"SELECT recording, channel, block_idx, k * 8 / 16.0e0 AS freq, 10 * log10(power / 4e-10) AS level_db FROM ({_dft('0.5e0 - 0.5e0 * cos(2 * pi() * pos / 15)')})", "freq level_db", digits=4)
 def spectrogram(spark, d):
     return Q.spectrogram(D.signals(spark, d), D.RATE, 16)
 
@@ -357,7 +364,11 @@ def asymmetric_lowpass(spark, d):
     return Q.asymmetric_lowpass(D.spec_metric(spark, d), 50.0)
 
 
-@plan()
+@plan("""WITH RECURSIVE k AS (SELECT d, pow(1 - d, 3) / (d + d * d) AS g FROM (SELECT exp(-1 / (187.5e0 * 6 / 224)) AS d)),
+r AS (SELECT recording, channel, t_idx, band, value, 0.0e0 AS smoothed, 0.0e0 AS y1, 0.0e0 AS y2, 0.0e0 AS x1 FROM spec_metric WHERE t_idx = 0 UNION ALL
+SELECT s.recording, s.channel, s.t_idx, s.band, s.value, g * (d * r.value + d * d * r.x1) + 3 * d * r.smoothed - 3 * d * d * r.y1 + d * d * d * r.y2, r.smoothed, r.y1, r.value
+FROM r JOIN spec_metric s ON s.recording = r.recording AND s.channel = r.channel AND s.band = r.band AND s.t_idx = r.t_idx + 1 CROSS JOIN k)
+SELECT recording, channel, t_idx, band, value, smoothed FROM r""", "value smoothed")
 def noise_reduction_lowpass(spark, d):
     return Q.noise_reduction_lowpass(D.spec_metric(spark, d), 187.5)
 

@@ -235,6 +235,11 @@ def rating_outliers_hd(spark, d):
     return R.rating_outliers(r, k=0.5, quartiles=Q.harrell_davis_quartiles(r, "stimulus", "rating"))
 
 
+_WEIGHTED = """WITH RECURSIVE e AS (SELECT user_id AS recording, epoch_us(ts) / 1e6 AS t, (value - 20.0e0) / 1000.0e0 AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+r AS (SELECT recording, t, i, p * p AS y FROM e WHERE i = 1 UNION ALL SELECT e.recording, e.t, e.i, (1 - exp(-(e.t - r.t) / 3600)) * e.p * e.p + exp(-(e.t - r.t) / 3600) * r.y FROM r JOIN e ON e.recording = r.recording AND e.i = r.i + 1)
+SELECT recording, CAST(round(t * 1e6) AS BIGINT) AS us, 10 * log10(greatest(y, 1e-30) / 4e-10) AS level FROM r"""
+
+
 def _event_stream(spark, d):
     """The events table as a stream; its file is read in one available-now batch."""
     schema = D.table(spark, d, "events").schema
@@ -257,12 +262,13 @@ def stream_block_leq(spark, d):
     return out.select("recording", F.unix_seconds("block_start").alias("block_start"), "leq", "n")
 
 
-@plan()
+@plan(_WEIGHTED, "level", digits=4)
 def stream_time_weight(spark, d):
-    return _finished(monitor.stream_time_weight(_event_stream(spark, d).select("recording", (F.unix_micros("ts") / 1e6).alias("t"), "p"), 3600.0))
+    out = _finished(monitor.stream_time_weight(_event_stream(spark, d).select("recording", (F.unix_micros("ts") / 1e6).alias("t"), "p"), 3600.0))
+    return out.select("recording", F.round(F.col("t") * 1e6).cast("long").alias("us"), "level")
 
 
-@plan()
+@plan(_WEIGHTED, "level", digits=4)
 def batch_time_weight(spark, d):
     rows = D.table(spark, d, "events").select(F.col("user_id").alias("recording"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), ((F.col("value") - 20.0) / 1000.0).alias("p"))
-    return monitor.batch_time_weight(rows, 3600.0)
+    return monitor.batch_time_weight(rows, 3600.0).select("recording", F.round(F.col("t") * 1e6).cast("long").alias("us"), "level")
