@@ -199,10 +199,9 @@ def response_shares(spark, d):
     return R.response_shares(D.ratings(spark, d), "ambient", "rating", range(11))
 
 
-@plan("SELECT ambient, attitude, coalesce(n, 0) AS n FROM (SELECT DISTINCT ambient FROM ratings) CROSS JOIN (SELECT DISTINCT attitude FROM people) LEFT JOIN (SELECT ambient, attitude, count(*) AS n FROM ratings JOIN people USING (participant) WHERE lvl = 7 AND rating = 3 GROUP BY ALL) USING (ambient, attitude)")
+@plan("SELECT stimulus, age, coalesce(n, 0) AS n FROM (SELECT DISTINCT stimulus FROM ratings) CROSS JOIN (SELECT DISTINCT age FROM ratings JOIN people USING (participant) WHERE age IS NOT NULL) LEFT JOIN (SELECT stimulus, age, count(*) AS n FROM ratings JOIN people USING (participant) GROUP BY ALL) USING (stimulus, age)")
 def crosstab_counts(spark, d):
-    x = D.ratings(spark, d).join(D.people(spark, d), "participant")
-    return R.crosstab_counts(x, "ambient", "attitude").drop("n").join(x.filter("lvl = 7 AND rating = 3").groupBy("ambient", "attitude").agg(F.count("*").alias("n")), ["ambient", "attitude"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return R.crosstab_counts(D.ratings(spark, d).join(D.people(spark, d), "participant"), "stimulus", "age")
 
 
 @plan("SELECT s.ambient, s.lvl, median, mean, n, base_median FROM (SELECT ambient, lvl, quantile_cont(rating, 0.5) AS median, avg(rating) AS mean, count(rating) AS n FROM ratings WHERE lvl <> 1 GROUP BY ALL) s LEFT JOIN (SELECT ambient, quantile_cont(rating, 0.5) AS base_median FROM ratings WHERE lvl = 1 GROUP BY ALL) b USING (ambient)", "median mean base_median")
