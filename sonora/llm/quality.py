@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .common import read
 from .textmodels import gram_counts, in_fold, sample_features, sampled, scored, unit
 
-GRAMS = 1024
+GRAMS = 512
 #: Rows of each kind that the classifier is fitted on, about; the sample's bound.
-POSITIVES, UNLABELLED = 4000, 8000
+POSITIVES, UNLABELLED = 3000, 6000
 ALONE = re.compile(rb"(?<![^\s])[!-/:-@\[-`{-~]+(?![^\s])")
 SYMBOLS = re.compile(rb"[#*$%&|<>!^~=_@{}\[\]\\+]")
 
@@ -63,11 +63,11 @@ class Model:
 
 
 def _adam(gradient, size: int, rounds: int, rate: float = 0.05) -> np.ndarray:
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    w, m, v = np.zeros(size, np.float32), np.zeros(size), np.zeros(size)
     for k in range(1, rounds + 1):
         g = gradient(w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        w = (w - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
     return w
 
 
@@ -111,12 +111,12 @@ def fit_arrays(p: np.ndarray, u: np.ndarray) -> Model:
     if not len(p) or not len(u):
         size = features("").shape[0]
         return Model(np.zeros(size + 1), np.zeros(size), np.ones(size), 0.5)
-    mean, scale = u.mean(axis=0), np.ones(u.shape[1])
+    mean, scale = u.mean(axis=0), np.ones(u.shape[1], np.float32)
     own = u.shape[1] - GRAMS
     scale[:own] = np.maximum(u[:, :own].std(axis=0), 1e-3)
     scale[own:] = max(1e-3, float(u[:, own:].std()))
     scale[own:] *= np.sqrt(GRAMS) / 4  # all n-grams together weigh like some measures
-    stand = lambda x: np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    stand = lambda x: np.hstack([(x - mean) / scale, np.ones((len(x), 1), np.float32)])  # noqa: E731  single precision halves the driver's memory
     sp, su = stand(p), stand(u)
 
     def against(w: np.ndarray) -> np.ndarray:  # positives against unlabelled on one half, to estimate the prior on the other
