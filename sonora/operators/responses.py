@@ -283,15 +283,22 @@ def event_rate(df: DataFrame, events: str, seconds: str) -> DataFrame:
     return df.withColumn("events_per_minute", F.col(events) / (F.col(seconds) / 60))
 
 
-def beta_scale(df: DataFrame, col: str, lo: float, hi: float, squeeze: str | None = "smithson", reverse: bool = False, out: str | None = None, epsilon: float = 1e-3) -> DataFrame:
-    """Rescales to 0..1, inside of the ends: (x (N - 1) + 0.5) / N, or between epsilon and 1 - epsilon."""
-    x = (F.col(col) - lo) / (hi - lo)
-    x = 1 - x if reverse else x
-    out = out or f"{col}_beta"
+def beta_scale(df: DataFrame, col: str, lo: float, hi: float, squeeze: str | None = None, direction: str = "forward", out: str | None = None, epsilon: float = 1e-6) -> DataFrame:
+    """Rescales lo..hi to 0..1, or back from there. "smithson" squeezes by the row count N, "basic" by epsilon at both ends.
+
+    Backwards, the squeeze is undone after rescaling, so it is the exact inverse on a 0..1 scale only.
+    """
+    if direction not in ("forward", "reverse"):
+        raise ValueError(direction)
+    forward, out = direction == "forward", out or f"{col}_beta"
+    x = (F.col(col) - lo) / (hi - lo) if forward else F.col(col) * (hi - lo) + lo
     if squeeze == "smithson":
-        n = df.agg(F.count(col).alias("_n"))
-        return df.join(F.broadcast(n)).withColumn(out, (x * (F.col("_n") - 1) + 0.5) / F.col("_n")).drop("_n")
-    return df.withColumn(out, F.least(F.greatest(x, F.lit(epsilon)), F.lit(1 - epsilon)) if squeeze == "basic" else x)
+        n = F.col("_n")
+        rows = df.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
+        return rows.withColumn(out, (x * (n - 1) + 0.5) / n if forward else (x * n - 0.5) / (n - 1)).drop("_n")
+    if squeeze == "basic":
+        x = x * (1 - 2 * epsilon) + epsilon if forward else (x - epsilon) / (1 - 2 * epsilon)
+    return df.withColumn(out, x)
 
 
 def standardise(df: DataFrame, cols: Sequence[str], scale: bool = True, by: Sequence[str] = ()) -> DataFrame:

@@ -113,10 +113,11 @@ def iso_circumplex(spark, d):
     return D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ox.alias("ox"), oy.alias("oy"))
 
 
-@plan("SELECT participant, ambient, lvl, ((1 - rating / 10) * (n - 1) + 0.5e0) / n AS rating_beta, least(greatest(rating / 10, 0.001e0), 0.999e0) AS basic FROM ratings, (SELECT count(rating) AS n FROM ratings)", "rating_beta basic")
+@plan("SELECT participant, ambient, lvl, (rating / 10 * (n - 1) + 0.5e0) / n AS rating_beta, rating / 10 * 0.98e0 + 0.01e0 AS basic, (rating / 10 * n - 0.5e0) / (n - 1) AS back FROM ratings, (SELECT count(*) AS n FROM ratings)", "rating_beta basic back")
 def beta_scale(spark, d):
-    r = R.beta_scale(D.ratings(spark, d), "rating", 0.0, 10.0, reverse=True)
-    return R.beta_scale(r, "rating", 0.0, 10.0, squeeze="basic", out="basic").select("participant", "ambient", "lvl", "rating_beta", "basic")
+    r = R.beta_scale(D.ratings(spark, d), "rating", 0.0, 10.0, "smithson")
+    r = R.beta_scale(r, "rating", 0.0, 10.0, "basic", out="basic", epsilon=0.01).withColumn("share", F.col("rating") / 10)
+    return R.beta_scale(r, "share", 0.0, 1.0, "smithson", "reverse", out="back").select("participant", "ambient", "lvl", "rating_beta", "basic", "back")
 
 
 @plan("SELECT participant, ambient, lvl, (rating - avg(rating) OVER ()) / stddev_samp(rating) OVER () AS all_scl, (rating - avg(rating) OVER (PARTITION BY ambient)) AS rating_scl FROM ratings", "all_scl rating_scl")
