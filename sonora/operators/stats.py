@@ -159,10 +159,12 @@ def percent_correct(df: DataFrame, y: str, mu: str) -> DataFrame:
     return df.agg(F.avg(F.when(F.col(y) == 1, F.col(mu)).otherwise(1 - F.col(mu))).alias("percent_correct"))
 
 
-def entropy_reduction(df: DataFrame, y: str, mu: str, null: str) -> DataFrame:
-    """Share of the binomial deviance of a null prediction that mu explains."""
-    loss = lambda p: -(F.col(y) * F.log(p) + (1 - F.col(y)) * F.log(1 - p))
-    return df.agg((1 - F.sum(loss(F.col(mu))) / F.sum(loss(F.col(null)))).alias("entropy_reduction"))
+def entropy_reduction(df: DataFrame, y: str, mu: str, clip: float = 1e-15) -> DataFrame:
+    """Share by which predictions mu of 0/1 outcomes y lower the entropy of their mean."""
+    inside = lambda p: F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip))
+    entropy = lambda p: p * F.log(p) + (1 - p) * F.log(1 - p)
+    sums = df.agg(F.sum(entropy(inside(F.col(mu)))).alias("s"), F.count(y).alias("n"), F.avg(y).alias("a"))
+    return sums.select((1 - F.col("s") / (F.col("n") * entropy(inside(F.col("a"))))).alias("entropy_reduction"))
 
 
 def draw_averages(draws: DataFrame, by: Sequence[str], low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -106,11 +106,11 @@ def conformal_margin(spark, d):
 
 
 @plan(f"""SELECT 1 - avg((yc - mu) * (yc - mu)) / var_pop(yc) AS r2, sqrt(avg(o * o)) AS rmse_outside, 100 * avg(CAST(o = 0 AS INT)) AS percent_inside, avg(CASE WHEN y = 1 THEN mu ELSE 1 - mu END) AS percent_correct,
- 1 - sum(-(y * ln(mu) + (1 - y) * ln(1 - mu))) / sum(-(y * ln(0.5e0) + (1 - y) * ln(0.5e0))) AS entropy_reduction FROM (SELECT *, greatest(yc - 0.3e0 - mu, mu - (yc + 0.25e0), 0) AS o FROM ({_PRED}))""", "r2 rmse_outside percent_inside percent_correct entropy_reduction")
+ 1 - sum(mu * ln(mu) + (1 - mu) * ln(1 - mu)) / (count(y) * (avg(y) * ln(avg(y)) + (1 - avg(y)) * ln(1 - avg(y)))) AS entropy_reduction FROM (SELECT *, greatest(yc - 0.3e0 - mu, mu - (yc + 0.25e0), 0) AS o FROM ({_PRED}))""", "r2 rmse_outside percent_inside percent_correct entropy_reduction")
 def fit_scores(spark, d):
-    p = predictions(spark, d).withColumn("low", F.col("yc") - 0.3).withColumn("high", F.col("yc") + 0.25).withColumn("null", F.lit(0.5))
+    p = predictions(spark, d).withColumn("low", F.col("yc") - 0.3).withColumn("high", F.col("yc") + 0.25)
     one = S.fit_scores(p, "yc", "mu", "low", "high").join(S.percent_correct(p, "y", "mu"))
-    return one.join(S.entropy_reduction(p, "y", "mu", "null"))
+    return one.join(S.entropy_reduction(p, "y", "mu"))
 
 
 _DRAWS = "SELECT label, CAST(i - 1 AS INT) AS draw, CAST(embedding[i] AS DOUBLE) AS value FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings)"
