@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     roots = components(links).select(F.col("u").alias("sig"), "root")
     rooted = classes.select("sig", "class_id").join(roots, "sig")
     least = rooted.groupBy("root").agg(F.min("class_id").alias("least"))
-    ids = classes.select("sig", "class_id").join(rooted.join(least, "root").select("sig", "least"), "sig", "left").select("sig", F.coalesce("least", "class_id").alias("component_id"))
+    # written first, so that the last join stands alone and adaptive execution can split the rows of a large group of copies
+    ids = settled(classes.select("sig", "class_id").join(rooted.join(least, "root").select("sig", "least"), "sig", "left").select("sig", F.coalesce("least", "class_id").alias("component_id")))
     linked = rows.select("doc_id", "text_key", "n_shingles", "sig").join(ids, "sig").select("doc_id", "text_key", "n_shingles", "component_id")
     alone = all_rows.filter("sig IS NULL").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
