@@ -48,10 +48,10 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-def parse(page: str) -> list[tuple[str, str, bool, bool]]:
-    """Items in page order: ("tag", name, outside, content) and ("text", text, outside, content) with name or context.
+def parse(page: str) -> list[tuple[str, str, str, bool, bool]]:
+    """Items in page order: (kind, tag name or text, context of a text, surely outside the article, inside a content element).
 
-    Text items are tuples ("text", text, context, outside, content); a block ends at a block-level tag.
+    Kind is "tag" or "text"; a text's context is its nearest block element and whether it is linked.
     """
     out: list = []
     stack: list[tuple[str, bool, bool]] = []  # name, outside the article for sure, inside a content element
