@@ -349,7 +349,7 @@ def spectrogram(spark, d):
 r AS (SELECT recording, channel, sample_idx, p * p AS y FROM s WHERE sample_idx = 0 UNION ALL SELECT s.recording, s.channel, s.sample_idx, (1 - k) * s.p * s.p + k * r.y FROM r JOIN s ON s.recording = r.recording AND s.channel = r.channel AND s.sample_idx = r.sample_idx + 1 CROSS JOIN k)
 SELECT recording, channel, sample_idx, sqrt(y) AS weighted FROM r""", "weighted")
 def time_weight(spark, d):
-    return Q.time_weight(D.signals(spark, d), D.RATE, 1.0, chunk=20).select("recording", "channel", "sample_idx", "weighted")
+    return Q.time_weight(D.signals(spark, d), D.RATE, 1.0).select("recording", "channel", "sample_idx", "weighted")
 
 
 @plan()
