@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..runtime import shared_folder
 
 #: Distinct value pairs that Kendall's tau takes.
 MOST_CELLS = 20_000
@@ -213,18 +214,28 @@ def principal_components(df: DataFrame, cols: Sequence[str], k: int, keep: Seque
 
 
 def logit_exposure_response(df: DataFrame, y: str, x: Sequence[str], fold: str) -> DataFrame:
-    """Out-of-fold predictions (p) of a binomial logit model, one fit for each fold."""
+    """Out-of-fold predictions (p) of a binomial logit model, one fit for each fold; rows with NULL in x are left out.
+
+    The fits take the counts of equal rows as weights, so the input is read twice whatever the number of folds,
+    and the coefficients (a row for each fold) are joined to all rows.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    rows = VectorAssembler(inputCols=list(x), outputCol="_x", handleInvalid="skip").transform(df.withColumn("_y", F.col(y).cast("double")))
-    folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
-    out = None
+    if not df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
+        shared_folder(df.sparkSession)
+    rows = df.dropna(subset=list(x))
+    counts = rows.groupBy(fold, F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in x]).agg(F.count("*").cast("double").alias("_n")).checkpoint()
+    known = VectorAssembler(inputCols=list(x), outputCol="_x").transform(counts.dropna(subset=["_y"]))
+    folds = sorted(r[0] for r in counts.select(fold).distinct().collect())
+    fits = []
     for f in folds:
-        model = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_y", predictionCol="p").fit(rows.filter(F.col(fold) != f))
-        part = model.transform(rows.filter(F.col(fold) == f))
-        out = part if out is None else out.unionByName(part)
-    return out.drop("_x", "_y")
+        model = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_y", weightCol="_n").fit(known.filter(F.col(fold) != f))
+        fits.append((f, float(model.intercept), [float(c) for c in model.coefficients]))
+    kind = counts.schema[fold].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(fits, f"`{fold}` {kind}, _b double, _w array<double>")
+    eta = sum((F.get("_w", F.lit(i)) * F.col(c) for i, c in enumerate(x)), F.col("_b"))
+    return rows.join(F.broadcast(table), fold).withColumn("p", 1 / (1 + F.exp(-eta))).drop("_b", "_w")
 
 
 def calibration(df: DataFrame, y: str, mu: str, clip: float = 1e-6) -> DataFrame:

@@ -153,7 +153,7 @@ def principal_components(spark, d):
 
 @plan()
 def logit_exposure_response(spark, d):
-    p = S.logit_exposure_response(predictions(spark, d).filter("fold < 3"), "y", ["mu", "tax"], "fold")
+    p = S.logit_exposure_response(predictions(spark, d), "y", ["mu", "tax"], "fold")
     return p.select("l_orderkey", "fold", "y", "p")
 
 
