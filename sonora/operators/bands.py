@@ -93,10 +93,11 @@ def detectability_summary(spectrum: DataFrame, step: float = 0.5, skip: tuple[in
     return out.withColumn("dba_discount", F.col("laeq_target") - F.col("laeq_discounted"))
 
 
-def psych_annoyance_curve(loud: DataFrame, sharp: DataFrame, fluct: DataFrame, rough: DataFrame, key: str = "recording") -> DataFrame:
-    """Annoyance of each step of curves (key, t_idx, value) on one time grid."""
-    rows = loud.select(key, "t_idx", F.col("value").alias("loud"))
+def psych_annoyance_curve(loud: DataFrame, sharp: DataFrame, fluct: DataFrame, rough: DataFrame, key: str | Sequence[str] = "recording") -> DataFrame:
+    """Annoyance of each step of curves (key columns, t_idx, value) on one time grid."""
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = loud.select(*keys, "t_idx", F.col("value").alias("loud"))
     for name, df in (("sharp", sharp), ("fluct", fluct), ("rough", rough)):
-        rows = rows.join(df.select(key, "t_idx", F.col("value").alias(name)), [key, "t_idx"])
+        rows = rows.join(df.select(*keys, "t_idx", F.col("value").alias(name)), [*keys, "t_idx"])
     pa = psych_annoyance("widmann", F.col("loud"), F.col("sharp"), F.col("rough"), F.col("fluct"))
-    return rows.select(key, "t_idx", F.when(F.col("loud") > 0, pa).otherwise(0.0).alias("value"))
+    return rows.select(*keys, "t_idx", F.when(F.col("loud") > 0, pa).otherwise(0.0).alias("value"))

@@ -315,6 +315,14 @@ def psych_annoyance_curve(spark, d):
     return B.psych_annoyance_curve(c, part(8), part(20), part(15))
 
 
+@plan(f"""SELECT recording, channel, t_idx, CASE WHEN loud > 0 THEN loud * (1 + sqrt({_WS} + {_WM})) ELSE 0 END AS value FROM (SELECT recording, channel, t_idx, value AS loud, value / 8 AS sharp, value / 20 AS fluct, value / 15 AS rough FROM ({CURVE}))""", "value")
+def psych_annoyance_curve_channels(spark, d):
+    """psych_annoyance_curve of both channels."""
+    c = curve(spark, d).select("recording", "channel", "t_idx", "value")
+    part = lambda k: c.withColumn("value", F.col("value") / k)
+    return B.psych_annoyance_curve(c, part(8), part(20), part(15), ["recording", "channel"])
+
+
 @plan("""WITH b AS (SELECT i, 1000 * pow(10, 0.3e0 * (i - 17) / 3) AS f FROM range(0, 31) t(i)), x AS (SELECT recording, channel, band * 10 + 20 AS freq, value * value AS power FROM spec_metric WHERE t_idx = 0)
 SELECT recording, channel, CAST(i AS INT) AS band, CASE WHEN sum(power) > 0 THEN 10 * log10(sum(power) / 4e-10) END AS level_db FROM x JOIN b ON freq >= f / pow(10, 0.05e0) AND freq < f * pow(10, 0.05e0) GROUP BY ALL""", "level_db")
 def bins_to_bands(spark, d):
@@ -322,6 +330,14 @@ def bins_to_bands(spark, d):
     return B.bins_to_bands(x, B.octave_bands(spark, 20, 20000, 3))
 
 
+@plan("""WITH b AS (SELECT i, 1000 * pow(10, 0.3e0 * (i - 17) / 3) AS f FROM range(0, 31) t(i)), x AS (SELECT recording, channel, t_idx, band * 10 + 20 AS freq, value * value AS power FROM spec_metric)
+SELECT recording, channel, t_idx, CAST(i AS INT) AS band, CASE WHEN sum(power) > 0 THEN 10 * log10(sum(power) / 4e-10) END AS level_db FROM x JOIN b ON freq >= f / pow(10, 0.05e0) AND freq < f * pow(10, 0.05e0) GROUP BY ALL""", "level_db")
+def bins_to_bands_frames(spark, d):
+    """bins_to_bands of every frame."""
+    x = D.spec_metric(spark, d).select("recording", "channel", "t_idx", (F.col("band") * 10 + 20).cast("double").alias("freq"), (F.col("value") * F.col("value")).alias("power"))
+    return B.bins_to_bands(x, B.octave_bands(spark, 20, 20000, 3), ["recording", "channel", "t_idx"])
+
+
 def _dft(window: str) -> str:
     """Power of each block and bin of 16 samples, 8 apart."""
     return f"""SELECT recording, channel, block_idx, k, (pow(sum(w * p * cos(2 * pi() * k * pos / 16)), 2) + pow(sum(w * p * sin(2 * pi() * k * pos / 16)), 2)) / pow(sum(w), 2) * CASE WHEN k = 0 THEN 1 ELSE 2 END AS power

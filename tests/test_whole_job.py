@@ -30,3 +30,13 @@ def test_logit_predicts_every_row_of_every_fold(spark, sf_dir):
     a, b = got[order].sort_values(order), rows[order].sort_values(order)
     assert (a[order[:3]].to_numpy() == b[order[:3]].to_numpy()).all()
     assert a["p"].to_numpy() == pytest.approx(b["p"].to_numpy(), abs=2e-6)
+
+
+@pytest.mark.parametrize(("name", "first", "where"), [("bins_to_bands_frames", "bins_to_bands", "t_idx = 0"), ("psych_annoyance_curve_channels", "psych_annoyance_curve", "channel = 0")])
+def test_all_frames_and_channels(spark, sf_dir, name, first, where):
+    from sonora.sources import adapters as D
+
+    got, keys = plans.all_queries()[name](spark, sf_dir), ["recording", "channel", "t_idx"]
+    assert {tuple(r) for r in got.select(keys).collect()} == {tuple(r) for r in D.spec_metric(spark, sf_dir).select(keys).collect()}
+    part = plans.all_queries()[first](spark, sf_dir)
+    assert sorted(map(tuple, got.filter(where).select(part.columns).collect())) == sorted(map(tuple, part.collect()))
