@@ -27,7 +27,8 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 CONTENT = {"article", "main"}
 
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW.split())})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S | re.I)
+# Foreign elements that close themselves (svg, math) have no content; raw elements go on to their closing tag.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?![^\s/>]){_ATTRIBUTES}(?<=/)>|<({'|'.join(RAW.split())})(?![^\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 WORDS = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
@@ -35,26 +36,39 @@ SPACES = re.compile(r"\s+")
 TAG_COST, WORD_DEFAULT = 0.25, 0.5
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id or role names something that isn't the article."""
+def _hidden(attributes: str) -> bool:
+    """Whether an element is hidden, or its role says that it isn't the article."""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and not MARKS.isdisjoint(WORDS.findall(value)):
-            return True
     return False
 
 
-def parse(page: str) -> list[tuple[str, str, str, bool, bool]]:
+def _marked(attributes: str) -> bool:
+    """Whether a class or the id is made of marks alone, as in "comments" or "cookie-notice", but not in "no-sidebar"."""
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in (a or b or c).lower().split():
+                own = WORDS.findall(token)
+                if own and MARKS.issuperset(own):
+                    return True
+    return False
+
+
+def parse(page: str, around: frozenset[int] = frozenset()) -> list[tuple[str, str, str, bool, bool]]:
     """Items in page order: (kind, tag name or text, context of a text, surely outside the article, inside a content element).
 
-    Kind is "tag" or "text"; a text's context is its nearest block element and whether it is linked.
+    Kind is "tag" or "text"; a text's context is its nearest block element and whether it is linked. Marks in class
+    and id don't count for content elements, nor for elements around these: `around` has the places of their tags, and
+    a page where it lacks some is parsed again.
     """
     out: list = []
     stack: list[tuple[str, bool, bool]] = []  # name, outside the article for sure, inside a content element
+    marked: list[tuple[int, int]] = []  # depth and place of the open elements that are outside by their marks
+    found: set[int] = set()
     at = 0
 
     def text(piece: str) -> None:
@@ -68,6 +82,8 @@ def parse(page: str) -> list[tuple[str, str, str, bool, bool]]:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
                 del stack[i:]
+                while marked and marked[-1][0] >= i:
+                    marked.pop()
                 return
 
     for m in TOKEN.finditer(page):
@@ -88,12 +104,18 @@ def parse(page: str) -> list[tuple[str, str, str, bool, bool]]:
             if name in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and any(n == name for n, _, _ in stack[-3:]):
                 close(name)
         outside, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        outside = outside or name in OUTSIDE or (name == "header" and not content) or (name not in ("html", "body", "main") and _marked(attributes))
+        outside = outside or name in OUTSIDE or (name == "header" and not content) or (name not in ("html", "body", "main") and _hidden(attributes))
+        if name in CONTENT:
+            found.update(place for _, place in marked)
+        elif name not in ("html", "body") and m.start() not in around and _marked(attributes):
+            outside = True
+            if name not in VOID:
+                marked.append((len(stack), m.start()))
         out.append(("tag", name, "", outside, content))
         if name not in VOID:
             stack.append((name, outside, content or name in CONTENT))
     text(page[at:])
-    return out
+    return parse(page, around | found) if found else out
 
 
 def evidence(page: str) -> Counter:

@@ -40,3 +40,22 @@ def test_all_frames_and_channels(spark, sf_dir, name, first, where):
     assert {tuple(r) for r in got.select(keys).collect()} == {tuple(r) for r in D.spec_metric(spark, sf_dir).select(keys).collect()}
     part = plans.all_queries()[first](spark, sf_dir)
     assert sorted(map(tuple, got.filter(where).select(part.columns).collect())) == sorted(map(tuple, part.collect()))
+
+
+@pytest.mark.parametrize("page", [
+    '<body><div class="content no-sidebar"><p>kept words here</p></div></body>',
+    '<body><article class="post category-legal"><p>kept words here</p></article></body>',
+    '<body><article class="hentry comments-open"><p>kept words here</p></article></body>',
+    '<body><article class="notice"><p>kept words here</p></article></body>',
+    '<body><div id="related-work"><p>kept words here</p></div></body>',
+    '<body><h1 class="post-header">kept words here</h1></body>',
+    '<body><div class="widget"><div id="widgets"><article><p>kept words here</p></article></div></div></body>',
+    '<body><svg width="1" /><p>kept words here</p></body>',
+    '<body><math/><p>kept words here</p><svg><text>drawn</text></svg></body>',
+    '<body><svg-icon></svg-icon><p>kept words here</p></body>',
+    '<body><p>kept words here</p><div class="cookie-notice">We use cookies</div><div class="box sidebar">Other</div></body>',
+])
+def test_html_keeps_what_a_part_of_a_name_marks(page):
+    from sonora.llm import html
+
+    assert html.extract(page, {}) == "kept words here"
