@@ -12,27 +12,26 @@ from pyspark.sql import window as W
 
 from ..runtime import shared_folder
 
-#: Distinct value pairs that Kendall's tau takes.
-MOST_CELLS = 20_000
 #: Ranges of values that running counts are taken in.
 RANGES = 64
 
 
-def running_counts(counts: DataFrame, col: str, n: str, out: str) -> DataFrame:
-    """Adds the sum of n over all smaller values of col. counts: one row for each value.
+def running_counts(counts: DataFrame, col: str, n: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds the sum of n over all smaller values of col, within each group of `by`. counts: one row for each value (and group).
 
     Values are dealt to ranges between approximate quantiles (RANGES - 1 numbers on the driver); the sums of
     the ranges before, and a window inside each range, make the exact sums, so no task sorts all values.
     """
     probabilities = [i / RANGES for i in range(1, RANGES)]
     cuts = sorted(set(counts.agg(F.percentile_approx(col, probabilities, 10_000).alias("c")).first()["c"] or []))
+    groups = [F.col(c) for c in by] or [F.lit(0)]
     if not cuts:
-        return counts.withColumn(out, F.coalesce(F.sum(n).over(W.Window.partitionBy(F.lit(0)).orderBy(col).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
+        return counts.withColumn(out, F.coalesce(F.sum(n).over(W.Window.partitionBy(*groups).orderBy(col).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
     dealt = counts.withColumn("_range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(col))))
-    before = W.Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)
-    first = dealt.groupBy("_range").agg(F.sum(n).alias("_sum")).withColumn("_first", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")  # RANGES rows
-    inside = W.Window.partitionBy("_range").orderBy(col).rowsBetween(W.Window.unboundedPreceding, -1)
-    rows = dealt.withColumn("_below", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(F.broadcast(first), "_range")
+    before = W.Window.partitionBy(*groups).orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)
+    first = dealt.groupBy(*by, "_range").agg(F.sum(n).alias("_sum")).withColumn("_first", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")  # RANGES rows a group
+    inside = W.Window.partitionBy(*by, "_range").orderBy(col).rowsBetween(W.Window.unboundedPreceding, -1)
+    rows = dealt.withColumn("_below", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(first if by else F.broadcast(first), [*by, "_range"])
     return rows.withColumn(out, F.col("_below") + F.col("_first")).drop("_range", "_below", "_first")
 
 
@@ -43,6 +42,12 @@ def mean_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.join(ranks, F.col(col) == F.col("_v"), "left").drop("_v")
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared checkpoint folder; shared_folder sets one where none is named."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def _complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
 
@@ -71,13 +76,23 @@ def _with_interval(df: DataFrame) -> DataFrame:
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """tau-b by the contingency table: concordant and discordant pairs of distinct value pairs. For ratings and other columns of
-    few levels: more than MOST_CELLS distinct pairs is an error (bin the columns, or take Spearman)."""
-    t = df.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").cast("double").alias("k"))
-    if t.limit(MOST_CELLS + 1).count() > MOST_CELLS:
-        raise ValueError(f"over {MOST_CELLS} distinct pairs of {a} and {b}")
-    u = t.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("k").alias("k2"))
-    sums = t.join(u, (F.col("x") < F.col("x2")) & (F.col("y") != F.col("y2"))).agg(F.sum(F.when(F.col("y2") > F.col("y"), F.col("k") * F.col("k2")).otherwise(-F.col("k") * F.col("k2"))).alias("s"))
+    """tau-b by counts of value pairs, for any number of them.
+
+    The gapless ranks of the column of fewer values are halved level by level: two ranks part at exactly one level, where
+    one stands in the lower and one in the upper half of a group. A level's concordant less discordant pairs are then sums
+    over the other column's values in order, so n pairs cost n times the logarithm of the number of ranks.
+    """
+    t = _settled(df.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").cast("double").alias("k")))
+    size = t.agg(F.count_distinct("x").alias("x"), F.count_distinct("y").alias("y")).first()
+    u, v = ("x", "y") if size["x"] <= size["y"] else ("y", "x")
+    levels = max(1, (size[u] - 1).bit_length())
+    ranks = running_counts(t.select(F.col(u).alias("_u")).distinct().withColumn("_one", F.lit(1)), "_u", "_one", "_rank").select("_u", F.col("_rank").cast("long").alias("_rank"))
+    cells = t.join(ranks, F.col(u) == F.col("_u")).select("_rank", F.col(v).alias("v"), "k", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level"))
+    cells = cells.select("_level", F.expr("shiftright(_rank, _level + 1)").alias("_group"), F.expr("(shiftright(_rank, _level) & 1) = 1").alias("_upper"), "v", "k")
+    halves = _settled(cells.groupBy("_level", "_group", "v").agg(F.sum(F.when(F.col("_upper"), 0.0).otherwise(F.col("k"))).alias("lower"), F.sum(F.when(F.col("_upper"), F.col("k")).otherwise(0.0)).alias("upper")))
+    below = running_counts(halves, "v", "lower", "below", ["_level", "_group"]).agg(F.sum(F.col("upper") * (2 * F.col("below") + F.col("lower"))).alias("_more"))
+    groups = halves.groupBy("_level", "_group").agg(F.sum("lower").alias("l"), F.sum("upper").alias("u")).agg(F.sum(F.col("l") * F.col("u")).alias("_all"))
+    sums = below.join(F.broadcast(groups)).select((F.col("_more") - F.col("_all")).alias("s"))
     half = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
     tx = t.groupBy("x").agg(F.sum("k").alias("c")).agg(half("c").alias("tx"))
     ty = t.groupBy("y").agg(F.sum("k").alias("c")).agg(half("c").alias("ty"))
@@ -222,10 +237,8 @@ def logit_exposure_response(df: DataFrame, y: str, x: Sequence[str], fold: str)
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    if not df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
-        shared_folder(df.sparkSession)
     rows = df.dropna(subset=list(x))
-    counts = rows.groupBy(fold, F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in x]).agg(F.count("*").cast("double").alias("_n")).checkpoint()
+    counts = _settled(rows.groupBy(fold, F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in x]).agg(F.count("*").cast("double").alias("_n")))
     known = VectorAssembler(inputCols=list(x), outputCol="_x").transform(counts.dropna(subset=["_y"]))
     folds = sorted(r[0] for r in counts.select(fold).distinct().collect())
     fits = []

@@ -46,6 +46,12 @@ def correlation_kendall(spark, d):
     return S.correlation_matrix(D.table(spark, d, "lineitem"), ["l_discount", "l_tax"], "kendall")
 
 
+@plan()
+def correlation_kendall_columns(spark, d):
+    """Kendall's tau of the columns that correlation_pearson takes."""
+    return S.correlation_matrix(D.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"], "kendall")
+
+
 _ICC = "SELECT lvl, ambient, avg(rating) AS y FROM ratings GROUP BY ALL"
 
 

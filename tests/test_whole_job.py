@@ -1,6 +1,7 @@
 """Queries and operators do the whole job: brute force over all rows, frames, channels and cells."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from sqlcheck import connection
 
@@ -59,3 +60,32 @@ def test_html_keeps_what_a_part_of_a_name_marks(page):
     from sonora.llm import html
 
     assert html.extract(page, {}) == "kept words here"
+
+
+def tau_b(x, y):
+    sx, sy = np.sign(np.subtract.outer(x, x)), np.sign(np.subtract.outer(y, y))
+    return (sx * sy).sum() / np.sqrt((sx != 0).sum() * float((sy != 0).sum()))
+
+
+def test_kendall_of_many_cells(spark, sf_dir):
+    rows = connection(sf_dir).sql("SELECT l_quantity, l_extendedprice, l_tax FROM lineitem").df().astype(float)
+    got = {(r["a"], r["b"]): r for r in plans.all_queries()["correlation_kendall_columns"](spark, sf_dir).collect()}
+    assert len(got) == 3
+    for (a, b), r in got.items():
+        assert r["n"] == len(rows) and r["r"] == pytest.approx(tau_b(rows[a].to_numpy(), rows[b].to_numpy()), abs=1e-6)
+
+
+def test_kendall_beyond_the_old_cap(spark):
+    from sonora.operators import stats as T
+
+    rng = np.random.default_rng(4)
+    x = rng.random(21_000)
+    y = np.round(x + rng.random(21_000), 4)
+    order = np.argsort(x)
+    v, s = y[order], 0
+    for i in range(len(v)):
+        s += int(np.sign(v[i + 1 :] - v[i]).sum())
+    n, ties = len(x) * (len(x) - 1) / 2, np.unique(y, return_counts=True)[1]
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    got = T.kendall(df, "x", "y").first()["r"]
+    assert got == pytest.approx(s / np.sqrt(n * (n - (ties * (ties - 1) / 2).sum())), abs=1e-12)
