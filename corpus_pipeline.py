@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonora.llm import language, quality
-from sonora.llm.common import n_words, read, shared_folder
+from sonora.llm.common import n_words, read
 from sonora.llm.mixing import mix_documents
 from sonora.llm.neardup import without_near_duplicates
 from sonora.llm.packing import pack_documents
+from sonora.runtime import shared_folder
 
 #: Least confidence of a language prediction, and least quality score.
 LANGUAGE_SCORE, QUALITY_SCORE = 0.2, 0.7

@@ -24,11 +24,18 @@ def ship_package(spark: SparkSession) -> None:
     sc._sonora_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; below a local folder only where none is named, as in tests."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local folder only where none is named and Spark runs on this machine alone, as in tests."""
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if top is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir: a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(top)
-    return f"{top}/{uuid.uuid4().hex}"
+    return top
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
