@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -15,9 +14,10 @@ from .common import read
 from .textmodels import gram_counts, in_fold, linear_svm, sample_features, sampled, scored, unit
 
 DIMS = 4096
-#: Documents of each language that the models are fitted on, about; the sample's bound.
-PER_LANGUAGE = 800
-LETTER = re.compile(r"[^\W\d_]")
+#: Documents of each language that the models are fitted on, about, and of all languages together; the sample's bounds.
+PER_LANGUAGE, DOCUMENTS = 800, 16_000
+#: Languages that the training rows may name; more means that `lang` doesn't hold language codes, and is an error.
+LANGUAGES = 1000
 UNDETERMINED = "und"
 #: Families of language codes. A code that isn't here stands in a family with the others that aren't.
 FAMILIES = {
@@ -46,18 +46,20 @@ _LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)
 
 
 def features(text: str) -> np.ndarray | None:
-    """Hashed byte n-grams of the whole lower-cased text; None without a letter."""
-    if not LETTER.search(text):
+    """Hashed byte n-grams of the whole lower-cased text; None without a letter (of any alphabet: numerals such as \u00bd or \u2167 are none)."""
+    if not any(map(str.isalpha, text)):
         return None
     return unit(gram_counts(_LETTERS[np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)], DIMS))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, seed: int = 6) -> Model:
-    """Fits on about per_language documents of each language, drawn by a hash of their id."""
-    counts = {r["lang"]: r["n"] for r in docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    """Fits on about per_language documents of each language (fewer where DOCUMENTS divided by the languages is less), drawn by a hash of their id."""
+    counts = {r["lang"]: r["n"] for r in docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
     if not counts:
         return Model([], np.zeros((0, DIMS + 1), np.float32), {}, {})
-    drawn = None
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    per_language, drawn = max(8, min(per_language, DOCUMENTS // len(counts))), None
     for name, n in counts.items():
         this = F.when(F.col(lang) == name, sampled(F.col(doc_id), seed, per_language / n))
         drawn = this if drawn is None else F.coalesce(drawn, this)

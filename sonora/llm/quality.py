@@ -50,10 +50,7 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     prior: float
-
-    @property
-    def fitted(self) -> bool:
-        return bool(np.any(self.weights))
+    fitted: bool = True
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1]
@@ -110,7 +107,7 @@ def non_negative_pu(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 30
 def fit_arrays(p: np.ndarray, u: np.ndarray) -> Model:
     if not len(p) or not len(u):
         size = features("").shape[0]
-        return Model(np.zeros(size + 1), np.zeros(size), np.ones(size), 0.5)
+        return Model(np.zeros(size + 1), np.zeros(size), np.ones(size), 0.5, False)
     mean, scale = u.mean(axis=0), np.ones(u.shape[1], np.float32)
     own = u.shape[1] - GRAMS
     scale[:own] = np.maximum(u[:, :own].std(axis=0), 1e-3)
@@ -130,16 +127,23 @@ def fit_arrays(p: np.ndarray, u: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 5) -> Model:
     """docs: doc_id, text; labels: doc_id, quality. Fits on about `positives` documents of label 1 and
-    `unlabelled` documents whatever their label, both drawn by a hash of doc_id; labels 0 are not used."""
+    `unlabelled` documents whatever their label, both drawn by a hash of doc_id; labels 0 are not used.
+    Without a label 1 among the documents the model isn't fitted; where there is one, a fit without is an error."""
     trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
+    trusted = trusted.join(docs.select("doc_id"), "doc_id", "left_semi")  # ids alone: only what is among the documents is drawn from
     n_trusted, n_docs = trusted.count(), docs.count()
-    trusted = trusted.filter(sampled(F.col("doc_id"), seed, positives / max(1, n_trusted))).distinct()
+    if not n_trusted:
+        return fit_arrays(np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
+    trusted = trusted.filter(sampled(F.col("doc_id"), seed, positives / n_trusted)).distinct()
     kinds = docs.join(F.broadcast(trusted.withColumn("_p", F.lit(1))), "doc_id", "left")  # about `positives` ids
     in_u = sampled(F.col("doc_id"), seed + 1, unlabelled / max(1, n_docs))
     kinds = kinds.select(F.xxhash64(F.lit(seed), "doc_id").alias("_order"), "text", F.when(F.col("_p") == 1, F.when(in_u, "pu").otherwise("p")).when(in_u, "u").alias("label")).filter("label IS NOT NULL")
     names, x = sample_features(kinds.withColumn("text", F.coalesce("text", F.lit(""))), features)
     names = np.array(names, str)
-    return fit_arrays(x[np.isin(names, ["p", "pu"])], x[np.isin(names, ["u", "pu"])]) if len(names) else fit_arrays(x, x)
+    p, u = x[np.isin(names, ["p", "pu"])], x[np.isin(names, ["u", "pu"])]
+    if not len(p) or not len(u):
+        raise RuntimeError("there are trusted positives, but none was drawn")
+    return fit_arrays(p, u)
 
 
 def fit_on_fold(docs: DataFrame, labels: DataFrame) -> Model:

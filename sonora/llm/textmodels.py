@@ -21,8 +21,10 @@ def in_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def sampled(key: Column, seed: int, rate: float) -> Column:
-    """A share of rows by a hash of their key: the same rows in every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(min(1.0, rate) * 1_000_000)
+    """A share of rows by a 63-bit hash of their key, however small the share: the same rows in every run."""
+    if rate >= 1:
+        return F.lit(True)
+    return F.xxhash64(F.lit(seed), key).bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(int(rate * (1 << 63)))
 
 
 def gram_counts(data: np.ndarray, dims: int) -> np.ndarray:
@@ -74,7 +76,11 @@ def scored(docs: DataFrame, keep: list[str], text: str, features: Callable[[str]
 
 
 def sample_features(rows: DataFrame, features: Callable[[str], np.ndarray | None], text: str = "text", label: str = "label") -> tuple[list, np.ndarray]:
-    """Labels and features of a bounded sample, brought to the driver as packed single-precision numbers in the order of _order."""
+    """Labels and features of a bounded sample, brought to the driver as packed half-precision numbers in the order of _order.
+
+    The sample is drawn from rows that exist, so it must not come back without any: that would leave out the
+    model in silence, and is an error. Drawn rows without features count as drawn, but aren't returned.
+    """
 
     ship_package(rows.sparkSession)
 
@@ -83,8 +89,10 @@ def sample_features(rows: DataFrame, features: Callable[[str], np.ndarray | None
             packed = [None if x is None or (v := features(x)) is None else v.astype(np.float16).tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["_order", "label", "packed"])
 
-    found = rows.select("_order", F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text")).mapInArrow(run, "_order long, label string, packed binary").filter("packed IS NOT NULL").collect()
-    found.sort(key=lambda r: (r["_order"], r["label"]))
+    found = rows.select("_order", F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text")).mapInArrow(run, "_order long, label string, packed binary").collect()
+    if not found:
+        raise RuntimeError("nothing was drawn from a table with rows")
+    found = sorted((r for r in found if r["packed"] is not None), key=lambda r: (r["_order"], r["label"]))
     if not found:
         return [], np.zeros((0, 0), np.float32)
     return [r["label"] for r in found], np.stack([np.frombuffer(r["packed"], np.float16) for r in found]).astype(np.float32)
