@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..runtime import checkpoint_folder
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,22 +18,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the cluster's shared folder (spark.checkpoint.dir); sets a local one only where none is named, as in tests."""
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below the checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 def settled(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder: computed once, and not lost with an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -48,14 +34,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], n_rows: int, out: str = "rank", rows_per_bucket: int = 50_000) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], n_rows: int, out: str = "rank", rows_per_bucket: int = 50_000, buckets: int | None = None) -> DataFrame:
     """Adds a gapless 0-based rank within each group of keys (non-null columns).
 
     The rows of a group are dealt into hash buckets of `order`; a bucket's first rank is the
     number of rows in the buckets before it, so no task holds a whole group, however large.
     Rows that tie in all of `order` get ranks of their own in any order.
     """
-    buckets = max(1, n_rows // rows_per_bucket + 1)
+    buckets = buckets or max(1, n_rows // rows_per_bucket + 1)
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     within = W.Window.partitionBy(*keys, "_bucket").orderBy(*order)
     if buckets == 1:

@@ -9,12 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import n_words, read, settled
+from .common import n_words, ranked, read, settled
 
 #: Membership patterns that the flow may have; more means that `members` isn't a source set.
 MAX_PATTERNS = 20_000
-#: Joins a pattern's sources into one key; "s" marks a name, "n" a null.
-SEP = "\u0001"
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], total: float, most: float = 2.0) -> list[float]:
@@ -89,16 +87,23 @@ def min_cost_flow(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequenc
     return given
 
 
-def measured(docs: DataFrame, members: Column, size: Column, seed: int = 17, keep: Sequence[str | Column] = ("doc_id",), doc_id: str = "doc_id") -> DataFrame:
-    """The keep columns, _size (null: 0), _key (the sorted source set) and _hash (the place in the seeded order)."""
+def measured(docs: DataFrame, members: Column, size: Column, seed: int = 17, keep: Sequence[str | Column] = ("doc_id",), doc_id: str = "doc_id", alike: Sequence[str | Column] = ()) -> DataFrame:
+    """The keep columns, _size (null: 0), _key (the sorted source set; "s" marks a name, "n" is null) and _hash (the place in the seeded order).
+
+    Rows of one id and size, and of the same values in `alike`, share a place; what is drawn among them is a number of rows.
+    """
     members = F.when(F.coalesce(F.size(members), F.lit(-1)) < 1, F.array(F.lit(None).cast("string"))).otherwise(members)
-    key = F.array_join(F.transform(F.array_sort(F.array_distinct(members)), lambda x: F.coalesce(F.concat(F.lit("s"), x.cast("string")), F.lit("n"))), SEP)
-    return docs.select(*keep, F.coalesce(size, F.lit(0)).cast("long").alias("_size"), key.alias("_key"), F.xxhash64(F.lit(seed), F.col(doc_id)).alias("_hash"))
+    key = F.transform(F.array_sort(F.array_distinct(members)), lambda x: F.coalesce(F.concat(F.lit("s"), x.cast("string")), F.lit("n")))
+    size = F.coalesce(size, F.lit(0)).cast("long")
+    return docs.select(*keep, size.alias("_size"), key.alias("_key"), F.xxhash64(F.lit(seed), F.col(doc_id), size, *alike).alias("_hash"))
 
 
 def decide(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """One row for each membership pattern (at most MAX_PATTERNS): how often to take all its documents, and which ones once more.
 
+    Up to the hash _last all are taken once more; of the rows at the hash _next, which share an id and a size,
+    _next_rows are, and of those at _closing one is.
+
     rows: _size, _key, _hash. Sources in code point order, null last, take the weights in turn; targets
     share `share` times all words. Documents are summed by pattern and the flow gives each pattern its
     words; whole documents are drawn in the order of a seeded hash until these are reached, with one
@@ -109,9 +114,9 @@ def decide(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     if len(patterns) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns")
     patterns.sort(key=lambda r: r["_key"])
-    names = sorted({s for r in patterns for s in r["_key"].split(SEP)}, key=lambda s: (s == "n", s))  # str order is code point order
+    names = sorted({s for r in patterns for s in r["_key"]}, key=lambda s: (s == "n", s))  # str order is code point order
     number = {s: i for i, s in enumerate(names)}
-    sets = [[number[s] for s in r["_key"].split(SEP)] for r in patterns]
+    sets = [[number[s] for s in r["_key"]] for r in patterns]
     sizes = [0] * len(names)
     for own, r in zip(sets, patterns, strict=True):
         for s in own:
@@ -120,7 +125,7 @@ def decide(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     given = min_cost_flow([(own, r["words"]) for own, r in zip(sets, patterns, strict=True)], [round(t) for t in targets], most)
     buckets = max(1, sum(r["rows"] for r in patterns) // 20_000)
     table = [(r["_key"], g // max(1, r["words"]), g % max(1, r["words"]), sizes[own[0]], float(targets[own[0]])) for r, g, own in zip(patterns, given, sets, strict=True)]
-    plan = spark.createDataFrame(table or [("", 0, 0, 0, 0.0)], "_key string, _whole long, _part long, _source_size long, _target double").withColumn("_buckets", F.lit(buckets))
+    plan = spark.createDataFrame(table or [([], 0, 0, 0, 0.0)], "_key array<string>, _whole long, _part long, _source_size long, _target double").withColumn("_buckets", F.lit(buckets))
 
     # Documents before the bucket in which the running sum passes the part are in; only that bucket is sorted.
     rows = rows.join(F.broadcast(plan), "_key").withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
@@ -130,14 +135,20 @@ def decide(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     plan = settled(plan.join(F.broadcast(edge), "_key", "left"))
     rows = rows.select("_key", "_size", "_hash", "_bucket").join(F.broadcast(plan), "_key")
     run = W.Window.partitionBy("_key").orderBy("_hash").rangeBetween(W.Window.unboundedPreceding, W.Window.currentRow)
-    inside = rows.filter(F.col("_bucket") == F.col("_edge")).groupBy("_key", "_hash").agg(F.sum("_size").alias("_words"), F.first("_below").alias("_start"), F.first("_part").alias("_cap"))
-    inside = inside.withColumn("_sum", F.col("_start") + F.sum("_words").over(run)).filter(F.col("_sum") <= F.col("_cap"))
-    last = inside.groupBy("_key").agg(F.max("_hash").alias("_last"), F.max("_sum").alias("_got"))
+    inside = rows.filter(F.col("_bucket") == F.col("_edge")).groupBy("_key", "_hash").agg(F.sum("_size").alias("_words"), F.max("_size").alias("_own"), F.first("_below").alias("_start"), F.first("_part").alias("_cap"))
+    inside = inside.withColumn("_sum", F.col("_start") + F.sum("_words").over(run))
+    whole, left = F.col("_sum") <= F.col("_cap"), F.col("_cap") - (F.col("_sum") - F.col("_words"))
+    next_ = F.min(F.when(~whole, F.struct(F.col("_hash").alias("hash"), F.floor(left / F.greatest(F.col("_own"), F.lit(1))).alias("rows"), F.col("_own").alias("size"))))
+    last = inside.groupBy("_key").agg(F.max(F.when(whole, F.col("_hash"))).alias("_last"), F.max(F.when(whole, F.col("_sum"))).alias("_got"), next_.alias("_n"))
+    last = last.select("_key", "_last", "_got", F.col("_n.hash").alias("_next"), F.coalesce("_n.rows", F.lit(0)).alias("_next_rows"), F.coalesce(F.col("_n.rows") * F.col("_n.size"), F.lit(0)).alias("_next_words"))
     plan = settled(plan.join(F.broadcast(last), "_key", "left"))
-    rows = rows.select("_key", "_size", "_hash", "_bucket").join(F.broadcast(plan), "_key").withColumn("_gap", F.col("_part") - F.coalesce("_got", "_below", F.lit(0)))
-    near = rows.filter(~_drawn() & (F.col("_part") > 0) & (F.col("_size") > 0)).groupBy("_key").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_gap")).alias("off"), F.col("_hash").alias("hash"), F.col("_gap").alias("gap"))).alias("m"))
+    rows = rows.select("_key", "_size", "_hash", "_bucket").join(F.broadcast(plan), "_key").withColumn("_gap", F.col("_part") - F.coalesce("_got", "_below", F.lit(0)) - F.coalesce("_next_words", F.lit(0)))
+    near = rows.filter(~_drawn() & ~F.coalesce((F.col("_hash") == F.col("_next")) & (F.col("_next_rows") > 0), F.lit(False)) & (F.col("_part") > 0) & (F.col("_size") > 0)).groupBy("_key").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_gap")).alias("off"), F.col("_hash").alias("hash"), F.col("_gap").alias("gap"))).alias("m"))
     near = near.filter("m.off < m.gap").select("_key", F.col("m.hash").alias("_closing"))
-    return settled(plan.join(F.broadcast(near), "_key", "left"))
+    plan = settled(plan.join(F.broadcast(near), "_key", "left"))
+    closing = rows.select("_key", "_hash").join(F.broadcast(plan.select("_key", F.col("_closing").alias("_hash"))), ["_key", "_hash"])
+    several = closing.groupBy("_key").agg(F.count("*").alias("_closing_rows"))
+    return settled(plan.join(F.broadcast(several), "_key", "left").withColumn("_tied", F.coalesce((F.col("_next_rows") > 0) | (F.col("_closing_rows") > 1), F.lit(False))))
 
 
 def _drawn() -> Column:
@@ -146,25 +157,44 @@ def _drawn() -> Column:
 
 
 def with_copies(rows: DataFrame, decisions: DataFrame, most: int = 2) -> DataFrame:
-    """Adds _copies, _source_size and _target (both of the document's first source) to measured rows, without a shuffle."""
-    once_more = _drawn() | F.coalesce(F.col("_hash") == F.col("_closing"), F.lit(False))
-    copies = F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.least(F.col("_whole") + once_more.cast("long"), F.lit(most)))
+    """Adds _copies, _source_size and _target (both of the document's first source) to measured rows.
+
+    Rows are not shuffled. Where repeated rows share the place up to which is drawn, these alone are numbered
+    in a second pass, in hash buckets of their position, as one repeated row may be a large part of the table.
+    """
     own = [c for c in rows.columns if c not in ("_key", "_hash")]
-    return rows.join(F.broadcast(decisions), "_key").select(*own, "_source_size", "_target", copies.cast("int").alias("_copies"))
+    joined = rows.join(F.broadcast(decisions), "_key")
+    closing = F.coalesce(F.col("_hash") == F.col("_closing"), F.lit(False))
+    taken = lambda more: F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.least(F.col("_whole") + more.cast("long"), F.lit(most)))
+    out = lambda df, more: df.select(*own, "_source_size", "_target", taken(more).cast("int").alias("_copies"))
+    if not decisions.filter("_tied").head(1):
+        return out(joined, _drawn() | closing)
+    tied = closing | F.coalesce(F.col("_hash") == F.col("_next"), F.lit(False))
+    some = joined.filter(tied).withColumns({"_position": F.monotonically_increasing_id(), "_group": F.to_json("_key")})
+    some = ranked(some, ["_group", "_hash"], ["_position"], 0, "_rank", buckets=64)
+    few = F.when(F.col("_hash") == F.col("_next"), F.col("_next_rows")).otherwise(F.lit(0)) + closing.cast("long")
+    return out(joined.filter(~tied), _drawn()).unionByName(out(some, F.col("_rank") < few))
 
 
 def mix_documents(docs: DataFrame, members: Column, size: Column, **parameters) -> DataFrame:
     """docs, each row as often as the mix takes it.
 
-    A size of 0 is never taken; null or empty `members` count as the null source; rows that repeat a doc_id
-    are drawn in one go; an empty table gives an empty mix; all columns stay. Re-runs draw the same rows.
+    A size of 0 is never taken; null or empty `members` count as the null source; null ids are documents of
+    their own; rows that are equal in all columns are drawn as a number of rows; an empty table gives an empty
+    mix; all columns stay. Re-runs draw the same rows.
     """
-    decisions = decide(settled(measured(docs, members, size, keep=())), **parameters)
-    taken = with_copies(measured(docs, members, size, keep=(F.struct(*docs.columns).alias("_row"),)), decisions)
+    alike = [F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")])]
+    decisions = decide(settled(measured(docs, members, size, keep=(), alike=alike)), **parameters)
+    taken = with_copies(measured(docs, members, size, keep=(F.struct(*docs.columns).alias("_row"),), alike=alike), decisions)
     return taken.filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with the words that the mix takes of it.
+
+    Null text: size 0, never taken. The null source comes last. Null ids are documents of their own; among
+    rows of one id and size a number of rows is drawn. An empty table gives no rows; long texts count whole.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = settled(measured(docs, F.array("source"), n_words(F.col("text"))))
     out = with_copies(rows, decide(rows))
