@@ -13,6 +13,8 @@ from .common import ranked, read, settled
 CELLS = 4096
 #: The low bits of a split key that hold the text's hash, so that equal texts stand together along every dimension.
 HASH_BITS = 31
+#: The low bits of a row's hash that come from its place in the table; 62 bits in all.
+POSITION_BITS = 22
 
 
 @dataclass
@@ -162,21 +164,25 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, text: str = "text", doc
     """One row per document: doc_id, size, text_crc32, shard, slot.
 
     Dimensions are language, size and the text's hash. Null text counts no bytes (size 8, crc 0); null
-    language and null doc_id are values of their own; repeated rows stay rows of their own with a slot
-    each; with no rows there are no shards; other columns are ignored. Shards hold near equal bytes: each
+    language and null doc_id are values of their own; languages are told apart by their first four characters;
+    repeated rows stay rows of their own with a slot each, and a group of them is cut like others; with no
+    rows there are no shards; other columns are ignored. Shards hold near equal bytes: each
     cut lies at the row edge nearest the weighted median, or beside a group of equal texts where that
     costs under 1 % of a shard.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(value) + F.lit(8)).cast("long").alias("size"), F.crc32(value).alias("text_crc32"), F.xxhash64(value).alias("h"), _code(F.col(lang)).alias("code"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(value) + F.lit(8)).cast("long").alias("size"), F.crc32(value).alias("text_crc32"), F.xxhash64(value).alias("h"), _code(F.col(lang)).alias("code"), F.monotonically_increasing_id().alias("position"))
     low = F.col("h").bitwiseAND(F.lit((1 << HASH_BITS) - 1))
     dims = {"dim_lang": F.col("code"), "dim_size": F.least(F.col("size"), F.lit((1 << 31) - 1)), "dim_text": F.shiftrightunsigned(F.col("h"), 33)}
-    rows = settled(base.select("doc_id", "size", "text_crc32", *[(v * (1 << HASH_BITS) + low).alias(k) for k, v in dims.items()], F.xxhash64("doc_id", "h").bitwiseAND(F.lit((1 << 62) - 1)).alias("row_hash")))
+    # ids and texts first; rows equal in both go by their position, so that a group of these can be cut anywhere
+    row_hash = F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id", "h"), 2 + POSITION_BITS), POSITION_BITS).bitwiseOR(F.xxhash64("position").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)))
+    rows = settled(base.select("doc_id", "size", "text_crc32", *[(v * (1 << HASH_BITS) + low).alias(k) for k, v in dims.items()], row_hash.alias("row_hash")))
     root = plan_tree(rows, list(dims), n_shards)
-    placed = rows.select("doc_id", "size", "text_crc32", _leaf(root, lambda n: n.first, list(dims)).cast("int").alias("shard"))
-    return ranked(placed, ["shard"], ["doc_id", "text_crc32"], rows.count(), "slot")
+    placed = rows.select("doc_id", "size", "text_crc32", "row_hash", _leaf(root, lambda n: n.first, list(dims)).cast("int").alias("shard"))
+    return ranked(placed, ["shard"], ["row_hash", "doc_id"], rows.count(), "slot").drop("row_hash")
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document in shards 0 to 23 of near equal bytes; odd rows as in shard_documents."""
     out = shard_documents(read(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -457,3 +457,106 @@ def test_ranked_over_many_buckets(spark):
     out = ranked(df, ["g"], ["id"], 1000, rows_per_bucket=50).toPandas()
     for _, rows in out.groupby("g"):
         assert sorted(rows["rank"]) == list(range(len(rows)))
+
+
+# findings of the first review: odd names, null ids, repeated rows, small shares
+
+
+def test_small_shares_are_drawn(spark):
+    from sonora.llm.textmodels import sampled
+
+    # 63-bit thresholds: of 2e6 ids a share of 5e-4 is about 1,000, and a share of 1e-7 is not zero by rounding
+    assert spark.range(2_000_000).filter(sampled(F.col("id"), 3, 5e-4)).count() == pytest.approx(1000, rel=0.2)
+    threshold = int(1e-7 * 2**63)
+    assert threshold / 2**63 == pytest.approx(1e-7) and spark.range(40_000_000).filter(sampled(F.col("id"), 3, 1e-7)).count() < 40
+    assert spark.range(10).filter(sampled(F.col("id"), 3, 1.0)).count() == 10
+
+
+def test_numerals_are_not_letters():
+    assert all(language.features(t) is None for t in ("", "½ ② ³ 12", "①②", "Ⅷ?", "12 34 !?"))
+    assert all(language.features(t) is not None for t in ("é", "語", "12a"))
+
+
+def plain_targets(sizes, weights, total, most):
+    """Water filling by bisection of the common level."""
+    lo, hi = 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if sum(min(w * mid, most * s) for s, w in zip(sizes, weights, strict=True)) < total:
+            lo = mid
+        else:
+            hi = mid
+    return [min(w * hi, most * s) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_mix_of_odd_names_and_null_ids(spark):
+    names = ["a\u0001b", "a", "b", "n", "s", None, ""]
+    rows = [(None if i % 2 else i, "w " * (1 + i % 5), None, names[i % 7]) for i in range(7000)]
+    df = docs_of(spark, rows)
+    m = mixing.measured(df, F.array("source"), n_words(F.col("text")), keep=("doc_id", "source"))
+    out = mixing.with_copies(m, mixing.decide(m)).toPandas()
+    assert len(out) == len(rows)
+    order = sorted((x for x in names if x is not None)) + [None]
+    size = {x: sum(1 + i % 5 for i in range(7000) if names[i % 7] == x) for x in names}
+    want = dict(zip(order, plain_targets([size[x] for x in order], [(3, 1, 2)[i % 3] for i in range(7)], 1.5 * sum(size.values()), 2), strict=True))
+    for x in names:
+        own = out[out["source"].isna()] if x is None else out[out["source"] == x]
+        assert set(own["_source_size"]) == {size[x]} and own["_target"].iloc[0] == pytest.approx(want[x])
+        assert abs((own["_size"] * own["_copies"]).sum() - want[x]) <= 5
+    mixed = mixing.mix_documents(df, F.array("source"), n_words(F.col("text")))
+    assert mixed.withColumn("n", n_words(F.col("text"))).agg(F.sum("n")).first()[0] == pytest.approx(sum(want.values()), abs=40)
+
+
+def test_flow_costs_least():
+    """Against all ways to give tokens: patterns over two sources, one token a step."""
+    import itertools
+
+    def plain(patterns, quotas, epochs):
+        best = None
+        ways = [[(n, split) for n in range(epochs * w + 1) for split in itertools.product(range(n + 1), repeat=len(own)) if sum(split) == n] for own, w in patterns]
+        for way in itertools.product(*ways):
+            got = Counter()
+            for (own, _), (_, split) in zip(patterns, way, strict=True):
+                for s, x in zip(own, split, strict=True):
+                    got[s] += x
+            if all(got[s] <= q for s, q in enumerate(quotas)):
+                cost = sum(sum(k * max(0, min(w, n - (k - 1) * w)) for k in range(1, epochs + 1)) for (_, w), (n, _) in zip(patterns, way, strict=True))
+                key = (-sum(n for n, _ in way), cost)
+                best = key if best is None or key < best else best
+        return best
+
+    for patterns, quotas in [([((0, 1), 2), ((0,), 2)], [3, 3]), ([((0,), 1), ((0, 1), 2), ((1,), 1)], [2, 3]), ([((0, 1), 1), ((1,), 3)], [1, 4])]:
+        given = mixing.min_cost_flow(patterns, quotas, 2)
+        cost = sum(sum(k * max(0, min(w, n - (k - 1) * w)) for k in (1, 2)) for (_, w), n in zip(patterns, given, strict=True))
+        assert (-sum(given), cost) == plain(patterns, quotas, 2)
+
+
+def test_shards_of_repeated_rows(spark):
+    rows = [(7, "one repeated row of the table", "en", "s") if i % 2 else (i if i % 3 else None, f"text {i % 400} " * 2, "en", "s") for i in range(6000)]
+    out = sharding.shard_documents(docs_of(spark, rows), 24).toPandas()
+    sums = out.groupby("shard")["size"].sum()
+    assert len(out) == 6000 and len(sums) == 24 and sums.max() < 1.02 * sums.mean()
+    for _, own in out.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+
+
+def plain_shards(points, n):
+    """The k-d tree by a plain recursion: halves at the row nearest to the weighted median of the widest dimension."""
+    if n == 1:
+        return [sum(w for _, w in points)]
+    dim = max(range(len(points[0][0])), key=lambda d: max(p[d] for p, _ in points) - min(p[d] for p, _ in points))
+    points = sorted(points, key=lambda p: p[0][dim])
+    want, at, cut = sum(w for _, w in points) * (n // 2) / n, 0, 0
+    while cut < len(points) and at + points[cut][1] / 2 < want:
+        at += points[cut][1]
+        cut += 1
+    return plain_shards(points[:cut], n // 2) + plain_shards(points[cut:], n - n // 2)
+
+
+def test_shards_are_as_even_as_a_plain_tree(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, "x" * int(rng.integers(1, 3000)), ["en", "de", "fr", None][int(rng.integers(4))], "s") for i in range(4000)]
+    out = sharding.shard_documents(docs_of(spark, rows), 24).toPandas()
+    sums = out.groupby("shard")["size"].sum()
+    plain = plain_shards([((hash(t) % 1000, len(t)), len(t) + 8) for _, t, _, _ in rows], 24)
+    assert sums.max() / sums.mean() <= max(plain) / (sum(plain) / 24) + 0.01
