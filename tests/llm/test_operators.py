@@ -560,3 +560,51 @@ def test_shards_are_as_even_as_a_plain_tree(spark):
     sums = out.groupby("shard")["size"].sum()
     plain = plain_shards([((hash(t) % 1000, len(t)), len(t) + 8) for _, t, _, _ in rows], 24)
     assert sums.max() / sums.mean() <= max(plain) / (sum(plain) / 24) + 0.01
+
+
+def plain_labels(text):
+    """Every block of every template by nested loops; a block's label counts unless another template's block covers it."""
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
+    sets = licenses.templates_of(licenses.TEMPLATES)
+    out = set()
+    for t in sets:
+        for s in [i for i, w in enumerate(words) if w in t.words]:
+            run = words[s : s + t.length]
+            own = set(run) & set(t.words)
+            end = s + max(run.index(w) for w in own)
+            if len(own) < t.need:
+                continue
+            covered = False
+            for r in sets:
+                if r is not t and own <= set(r.words):
+                    for w in range(max(0, end - r.length + 1), s + 1):
+                        n = len({x for x in words[w : w + r.length] if x in r.words})
+                        covered |= n >= r.need and (n > len(own) or (n == len(own) and len(r.words) < len(t.words)))
+            if not covered:
+                out.add(t.label)
+    return sorted(out)
+
+
+def test_licenses_of_every_block(spark):
+    gpl = "This work is licensed under the GNU General Public License, version 2"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated\n documentation files, to deal in the software\n # without restriction."
+    texts = [
+        f"{gpl} or licensed under CC BY-SA 4.0",
+        gpl.replace("GNU", "GNU\n"),
+        mit,
+        f"{gpl.replace('2', '3')}. {gpl}.",
+        "This work is licensed under the GNU Lesser General Public License, version 3. " + "pad " * 40 + gpl.replace("2", "3"),
+        "licensed " + "far " * 30 + "under cc by 4 0",
+        "released under the mit license " * 300,
+        " ".join(f"x{i}" for i in range(3000)) + " dedicated to the public domain under CC0 1.0",
+        "licensed under cc by nc 4 0 licensed under the apache license version 2 0",
+    ]
+    rng = np.random.default_rng(14)
+    pool = sorted({w for t in licenses.templates_of(licenses.TEMPLATES) for w in t.words})
+    texts += [" ".join(rng.choice([*pool, *gpl.lower().split(), *gpl.lower().split()], 60)) for _ in range(10)]
+    for _ in range(20):  # template texts with words left out, put in and cut into lines
+        words = " ".join(licenses.TEMPLATES[k][1] for k in rng.integers(0, len(licenses.TEMPLATES), 2)).split()
+        texts.append("".join(w + rng.choice([" ", "\n", " odd "], p=[0.8, 0.1, 0.1]) for w in words if rng.random() > 0.04))
+    out = {r["doc_id"]: r["block_labels"] for r in licenses.scan(docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
+    assert out == {i: plain_labels(t) for i, t in enumerate(texts)}
+    assert [out[i] for i in range(9)] == [["cc-by-sa", "gpl-2"], ["gpl-2"], ["mit"], ["gpl-2", "gpl-3"], ["gpl-3", "lgpl-3"], [], ["mit"], ["cc0"], ["apache-2", "cc-by-nc"]]
