@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship_package
 from .common import read
+from .textmodels import sampled
 
 #: Labelled pages (those that mark their article) that the weights are counted on, about.
 LABELLED = 2000
 # Element names by their role, and words of class and id names that mark what isn't the article.
-RAW = "script style noscript template iframe svg math canvas object textarea title xmp noembed noframes"
+RAW = "script style noscript template iframe textarea title xmp noembed noframes"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+FOREIGN = ("svg", "math")
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 OUTSIDE = set("nav aside footer form head menu button select dialog search fieldset datalist".split())
 MARKS = set("ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead topbar comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager toolbar skip hidden copyright legal disclaimer".split())
@@ -27,103 +29,140 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 CONTENT = {"article", "main"}
 
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
-# Foreign elements that close themselves (svg, math) have no content; raw elements go on to their closing tag.
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?![^\s/>]){_ATTRIBUTES}(?<=/)>|<({'|'.join(RAW.split())})(?![^\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW.split())})(?![^\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S | re.I)
+#: What opens beyond the last ">" of a page is never closed.
+UNCLOSED = re.compile(r"<(?=[a-zA-Z/!?])")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 WORDS = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
 #: Least cost of a tag, and the weight of a word in a context that no labelled page has.
 TAG_COST, WORD_DEFAULT = 0.25, 0.5
+#: Log odds up to which a class or id counts as outside the article, and labelled pages that must hold it for that.
+CLASS_OUT, CLASS_PAGES = -2.0, 3
 
 
-def _hidden(attributes: str) -> bool:
+def _hidden(attributes: list[tuple[str, str]]) -> bool:
     """Whether an element is hidden, or its role says that it isn't the article."""
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-    return False
+    return any(name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")) or (name == "role" and value in ROLES) for name, value in attributes)
+
 
+def _names(attributes: list[tuple[str, str]]) -> list[str]:
+    """The element's classes and its id."""
+    return [token for name, value in attributes if name in ("class", "id") for token in value.split()]
 
-def _marked(attributes: str) -> bool:
-    """Whether a class or the id is made of marks alone, as in "comments" or "cookie-notice", but not in "no-sidebar"."""
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id"):
-            for token in (a or b or c).lower().split():
-                own = WORDS.findall(token)
-                if own and MARKS.issuperset(own):
-                    return True
+
+def _marked(names: list[str], content: bool, weight: dict[tuple[str, str], float]) -> bool:
+    """Whether labelled pages have a class or id of this name outside their articles.
+
+    Names that they don't have go by their words: outside content elements, one that is made of marks alone
+    ("comments", "cookie-notice", but not "no-sidebar") counts as outside too; inside, it doesn't.
+    """
+    for token in names:
+        own = weight.get(("class", token))
+        if own is not None:
+            if own <= CLASS_OUT:
+                return True
+        elif not content and (words := WORDS.findall(token)) and MARKS.issuperset(words):
+            return True
     return False
 
 
-def parse(page: str, around: frozenset[int] = frozenset()) -> list[tuple[str, str, str, bool, bool]]:
+def parse(page: str, weight: dict[tuple[str, str], float], around: frozenset[int] = frozenset(), seen: dict[str, list[int]] | None = None) -> list[tuple[str, str, str, bool, bool]]:
     """Items in page order: (kind, tag name or text, context of a text, surely outside the article, inside a content element).
 
-    Kind is "tag" or "text"; a text's context is its nearest block element and whether it is linked. Marks in class
-    and id don't count for content elements, nor for elements around these: `around` has the places of their tags, and
-    a page where it lacks some is parsed again.
+    Kind is "tag" or "text"; a text's context is its nearest block element and whether it is linked. Class and id
+    names don't count for content elements, nor for elements around these: `around` has the places of their tags,
+    and a page where it lacks some is parsed again. `seen` takes the words inside and outside content elements
+    below each class and id. Every open element notes what its children ask for, so a step costs the same at any depth.
     """
     out: list = []
-    stack: list[tuple[str, bool, bool]] = []  # name, outside the article for sure, inside a content element
-    marked: list[tuple[int, int]] = []  # depth and place of the open elements that are outside by their marks
+    # name, outside the article for sure, inside a content element, nearest block, open links, place if it is outside by its names, names, words inside and outside before
+    stack: list[tuple] = [("", False, False, "body", 0, -1, (), 0, 0)]
+    open_: Counter = Counter()
+    marked: list[int] = []  # places of the open elements that are outside by their names
     found: set[int] = set()
-    at = 0
+    words = [0, 0]
+    at, last = 0, page.rfind(">") + 1
 
     def text(piece: str) -> None:
         if piece:
-            outside, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            block = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "body")
-            link = any(n == "a" for n, _, _ in stack)
-            out.append(("text", entities.unescape(piece), f"{block}{' a' if link else ''}", outside, content))
+            _, outside, content, block, links, *_ = stack[-1]
+            piece = entities.unescape(piece)
+            out.append(("text", piece, f"{block}{' a' if links else ''}", outside, content))
+            if seen is not None:
+                words[not content] += len(piece.split())
+
+    def pop() -> str:
+        name, *_, place, names, inside, beyond = stack.pop()
+        open_[name] -= 1
+        if place >= 0:
+            marked.pop()
+        if seen is not None:
+            for token in set(names):
+                own = seen.setdefault(token, [0, 0])
+                own[0], own[1] = own[0] + words[0] - inside, own[1] + words[1] - beyond
+        return name
 
     def close(name: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                del stack[i:]
-                while marked and marked[-1][0] >= i:
-                    marked.pop()
-                return
-
-    for m in TOKEN.finditer(page):
+        if open_[name] > 0:
+            while pop() != name:
+                pass
+
+    for m in TOKEN.finditer(page, 0, last):
         text(page[at : m.start()])
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
-        end, attributes = m[2] or m[5], m[4] or m[7] or ""
-        if end:
-            outside, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(("tag", name, "", outside, content))
+        if m[2] or m[5]:
+            out.append(("tag", name, "", stack[-1][1], stack[-1][2]))
             close(name)
             continue
-        if name in BLOCKS and stack:  # a block closes an open paragraph; a list item or cell closes the one before
-            if any(n == "p" for n, _, _ in stack):
-                close("p")
-            if name in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and any(n == name for n, _, _ in stack[-3:]):
+        source = m[4] or m[7] or ""
+        if name in BLOCKS:  # a block closes an open paragraph; a list item or cell closes the one before
+            close("p")
+            if name in ("li", "dd", "dt", "tr", "td", "th", "option") and any(e[0] == name for e in stack[-3:]):
                 close(name)
-        outside, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        _, outside, content, block, links, *_ = stack[-1]
+        attributes = [(x.lower(), (a or b or c).lower()) for x, a, b, c in ATTRIBUTE.findall(source)] if source else []
+        names, place = _names(attributes) if attributes else [], -1
         outside = outside or name in OUTSIDE or (name == "header" and not content) or (name not in ("html", "body", "main") and _hidden(attributes))
+        single = name in VOID or (source.endswith("/") and (name in FOREIGN or open_["svg"] > 0 or open_["math"] > 0))
         if name in CONTENT:
-            found.update(place for _, place in marked)
-        elif name not in ("html", "body") and m.start() not in around and _marked(attributes):
+            found.update(marked)
+        elif names and name not in ("html", "body") and m.start() not in around and _marked(names, content, weight):
             outside = True
-            if name not in VOID:
-                marked.append((len(stack), m.start()))
+            if not single:
+                place = m.start()
+                marked.append(place)
         out.append(("tag", name, "", outside, content))
-        if name not in VOID:
-            stack.append((name, outside, content or name in CONTENT))
-    text(page[at:])
-    return parse(page, around | found) if found else out
+        if not single:
+            open_[name] += 1
+            stack.append((name, outside, content or name in CONTENT, name if name in BLOCKS else block, links + (name == "a"), place, names, *words))
+    text(UNCLOSED.split(page[max(at, last) :], maxsplit=1)[0] if at <= last else page[at:])
+    if found:
+        if seen is not None:
+            seen.clear()
+        return parse(page, weight, around | found, seen)
+    while len(stack) > 1:
+        pop()
+    return out
 
 
 def evidence(page: str) -> Counter:
-    """Counts of ("text" or "tag", context, inside the marked article); nothing for a page that marks none, or for what is surely outside."""
-    items = parse(page)
+    """Counts of ("text" or "tag" or "class", context or name, inside the marked article), and one ("page", "", True).
+
+    Texts and tags count where they aren't surely outside; a page that marks no article has nothing else.
+    """
+    seen: dict[str, list[int]] = {}
+    items = parse(page, {}, seen=seen)
+    out: Counter = Counter({("page", "", True): 1})
     if not any(i[0] == "tag" and i[1] in CONTENT for i in items):
-        return Counter()
-    out: Counter = Counter()
+        return out
+    for token, (inside, beyond) in seen.items():
+        out["class", token, True] += inside
+        out["class", token, False] += beyond
+        out["class page", token, True] += 1
     for kind, value, context, outside, content in items:
         if outside:
             continue
@@ -137,18 +176,35 @@ def evidence(page: str) -> Counter:
 def weights(counts: dict[tuple[str, str, bool], int]) -> dict[tuple[str, str], float]:
     """Smoothed log odds of standing in the article, within -4 and 4; a tag never scores above -TAG_COST."""
     out = {}
-    for kind, context in {(k, c) for k, c, _ in counts}:
+    for kind, context in {(k, c) for k, c, _ in counts if k in ("text", "tag", "class")}:
         odds = math.log((counts.get((kind, context, True), 0) + 1) / (counts.get((kind, context, False), 0) + 1))
-        out[kind, context] = max(-4.0, min(4.0 if kind == "text" else -TAG_COST, odds))
+        out[kind, context] = max(-4.0, min(-TAG_COST if kind == "tag" else 4.0, odds))
     return out
 
 
+def best_run(blocks: list[tuple[float, float]]) -> tuple[int, int]:
+    """First and last of the contiguous blocks (cost of the tags before, own score) of greatest sum, by one scan.
+
+    The cost before the first one doesn't count. (0, -1) where no sum is above 0; of equal sums the first found stays.
+    """
+    best, first, last = 0.0, 0, -1
+    total, start = 0.0, 0
+    for i, (before, own) in enumerate(blocks):
+        if i == 0 or total + before <= 0:
+            total, start = own, i
+        else:
+            total += before + own
+        if total > best:
+            best, first, last = total, start, i
+    return first, last
+
+
 def extract(page: str | None, weight: dict[tuple[str, str], float]) -> str:
     """The best contiguous run of a page's items, as blocks joined by one line feed.
 
-    Words score their context's weight and tags their cost; what is surely outside (menus, forms, adverts,
-    comments and the like) neither scores nor is returned. One scan finds the run of greatest sum; of equal
-    sums the first stays. Blocks aren't parted.
+    Words score their context's weight and tags their cost; what is surely outside (menus, forms, hidden
+    elements, and those whose class or id stands outside the articles of labelled pages) neither scores nor is
+    returned. One scan finds the run of greatest sum. Blocks aren't parted.
     """
     if not page:
         return ""
@@ -164,7 +220,7 @@ def extract(page: str | None, weight: dict[tuple[str, str], float]) -> str:
                 cost = 0.0
         pieces, score = [], 0.0
 
-    for kind, value, context, outside, _ in parse(page):
+    for kind, value, context, outside, _ in parse(page, weight):
         if kind == "tag":
             if value in BLOCKS:
                 flush()
@@ -177,24 +233,22 @@ def extract(page: str | None, weight: dict[tuple[str, str], float]) -> str:
             score += len(value.split()) * weight.get(("text", context), WORD_DEFAULT)
     flush()
 
-    best, first, last = 0.0, 0, -1
-    total, start = 0.0, 0
-    for i, (before, own, _) in enumerate(blocks):
-        if total + before <= 0 or i == 0:
-            total, start = own, i
-        else:
-            total += before + own
-        if total > best:
-            best, first, last = total, start, i
+    first, last = best_run([(before, own) for before, own, _ in blocks])
     return "\n".join(line for _, _, line in blocks[first : last + 1])
 
 
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", labelled: int = LABELLED, seed: int = 7) -> dict[tuple[str, str], float]:
-    """Weights counted on about `labelled` pages that mark their article, drawn by a hash of their key."""
+    """Weights counted on about `labelled` pages that mark their article, drawn by a hash of their key and text.
+
+    Contexts are block names; of classes and ids, those are kept that at least CLASS_PAGES drawn pages hold, so
+    what reaches the driver is bounded by the sample. Pages that draw nothing are an error.
+    """
     ship_package(pages.sparkSession)
     marked = pages.filter(F.col(html).rlike(r"(?i)<(article|main)\b"))
-    rate = min(1.0, labelled / max(1, marked.count()))
-    drawn = marked.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(rate * 1_000_000)).select(F.col(html).cast("string").alias("html"))
+    n = marked.count()
+    if not n:
+        return {}
+    drawn = marked.filter(sampled(F.xxhash64(F.col(key), F.col(html)), seed, labelled / n)).select(F.col(html).cast("string").alias("html"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -204,8 +258,12 @@ def fit(pages: DataFrame, key: str = "page_id", html: str = "html", labelled: in
         rows = [(k, c, i, n) for (k, c, i), n in total.items()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ([], [], [], []), (pa.string(), pa.string(), pa.bool_(), pa.int64()), strict=True)], ["kind", "context", "inside", "n"])
 
-    found = drawn.mapInArrow(count, "kind string, context string, inside boolean, n long").groupBy("kind", "context", "inside").agg(F.sum("n").alias("n")).collect()  # at most a few hundred contexts: block names
-    return weights({(r["kind"], r["context"], r["inside"]): r["n"] for r in found})
+    found = drawn.mapInArrow(count, "kind string, context string, inside boolean, n long").groupBy(F.when(F.col("kind") == "class page", "class").otherwise(F.col("kind")).alias("kind"), "context")
+    counts = found.agg(F.sum(F.when((F.col("kind") != "class page") & F.col("inside"), F.col("n"))).alias("inside"), F.sum(F.when((F.col("kind") != "class page") & ~F.col("inside"), F.col("n"))).alias("beyond"), F.sum(F.when(F.col("kind") == "class page", F.col("n"))).alias("pages"))
+    kept = counts.filter((F.col("kind") != "class") | (F.col("pages") >= CLASS_PAGES)).collect()
+    if not any(r["kind"] == "page" for r in kept):
+        raise RuntimeError("nothing was drawn from a table with marked pages")
+    return weights({(r["kind"], r["context"], i): r[c] or 0 for r in kept for i, c in ((True, "inside"), (False, "beyond"))})
 
 
 def main_texts(pages: DataFrame, weight: dict[tuple[str, str], float], keep: list[str], html: str = "html") -> DataFrame:
@@ -226,5 +284,6 @@ def main_texts(pages: DataFrame, weight: dict[tuple[str, str], float], keep: lis
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null and empty html gives an empty text, and odd rows are treated as in main_texts."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return main_texts(pages, fit(pages), ["page_id", "url"])

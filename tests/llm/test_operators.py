@@ -608,3 +608,37 @@ def test_licenses_of_every_block(spark):
     out = {r["doc_id"]: r["block_labels"] for r in licenses.scan(docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()}
     assert out == {i: plain_labels(t) for i, t in enumerate(texts)}
     assert [out[i] for i in range(9)] == [["cc-by-sa", "gpl-2"], ["gpl-2"], ["mit"], ["gpl-2", "gpl-3"], ["gpl-3", "lgpl-3"], [], ["mit"], ["cc0"], ["apache-2", "cc-by-nc"]]
+
+
+def test_html_keeps_what_only_looks_like_a_mark():
+    page = """<body><nav>menu</nav><article><div class="post-header"><h1>Title here</h1></div><p class="share-price">Prices rose.</p><div id="hidden-gems">Some gems.</div>
+    <p>A formula <math><mi>x</mi></math> and <svg viewBox="0 0 1 1"><path d="M0"/><text>label</text></svg> stay.</p><p class="notice">A notice of old.</p></article><footer>foot</footer></body>"""
+    assert html.extract(page, {}) == "Title here\nPrices rose.\nSome gems.\nA formula x and label stay.\nA notice of old."
+    assert html.extract(page, {("class", "notice"): -4.0}) == "Title here\nPrices rose.\nSome gems.\nA formula x and label stay."
+
+
+def test_html_learns_classes(spark):
+    page = "<body><div class='teaser-box'>Read this other piece now</div><article><div class='lead'>The first words of it go on for a while, and on, and then they end</div><p>And {} more words follow here.</p></article><div class='teaser-box'>Another one</div></body>"
+    df = spark.createDataFrame([(i, "u", page.format(i)) for i in range(20)], "page_id long, url string, html string")
+    weight = html.fit(df)
+    assert weight["class", "teaser-box"] <= html.CLASS_OUT and weight["class", "lead"] > 0
+    assert html.extract("<body><div class='lead'>All of this is the text</div><p class='teaser-box'>not this</p><p>and this too</p></body>", weight) == "All of this is the text\nand this too"
+
+
+def test_html_best_run():
+    rng = np.random.default_rng(15)
+    for _ in range(300):
+        blocks = [(float(-rng.integers(0, 5)), float(rng.integers(-6, 9))) for _ in range(int(rng.integers(0, 12)))]
+        total = lambda i, j, b=blocks: b[i][1] + sum(x + y for x, y in b[i + 1 : j + 1])
+        want = max([0.0, *[total(i, j) for i in range(len(blocks)) for j in range(i, len(blocks))]])
+        first, last = html.best_run(blocks)
+        assert (total(first, last) if last >= 0 else 0.0) == want
+
+
+@pytest.mark.parametrize("page", ["<b>" * 200_000 + "x", "<b>x" * 100_000 + "</i>" * 100_000, "<div class=a>x" * 100_000, "<a" * 200_000, "<p>x<li>" * 60_000, "<svg>" * 100_000 + "</svg>" * 100_000, "<a '>x" * 60_000])
+def test_html_of_unclosed_tags_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html.extract(page, {})
+    assert time.process_time() - began < 4
