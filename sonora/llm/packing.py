@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,10 @@ from .common import ranked, read, settled
 END_ID = 0
 #: Words whose ids a Python worker remembers (about 100 bytes each); it starts anew when they are reached.
 CACHE_WORDS = 300_000
+#: Ranges of the token axis that are swept each by a task.
+RANGES = 16
+#: Runs that are broadcast at most (about 60 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_RUNS = 500_000
 #: A space that isn't surely the start of a pre-token.
 ODD_SPACE = re.compile(r" (?:\s|\Z)|\A ")
 
@@ -77,7 +81,10 @@ def _encoder(vocabulary: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, capacity: int, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: the token sequence of each text and END_ID, cut only beyond the capacity, where all pieces but the first are full."""
+    """doc_id, piece, start, length, ids_crc32: the token sequence of each text and END_ID, cut only beyond the capacity, where all pieces but the first are full.
+
+    Null and empty texts are END_ID alone; null and repeated ids are documents of their own; no rows give no pieces.
+    """
     ship_package(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,75 +106,127 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str, doc_id: str = "doc_i
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Bulk-synchronous best fit over classes of equal length.
+def sweep(gaps: list[tuple[int, int, int]], lengths: list[tuple[int, int, int]], capacity: int) -> tuple[list, list, list, list]:
+    """Matches documents and gaps by successors, from the longest document down.
 
-    A round sorts documents by length and open sequences by gap. From the longest down, documents claim
-    their successor gap, the smallest that holds them; where several want the same gaps, rank in the class
-    decides and the rest go on to the next larger gap. A sequence takes one document a round; then gaps are
-    updated and the next round begins. When nothing fits any more, the longest documents that are left open
-    as many new sequences as their tokens need at least. Lengths and gaps are whole numbers up to the
-    capacity, so the state of a round is at most `capacity` counts each, however many documents there are.
-    Returns runs (length, first rank, documents, first sequence, offset).
+    gaps: (gap, first sequence, sequences); lengths: (length, first rank, documents). A document claims the
+    smallest gap that holds it and is not yet claimed; where several want one, their rank decides and the
+    rest go on to the next larger gap. A sequence takes as many documents of one length as its gap holds,
+    and is not claimed again in this sweep. Returns placed runs (length, first rank, documents, documents in
+    a sequence, first sequence, offset), the gaps that these leave, and the gaps and lengths left over.
+    """
+    gaps, stack, placed, changed, left = sorted(gaps, reverse=True), [], [], [], []
+    at = 0
+    for length, rank, n in sorted(lengths, reverse=True):
+        while at < len(gaps) and gaps[at][0] >= length:
+            stack.append(gaps[at])
+            at += 1
+        while n and stack:
+            gap, sequence, free = stack.pop()
+            each = gap // length
+            whole = min(free, n // each)
+            rest = n - whole * each if whole < free and n - whole * each < each else 0
+            for documents, share, first, count in ((whole * each, each, sequence, whole), (rest, rest, sequence + whole, 1)):
+                if documents:
+                    placed.append((length, rank, documents, share, first, capacity - gap))
+                    changed.append((gap - share * length, first, count))
+                    rank, n = rank + documents, n - documents
+            used = whole + (rest > 0)
+            if free > used:
+                stack.append((gap, sequence + used, free - used))
+        if n:
+            left.append((length, rank, n))
+    return placed, [c for c in changed if c[0]], stack + gaps[at:], left
+
+
+def opened(lengths: list[tuple[int, int, int]], capacity: int, first: int) -> tuple[list, list, list, int]:
+    """The longest documents each open a sequence, as many as all tokens left need at least: placed runs, gaps, lengths left, next sequence."""
+    new = max(1, -(-sum(length * n for length, _, n in lengths) // capacity))
+    placed, gaps, left = [], [], []
+    for length, rank, n in sorted(lengths, reverse=True):
+        take = min(new, n)
+        if take:
+            placed.append((length, rank, take, 1, first, 0))
+            gaps.append((capacity - length, first, take))
+            first, new = first + take, new - take
+        if n > take:
+            left.append((length, rank + take, n - take))
+    return placed, [g for g in gaps if g[0]], left, first
+
+
+STATE = "kind string, value long, first long, n long, each long, sequence long, offset long"
+
+
+def _read(rows: pd.DataFrame, kind: str) -> list[tuple[int, int, int]]:
+    own = rows[rows["kind"] == kind]
+    return list(zip(own["value"].tolist(), own["first"].tolist(), own["n"].tolist(), strict=True))
+
+
+def _written(placed: list, changed: list, gaps: list, lengths: list, others: pd.DataFrame) -> pd.DataFrame:
+    rows = [("placed", *p) for p in placed] + [(kind, *x, 0, 0, 0) for kind, own in (("changed", changed), ("gap", gaps), ("length", lengths)) for x in own]
+    return pd.concat([pd.DataFrame(rows, columns=others.columns), others]) if rows else others
+
+
+def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
+    """Bulk-synchronous best fit over classes of equal length: runs length, first, n, each, sequence, offset.
+
+    The state is a table of runs: documents of one length with consecutive ranks, and sequences of one gap
+    with consecutive numbers. A round sorts both into RANGES ranges of the token axis, and a task sweeps
+    each range; documents that their range has no gap for are then carried to the gaps of larger ranges by
+    one more sweep. Gaps are updated, and the next round begins. Where a round places nothing, the longest
+    documents open new sequences. A round adds at most one run for each run that it meets, and there are
+    at most `capacity` lengths, so the state follows the capacity and the rounds, not the number of pieces;
+    the driver only asks whether documents are left.
     """
-    left = {length: [0, n] for length, n in counts.items() if n}  # next rank, documents left
-    runs: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    opened = 0
-
-    def place(length: int, n: int, sequence: int, offset: int) -> None:
-        rank = left[length][0]
-        runs.append((length, rank, n, sequence, offset))
-        left[length] = [rank + n, left[length][1] - n]
-        if not left[length][1]:
-            del left[length]
-
-    while left:
-        tokens = sum(length * n for length, (_, n) in left.items())
-        new = max(1, -(-tokens // capacity))
-        for length in sorted(left, reverse=True):
-            n = min(new, left[length][1])
-            if n:
-                place(length, n, opened, 0)
-                gaps.setdefault(capacity - length, []).append((opened, n))
-                opened, new = opened + n, new - n
-        gaps.pop(0, None)
-        placed = True
-        while placed and left:
-            placed, changed = False, []
-            order = sorted(gaps)
-            for length in sorted(left, reverse=True):
-                while length in left and (at := bisect_left(order, length)) < len(order):
-                    gap = order[at]
-                    sequence, free = gaps[gap].pop()
-                    n = min(free, left[length][1])
-                    place(length, n, sequence, capacity - gap)
-                    changed.append((gap - length, sequence, n))
-                    placed = True
-                    if free > n:
-                        gaps[gap].append((sequence + n, free - n))
-                    elif not gaps[gap]:
-                        del gaps[gap], order[at]
-            for gap, sequence, n in changed:
-                if gap:
-                    gaps.setdefault(gap, []).append((sequence, n))
-    return runs
+    ship_package(pieces.sparkSession)
+    width = -(-(capacity + 1) // RANGES)
+
+    def in_range(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="range")
+        return _written(*sweep(_read(rows, "gap"), _read(rows, "length"), capacity), rows[rows["kind"] == "next"])
+
+    def carried(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="all")
+        done = rows[rows["kind"].isin(["placed", "changed"])]
+        placed, changed, gaps, lengths = sweep(_read(rows, "gap"), _read(rows, "length"), capacity)
+        following = int(rows.loc[rows["kind"] == "next", "n"].max())
+        if lengths and not placed and not len(done):
+            placed, new, lengths, following = opened(lengths, capacity, following)
+            gaps = gaps + new
+        out = _written(placed, changed, gaps, lengths, done)
+        out["kind"] = out["kind"].replace("changed", "gap")
+        return pd.concat([out, pd.DataFrame([("next", 0, 0, following, 0, 0, 0)], columns=out.columns)])
+
+    empty = [F.lit(0).cast("long").alias(c) for c in ("each", "sequence", "offset")]
+    classes = pieces.groupBy(F.col("length").alias("value")).agg(F.count("*").alias("n")).select(F.lit("length").alias("kind"), "value", F.lit(0).cast("long").alias("first"), "n", *empty)
+    state = settled(classes.union(pieces.sparkSession.createDataFrame([("next", 0, 0, 0, 0, 0, 0)], STATE)))
+    runs = state.filter("kind = 'placed'")
+    while state.filter("kind = 'length'").head(1):
+        ranges = state.filter("kind <> 'placed'").withColumn("range", F.expr(f"value DIV {width}"))
+        swept = ranges.groupBy("range").applyInPandas(in_range, STATE)
+        state = settled(swept.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(carried, STATE))
+        runs = runs.union(state.filter("kind = 'placed'"))
+    return runs.select(F.col("value").alias("length"), "first", "n", "each", "sequence", "offset")
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to pieces (length of 1 to capacity).
 
-    Spark counts the lengths and ranks the pieces in each class; the rounds work on these counts; a join
-    by length and rank then gives each piece its place. The runs are bounded by the capacity, not by the
-    number of pieces, so they are broadcast. Ties and repeated rows are pieces of their own.
+    Spark counts the lengths and numbers the pieces of each in hash buckets; best_fit places runs of these
+    numbers. Runs are dealt to blocks of numbers, as many as a length has runs, and joined by length and
+    block, so a piece meets a few runs whatever their number. Ties and repeated rows are pieces of their own.
     """
-    spark = pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = best_fit_rounds(counts, capacity)
-    table = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "length long, _from long, _n long, _sequence long, offset long")
-    rows = ranked(pieces, ["length"], ["doc_id", "piece"], sum(counts.values()), "_rank")
-    joined = rows.alias("p").join(F.broadcast(table).alias("r"), (F.col("p.length") == F.col("r.length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_n")))
-    return joined.select("p.*", (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("r.offset")).drop("_rank")
+    runs = settled(best_fit(pieces, capacity))
+    n_runs, n_rows = runs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = runs.groupBy("length").agg(F.ceil(F.sum("n") / F.count("*")).cast("long").alias("_width"))  # at most one row a length
+    held = F.broadcast if n_runs <= BROADCAST_RUNS else lambda df: df
+    last = F.col("first") + F.col("n") - 1
+    table = runs.join(F.broadcast(blocks), "length").withColumn("_block", F.explode(F.sequence(F.expr("first DIV _width"), (last / F.col("_width")).cast("long"))))
+    rows = ranked(pieces.withColumn("_position", F.monotonically_increasing_id()), ["length"], ["doc_id", "piece", "_position"], n_rows, "_rank", buckets=max(64, n_rows // 50_000))
+    rows = rows.join(F.broadcast(blocks), "length").withColumn("_block", F.expr("_rank DIV _width"))
+    joined = rows.join(held(table.drop("_width")), ["length", "_block"]).filter((F.col("_rank") >= F.col("first")) & (F.col("_rank") <= last))
+    place = F.col("_rank") - F.col("first")
+    return joined.select(*pieces.columns, (F.col("sequence") + F.floor(place / F.col("each"))).alias("sequence_id"), (F.col("offset") + place % F.col("each") * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -181,4 +240,5 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byt
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of every document, with its place in a sequence of at most 2048 tokens; odd rows are treated as in pack_documents."""
     return pack_documents(read(spark, sf_dir, "documents"))
