@@ -15,13 +15,16 @@ from pyspark.sql import window as W
 
 from ..runtime import ship_package
 from .common import read, settled
+from .textmodels import sampled
 
 #: Projected dimensions (even, for the closed form of the chi-square distribution).
 PROJECTED = 16
 #: Confidence of the stopping test: a nearer vector is missed with at most one minus this probability.
 CONFIDENCE = 0.97
-#: Vectors that the upper tree is fitted on at most, and vectors in a block and a leaf, about.
-SAMPLE, BLOCK, LEAF = 16_384, 16_384, 256
+#: Vectors that the upper tree is fitted on at least (all, if there are fewer), and at least for each cell; only their projections reach the driver.
+SAMPLE, PER_CELL = 16_384, 4
+#: Vectors in a block and a leaf, about.
+BLOCK, LEAF = 16_384, 256
 #: Query vectors that meet a block in one task, about.
 QUERIES = 8_192
 
@@ -43,13 +46,17 @@ def projection(size: int, projected: int, seed: int) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """A kd-tree with 2**depth cells: split dimension and value of each inner node, and each cell's box."""
+    """A kd-tree with 2**depth cells: split dimension and value of each inner node, and the boxes of all nodes, cells last."""
 
     dims: np.ndarray
     cuts: np.ndarray
     low: np.ndarray
     high: np.ndarray
 
+    @property
+    def inner(self) -> int:
+        return len(self.low) // 2
+
     @staticmethod
     def fit(points: np.ndarray, depth: int) -> Tree:
         inner, m = (1 << depth) - 1, points.shape[1]
@@ -65,17 +72,24 @@ class Tree:
             for child, rows in ((2 * node + 1, p[left]), (2 * node + 2, p[~left])):
                 own[child], low[child], high[child] = rows, low[node], high[node]
             high[2 * node + 1, dims[node]] = low[2 * node + 2, dims[node]] = cuts[node]
-        return Tree(dims, cuts, low[inner:], high[inner:])
+        return Tree(dims, cuts, low, high)
 
     def cell(self, points: np.ndarray) -> np.ndarray:
         node = np.zeros(len(points), int)
-        for _ in range(int(math.log2(len(self.low)))):
+        for _ in range(int(math.log2(self.inner + 1))):
             node = 2 * node + 1 + (points[np.arange(len(points)), self.dims[node]] >= self.cuts[node])
-        return node - (len(self.low) - 1)
+        return node - self.inner
 
-    def squared(self, points: np.ndarray) -> np.ndarray:
-        """Squared distances of points to all cells."""
-        return _box_squared(points, self.low, self.high)
+    def within(self, points: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (point, cell) whose squared distance is at most the point's limit, found from the root down."""
+        point, node = np.arange(len(points)), np.zeros(len(points), int)
+        for _ in range(int(math.log2(self.inner + 1))):
+            point, node = np.repeat(point, 2), np.concatenate([2 * node[:, None] + 1, 2 * node[:, None] + 2], axis=1).ravel()
+            x = points[point]
+            gap = np.maximum(np.maximum(self.low[node] - x, x - self.high[node]), 0)
+            near = np.einsum("ij,ij->i", gap, gap) <= limit[point]
+            point, node = point[near], node[near]
+        return point, node - self.inner
 
 
 def _box_squared(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -163,8 +177,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
 
     Equal vectors are one entry of the index with their k + 1 smallest ids, which is all that any result
     can hold, so a group of copies of any size costs one. Entries are projected and dealt to the cells of
-    a kd-tree, whose cuts are medians of at most SAMPLE entries (all entries are indexed); larger cells are
-    split by hash. A query is first searched in its own cell; then in every cell that its k-th distance so
+    a kd-tree, one for each BLOCK of entries, whose cuts are medians of SAMPLE entries, or of PER_CELL for
+    each cell if that is more (all entries are indexed); cells that turn out larger are split by hash, and the
+    queries that meet a cell are dealt by their own number, so the entries are moved about twice in all. A query is first searched in its own cell; then in every cell that its k-th distance so
     far doesn't rule out: a cell at projected distance b can be left out when b**2 exceeds the chi-square
     quantile times the squared k-th distance. In a cell, leaves are verified in the order of projected
     distance until the same test holds. Rows with null, zero or non-finite vectors, with a null id, or
@@ -188,10 +203,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
 
     matrix_args = (size, projected, seed)
     placed_in = settled(entries)
-    n, n_queries = placed_in.agg(F.count("*"), F.coalesce(F.sum(F.col("asked").cast("long")), F.lit(0))).first()
-    sample = _matrix(placed_in.orderBy("key").limit(SAMPLE).select("vector").toPandas()["vector"])
-    depth = min(12, max(0, math.ceil(math.log2(max(1, n) / BLOCK))))
-    tree = Tree.fit(sample @ projection(*matrix_args), depth)
+    n = placed_in.count()
+    depth = max(0, math.ceil(math.log2(max(1, n) / BLOCK)))
+    share = max(SAMPLE, PER_CELL << depth) / max(1, n)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = projection(*matrix_args)
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in (_matrix(batch.column(1).to_pandas()) @ matrix).astype(np.float32)], pa.binary())], ["key", "p"])
+
+    drawn = placed_in.filter(sampled(F.col("key"), seed, share)).select("key", "vector").mapInArrow(project, "key long, p binary").collect()  # 64 bytes each
+    drawn.sort(key=lambda r: (r["key"], r["p"]))
+    tree = Tree.fit(np.stack([np.frombuffer(r["p"], np.float32) for r in drawn]).astype(float) if drawn else np.zeros((0, projected)), depth)
     limit = chi_square_quantile(confidence, projected)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,16 +226,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], ["key", "vector", "ids", "asked", "cell"])
 
     points = settled(placed_in.mapInArrow(place, "key long, vector array<double>, ids array<long>, asked boolean, cell int"))
-    parts = points.groupBy("cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts"))  # at most 2**12 rows
-    chunks = max(1, math.ceil(n_queries / QUERIES))
-    dealt = points.join(F.broadcast(parts), "cell").withColumn("part", F.pmod("key", F.col("parts")).cast("int")).select("key", "vector", "ids", "cell", "part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    asking = points.filter("asked").select(F.col("key").alias("query"), F.col("vector").alias("ask"), F.col("cell").alias("at"), F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int").alias("lot"))
+    parts = points.groupBy("cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts"))  # one row for each BLOCK of entries
+    asking = points.filter("asked").select(F.col("key").alias("query"), F.col("vector").alias("ask"), F.col("cell").alias("at"))
     run = _searcher(k + 1, size, projected, seed, confidence)
 
     def met(queries: DataFrame) -> DataFrame:
-        """queries: query, ask (its vector), at (the cell to search), lot, reach."""
-        cells = F.broadcast(parts.select(F.col("cell").alias("at"), F.col("parts").alias("n")))
-        to = queries.join(cells, "at").select("query", "ask", "reach", "at", "lot", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("piece"))
+        """queries: query, ask (its vector), at (the cell to search), reach. A cell that none meets isn't moved."""
+        load = queries.groupBy("at").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks"))
+        cells = parts.join(load, F.col("cell") == F.col("at")).select("cell", "parts", "chunks")
+        dealt = points.join(F.broadcast(cells), "cell").withColumn("part", F.pmod("key", F.col("parts")).cast("int")).select("key", "vector", "ids", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        to = queries.join(F.broadcast(cells.withColumnRenamed("cell", "at")), "at").withColumn("lot", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int"))
+        to = to.select("query", "ask", "reach", "at", "lot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"))
         return dealt.groupBy("cell", "part", "chunk").cogroup(to.groupBy("at", "piece", "lot")).applyInPandas(run, "query long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:
@@ -226,17 +251,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x, home, far = _matrix(part.column(1).to_pandas()), np.array(part.column(2)), np.array(part.column(4))
-                boxes = tree.squared(x @ matrix)
-                boxes[np.arange(len(x)), home] = np.inf
-                with np.errstate(invalid="ignore"):
-                    row, cell = np.nonzero((boxes <= limit * (far * far)[:, None]) & np.isfinite(boxes))
+                x, home, far = _matrix(part.column(1).to_pandas()), np.array(part.column(2)), np.array(part.column(3))
+                row, cell = tree.within(x @ matrix, limit * far * far)
+                row, cell = row[cell != home[row]], cell[cell != home[row]]
                 taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(cell, pa.int32()), taken.column(3), taken.column(4)], ["query", "ask", "at", "lot", "reach"])
+                yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(cell, pa.int32()), taken.column(3)], ["query", "at", "reach"])
 
     if depth:
-        again = asking.join(reach, "query").select("query", "ask", "at", "lot", "reach").mapInArrow(others, "query long, ask array<double>, at int, lot int, reach double")
-        near = best(near.union(met(again)))
+        again = settled(asking.join(reach, "query").select("query", "ask", "at", "reach").mapInArrow(others, "query long, at int, reach double"))
+        near = best(near.union(met(again.join(asking.select("query", "ask"), "query"))))
     lists = near.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
     ask = some.filter("asks").select(F.col("vec_id").alias("query_id"), F.xxhash64("vector", F.lit(seed)).alias("query"))
     own = ask.join(lists, "query").select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
@@ -244,4 +267,5 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest others of every 100th vector; null, zero and non-finite vectors take no part, and odd rows are treated as in search."""
     return search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
