@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package
@@ -22,8 +22,10 @@ REGISTERS, BASE, RATE = 256, 1.001, 20.0
 BAND = 8
 #: Estimates this far below the threshold are still verified: over four standard errors of 256 registers.
 SLACK = 0.1
-#: Documents and shingles in a block of a candidate group; larger groups are compared block by block.
+#: Documents and shingles in a block of a band; larger ones are compared block by block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Classes whose keys are broadcast at most, to read their texts (about 100 bytes each).
+BROADCAST_MEMBERS = 1_000_000
 
 _GOLDEN, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
@@ -126,29 +128,66 @@ class _Sets:
         return a
 
 
-def _verifier(percent: int):
+class _Texts:
+    """Shingle sets and registers of a task's texts, and whether two of them meet the threshold."""
+
+    def __init__(self, texts: pd.Series, percent: int):
+        self.sets, self.percent = [shingles(t) for t in texts], percent
+        self.size = np.array([len(s) for s in self.sets])
+        self.sketches = np.stack([registers(s) for s in self.sets])
+        self.plain: dict[int, set] = {}
+
+    def likely(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others that may be linked with a by size and registers, the likeliest first."""
+        size = self.size[others]
+        others = others[100 * np.minimum(size, self.size[a]) >= self.percent * np.maximum(size, self.size[a])]
+        if not len(others):
+            return others
+        own, their, threshold = self.sketches[a][None, :], self.sketches[others], self.percent / 100
+        equal = (own == their).sum(axis=1)
+        near = equal >= REGISTERS * (threshold - 0.25)
+        others, their, equal = others[near], their[near], equal[near]
+        if not len(others):
+            return others
+        greater = (own > their).sum(axis=1)
+        guess = estimate(equal, greater, REGISTERS - equal - greater, self.size[a], self.size[others])
+        order = np.argsort(-guess, kind="stable")
+        return others[order[guess[order] >= threshold - SLACK]]
+
+    def linked(self, a: int, b: int) -> bool:
+        if max(self.size[a], self.size[b]) > 100_000:
+            both = len(np.intersect1d(self.sets[a], self.sets[b], assume_unique=True))
+        else:
+            for x in (a, b):
+                if x not in self.plain:
+                    self.plain[x] = set(self.sets[x].tolist())
+            both = len(self.plain[a] & self.plain[b])
+        return 100 * both >= self.percent * (self.size[a] + self.size[b] - both)
+
+
+def _with_centre(percent: int):
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        """A spanning forest of the pairs that meet the threshold: within a block, or between two blocks."""
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        rows = rows.sort_values("sig").reset_index(drop=True)
-        sets = [shingles(t) for t in rows["text"]]
-        size = np.array([len(s) for s in sets])
-        sketches = np.stack([registers(s) for s in sets])
-        block, sig = rows["block"].to_numpy(), rows["sig"].to_numpy()
-        plain: dict[int, set] = {}
-        groups, edges = _Sets(len(rows)), []
-        threshold = percent / 100
-
-        def linked(a: int, b: int) -> bool:
-            if max(size[a], size[b]) > 100_000:
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            else:
-                for x in (a, b):
-                    if x not in plain:
-                        plain[x] = set(sets[x].tolist())
-                both = len(plain[a] & plain[b])
-            return 100 * both >= percent * (size[a] + size[b] - both)
+        """Which rows are linked with the centre."""
+        rows = rows.reset_index(drop=True)
+        found = _Texts(rows["text"], percent)
+        cid = rows["cid"].to_numpy()
+        at = int(np.flatnonzero(cid == rows["centre"].iloc[0])[0])
+        hits = [int(b) for b in found.likely(at, np.flatnonzero(np.arange(len(rows)) != at)) if found.linked(at, int(b))]
+        return pd.DataFrame({"u": cid[hits], "v": np.full(len(hits), cid[at])})
+
+    return verify
+
 
+def _among(percent: int):
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between the groups of a block, or of two blocks, as a spanning forest of the groups."""
+        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        rows = rows.sort_values("cid").reset_index(drop=True)
+        found = _Texts(rows["text"], percent)
+        block, root = rows["block"].to_numpy(), rows["root"].to_numpy()
+        number = {r: k for k, r in enumerate(dict.fromkeys(root.tolist()))}
+        own = np.array([number[r] for r in root.tolist()])
+        groups, edges = _Sets(len(number)), []
         for a in range(len(rows)):
             if i == j:
                 others = np.arange(a + 1, len(rows))
@@ -156,64 +195,119 @@ def _verifier(percent: int):
                 others = np.flatnonzero(block == j)
             else:
                 continue
-            others = others[100 * np.minimum(size[others], size[a]) >= percent * np.maximum(size[others], size[a])]
-            if not len(others):
-                continue
-            own, their = sketches[a][None, :], sketches[others]
-            equal = (own == their).sum(axis=1)
-            near = equal >= REGISTERS * (threshold - 0.25)
-            others, their, equal = others[near], their[near], equal[near]
-            if not len(others):
-                continue
-            greater = (own > their).sum(axis=1)
-            guess = estimate(equal, greater, REGISTERS - equal - greater, size[a], size[others])
-            for at in np.argsort(-guess, kind="stable"):
-                if guess[at] < threshold - SLACK:
-                    break
-                b = int(others[at])
-                x, y = groups.find(a), groups.find(b)
-                if x != y and linked(a, b):
+            for b in found.likely(a, others[own[others] != own[a]]):
+                x, y = groups.find(own[a]), groups.find(own[b])
+                if x != y and found.linked(a, int(b)):
                     groups.up[x] = y
-                    edges.append((sig[a], sig[b]))
-        return pd.DataFrame(edges, columns=["u", "v"])
+                    edges.append((root[a], root[b]))
+        return pd.DataFrame(edges, columns=["u", "v"], dtype=np.int64)
 
     return verify
 
 
+def _blocks(n: Column) -> Column:
+    """Blocks that so many documents, with so many shingles each, make."""
+    return F.coalesce(F.ceil(F.greatest(F.count(n) / BLOCK_DOCS, F.sum(n) / BLOCK_SHINGLES)), F.lit(0)).cast("int")
+
+
+def _pointed(links: DataFrame) -> DataFrame:
+    """cid, root of links (u, v) in which every u has one v, and v < u: pointers are followed, twice as far every round."""
+    up = settled(links.select(F.col("u").alias("cid"), F.col("v").alias("root")))
+    while True:
+        on = up.select(F.col("cid").alias("root"), F.col("root").alias("_on"))
+        further = settled(up.join(on, "root", "left").select("cid", F.coalesce("_on", "root").alias("root"), F.col("_on").isNotNull().alias("_moved")))
+        up = further.drop("_moved")
+        if not further.filter("_moved").head(1):
+            return up
+
+
+def _moved(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """roots (cid, root) after the groups that edges (u, v) link have become one."""
+    to = components(edges).select(F.col("u").alias("root"), F.col("root").alias("_to"))
+    return settled(roots.join(to, "root", "left").select("cid", F.coalesce("_to", "root").alias("root")))
+
+
+def _texts_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """cid and text of every member, each from one row of docs.
+
+    Up to BROADCAST_MEMBERS members their keys are broadcast, so that no other text is moved; beyond, docs are
+    dealt by id and text, which spreads the copies of one text.
+    """
+    keys = members.select("cid", F.col("rep.text_key").alias("text_key"), F.col("rep.doc_id").alias("_id"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), text_key(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
+    same = (rows["text_key"] == keys["text_key"]) & rows["_id"].eqNullSafe(keys["_id"])
+    few = members.count() <= BROADCAST_MEMBERS
+    return settled(rows.join(F.broadcast(keys) if few else keys, same).select("cid", "text").dropDuplicates(["cid"]))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, kept: one row per row of docs.
 
-    Equal sets are one class. Classes that share a band are candidates; candidates that hang together form
-    groups, whose texts meet in blocks of bounded size: there, register estimates leave out pairs far below
-    the threshold, and the others are checked on their full shingle sets. Tasks return a spanning forest of
-    the links, not the pairs. Groups larger than a block are compared block by block, so none is cut.
-    Null, empty and blank texts have no shingles and are linked with nothing. A null doc_id is never a
-    component's id unless the component has no other (then it is null, and its rows are kept). Rows that repeat
-    the kept doc_id are all kept. An empty table gives an empty result; other columns are ignored.
+    Equal sets are one class. Classes that share a band of registers are candidates of each other:
+
+    1. Each class is verified against one centre, the least class of its bands: one comparison a class, so a
+       large group of near copies is linked in linear time. The links make groups.
+    2. Classes whose group differs from that of the largest class of their bands are verified against that.
+    3. In every band that still holds two groups or more, classes of different groups are compared; the largest
+       group of a band never with itself. Bands of the same classes are compared once, and large ones in blocks of
+       bounded size, so none is cut.
+
+    In each step sizes and register estimates leave out pairs far below the threshold, and the others are checked
+    on their full shingle sets. Only classes that share a band ship their text, from one row each. Tasks return
+    a spanning forest of the links, not the pairs.
+
+    Shingles stand as 64-bit hashes (two different ones of a pair collide with a chance below 1e-9 a pair of
+    texts of 100,000 words). Null, empty and blank texts have no shingles and are linked with nothing. A null
+    doc_id is never a component's id unless the component has no other (then it is null, and its rows are kept).
+    Rows that repeat the kept doc_id are all kept. An empty table gives an empty result; other columns are ignored.
     """
     ship_package(docs.sparkSession)
     all_rows = settled(sketched(docs, doc_id, text))
     rows = all_rows.filter("sig IS NOT NULL")
-    classes = settled(rows.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.min("text_key").alias("text_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-
-    banded = classes.select("sig", F.explode("bands").alias("band"))
-    centres = banded.groupBy("band").agg(F.min("sig").alias("centre"), F.max("sig").alias("last")).filter("centre <> last").select("band", "centre")
-    found = banded.join(centres, "band").filter("sig <> centre").select(F.col("sig").alias("u"), F.col("centre").alias("v"))
-    groups = components(found).select(F.col("u").alias("sig"), F.col("root").alias("group"))
-    members = settled(classes.select("sig", "text_key", "n").join(groups, "sig"))
-    sizes = members.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    texts = docs.select(text_key(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
-    texts = placed.select("group", "sig", "blocks", "block", "text_key").join(texts, "text_key").dropDuplicates(["sig"])
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    tasks = texts.select("group", "sig", "block", "text", F.explode(pairs).alias("p")).select("group", "sig", "block", "text", "p.i", "p.j")
-    links = settled(tasks.groupBy("group", "i", "j").applyInPandas(_verifier(percent), "u binary, v binary"))
-
-    roots = components(links).select(F.col("u").alias("sig"), "root")
-    rooted = classes.select("sig", "class_id").join(roots, "sig")
-    least = rooted.groupBy("root").agg(F.min("class_id").alias("least"))
+    found = rows.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("text_key", "doc_id")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = settled(found.withColumn("cid", F.monotonically_increasing_id()))
+
+    banded = classes.select("cid", F.explode("bands").alias("band"))
+    ends = banded.groupBy("band").agg(F.min("cid").alias("least"), F.max("cid").alias("largest")).filter("least <> largest")
+    shared = settled(banded.join(ends, "band"))
+    centres = shared.groupBy("cid").agg(F.min("least").alias("least"), F.max("largest").alias("largest"))
+    members = settled(classes.select("cid", "n", "class_id", "rep").join(centres, "cid"))
+    texts = _texts_of(docs, members, doc_id, text)
+
+    def starred(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (cid, n, centre): a centre's pairs are dealt to blocks, each with the centre's text."""
+        blocks = pairs.groupBy("centre").agg(_blocks(F.col("n")).alias("blocks"))
+        dealt = pairs.join(blocks, "centre").select("cid", "centre", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"))
+        hubs = blocks.select(F.col("centre").alias("cid"), "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        return settled(dealt.union(hubs).join(texts, "cid").groupBy("centre", "block").applyInPandas(_with_centre(percent), "u long, v long"))
+
+    up = _pointed(starred(members.filter("cid <> least").select("cid", "n", F.col("least").alias("centre"))))
+    roots = settled(members.select("cid").join(up, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root")))
+    root_of = lambda name: roots.select(F.col("cid").alias(name), F.col("root").alias(f"{name}_root"))
+    apart = members.join(roots, "cid").join(root_of("largest"), "largest").filter("root <> largest_root").select("cid", "n", F.col("largest").alias("centre"))
+    between = lambda links: links.join(root_of("u"), "u").join(root_of("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).filter("u <> v")
+    roots = _moved(roots, between(starred(apart)))
+
+    held = settled(shared.select("band", "cid").join(roots, "cid"))
+    mixed = held.groupBy("band").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("cid")).alias("_x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("_y")).filter("_a <> _b")
+    once = mixed.groupBy("_n", "_x", "_y").agg(F.min("band").alias("band")).select("band")
+    inside = held.join(once, "band").join(members.select("cid", "n"), "cid")
+    crowds = inside.groupBy("band", "root").agg(F.count("*").alias("_n")).groupBy("band").agg(F.max_by("root", F.struct("_n", "root")).alias("crowd"))
+    inside = settled(inside.join(crowds, "band").withColumn("in_crowd", F.col("root") == F.col("crowd")))
+    sizes = inside.groupBy("band").agg(_blocks(F.when(F.col("in_crowd"), F.col("n"))).alias("crowd_blocks"), _blocks(F.when(~F.col("in_crowd"), F.col("n"))).alias("other_blocks"), _blocks(F.col("n")).alias("blocks"))
+    block = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    own = F.when(F.col("blocks") == 1, F.lit(0)).when(F.col("in_crowd"), -1 - block(F.col("crowd_blocks"))).otherwise(block(F.col("other_blocks")))
+    others = F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda k: F.when(F.col("in_crowd"), pair(k, F.col("block"))).otherwise(pair(F.least(k, "block"), F.greatest(k, "block"))))
+    crowd = F.when(F.col("in_crowd"), F.array().cast("array<struct<i:int,j:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("crowd_blocks") - 1), lambda k: pair(F.col("block"), -1 - k)))
+    tasks = inside.join(sizes, "band").withColumn("block", own).withColumn("p", F.explode(F.when(F.col("blocks") == 1, F.array(pair(F.lit(0), F.lit(0)))).otherwise(F.concat(others, crowd))))
+    links = settled(tasks.select("cid", "root", "band", "block", "p.i", "p.j").join(texts, "cid").groupBy("band", "i", "j").applyInPandas(_among(percent), "u long, v long"))
+    roots = _moved(roots, links)
+
+    least = roots.join(members.select("cid", "class_id"), "cid").groupBy("root").agg(F.min("class_id").alias("least"))
     # written first, so that the last join stands alone and adaptive execution can split the rows of a large group of copies
-    ids = settled(classes.select("sig", "class_id").join(rooted.join(least, "root").select("sig", "least"), "sig", "left").select("sig", F.coalesce("least", "class_id").alias("component_id")))
+    to = settled(roots.join(least, "root").select("cid", "least"))
+    ids = settled(classes.select("sig", "cid", "class_id").join(to, "cid", "left").select("sig", F.coalesce("least", "class_id").alias("component_id")))
     linked = rows.select("doc_id", "text_key", "n_shingles", "sig").join(ids, "sig").select("doc_id", "text_key", "n_shingles", "component_id")
     alone = all_rows.filter("sig IS NULL").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -227,5 +321,6 @@ def without_near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "d
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with the size of its shingle set and the id of its component; odd rows are treated as in near_duplicates."""
     out = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_shingles", "component_id", "kept")

@@ -291,9 +291,15 @@ def test_html_odd(spark):
 # near duplicates
 
 
+def shingle_set(text):
+    """The contract's set, as strings."""
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def component_ids(texts):
-    """Brute force: (doc_id, text) -> smallest reachable doc_id."""
-    sets = {i: neardup.shingles(t) for i, t in texts}
+    """Brute force from strings: (doc_id, text) -> smallest reachable doc_id."""
+    sets = {i: shingle_set(t) for i, t in texts}
     up = {i: i for i in sets}
 
     def find(a):
@@ -301,12 +307,13 @@ def component_ids(texts):
             a = up[a]
         return a
 
-    names = [i for i in sets if len(sets[i])]
-    plain = {i: set(sets[i].tolist()) for i in names}
+    names = sorted((i for i in sets if sets[i]), key=lambda i: len(sets[i]))
     for k, a in enumerate(names):
         for b in names[k + 1 :]:
-            both = len(plain[a] & plain[b])
-            if 100 * both >= 85 * (len(plain[a]) + len(plain[b]) - both):
+            if 85 * len(sets[b]) > 100 * len(sets[a]):
+                break
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
                 up[max(find(a), find(b))] = min(find(a), find(b))
     return {i: find(i) for i in sets}, {i: len(s) for i, s in sets.items()}
 
@@ -326,10 +333,21 @@ def family(spark, copies=60, words=80):
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_near_duplicates(spark, monkeypatch, block):
+def chain(n=40, words=60):
+    """Each text differs from the next by a word, so the ends share nothing but are one component; in an order that no id follows."""
+    base = [f"c{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        base[(7 * i) % words] = f"n{i}"
+        rows.append((5000 + (17 * i) % n, " ".join(base)))
+    return rows
+
+
+@pytest.mark.parametrize("block,most", [(1024, 10**6), (16, 10**6), (5, 0)])
+def test_near_duplicates(spark, monkeypatch, block, most):
     monkeypatch.setattr(neardup, "BLOCK_DOCS", block)
-    rows = family(spark)
+    monkeypatch.setattr(neardup, "BROADCAST_MEMBERS", most)
+    rows = family(spark) + chain()
     ids, sizes = component_ids(rows)
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in out} == ids
