@@ -44,56 +44,67 @@ def t_cdf(t: float, df: float) -> float:
     return 1 - tail if t > 0 else tail
 
 
-def harrell_davis(values: np.ndarray, q: float) -> float:
-    """Quantile as a beta-weighted mean of all order statistics."""
-    v = np.sort(values)
-    n = len(v)
-    edges = np.array([beta_cdf(i / n, (n + 1) * q, (n + 1) * (1 - q)) for i in range(n + 1)])
-    return float(np.diff(edges) @ v)
+def harrell_davis(values: np.ndarray, counts: np.ndarray, q: float) -> float:
+    """Quantile as a beta-weighted mean of all order statistics; values are distinct and sorted, so equal ones share the weight between their ends."""
+    below = np.concatenate([[0], np.cumsum(counts)])
+    n = int(below[-1])
+    edges = np.array([beta_cdf(x / n, (n + 1) * q, (n + 1) * (1 - q)) for x in below.tolist()])
+    return float(np.diff(edges) @ values)
 
 
-def bootstrap(values: np.ndarray, statistic: str, n: int, seed: int, level: float = 0.95) -> tuple[float, float]:
+def weighted_median(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Median of sorted distinct values with counts (the last axis), which may be rows of many draws."""
+    below = np.cumsum(counts, axis=-1)
+    n = below[..., -1:]
+    at = lambda rank: values[(below <= rank).sum(axis=-1)]
+    return (at((n - 1) // 2) + at(n // 2)) / 2
+
+
+def resampled(values: np.ndarray, counts: np.ndarray, statistic: str, n: int, rng: np.random.Generator) -> np.ndarray:
+    """The statistic of n draws with replacement, as multinomial counts of the distinct values."""
+    size, step = int(counts.sum()), max(1, 2_000_000 // len(values))
+    f = weighted_median if statistic == "median" else lambda v, c: c @ v / size
+    share = counts / size
+    return np.concatenate([f(values, rng.multinomial(size, share, min(step, n - at))) for at in range(0, n, step)])
+
+
+def interval(values: np.ndarray, counts: np.ndarray, draws: np.ndarray, statistic: str, level: float = 0.95) -> tuple[float, float]:
     """Percentile interval of the median, or the bias-corrected accelerated interval of the mean. Equal values give themselves."""
-    v = np.sort(values)
-    if len(v) == 0:
-        return math.nan, math.nan
-    if v[0] == v[-1]:
-        return float(v[0]), float(v[0])
-    rng = np.random.default_rng(seed)
-    f = np.median if statistic == "median" else np.mean
-    step = max(1, 2_000_000 // len(v))
-    draws = np.concatenate([f(v[rng.integers(0, len(v), (min(step, n - at), len(v)))], axis=1) for at in range(0, n, step)])
+    if len(values) == 1:
+        return float(values[0]), float(values[0])
     tail = (1 - level) / 2
     if statistic == "median":
         return tuple(float(x) for x in np.quantile(draws, [tail, 1 - tail]))
-    centre = (draws < v.mean()).mean() + (draws == v.mean()).mean() / 2
+    mean = float(counts @ values / counts.sum())
+    centre = (draws < mean).mean() + (draws == mean).mean() / 2
     z0 = normal_quantile(min(max(centre, 1e-9), 1 - 1e-9))
-    jack = (v.sum() - v) / (len(v) - 1)
-    dev = jack.mean() - jack
-    a = float((dev**3).sum() / (6 * (dev**2).sum() ** 1.5))
+    dev = values - mean  # a jackknife mean is off by a constant share of this
+    a = float(counts @ dev**3 / (6 * (counts @ dev**2) ** 1.5))
     at = [float(normal_cdf(z0 + (z0 + z) / (1 - a * (z0 + z)))) for z in (normal_quantile(tail), normal_quantile(1 - tail))]
     return tuple(float(x) for x in np.quantile(draws, at))
 
 
-def permutation_p(differences: np.ndarray, n: int, seed: int) -> float:
-    """Two-sided share of sign flips whose mean is at least as far from 0."""
-    rng, own = np.random.default_rng(seed), abs(differences.mean())
-    step, hits = max(1, 2_000_000 // len(differences)), 0
+def permutation_p(values: np.ndarray, counts: np.ndarray, n: int, seed: int) -> float:
+    """Two-sided share of sign flips whose mean is at least as far from 0; of equal differences the number flipped is drawn."""
+    rng, size = np.random.default_rng(seed), int(counts.sum())
+    own, step, hits = abs(float(counts @ values)) / size, max(1, 2_000_000 // len(values)), 0
     for at in range(0, n, step):
-        signs = rng.choice([-1.0, 1.0], (min(step, n - at), len(differences)))
-        hits += int((np.abs((signs * differences).mean(axis=1)) >= own - 1e-12).sum())
+        kept = rng.binomial(counts, 0.5, (min(step, n - at), len(values)))
+        hits += int((np.abs((2 * kept - counts) @ values / size) >= own - 1e-12).sum())
     return (hits + 1) / (n + 1)
 
 
-def exponential_average(x: np.ndarray, k: float, start: float | None = None) -> np.ndarray:
-    """y[n] = (1 - k) x[n] + k y[n-1], from y[-1] = x[0] or start, in blocks whose powers of k stay in range."""
-    out, y = np.empty(len(x)), float(x[0]) if start is None else start
-    size = max(1, min(4096, int(300 / max(1e-12, -math.log10(k))) if k > 0 else 1))
-    for at in range(0, len(x), size):
-        part = x[at : at + size]
-        powers = k ** np.arange(1, len(part) + 1)
-        out[at : at + size] = powers * (y + np.cumsum((1 - k) * part / powers))
-        y = out[min(at + size, len(x)) - 1]
+def uneven_average(t: np.ndarray, x: np.ndarray, tau: float, y: float, last: float) -> np.ndarray:
+    """Exponential average of x at rising times t, going on from y at the time last (NaN: from the first value)."""
+    out, at = np.empty(len(x)), 0
+    if math.isnan(y) and len(x):
+        out[0], y, last, at = x[0], float(x[0]), float(t[0]), 1
+    while at < len(x):
+        end = max(at + 1, int(np.searchsorted(t, last + 500 * tau)))
+        part, grow = x[at:end], np.exp((t[at:end] - max(last, t[at] - 500 * tau)) / tau)
+        gaps = np.diff(t[at:end], prepend=last)
+        out[at:end] = (y * (last >= t[at] - 500 * tau) + np.cumsum(-np.expm1(-gaps / tau) * part * grow)) / grow
+        y, last, at = float(out[end - 1]), float(t[end - 1]), end
     return out
 
 
@@ -106,12 +117,22 @@ def recursive_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, steady: bool =
     matrix[:-1, 1:] += np.eye(order - 1)
     drive = b[1:] - a[1:] * b[0]
     state = np.linalg.lstsq(np.eye(order) - matrix, drive, rcond=None)[0] * x[0] if steady else np.zeros(order)
-    out = np.empty(len(x))
-    for i, v in enumerate(x.tolist()):
-        y = b[0] * v + state[0]
-        state = np.append(state[1:], 0.0) + b[1:] * v - a[1:] * y
-        out[i] = y
-    return out
+    # blocks of samples at once: y = (what the state gives) + (what the block's own samples give); only the state goes from block to block
+    size = 64
+    powers = [np.eye(order)]
+    for _ in range(size):
+        powers.append(matrix @ powers[-1])
+    of_state = np.stack([m[0] for m in powers[:size]])
+    response = np.concatenate([[b[0]], of_state[: size - 1] @ drive])
+    own = np.array([[response[i - j] if i >= j else 0.0 for j in range(size)] for i in range(size)])
+    into_state = np.stack([powers[size - 1 - j] @ drive for j in range(size)], axis=1)
+    blocks = np.zeros((-(-len(x) // size), size))
+    blocks.ravel()[: len(x)] = x
+    given, states = blocks @ into_state.T, np.empty((len(blocks), order))
+    for i in range(len(blocks)):
+        states[i] = state
+        state = powers[size] @ state + given[i]
+    return (blocks @ own.T + states @ of_state.T).ravel()[: len(x)]
 
 
 def a_weight_coefficients(rate: float) -> tuple[np.ndarray, np.ndarray]:

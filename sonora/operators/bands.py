@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.acoustics import P0, power_from_level, psych_annoyance
+from .specific import power_average
 
 #: Preferred frequencies of one decade.
 PREFERRED = [1.0, 1.25, 1.6, 2.0, 2.5, 3.15, 4.0, 5.0, 6.3, 8.0]
@@ -70,27 +71,28 @@ def detect_table(spark: SparkSession, step: float) -> DataFrame:
 
 
 def detectability_spectrum(target: DataFrame, masker: DataFrame, step: float = 0.5, keys: Sequence[str] = ("recording", "channel", "t_idx")) -> DataFrame:
-    """d' of the target in the masker, discount and discounted level of each time and band (level_db in both)."""
+    """d' of the target in the masker, discount and discounted level of each time and band (level_db in both), and the A-weighted levels."""
     both = target.select(*keys, "band", F.col("level_db").alias("target_db")).join(masker.select(*keys, "band", F.col("level_db").alias("masker_db")), [*keys, "band"])
     rows = both.join(F.broadcast(detect_table(target.sparkSession, step)), "band")
     power = lambda c: P0**2 * power_from_level(F.col(c))
     rows = rows.withColumn("d_prime", F.col("efficiency") * power("target_db") / (power("masker_db") + F.col("noise"))).withColumn("discount_db", 3 / (F.col("d_prime") / 14))
-    return rows.withColumn("discounted_db", F.col("target_db") - F.col("discount_db")).select(*keys, "band", "target_db", "masker_db", "a_weight", "d_prime", "discount_db", "discounted_db")
+    return rows.withColumn("discounted_db", F.col("target_db") - F.col("discount_db")).select(*keys, "band", "target_db", "masker_db", "a_weight", "d_prime", "discount_db", "discounted_db", *[(F.col(f"{c}_db") + F.col("a_weight")).alias(f"{c}_dba") for c in ("target", "masker", "discounted")])
 
 
 def detectability_summary(spectrum: DataFrame, step: float = 0.5, skip: tuple[int, int] = (0, 0), keys: Sequence[str] = ("recording", "channel")) -> DataFrame:
-    """Largest, integrated and median detectability (dB), A-weighted levels of target and discounted target, and the discount.
+    """Largest, integrated and median detectability (dB), A-weighted mean and exposure levels of target, masker and discounted target, and the discount.
 
     First over bands (largest, and root of the sum of squares), then over the time steps that are left after skip at both ends.
     """
-    power = lambda c: F.sum(power_from_level(F.col(c) + F.col("a_weight")))
-    steps = spectrum.groupBy(*keys, "t_idx").agg(F.max("d_prime").alias("top"), F.sqrt(F.sum(F.pow("d_prime", F.lit(2.0)))).alias("both"), power("target_db").alias("target"), power("discounted_db").alias("discounted"))
+    power = lambda c: F.sum(power_from_level(F.col(c)))
+    steps = spectrum.groupBy(*keys, "t_idx").agg(F.max("d_prime").alias("top"), F.sqrt(F.sum(F.pow("d_prime", F.lit(2.0)))).alias("both"), *[power(f"{c}_dba").alias(c) for c in ("target", "masker", "discounted")])
     ends = steps.groupBy(*keys).agg(F.min("t_idx").alias("_a"), F.max("t_idx").alias("_b"))
     steps = steps.join(ends, list(keys)).filter((F.col("t_idx") >= F.col("_a") + skip[0]) & (F.col("t_idx") <= F.col("_b") - skip[1]))
     db = lambda x: 10 * F.log10(x)
     half = F.lit(0.5)
-    out = steps.groupBy(*keys).agg(db(F.max("top")).alias("max_db"), db(F.max("both")).alias("int_max_db"), db(step * F.sum("both")).alias("int_db"), db(step * F.sum("top")).alias("max_int_db"), F.percentile(db(F.col("top")), half).alias("max_ex50"), F.percentile(db(F.col("both")), half).alias("int_ex50"), db(F.avg("target")).alias("laeq_target"), db(F.avg("discounted")).alias("laeq_discounted"))
-    return out.withColumn("dba_discount", F.col("laeq_target") - F.col("laeq_discounted"))
+    out = steps.groupBy(*keys).agg(db(F.max("top")).alias("max_db"), db(F.max("both")).alias("int_max_db"), db(step * F.sum("both")).alias("int_db"), db(step * F.sum("top")).alias("max_int_db"), F.percentile(db(F.col("top")), half).alias("max_ex50"), F.percentile(db(F.col("both")), half).alias("int_ex50"), *[db(F.avg(c)).alias(f"laeq_{c}") for c in ("target", "masker", "discounted")], *[db(step * F.sum(c)).alias(f"lae_{c}") for c in ("target", "masker")])
+    out = out.withColumn("dba_discount", F.col("laeq_target") - F.col("laeq_discounted"))
+    return out.withColumn("lae_discounted", F.col("lae_target") - F.col("dba_discount"))
 
 
 def psych_annoyance_curve(loud: DataFrame, sharp: DataFrame, fluct: DataFrame, rough: DataFrame, key: str | Sequence[str] = "recording") -> DataFrame:
@@ -101,3 +103,19 @@ def psych_annoyance_curve(loud: DataFrame, sharp: DataFrame, fluct: DataFrame, r
         rows = rows.join(df.select(*keys, "t_idx", F.col("value").alias(name)), [*keys, "t_idx"])
     pa = psych_annoyance("widmann", F.col("loud"), F.col("sharp"), F.col("rough"), F.col("fluct"))
     return rows.select(*keys, "t_idx", F.when(F.col("loud") > 0, pa).otherwise(0.0).alias("value"))
+
+
+def psych_annoyance_overall(loud: DataFrame, sharp: DataFrame, fluct: DataFrame, rough: DataFrame, keys: Sequence[str] = ("recording",), form: str = "percentiles") -> DataFrame:
+    """Annoyance of whole recordings from curves (key columns, value), each at a rate of its own.
+
+    "percentiles": from the values exceeded 5 % of the time. "averages": from the power averages of loudness
+    and sharpness, and the values of fluctuation and roughness exceeded 10 % of the time.
+    """
+    exceeded = lambda x: lambda c: F.percentile(c, F.lit(1 - x / 100))
+    of = [exceeded(5)] * 4 if form == "percentiles" else [power_average, power_average, exceeded(10), exceeded(10)]
+    out = None
+    for name, df, f in zip(("loud", "sharp", "fluct", "rough"), (loud, sharp, fluct, rough), of, strict=True):
+        one = df.groupBy(*keys).agg(f(F.col("value")).alias(name))
+        out = one if out is None else out.join(one, list(keys))
+    pa = psych_annoyance("widmann", F.col("loud"), F.col("sharp"), F.col("rough"), F.col("fluct"))
+    return out.select(*keys, F.when(F.col("loud") > 0, pa).otherwise(0.0).alias("annoyance"))

@@ -12,6 +12,10 @@ from pyspark.sql import window as W
 from ..functions.acoustics import highly_annoyed, prob_ha
 
 
+#: Ranges of names, and stimuli that a participant is compared with at a time.
+BUCKETS, LOT = 64, 10_000
+
+
 def extract_factors(df: DataFrame, col: str, patterns: Mapping[str, str], baseline: str | None = None) -> DataFrame:
     """A factor column for each pattern of alternatives; NULL where none matches, "Baseline" where the name holds the baseline mark."""
     for name, pattern in patterns.items():
@@ -173,6 +177,11 @@ def level_differences(df: DataFrame, source: Sequence[str], ambient: Sequence[st
     return df.withColumns({f"{s}_less_{a}": F.col(s) - F.col(a) for s in source for a in ambient})
 
 
+def detection_discounted_level(df: DataFrame, levels: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """New level columns: name -> (level, discount), the level less what masking takes from its detection."""
+    return df.withColumns({name: F.col(level) - F.col(discount) for name, (level, discount) in levels.items()})
+
+
 def combine_pairs(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """Left and right rows of a stimulus as their mean; rows without a side stay as they are; new ids in name order."""
     rows = df.withColumn("_key", F.regexp_replace(F.col(key), "_(left|right)", ""))
@@ -181,15 +190,32 @@ def combine_pairs(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
 
 
 def assign_ids(stimuli: DataFrame, key: str, out: str = "stim_id", start: int = 1) -> DataFrame:
-    """Ids from start on in name order. For the stimulus table, which is small: the ids come from one sort."""
-    return stimuli.withColumn(out, F.row_number().over(W.Window.partitionBy(F.lit(0)).orderBy(key)) + (start - 1))
+    """Ids from start on in name order, equal names in any order.
+
+    Names are dealt to ranges between about BUCKETS names drawn by hash; the counts of the ranges give each its first id.
+    """
+    share = 20 * BUCKETS / max(1, stimuli.count())
+    drawn = stimuli.select(key).filter(F.lit(share >= 1) | (F.pmod(F.xxhash64(F.lit(3), key), F.lit(1 << 53)) < F.lit(int(min(1.0, share) * (1 << 53))))).distinct()
+    names = sorted(r[0] for r in drawn.collect() if r[0] is not None)
+    cuts = names[:: max(1, len(names) // BUCKETS)][1:]
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    rows = stimuli.withColumn("_b", F.when(F.col(key).isNull(), -1).otherwise(bucket))
+    before = W.Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.Window.unboundedPreceding, -1)
+    first = rows.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(W.Window.partitionBy("_b").orderBy(key))
+    return rows.withColumn("_i", inside).join(F.broadcast(first), "_b").withColumn(out, (F.col("_i") + F.col("_first") + (start - 1)).cast("int")).drop("_b", "_i", "_first")
 
 
 def missing_pairs(df: DataFrame, who: str = "participant", key: str = "stimulus") -> DataFrame:
-    """Stimuli that others rated and a participant did not. The stimuli, a small set, are held in one array that every participant is compared with."""
-    own = df.groupBy(who).agg(F.collect_set(key).alias("_own"))
-    every = df.agg(F.collect_set(key).alias("_all"))
-    return own.join(F.broadcast(every)).select(who, F.explode(F.array_except("_all", "_own")).alias(key))
+    """Stimuli that others rated and a participant did not. Stimuli are dealt by hash to lots of about LOT, and a participant is compared with a lot at a time."""
+    stimuli = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    lots = max(1, -(-stimuli.count() // LOT))
+    lot = F.pmod(F.xxhash64(key), F.lit(lots)).alias("_lot")
+    own = df.select(who, key, lot).groupBy(who, "_lot").agg(F.collect_set(key).alias("_own"))
+    asked = df.select(who).distinct().withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
+    every = stimuli.select(key, lot).groupBy("_lot").agg(F.collect_list(key).alias("_all"))
+    both = asked.join(own, [who, "_lot"], "left").join(F.broadcast(every) if lots == 1 else every, "_lot")
+    return both.select(who, F.explode(F.array_except("_all", F.coalesce("_own", F.array().cast(dict(every.dtypes)["_all"])))).alias(key))
 
 
 def fill_missing_pairs(df: DataFrame, who: str = "participant", key: str = "stimulus") -> DataFrame:
@@ -244,7 +270,8 @@ def transpose_ratings(a: DataFrame, b: DataFrame, who: str, stimuli_a: Sequence[
 
 
 def first_per_participant(df: DataFrame, who: str, cols: Sequence[str]) -> DataFrame:
-    return df.select(who, *cols).dropDuplicates([who, *cols]).groupBy(who).agg(*[F.min(c).alias(c) for c in cols])
+    """One of each participant's rows: the first by the columns in turn."""
+    return df.groupBy(who).agg(F.min(F.struct(*cols)).alias("_first")).select(who, "_first.*")
 
 
 def impute_median(df: DataFrame, col: str) -> DataFrame:
@@ -301,9 +328,10 @@ def beta_scale(df: DataFrame, col: str, lo: float, hi: float, squeeze: str | Non
     return df.withColumn(out, x)
 
 
-def standardise(df: DataFrame, cols: Sequence[str], scale: bool = True, by: Sequence[str] = ()) -> DataFrame:
-    """<col>_scl: centred, and divided by the standard deviation if scale; over all rows or by group. Absent columns are skipped."""
+def standardise(df: DataFrame, cols: Sequence[str], scale: bool | Sequence[bool] = True, by: Sequence[str] = ()) -> DataFrame:
+    """<col>_scl: centred, and divided by the standard deviation if scale (one flag, or one for each column); over all rows or by group. Absent columns are skipped."""
+    flags = dict(zip(cols, [scale] * len(cols) if isinstance(scale, bool) else scale, strict=True))
     cols = [c for c in cols if c in df.columns]
     stats = df.groupBy(*by).agg(*[x for c in cols for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))])
     joined = df.join(stats, list(by)) if by else df.join(F.broadcast(stats))
-    return joined.select(*df.columns, *[((F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") if scale else F.lit(1.0))).alias(f"{c}_scl") for c in cols])
+    return joined.select(*df.columns, *[((F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") if flags[c] else F.lit(1.0))).alias(f"{c}_scl") for c in cols])

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -59,54 +59,58 @@ def spectrogram(signals: DataFrame, rate: float, nfft: int, overlap: float = 0.5
     return rows.select(*keys, "block_idx", (F.col("bin") * rate / nfft).alias("freq"), (10 * F.log10(F.col("power") / 4e-10)).alias("level_db"))
 
 
-def _per_group(df: DataFrame, keys: Sequence[str], order: str, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    ship_package(df.sparkSession)
-    return df.groupBy(*keys).applyInPandas(lambda pdf: run(pdf.sort_values(order).reset_index(drop=True)), schema)
+#: Natural log up to which powers of a decay are carried within a chunk, and beyond which what is left of one is nothing in double precision.
+RANGE, NOTHING = 500.0, 46.0
 
 
 def time_weight(signals: DataFrame, rate: float, tau: float, keys: Sequence[str] = KEYS, chunk: int = 65_536) -> DataFrame:
-    """weighted: root of the exponential average of p**2, started from the first sample.
+    """weighted: root of the exponential average of p**2, started from the first sample, whatever its number.
 
-    Chunks of a recording are averaged from rest in parallel; the carry over chunk ends, one row each, is
-    then scanned, and k**n times the carry is added, so a long recording is never one task's work.
+    Chunks of a recording are averaged from rest, as running sums of values scaled by powers of the decay; the
+    carry into a chunk comes from the ends of the chunks before it, as many as leave a trace. A chunk is one
+    window partition, so a long recording is never one task's work, and no Python runs.
     """
-    k = math.exp(-1 / (tau * rate))
+    steps = tau * rate
+    k, chunk = math.exp(-1 / steps), max(1, min(chunk, int(RANGE * steps)))
+    lookback = math.ceil(NOTHING * steps / chunk) + 1
+    part = [*keys, "_chunk"]
     rows = signals.withColumn("_chunk", F.floor(F.col("sample_idx") / chunk))
+    inside = W.Window.partitionBy(*part).orderBy("sample_idx")
+    rows = rows.withColumn("_i", F.col("sample_idx") - F.min("sample_idx").over(W.Window.partitionBy(*part)))
+    power = lambda n: F.exp(n.cast("double") * math.log(k))
+    rows = rows.withColumn("_y", power(F.col("_i")) * F.sum((1 - k) * F.col("p") * F.col("p") * power(-F.col("_i"))).over(inside.rowsBetween(W.Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(*part).agg(F.max_by("_y", "_i").alias("end"), (F.max("_i") + 1).alias("n"), F.min_by(F.col("p") * F.col("p"), "_i").alias("first"))
+    before = F.collect_list(F.struct("end", "n", "first")).over(W.Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-lookback, -1))
+    # of the first chunk that is looked back at, the first sample stands for what came before it
+    carry = F.aggregate("_before", F.coalesce(F.get("_before", F.lit(0))["first"], F.col("first")), lambda y, c: c["end"] + y * power(c["n"]))
+    carries = ends.withColumn("_before", before).select(*part, carry.alias("_carry"))
+    out = rows.join(carries, part)
+    return out.select(*signals.columns, F.sqrt(F.col("_y") + F.col("_carry") * power(F.col("_i") + 1)).alias("weighted"))
+
+
+def in_chunks(df: DataFrame, keys: Sequence[str], order: str, chunk: int, before: int, after: int, run: Callable[[pd.DataFrame], pd.DataFrame], fields: str) -> DataFrame:
+    """run over chunks of so many steps, each with the rows `before` and `after` it; only a chunk's own rows are kept.
+
+    Rows beside a chunk's end are copied into the neighbour, so a task holds one chunk of a recording, however long.
+    """
+    ship_package(df.sparkSession)
+    at = F.col(order)
+    rows = df.withColumn("_own", F.floor(at / chunk))
+    first = F.greatest(F.floor((at - after) / chunk), F.least(F.col("_own"), F.lit(0)))
+    rows = rows.withColumn("_chunk", F.explode(F.sequence(first, F.floor((at + before) / chunk))))
 
-    def rest(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["p"].to_numpy(float) ** 2
-        start = x[0] if pdf["_chunk"].iloc[0] == 0 else 0.0
-        return pdf.assign(_y=N.exponential_average(x, k, start))
-
-    part = _per_group(rows, [*keys, "_chunk"], "sample_idx", rest, f"{_types(rows, rows.columns)}, _y double")
-    ends = part.groupBy(*keys, "_chunk").agg(F.max_by("_y", "sample_idx").alias("_end"), F.count("*").alias("_n"))
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, y = [], 0.0
-        for end, n in zip(pdf["_end"], pdf["_n"], strict=True):
-            out.append(y)
-            y = end + k**n * y
-        return pdf.assign(_carry=out)[[*keys, "_chunk", "_carry"]]
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order).reset_index(drop=True)
+        own = (pdf["_own"] == pdf["_chunk"]).to_numpy()
+        return run(pdf)[own] if own.any() else run(pdf.head(1)).head(0)
 
-    carries = _per_group(ends, keys, "_chunk", carry, f"{_types(ends, [*keys, '_chunk'])}, _carry double")
-    out = part.join(carries, [*keys, "_chunk"])
-    y = F.col("_y") + F.col("_carry") * F.pow(F.lit(k), F.col("sample_idx") - F.col("_chunk") * chunk + 1)
-    return out.select(*signals.columns, F.sqrt(y).alias("weighted"))
+    return rows.groupBy(*keys, "_chunk").applyInPandas(one, f"{_types(rows, rows.columns)}, {fields}").drop("_own", "_chunk")
 
 
 def _filtered(df: DataFrame, value: str, b: np.ndarray, a: np.ndarray, keys: Sequence[str], order: str, out: str, chunk: int, warm_up: int, steady: bool) -> DataFrame:
     """A recursive filter over chunks, each warmed up on the samples before it: the filter's memory of what came earlier has died out by then."""
-    rows = df.withColumn("_own", F.floor(F.col(order) / chunk))
-    last = F.floor((F.col(order) + warm_up) / chunk)
-    rows = rows.withColumn("_last", F.max("_own").over(W.Window.partitionBy(*keys)))
-    rows = rows.withColumn("_chunk", F.explode(F.sequence(F.col("_own"), F.least(last, F.col("_last"))))).drop("_last")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = N.recursive_filter(b, a, pdf[value].to_numpy(float), steady)
-        return pdf.assign(**{out: y})[pdf["_own"] == pdf["_chunk"]]
-
-    done = _per_group(rows, [*keys, "_chunk"], order, run, f"{_types(rows, rows.columns)}, {out} double")
-    return done.drop("_own", "_chunk")
+    run = lambda pdf: pdf.assign(**{out: N.recursive_filter(b, a, pdf[value].to_numpy(float), steady)})
+    return in_chunks(df, keys, order, chunk, warm_up, 0, run, f"{out} double")
 
 
 def a_weight_time(signals: DataFrame, rate: float, keys: Sequence[str] = KEYS, chunk: int = 262_144) -> DataFrame:
@@ -121,14 +125,15 @@ def noise_reduction_lowpass(curve: DataFrame, rate: float, keys: Sequence[str] =
     return _filtered(curve, "value", b, a, keys, "t_idx", "smoothed", chunk, int(rate * 2) + 1, False)
 
 
-def asymmetric_lowpass(spec: DataFrame, rate: float, rise: float = 0.0625, fall: float = 0.5, keys: Sequence[str] = KEYS) -> DataFrame:
-    """smoothed: first-order smoothing of each band, fast up and slow down; all bands of a recording at once."""
-    rows = spec.groupBy(*keys, "t_idx").agg(F.array_sort(F.collect_list(F.struct("band", "value"))).alias("_v")).select(*keys, "t_idx", F.transform("_v", lambda x: x["band"]).alias("bands"), F.transform("_v", lambda x: x["value"]).alias("values"))
+def asymmetric_lowpass(spec: DataFrame, rate: float, rise: float = 0.0625, fall: float = 0.5, keys: Sequence[str] = KEYS, chunk: int = 8_192) -> DataFrame:
+    """smoothed: first-order smoothing of each band, fast up and slow down; all bands of a recording at once.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(smoothed=list(N.asymmetric_lowpass(np.stack(pdf["values"].to_numpy()), rate, rise, fall)))
-
-    out = _per_group(rows, keys, "t_idx", run, f"{_types(rows, rows.columns)}, smoothed array<double>")
+    A step shrinks the difference of two states by the slower time constant at least, so a chunk that starts
+    so many of these before its own steps has forgotten where it started.
+    """
+    rows = spec.groupBy(*keys, "t_idx").agg(F.array_sort(F.collect_list(F.struct("band", "value"))).alias("_v")).select(*keys, "t_idx", F.transform("_v", lambda x: x["band"]).alias("bands"), F.transform("_v", lambda x: x["value"]).alias("values"))
+    run = lambda pdf: pdf.assign(smoothed=list(N.asymmetric_lowpass(np.stack(pdf["values"].to_numpy()), rate, rise, fall)))
+    out = in_chunks(rows, keys, "t_idx", chunk, math.ceil(NOTHING * rate * max(rise, fall)), 0, run, "smoothed array<double>")
     return out.select(*keys, "t_idx", F.explode(F.arrays_zip("bands", "values", "smoothed")).alias("x")).select(*keys, "t_idx", F.col("x.bands").alias("band"), F.col("x.values").alias("value"), F.col("x.smoothed").alias("smoothed"))
 
 
@@ -145,40 +150,83 @@ def resample_linear(curve: DataFrame, grid: DataFrame, keys: Sequence[str] = KEY
     return rows.filter("_ask = 1").select(*keys, t, linear.alias(value))
 
 
-def grouped_statistic(df: DataFrame, keys: Sequence[str], value: str, fn: Callable[[np.ndarray], float], out: str = "statistic") -> DataFrame:
-    """fn of the sorted values (without missing ones) of each group."""
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    return _per_group(rows, keys, "_v", lambda pdf: pdf.head(1)[list(keys)].assign(**{out: float(fn(pdf["_v"].to_numpy()))}), f"{_types(rows, keys)}, {out} double")
+def align_curves(curves: Mapping[str, DataFrame], onto: str, keys: Sequence[str] = KEYS, t: str = "t", value: str = "value") -> DataFrame:
+    """keys, t and a column for each curve, at the times of the curve `onto` (the finest): the others are linear between their samples, NULL outside of them."""
+    grid = curves[onto].select(*keys, t)
+    out = curves[onto].select(*keys, t, F.col(value).alias(onto))
+    for name, curve in curves.items():
+        if name != onto:
+            out = out.join(resample_linear(curve, grid, keys, t, value).withColumnRenamed(value, name), [*keys, t], "left")
+    return out.select(*keys, t, *curves)
+
+
+def _counted(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+    """keys, values and counts: the sorted distinct values of each group as arrays, counted before anything is moved.
+
+    A rating scale has a handful whatever the number of ratings; of continuous measures it is as long as the group.
+    """
+    counts = df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    lists = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_v", "_n"))).alias("_l"))
+    return lists.select(*keys, F.transform("_l", lambda x: x["_v"]).alias("values"), F.transform("_l", lambda x: x["_n"]).alias("counts"))
+
+
+def _each(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.Series], dict], fields: str) -> DataFrame:
+    """The keys and fn's fields of every row."""
+    ship_package(df.sparkSession)
+    names = [f.split(" ")[0] for f in fields.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            found = [fn(row) for _, row in pdf.iterrows()]
+            yield pdf[list(keys)].assign(**{name: [f[name] for f in found] for name in names})
+
+    return df.mapInPandas(run, f"{_types(df, keys)}, {fields}")
+
 
+def grouped_statistic(df: DataFrame, keys: Sequence[str], value: str, fn: Callable[[np.ndarray, np.ndarray], float], out: str = "statistic") -> DataFrame:
+    """fn(sorted distinct values, how often each occurs) of each group, without missing values."""
+    one = lambda row: {out: float(fn(np.asarray(row["values"]), np.asarray(row["counts"])))}
+    return _each(_counted(df, keys, F.col(value)), keys, one, f"{out} double")
 
-def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, statistic: str = "median", n: int = 2000, seed: int = 1) -> DataFrame:
+
+#: Draws of one task.
+DRAWS = 1_000
+
+
+def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, statistic: str = "median", n: int = 20_000, seed: int = 1) -> DataFrame:
     """Interval of the median (percentile) or mean (bias-corrected, accelerated) of each group.
 
-    The seed comes from the group's key, so results don't depend on order or partitions. Groups of equal values give themselves.
+    Values are counted first; a draw with replacement is then a multinomial draw of the counts, and tasks take
+    DRAWS draws each, so the draws of one large group are spread. Seeds come from the group's key and the number
+    of the task's draws, so results don't depend on order or partitions. Groups of equal values give themselves.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(F.lit(seed), *keys).alias("_seed"))
+    counted = _counted(df, keys, F.col(value)).withColumn("seed", F.xxhash64(F.lit(seed), *keys))
+    tasks = counted.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(-(-n // DRAWS) - 1)))).repartition(*keys, "lot")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = N.bootstrap(pdf["_v"].to_numpy(), statistic, n, int(pdf["_seed"].iloc[0]) & (2**63 - 1))
-        return pdf.head(1)[list(keys)].assign(low=low, high=high)
+    def draw(row: pd.Series) -> dict:
+        rng = np.random.default_rng([int(row["seed"]) & (2**63 - 1), int(row["lot"])])
+        return {"draws": N.resampled(np.asarray(row["values"]), np.asarray(row["counts"]), statistic, min(DRAWS, n - DRAWS * int(row["lot"])), rng)}
 
-    return _per_group(rows, keys, "_v", run, f"{_types(rows, keys)}, low double, high double")
+    drawn = _each(tasks, [*keys, "lot"], draw, "draws array<double>").groupBy(*keys).agg(F.flatten(F.collect_list("draws")).alias("draws"))
 
+    def interval(row: pd.Series) -> dict:
+        low, high = N.interval(np.asarray(row["values"]), np.asarray(row["counts"]), np.sort(row["draws"]), statistic)
+        return {"low": low, "high": high}
 
-def harrell_davis_quartiles(df: DataFrame, key: str, y: str) -> DataFrame:
-    """q1 and q3 of each group as beta-weighted means of its order statistics, for rating_outliers."""
-    q1 = grouped_statistic(df, [key], y, lambda v: N.harrell_davis(v, 0.25), "q1")
-    return q1.join(grouped_statistic(df, [key], y, lambda v: N.harrell_davis(v, 0.75), "q3"), key)
+    return _each(counted.drop("seed").join(drawn, list(keys)), keys, interval, "low double, high double")
 
 
-def permutation_test(df: DataFrame, keys: Sequence[str], a: str, b: str, n: int = 2000, seed: int = 1) -> DataFrame:
-    """p of the paired difference of each group by random sign flips."""
-    rows = df.select(*keys, (F.col(a) - F.col(b)).alias("_d"), F.xxhash64(F.lit(seed), *keys).alias("_seed")).dropna(subset=["_d"])
+def harrell_davis_quartiles(df: DataFrame, key: str, y: str) -> DataFrame:
+    """q1 and q3 of each group as beta-weighted means of its order statistics, for rating_outliers."""
+    one = lambda row: {q: N.harrell_davis(np.asarray(row["values"]), np.asarray(row["counts"]), x) for q, x in (("q1", 0.25), ("q3", 0.75))}
+    return _each(_counted(df, [key], F.col(y)), [key], one, "q1 double, q3 double")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.head(1)[list(keys)].assign(p_value=N.permutation_p(pdf["_d"].to_numpy(), n, int(pdf["_seed"].iloc[0]) & (2**63 - 1)))
 
-    return _per_group(rows, keys, "_d", run, f"{_types(rows, keys)}, p_value double")
+def permutation_test(df: DataFrame, keys: Sequence[str], a: str, b: str, n: int = 20_000, seed: int = 1) -> DataFrame:
+    """p of the paired difference of each group by random sign flips, drawn for the counts of equal differences."""
+    counted = _counted(df, keys, F.col(a) - F.col(b)).withColumn("seed", F.xxhash64(F.lit(seed), *keys))
+    one = lambda row: {"p_value": N.permutation_p(np.asarray(row["values"]), np.asarray(row["counts"]), n, int(row["seed"]) & (2**63 - 1))}
+    return _each(counted, keys, one, "p_value double")
 
 
 def tost_p(summary: DataFrame) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import constants as C
 from ..functions.acoustics import POWER
+from .sequences import in_chunks
 
 STEP = ("recording", "channel", "t_idx")
 
@@ -147,7 +150,8 @@ def sharpness_curve(spec: DataFrame, method: str = "widmann", calibration: float
 
 
 def roughness_transform(spec: DataFrame, calibration: float = 1.0, keys: Sequence[str] = STEP) -> DataFrame:
-    """calibration times values to a power that depends on how uneven the step's bands are."""
+    """calibration times values to a power that depends on how uneven the step's bands are; estimates below 0 count as 0."""
+    spec = spec.withColumn("value", F.greatest(F.col("value"), F.when(F.col("value").isNotNull(), 0.0)))
     steps = spec.groupBy(*keys).agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"), F.avg("value").alias("mean"))
     b = F.when(F.col("mean") == 0, 0.0).otherwise(F.col("rms") / F.col("mean"))
     e = steps.select(*keys, ((0.95555 - 0.58449) * (F.tanh(1.6407 * (b - 2.5804)) + 1) * 0.5 + 0.58449).alias("e"))
@@ -178,11 +182,20 @@ def band_smooth(spec: DataFrame, keys: Sequence[str] = STEP) -> DataFrame:
     return spec.withColumn("value", F.when(F.count("*").over(three) == 3, F.avg("value").over(three)).otherwise(F.col("value")))
 
 
-def impulsive_loudness(curve: DataFrame, half: int, percent: float = 5.0, keys: Sequence[str] = ("recording", "channel")) -> DataFrame:
-    """Adds base (a low percentile of the steps within half on either side, fewer at the ends) and impulse, the excess over it."""
-    w = W.Window.partitionBy(*keys).orderBy("t_idx").rangeBetween(-half, half)
-    base = F.percentile("value", F.lit(percent / 100)).over(w)
-    return curve.withColumn("base", base).withColumn("impulse", F.greatest(F.col("value") - F.col("base"), F.lit(0.0)))
+def impulsive_loudness(curve: DataFrame, half: int, percent: float = 5.0, keys: Sequence[str] = ("recording", "channel"), chunk: int = 65_536) -> DataFrame:
+    """Adds base (a low percentile of the steps within half on either side, fewer at the ends) and impulse, the excess over it.
+
+    Chunks with their neighbours' rows are rolled over by an ordered buffer, so a step costs log(half) and not half.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["t_idx"].to_numpy()
+        values = pdf.set_index("t_idx")["value"].reindex(np.arange(at[0], at[-1] + 1))  # steps that lack hold nothing
+        base = values.rolling(2 * half + 1, center=True, min_periods=1).quantile(percent / 100)
+        return pdf.assign(base=base.reindex(at).to_numpy())
+
+    out = in_chunks(curve, keys, "t_idx", chunk, half, half, run, "base double")
+    return out.withColumn("impulse", F.greatest(F.col("value") - F.col("base"), F.lit(0.0)))
 
 
 def impulsive_summary(curve: DataFrame, keys: Sequence[str] = ("recording", "channel")) -> DataFrame:

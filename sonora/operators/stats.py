@@ -126,13 +126,13 @@ def paired_difference(df: DataFrame, key: str, a: str, b: str, bound: float) ->
 
 
 def cv_metrics(df: DataFrame, y: str, mu: str, fold: str) -> DataFrame:
-    """mse, rmse, mae, r2 and gelman_r2 by fold, overall (fold -1), and the folds' standard error of rmse."""
+    """mse, rmse, mae, r2 and gelman_r2 by fold, overall (fold -1), and the folds' standard errors of rmse, mae and r2."""
     e = F.col(y) - F.col(mu)
     agg = [F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop(y).alias("vy"), F.var_samp(mu).alias("vm"), F.var_samp(e).alias("ve")]
     finish = lambda d: d.select("fold", "n", "mse", F.sqrt("mse").alias("rmse"), "mae", (1 - F.col("mse") / F.col("vy")).alias("r2"), (F.col("vm") / (F.col("vm") + F.col("ve"))).alias("gelman_r2"))
     folds = finish(df.groupBy(F.col(fold).cast("int").alias("fold")).agg(*agg))
     whole = finish(df.agg(*agg).withColumn("fold", F.lit(-1)))
-    se = folds.agg((F.stddev_samp("rmse") / F.sqrt(F.count("*"))).alias("rmse_se"))
+    se = folds.agg(*[(F.stddev_samp(c) / F.sqrt(F.count("*"))).alias(f"{c}_se") for c in ("rmse", "mae", "r2")])
     return folds.unionByName(whole).join(F.broadcast(se))
 
 
@@ -276,6 +276,28 @@ def partial_correlation(df: DataFrame, x: str, y: str, z: str, semi: bool = True
     return r.select("n", ((F.col("xy") - F.col("xz") * F.col("yz")) / below).alias("r"))
 
 
+def partial_correlations(df: DataFrame, xs: Sequence[str], ys: Sequence[str], covariates: Sequence[str], semi: bool = True) -> DataFrame:
+    """x, y, r, n of every pair, with any number of covariates taken out of x (semi) or of both, by ranks.
+
+    All rank correlations come from one aggregate; each pair then solves a system as small as the covariates.
+    """
+    cols = list(dict.fromkeys([*xs, *ys, *covariates]))
+    rows = _complete(df, cols)
+    for c in cols:
+        rows = mean_ranks(rows, c, f"_r_{c}")
+    pairs = list(combinations(cols, 2))
+    found = rows.agg(F.count("*").alias("n"), *[F.corr(f"_r_{a}", f"_r_{b}").alias(f"_{i}") for i, (a, b) in enumerate(pairs)]).first()
+    r = {(a, a): 1.0 for a in cols} | {p: found[f"_{i}"] for i, (a, b) in enumerate(pairs) for p in ((a, b), (b, a))}
+    z = np.linalg.pinv(np.array([[r[a, b] if r[a, b] is not None else np.nan for b in covariates] for a in covariates])) if covariates else np.zeros((0, 0))
+    out = []
+    for x in xs:
+        for y in ys:
+            cx, cy = (np.array([r[v, c] for c in covariates], float) for v in (x, y))
+            left = (1 - cx @ z @ cx) * (1.0 if semi else 1 - cy @ z @ cy)
+            out.append((x, y, float((r[x, y] - cx @ z @ cy) / np.sqrt(left)) if left > 0 else None, found["n"]))
+    return df.sparkSession.createDataFrame(out, "x string, y string, r double, n long")
+
+
 def empirical_thresholds(df: DataFrame, rating: str, by: Sequence[str]) -> DataFrame:
     """Logit of the cumulative share of each ordered rating; the last one, which is infinite, is left out."""
     counts = df.filter(F.col(rating).isNotNull()).groupBy(*by, rating).agg(F.count("*").alias("k"))

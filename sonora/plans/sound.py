@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import acoustics as A
 from ..operators import bands as B
 from ..operators import levels as L
+from ..operators import responses as R
 from ..operators import sequences as Q
 from ..operators import specific as S
+from ..runtime import shared_folder
 from ..sources import adapters as D
+from ..sources import files
 from .registry import plan
 
 CURVE = "SELECT recording, channel, t_idx, sum(value) * 0.5e0 AS value FROM spec_metric GROUP BY ALL"
@@ -269,24 +272,24 @@ def _list(values):
     return "list_value(" + ", ".join(f"{v!r}::DOUBLE" for v in values) + ")"
 
 
-_DET = f"""SELECT recording, channel, t_idx, band, target_db, masker_db, a_weight, d_prime, 3 / (d_prime / 14) AS discount_db, target_db - 3 / (d_prime / 14) AS discounted_db FROM (
+_DET = f"""SELECT *, target_db + a_weight AS target_dba, masker_db + a_weight AS masker_dba, discounted_db + a_weight AS discounted_dba FROM (SELECT recording, channel, t_idx, band, target_db, masker_db, a_weight, d_prime, 3 / (d_prime / 14) AS discount_db, target_db - 3 / (d_prime / 14) AS discounted_db FROM (
  SELECT *, eff * 4e-10 * pow(10, target_db / 10) / (4e-10 * pow(10, masker_db / 10) + eff * pow(2e-5 * pow(10, {_list(_C.HEARING_THRESHOLDS)}[band + 1] / 20), 2) / 2) AS d_prime, {_list(_C.A_WEIGHTS)}[band + 1] AS a_weight FROM (
   SELECT *, 0.3e0 * sqrt(0.5e0) * sqrt(bw) * sqrt(bw / (24.7e0 * (1 + 4.37e0 / 1000 * f))) * pow(10, CASE WHEN f >= 2500 THEN -6 * pow(log10(f / 2500), 2) ELSE 0 END / 10) AS eff FROM (
    SELECT *, f * (pow(10, 0.05e0) - pow(10, -0.05e0)) AS bw FROM (
     SELECT t.recording, t.channel, t.t_idx, t.band, t.level_db AS target_db, m.level_db AS masker_db, 1000 * pow(10, 0.3e0 * (t.band - 17) / 3) AS f FROM thirds t
-    JOIN thirds m ON m.recording = t.recording + 1 AND m.channel = t.channel AND m.t_idx = t.t_idx AND m.band = t.band WHERE t.recording % 2 = 0))))"""
+    JOIN thirds m ON m.recording = t.recording + 1 AND m.channel = t.channel AND m.t_idx = t.t_idx AND m.band = t.band WHERE t.recording % 2 = 0)))))"""
 
 
-@plan(_DET, "target_db masker_db a_weight d_prime discount_db discounted_db", digits=5)
+@plan(_DET, "target_db masker_db a_weight d_prime discount_db discounted_db target_dba masker_dba discounted_dba", digits=5)
 def detectability_spectrum(spark, d):
     return B.detectability_spectrum(*_thirds(spark, d))
 
 
-@plan(f"""SELECT *, laeq_target - laeq_discounted AS dba_discount FROM (SELECT recording, channel, 10 * log10(max(top)) AS max_db, 10 * log10(max(rss)) AS int_max_db, 10 * log10(0.5e0 * sum(rss)) AS int_db, 10 * log10(0.5e0 * sum(top)) AS max_int_db,
- quantile_cont(10 * log10(top), 0.5) AS max_ex50, quantile_cont(10 * log10(rss), 0.5) AS int_ex50, 10 * log10(avg(target)) AS laeq_target, 10 * log10(avg(discounted)) AS laeq_discounted
+@plan(f"""SELECT *, laeq_target - laeq_discounted AS dba_discount, lae_target - (laeq_target - laeq_discounted) AS lae_discounted FROM (SELECT recording, channel, 10 * log10(max(top)) AS max_db, 10 * log10(max(rss)) AS int_max_db, 10 * log10(0.5e0 * sum(rss)) AS int_db, 10 * log10(0.5e0 * sum(top)) AS max_int_db,
+ quantile_cont(10 * log10(top), 0.5) AS max_ex50, quantile_cont(10 * log10(rss), 0.5) AS int_ex50, 10 * log10(avg(target)) AS laeq_target, 10 * log10(avg(discounted)) AS laeq_discounted, 10 * log10(avg(masker)) AS laeq_masker, 10 * log10(0.5e0 * sum(target)) AS lae_target, 10 * log10(0.5e0 * sum(masker)) AS lae_masker
 FROM (SELECT *, min(t_idx) OVER (PARTITION BY recording, channel) AS a, max(t_idx) OVER (PARTITION BY recording, channel) AS b FROM
- (SELECT recording, channel, t_idx, max(d_prime) AS top, sqrt(sum(d_prime * d_prime)) AS rss, sum(pow(10, (target_db + a_weight) / 10)) AS target, sum(pow(10, (discounted_db + a_weight) / 10)) AS discounted FROM ({_DET}) GROUP BY recording, channel, t_idx))
-WHERE t_idx >= a + 1 AND t_idx <= b - 1 GROUP BY recording, channel)""", "max_db int_max_db int_db max_int_db max_ex50 int_ex50 laeq_target laeq_discounted dba_discount", digits=5)
+ (SELECT recording, channel, t_idx, max(d_prime) AS top, sqrt(sum(d_prime * d_prime)) AS rss, sum(pow(10, (target_db + a_weight) / 10)) AS target, sum(pow(10, (masker_db + a_weight) / 10)) AS masker, sum(pow(10, (discounted_db + a_weight) / 10)) AS discounted FROM ({_DET}) GROUP BY recording, channel, t_idx))
+WHERE t_idx >= a + 1 AND t_idx <= b - 1 GROUP BY recording, channel)""", "max_db int_max_db int_db max_int_db max_ex50 int_ex50 laeq_target laeq_discounted dba_discount laeq_masker lae_target lae_masker lae_discounted", digits=5)
 def detectability_summary(spark, d):
     return B.detectability_summary(B.detectability_spectrum(*_thirds(spark, d)), skip=(1, 1))
 
@@ -307,10 +310,10 @@ def psych_annoyance(spark, d):
     return curve(spark, d).select("recording", "channel", "t_idx", *[A.psych_annoyance(x, **m).alias(x) for x in ("widmann", "more", "willemsen", "di", "torija", "boucher")])
 
 
-@plan(f"""WITH c AS (SELECT recording, t_idx, value FROM ({CURVE}) WHERE channel = 0)
+@plan(f"""WITH c AS (SELECT recording, t_idx, avg(value) AS value FROM ({CURVE}) GROUP BY ALL)
 SELECT recording, t_idx, CASE WHEN loud > 0 THEN loud * (1 + sqrt({_WS} + {_WM})) ELSE 0 END AS value FROM (SELECT recording, t_idx, value AS loud, value / 8 AS sharp, value / 20 AS fluct, value / 15 AS rough FROM c)""", "value")
 def psych_annoyance_curve(spark, d):
-    c = curve(spark, d).filter("channel = 0").select("recording", "t_idx", "value")
+    c = curve(spark, d).groupBy("recording", "t_idx").agg(F.avg("value").alias("value"))
     part = lambda k: c.withColumn("value", F.col("value") / k)
     return B.psych_annoyance_curve(c, part(8), part(20), part(15))
 
@@ -323,10 +326,10 @@ def psych_annoyance_curve_channels(spark, d):
     return B.psych_annoyance_curve(c, part(8), part(20), part(15), ["recording", "channel"])
 
 
-@plan("""WITH b AS (SELECT i, 1000 * pow(10, 0.3e0 * (i - 17) / 3) AS f FROM range(0, 31) t(i)), x AS (SELECT recording, channel, band * 10 + 20 AS freq, value * value AS power FROM spec_metric WHERE t_idx = 0)
+@plan("""WITH b AS (SELECT i, 1000 * pow(10, 0.3e0 * (i - 17) / 3) AS f FROM range(0, 31) t(i)), x AS (SELECT recording, channel, band * 10 + 20 AS freq, value * value AS power FROM spec_metric)
 SELECT recording, channel, CAST(i AS INT) AS band, CASE WHEN sum(power) > 0 THEN 10 * log10(sum(power) / 4e-10) END AS level_db FROM x JOIN b ON freq >= f / pow(10, 0.05e0) AND freq < f * pow(10, 0.05e0) GROUP BY ALL""", "level_db")
 def bins_to_bands(spark, d):
-    x = D.spec_metric(spark, d).filter("t_idx = 0").select("recording", "channel", (F.col("band") * 10 + 20).cast("double").alias("freq"), (F.col("value") * F.col("value")).alias("power"))
+    x = D.spec_metric(spark, d).select("recording", "channel", (F.col("band") * 10 + 20).cast("double").alias("freq"), (F.col("value") * F.col("value")).alias("power"))
     return B.bins_to_bands(x, B.octave_bands(spark, 20, 20000, 3))
 
 
@@ -393,3 +396,83 @@ def noise_reduction_lowpass(spark, d):
 def resample_linear(spark, d):
     c = curve(spark, d).select("recording", "channel", F.col("t_idx").cast("double").alias("t"), "value")
     return Q.resample_linear(c, c.select("recording", "channel", (F.col("t") + 0.25).alias("t")))
+
+
+def _overall(loud, sharp, fluct, rough):
+    """Annoyance of the recordings in c (recording, channel, value), given the aggregates of each curve."""
+    return f"""SELECT recording, channel, CASE WHEN loud > 0 THEN loud * (1 + sqrt({_WS} + {_WM})) ELSE 0 END AS annoyance FROM (
+ SELECT recording, channel, {loud} AS loud, {sharp} AS sharp, {fluct} AS fluct, {rough} AS rough FROM (SELECT recording, channel, value AS l, value / 8 AS s, CASE WHEN t_idx % 2 = 0 THEN value / 20 END AS f, value / 15 AS r FROM ({CURVE})) GROUP BY ALL)"""
+
+
+_POWER_AVERAGE = "pow(avg(pow({}, 1 / log10(2))), log10(2))"
+
+
+def _annoyance_overall(spark, d, form):
+    c = curve(spark, d).select("recording", "channel", "t_idx", "value")
+    part = lambda k: c.withColumn("value", F.col("value") / k)
+    return B.psych_annoyance_overall(c, part(8), part(20).filter("t_idx % 2 = 0"), part(15), ["recording", "channel"], form)  # fluctuation at half the rate
+
+
+@plan(_overall("quantile_cont(l, 0.95)", "quantile_cont(s, 0.95)", "quantile_cont(f, 0.95)", "quantile_cont(r, 0.95)"), "annoyance")
+def psych_annoyance_percentiles(spark, d):
+    return _annoyance_overall(spark, d, "percentiles")
+
+
+@plan(_overall(_POWER_AVERAGE.format("l"), _POWER_AVERAGE.format("s"), "quantile_cont(f, 0.9)", "quantile_cont(r, 0.9)"), "annoyance")
+def psych_annoyance_averages(spark, d):
+    return _annoyance_overall(spark, d, "averages")
+
+
+@plan(f"""WITH c AS (SELECT recording, channel, t_idx, value FROM ({CURVE})) SELECT a.recording, a.channel, a.t_idx * 0.5e0 AS t, a.value AS loud, CASE WHEN a.t_idx % 2 = 0 THEN a.value / 8 ELSE (b.value + e.value) / 16 END AS sharp
+FROM c a LEFT JOIN c b ON b.recording = a.recording AND b.channel = a.channel AND b.t_idx = a.t_idx - 1 LEFT JOIN c e ON e.recording = a.recording AND e.channel = a.channel AND e.t_idx = a.t_idx + 1""", "t loud sharp")
+def align_curves(spark, d):
+    c = curve(spark, d).select("recording", "channel", "t_idx", (F.col("t_idx") * 0.5).alias("t"), "value")
+    half = c.filter("t_idx % 2 = 0").withColumn("value", F.col("value") / 8)
+    return Q.align_curves({"loud": c, "sharp": half}, "loud")
+
+
+@plan(f"""SELECT recording, channel, target_dba - dba_discount AS leq_discounted, target_lae - dba_discount AS le_discounted FROM (SELECT recording, channel, 10 * log10(avg(target)) AS target_dba, 10 * log10(0.5e0 * sum(target)) AS target_lae, 10 * log10(avg(target)) - 10 * log10(avg(discounted)) AS dba_discount
+FROM (SELECT recording, channel, t_idx, sum(pow(10, target_dba / 10)) AS target, sum(pow(10, discounted_dba / 10)) AS discounted FROM ({_DET}) GROUP BY ALL) GROUP BY ALL)""", "leq_discounted le_discounted", digits=5)
+def detection_discounted_level(spark, d):
+    x = B.detectability_summary(B.detectability_spectrum(*_thirds(spark, d)))
+    x = R.detection_discounted_level(x, {"leq_discounted": ("laeq_target", "dba_discount"), "le_discounted": ("lae_target", "dba_discount")})
+    return x.select("recording", "channel", "leq_discounted", "le_discounted")
+
+
+def _folder(spark):
+    return shared_folder(spark)
+
+
+@plan("SELECT event_id, event_type, value, 'a.csv' AS source_file FROM events", "value")
+def read_response_csvs(spark, d):
+    """The events written as CSV files of one folder, and read again with the file that each row comes from (its name is made one here)."""
+    folder = _folder(spark)
+    rows = D.table(spark, d, "events").select("event_id", "event_type", "value")
+    files.write_tables(rows, folder, "csv")
+    back = files.read_response_csvs(spark, folder, rows.schema)
+    return back.withColumn("source_file", F.when(F.col("source_file").endswith(".csv"), "a.csv"))
+
+
+@plan("SELECT recording, channel, t_idx * 1.0e0 AS t, band * 0.5e0 AS band, value FROM spec_metric", "t band value")
+def read_spec_matrix(spark, d):
+    """Band values written as text matrices, one file for each recording and channel, and read again."""
+    folder = _folder(spark)
+    spec = D.spec_metric(spark, d)
+    steps = spec.groupBy("recording", "channel", "t_idx").agg(F.array_sort(F.collect_list(F.struct("band", "value"))).alias("v"))
+    line = lambda first, cells: F.concat_ws("\t", F.array(first), cells).alias("value")
+    body = steps.select("recording", "channel", F.col("t_idx").alias("i"), line(F.col("t_idx").cast("double").cast("string"), F.transform("v", lambda x: x["value"].cast("string"))))
+    head = steps.groupBy("recording", "channel").agg(F.first("v").alias("v")).select("recording", "channel", F.lit(-1).alias("i"), line(F.lit("NaN"), F.transform("v", lambda x: (x["band"] * 0.5).cast("string"))))
+    name = F.concat_ws("_", "recording", "channel").alias("name")
+    rows = body.union(head).select(name, "i", "value").repartition("name").sortWithinPartitions("name", "i")
+    rows.select("name", "value").write.partitionBy("name").text(folder)
+    back = files.read_spec_matrix(spark, f"{folder}/name=*", name=r"name=([^/]+)")
+    key = F.split("source_file", "_")
+    return back.select(F.get(key, F.lit(0)).cast("int").alias("recording"), F.get(key, F.lit(1)).cast("int").alias("channel"), "t", "band", "value")
+
+
+@plan("SELECT recording, channel, count(*) AS n, 10 * log10(avg(p * p) / 4e-10) AS leq FROM signals GROUP BY ALL", "leq")
+def write_tables(spark, d):
+    """A result written as Parquet in folders by channel, and read again."""
+    folder = _folder(spark)
+    files.write_tables(L.level_stats(D.signals(spark, d), D.RATE).select("recording", "channel", "n", "leq"), folder, partition_by=["channel"])
+    return spark.read.parquet(folder).select("recording", F.col("channel").cast("int").alias("channel"), "n", "leq")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import numeric as N
 from ..operators import responses as R
 from ..operators import scoring as C
 from ..operators import sequences as Q
@@ -62,11 +63,12 @@ def icc_consistency(spark, d):
     return S.icc_consistency(cells, "lvl", "ambient", "y")
 
 
-_PAIRS = "SELECT participant, max(rating) FILTER (lvl = 2) AS a, max(rating) FILTER (lvl = 3) AS b FROM ratings WHERE ambient = 'A' GROUP BY participant"
+_PAIRS = "SELECT participant, ambient, max(rating) FILTER (lvl = 2) AS a, max(rating) FILTER (lvl = 3) AS b FROM ratings GROUP BY ALL"
 
 
 def pairs(spark, d):
-    w = R.to_wide(D.ratings(spark, d).filter("ambient = 'A'"), "participant", "lvl", "rating", [2, 3])
+    r = D.ratings(spark, d).withColumn("participant", F.concat_ws("_", "participant", "ambient"))
+    w = R.to_wide(r, "participant", "lvl", "rating", [2, 3])
     return w.select("participant", F.col("2").alias("a"), F.col("3").alias("b"))
 
 
@@ -83,14 +85,14 @@ def equivalence_test(spark, d):
 @plan()
 def permutation_test(spark, d):
     r = R.change_from_baseline(D.ratings(spark, d), ["participant", "ambient"], base(), ["rating"]).withColumn("zero", F.lit(0.0))
-    return Q.permutation_test(r.filter(~base()), ["stimulus"], "d_rating", "zero", 500)
+    return Q.permutation_test(r.filter(~base()), ["stimulus"], "d_rating", "zero")
 
 
 _M = "count(*) AS n, avg((yc - mu) * (yc - mu)) AS mse, avg(abs(yc - mu)) AS mae, var_pop(yc) AS vy, var_samp(mu) AS vm, var_samp(yc - mu) AS ve"
 
 
 @plan(f"""WITH p AS ({_PRED}), f AS (SELECT fold, n, mse, sqrt(mse) AS rmse, mae, 1 - mse / vy AS r2, vm / (vm + ve) AS gelman_r2 FROM (SELECT fold, {_M} FROM p GROUP BY fold UNION ALL SELECT -1, {_M} FROM p))
-SELECT f.*, (SELECT stddev_samp(rmse) / sqrt(count(*)) FROM f WHERE fold >= 0) AS rmse_se FROM f""", "mse rmse mae r2 gelman_r2 rmse_se")
+SELECT f.*, (SELECT stddev_samp(rmse) / sqrt(count(*)) FROM f WHERE fold >= 0) AS rmse_se, (SELECT stddev_samp(mae) / sqrt(count(*)) FROM f WHERE fold >= 0) AS mae_se, (SELECT stddev_samp(r2) / sqrt(count(*)) FROM f WHERE fold >= 0) AS r2_se FROM f""", "mse rmse mae r2 gelman_r2 rmse_se mae_se r2_se")
 def cv_metrics(spark, d):
     return S.cv_metrics(predictions(spark, d), "yc", "mu", "fold")
 
@@ -178,6 +180,18 @@ def partial_correlation(spark, d):
     return S.partial_correlation(D.table(spark, d, "lineitem"), "l_quantity", "l_tax", "l_discount")
 
 
+_TWO = "(xy - (xz * (yz - yw * zw) + xw * (yw - yz * zw)) / (1 - zw * zw)) / sqrt(1 - (xz * xz + xw * xw - 2 * xz * xw * zw) / (1 - zw * zw))"
+
+
+def _partial(x, y):
+    return f"SELECT '{x}' AS x, '{y}' AS y, n, {_TWO} AS r FROM (SELECT count(*) AS n, corr({x}, {y}) AS xy, corr({x}, l_discount) AS xz, corr({x}, l_linenumber) AS xw, corr({y}, l_discount) AS yz, corr({y}, l_linenumber) AS yw, corr(l_discount, l_linenumber) AS zw FROM k)"
+
+
+@plan("WITH k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0e0 AS {c}" for c in ("l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_linenumber")) + " FROM lineitem) " + " UNION ALL ".join(_partial(x, y) for x in ("l_quantity", "l_extendedprice") for y in ("l_tax",)), "r")
+def partial_correlations(spark, d):
+    return S.partial_correlations(D.table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_tax"], ["l_discount", "l_linenumber"])
+
+
 @plan("SELECT ambient, rating, ln(share / (1 - share)) AS threshold FROM (SELECT ambient, rating, sum(k) OVER (PARTITION BY ambient ORDER BY rating) * 1.0e0 / sum(k) OVER (PARTITION BY ambient) AS share FROM (SELECT ambient, rating, count(*) AS k FROM ratings GROUP BY ALL)) WHERE share < 1", "rating threshold")
 def empirical_thresholds(spark, d):
     return S.empirical_thresholds(D.ratings(spark, d), "rating", ["ambient"])
@@ -217,17 +231,17 @@ def counterfactual_grid(spark, d):
 
 @plan()
 def bootstrap_median(spark, d):
-    return Q.bootstrap_ci(changed(spark, d), ["stimulus"], "rating", "median", 300)
+    return Q.bootstrap_ci(changed(spark, d), ["stimulus"], "rating", "median")
 
 
 @plan()
 def bootstrap_mean(spark, d):
-    return Q.bootstrap_ci(changed(spark, d), ["stimulus"], "d_rating", "mean", 300)
+    return Q.bootstrap_ci(changed(spark, d), ["stimulus"], "d_rating", "mean")
 
 
 @plan("SELECT stimulus, quantile_cont(rating, 0.5) AS statistic FROM ratings GROUP BY 1", "statistic")
 def grouped_statistic(spark, d):
-    return Q.grouped_statistic(D.ratings(spark, d), ["stimulus"], "rating", lambda v: float((v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2))
+    return Q.grouped_statistic(D.ratings(spark, d), ["stimulus"], "rating", N.weighted_median)
 
 
 @plan()

@@ -89,10 +89,11 @@ def filter_participants(spark, d):
     return R.filter_participants(D.ratings(spark, d), D.people(spark, d).filter("age IS NULL"))
 
 
-@plan("SELECT participant, ambient, lvl, stimulus, trial_key FROM ratings WHERE lvl = 1")
+@plan("SELECT participant, ambient, lvl, stimulus, trial_key, CASE WHEN lvl > 1 THEN rating END AS rating, CASE WHEN lvl = 1 THEN 'aux' ELSE 'test' END AS half FROM ratings", "rating")
 def split_test_aux(spark, d):
     df = D.ratings(spark, d).withColumn("rating", F.when(F.col("lvl") > 1, F.col("rating")))
-    return R.split_test_aux(df, base())[1]
+    test, aux = R.split_test_aux(df, base())
+    return test.withColumn("half", F.lit("test")).unionByName(aux.withColumn("half", F.lit("aux")), allowMissingColumns=True)
 
 
 @plan("SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 7 * 100 + 0.5) / 100 AS up, floor(-l_discount * 10 + 0.5) / 10 AS neg FROM lineitem", "up neg")
@@ -120,10 +121,10 @@ def beta_scale(spark, d):
     return R.beta_scale(r, "share", 0.0, 1.0, "smithson", "reverse", out="back").select("participant", "ambient", "lvl", "rating_beta", "basic", "back")
 
 
-@plan("SELECT participant, ambient, lvl, (rating - avg(rating) OVER ()) / stddev_samp(rating) OVER () AS all_scl, (rating - avg(rating) OVER (PARTITION BY ambient)) AS rating_scl FROM ratings", "all_scl rating_scl")
+@plan("SELECT participant, ambient, lvl, (rating - avg(rating) OVER ()) / stddev_samp(rating) OVER () AS all_scl, (rating - avg(rating) OVER (PARTITION BY ambient)) AS rating_scl, (lvl - avg(lvl) OVER (PARTITION BY ambient)) / stddev_samp(lvl) OVER (PARTITION BY ambient) AS lvl_scl FROM ratings", "all_scl rating_scl lvl_scl")
 def standardise(spark, d):
     r = R.standardise(D.ratings(spark, d), ["rating", "absent"]).withColumnRenamed("rating_scl", "all_scl")
-    return R.standardise(r, ["rating"], scale=False, by=["ambient"]).select("participant", "ambient", "lvl", "all_scl", "rating_scl")
+    return R.standardise(r, ["rating", "lvl"], scale=[False, True], by=["ambient"]).select("participant", "ambient", "lvl", "all_scl", "rating_scl", "lvl_scl")
 
 
 @plan("SELECT recording, channel, t_idx, band, round_even(level_db / 5, 0) * 5 AS level_class, (band + 1) / (30 / 60.0e0) AS events_per_minute FROM thirds", "level_class events_per_minute")
@@ -221,9 +222,9 @@ def notice_anomalies(spark, d):
     return R.notice_anomalies(D.ratings(spark, d).withColumn("noticed", F.col("lvl") % 2), "participant", "rating", "noticed", 1.0, 9.0)
 
 
-@plan("SELECT participant, " + ", ".join(f"max(rating) FILTER (lvl = {v}) AS \"{v}\"" for v in range(1, 8)) + " FROM ratings WHERE ambient = 'A' GROUP BY participant", " ".join(f'"{v}"' for v in range(1, 8)))
+@plan("SELECT ambient || '_' || CAST(participant AS VARCHAR) AS participant, " + ", ".join(f"max(rating) FILTER (lvl = {v}) AS \"{v}\"" for v in range(1, 8)) + " FROM ratings GROUP BY 1", " ".join(f'"{v}"' for v in range(1, 8)))
 def to_wide(spark, d):
-    return R.to_wide(D.ratings(spark, d).filter("ambient = 'A'"), "participant", "lvl", "rating", range(1, 8))
+    return R.to_wide(D.ratings(spark, d).withColumn("participant", F.concat_ws("_", "ambient", "participant")), "participant", "lvl", "rating", range(1, 8))
 
 
 @plan("SELECT l_orderkey, l_linenumber, l_partkey, name, value FROM (SELECT l_orderkey, l_linenumber, l_partkey, 'l_tax' AS name, l_tax AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'l_discount', l_discount FROM lineitem)", "value")
@@ -242,9 +243,9 @@ def rank_importance(spark, d):
     return R.rank_importance(x.select(F.col("p_brand").alias("variable"), F.col("l_extendedprice").alias("importance")), 10)
 
 
-@plan("SELECT participant, ambient, rating, NULL::BIGINT AS age FROM ratings WHERE lvl = 7 UNION ALL SELECT participant, NULL, NULL, age FROM people", "rating")
+@plan("SELECT participant, ambient, rating, NULL::BIGINT AS age FROM ratings UNION ALL SELECT participant, NULL, NULL, age FROM people", "rating")
 def union_parts(spark, d):
-    return R.union_parts(D.ratings(spark, d).filter("lvl = 7").select("participant", "ambient", "rating"), D.people(spark, d).select("participant", "age"))
+    return R.union_parts(D.ratings(spark, d).select("participant", "ambient", "rating"), D.people(spark, d).select("participant", "age"))
 
 
 @plan("""WITH w AS (SELECT participant, ambient, max(rating) FILTER (lvl = 1) AS s1, max(rating) FILTER (lvl = 2) AS s2 FROM ratings GROUP BY ALL)
@@ -258,11 +259,11 @@ def transpose_ratings(spark, d):
     return R.transpose_ratings(wide("A"), wide("N"), "participant", ["A1", "A2"], ["N1", "N2"])
 
 
-@plan("SELECT participant, coalesce(age, m) AS age, age IS NULL AS age_missing FROM people, (SELECT quantile_cont(age, 0.5) AS m FROM people) WHERE participant IN (SELECT participant FROM ratings)", "age")
+@plan("SELECT participant, nation, coalesce(age, m) AS age, age IS NULL AS age_missing FROM people, (SELECT quantile_cont(age, 0.5) AS m FROM people) WHERE participant IN (SELECT participant FROM ratings)", "age")
 def impute_median(spark, d):
     first = R.first_per_participant(D.ratings(spark, d).select("participant").join(D.people(spark, d), "participant", "left"), "participant", ["nation"])
     people = R.impute_median(D.people(spark, d).select("participant", "age"), "age")
-    return people.join(first.select("participant"), "participant", "left_semi")
+    return people.join(first, "participant").select("participant", "nation", "age", "age_missing")
 
 
 @plan("SELECT participant, trial, overall FROM (SELECT participant, lvl AS trial, lvl AS overall FROM ratings WHERE ambient = 'A' UNION ALL SELECT r.participant, lvl, lvl + coalesce(CASE WHEN r.participant = 7 THEN 3 END, last, 0) FROM ratings r LEFT JOIN (SELECT participant, max(lvl) AS last FROM ratings WHERE ambient = 'A' GROUP BY 1) a ON a.participant = r.participant WHERE ambient = 'N')")

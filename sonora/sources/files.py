@@ -14,13 +14,13 @@ def read_response_csvs(spark: SparkSession, paths: str | Sequence[str], schema:
     return spark.read.schema(schema).csv(paths, header=True).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
-def read_spec_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """source_file, t, band, value of text matrices whose first row holds bands and first column times.
+def read_spec_matrix(spark: SparkSession, path: str, sep: str = "\t", name: str = r"([^/]+)$") -> DataFrame:
+    """source_file (what the pattern `name` finds in the path), t, band, value of text matrices whose first row holds bands and first column times.
 
     Each file's first row is found by its blank or NaN first cell, and joined to the other rows by file and
     place in the row; only the header rows (one a file) are broadcast.
     """
-    lines = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), F.split("value", sep).alias("cells"))
+    lines = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), name, 1).alias("source_file"), F.split("value", sep).alias("cells"))
     first = F.trim(F.element_at("cells", 1))
     header = (first == "") | (F.lower(first) == "nan") | (first == "0") & (F.size("cells") > 1) & F.element_at("cells", 2).isin("0.5")
     axis = lines.filter(header).select("source_file", F.posexplode("cells").alias("place", "band")).filter("place > 0")

@@ -133,17 +133,116 @@ def test_distributions():
     assert N.normal_quantile(0.975) == pytest.approx(1.959964, abs=1e-6)
     assert N.beta_cdf(0.3, 2, 5) == pytest.approx(0.579825, abs=1e-6)
     v = np.arange(1.0, 12.0)
-    assert N.harrell_davis(v, 0.5) == pytest.approx(6)
+    assert N.harrell_davis(v, np.ones(11, int), 0.5) == pytest.approx(6)
+    edges = [N.beta_cdf(i / 6, 7 * 0.25, 7 * 0.75) for i in range(7)]
+    assert N.harrell_davis(np.array([1.0, 2.0, 5.0]), np.array([3, 1, 2]), 0.25) == pytest.approx(np.diff(edges) @ np.array([1, 1, 1, 2, 5, 5.0]))
+    for values, counts in (([1.0, 4.0], [3, 3]), ([1.0, 2.0, 9.0], [1, 1, 5]), ([3.0], [4])):
+        assert N.weighted_median(np.array(values), np.array(counts)) == np.median(np.repeat(values, counts))
+
+
+def uneven(t, x, tau):
+    out, y = [], x[0]
+    for i, v in enumerate(x):
+        k = 0.0 if i == 0 else math.exp(-(t[i] - t[i - 1]) / tau)
+        y = (1 - k) * v + k * y
+        out.append(y)
+    return out
+
+
+def test_uneven_average_matches_a_loop():
+    rng = np.random.default_rng(1)
+    for scale in (0.01, 1.0, 300.0):
+        t, x = np.cumsum(rng.exponential(scale, 2000)), rng.random(2000)
+        assert np.allclose(N.uneven_average(t, x, 1.0, math.nan, -math.inf), uneven(t, x, 1.0))
+        head = N.uneven_average(t[:700], x[:700], 1.0, math.nan, -math.inf)
+        assert np.allclose(N.uneven_average(t[700:], x[700:], 1.0, head[-1], t[699]), uneven(t, x, 1.0)[700:])
+    assert len(N.uneven_average(np.zeros(0), np.zeros(0), 1.0, math.nan, -math.inf)) == 0
+
+
+@pytest.mark.parametrize("scale", [0.2, 40.0, 900.0])
+def test_batch_time_weight_over_spans(spark, scale):
+    from sonora.streaming import monitor
+
+    rng = np.random.default_rng(2)
+    t, p = np.cumsum(rng.exponential(scale, 400)), rng.standard_normal(400)
+    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(t, p, strict=True)] + [(2, 5.0, 0.02)], "recording int, t double, p double")
+    got = monitor.batch_time_weight(df, 1.0).orderBy("recording", "t").toPandas()["level"].to_numpy()
+    assert np.allclose(got[:-1], 10 * np.log10(np.maximum(uneven(t, p**2, 1.0), 1e-30) / 4e-10)) and got[-1] == pytest.approx(60)
+
+
+def test_recursive_filter_matches_a_loop():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal(500)
+    for b, a in ((np.array([0.2, 0.1]), np.array([1.0, -0.7])), N.third_order_lowpass(187.5), N.a_weight_coefficients(500.0)):
+        y = []
+        for i in range(len(x)):
+            y.append(sum(b[k] * x[i - k] for k in range(len(b)) if i >= k) - sum(a[k] * y[i - k] for k in range(1, len(a)) if i >= k))
+        assert np.allclose(N.recursive_filter(b, a, x, False), y, atol=1e-8)
+        assert len(N.recursive_filter(b, a, x[:1], True)) == 1
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64, 10_000])
+@pytest.mark.parametrize("offset", [0, 5, 1000])
+def test_time_weight_of_trimmed_recordings(spark, chunk, offset):
+    x = np.random.default_rng(2).standard_normal(150)
+    rows = signal(spark, x).withColumn("sample_idx", F.col("sample_idx") + offset)
+    want = Q.time_weight(signal(spark, x), 8.0, 0.7).orderBy("sample_idx").toPandas()["weighted"]
+    got = Q.time_weight(rows, 8.0, 0.7, chunk=chunk).orderBy("sample_idx").toPandas()["weighted"]
+    assert np.allclose(got, want)
+    ones = Q.time_weight(rows.withColumn("p", F.lit(1.0)), 8.0, 0.7, chunk=chunk)
+    assert ones.filter("abs(weighted - 1) > 1e-9").count() == 0
+
+
+def test_asymmetric_lowpass_does_not_depend_on_chunks(spark):
+    rng = np.random.default_rng(8)
+    spec = spark.createDataFrame([(1, 0, t, b, float(rng.random())) for t in range(400) for b in range(2)], "recording int, channel int, t_idx int, band int, value double")
+    whole = Q.asymmetric_lowpass(spec, 4.0).orderBy("t_idx", "band").toPandas()["smoothed"]
+    parts = Q.asymmetric_lowpass(spec, 4.0, chunk=150).orderBy("t_idx", "band").toPandas()["smoothed"]
+    assert np.allclose(whole, parts, atol=1e-12)
+
+
+def test_impulsive_loudness_in_chunks(spark):
+    rng = np.random.default_rng(9)
+    steps = [t for t in range(200) if t % 17]
+    v = dict(zip(steps, rng.random(len(steps)).tolist(), strict=True))
+    curve = spark.createDataFrame([(1, 0, t, x) for t, x in v.items()], "recording int, channel int, t_idx int, value double")
+    for chunk in (30, 1000):
+        for r in S.impulsive_loudness(curve, 6, 20.0, chunk=chunk).collect():
+            near = [x for t, x in v.items() if abs(t - r["t_idx"]) <= 6]
+            assert r["base"] == pytest.approx(np.quantile(near, 0.2)) and r["impulse"] == pytest.approx(max(0, v[r["t_idx"]] - r["base"]))
+
+
+def test_negative_roughness_counts_as_zero(spark):
+    spec = spark.createDataFrame([(1, 0, 0, b, x) for b, x in enumerate([-0.5, 0.0, 0.4, 0.8])], "recording int, channel int, t_idx int, band int, value double")
+    out = [r["value"] for r in S.roughness_transform(spec).orderBy("band").collect()]
+    assert out[:2] == [0.0, 0.0] and all(x > 0 for x in out[2:])
+
+
+def test_aligned_curves(spark):
+    fine = spark.createDataFrame([(1, 0, t / 4, float(t)) for t in range(9)], "recording int, channel int, t double, value double")
+    coarse = spark.createDataFrame([(1, 0, 0.5, 1.0), (1, 0, 1.5, 3.0)], "recording int, channel int, t double, value double")
+    out = Q.align_curves({"a": fine, "b": coarse}, "a").orderBy("t").collect()
+    assert [r["a"] for r in out] == [float(t) for t in range(9)]
+    assert [r["b"] for r in out] == [None, None, 1.0, 1.5, 2.0, 2.5, 3.0, None, None]
+
+
+def test_ids_in_name_order(spark):
+    names = [f"s{(i * 37) % 5000:04d}" for i in range(5000)]
+    out = R.assign_ids(spark.createDataFrame([(n,) for n in names], "k string"), "k").collect()
+    assert {r["k"]: r["stim_id"] for r in out} == {n: i for i, n in enumerate(sorted(names), 1)}
+    assert R.assign_ids(spark.createDataFrame([], "k string"), "k").count() == 0
+
+
+def test_missing_pairs_in_lots(spark, monkeypatch):
+    monkeypatch.setattr(R, "LOT", 2)
+    rows = [(p, f"s{k}") for p in range(4) for k in range(7) if (p + k) % 3] + [(9, None)]
+    got = {tuple(r) for r in R.missing_pairs(spark.createDataFrame(rows, "participant int, stimulus string")).collect()}
+    assert got == {(p, f"s{k}") for p in (0, 1, 2, 3, 9) for k in range(7)} - set(rows)
 
 
-def test_exponential_average_matches_a_loop():
-    x = np.random.default_rng(1).random(10_000)
-    for k in (0.2, 0.99, 0.99999):
-        y, want = x[0], []
-        for v in x:
-            y = (1 - k) * v + k * y
-            want.append(y)
-        assert np.allclose(N.exponential_average(x, k), want)
+def test_first_row_of_a_participant(spark):
+    df = spark.createDataFrame([(1, 2, "a"), (1, 1, "z"), (2, None, "q")], "who int, x int, y string")
+    assert sorted(map(tuple, R.first_per_participant(df, "who", ["x", "y"]).collect())) == [(1, 1, "z"), (2, None, "q")]
 
 
 @pytest.mark.parametrize("chunk", [7, 64, 10_000])
