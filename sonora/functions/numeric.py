@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
@@ -108,30 +109,40 @@ def uneven_average(t: np.ndarray, x: np.ndarray, tau: float, y: float, last: flo
     return out
 
 
-def recursive_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, steady: bool = True) -> np.ndarray:
-    """Transposed direct form of y = b/a x, started at rest or in the steady state of the first sample."""
-    b, a = b / a[0], a / a[0]
-    order = len(a) - 1
+#: Samples of a filter's block.
+BLOCK = 64
+
+
+@lru_cache(maxsize=64)
+def _filter_blocks(b: tuple[float, ...], a: tuple[float, ...]) -> tuple[np.ndarray, ...]:
+    """For a block of BLOCK samples: outputs of its own samples and of the state, the state after it from both, and the steady state of ones."""
+    top, low = np.array(b) / a[0], np.array(a) / a[0]
+    order = len(low) - 1
     matrix = np.zeros((order, order))
-    matrix[:, 0] = -a[1:]
+    matrix[:, 0] = -low[1:]
     matrix[:-1, 1:] += np.eye(order - 1)
-    drive = b[1:] - a[1:] * b[0]
-    state = np.linalg.lstsq(np.eye(order) - matrix, drive, rcond=None)[0] * x[0] if steady else np.zeros(order)
-    # blocks of samples at once: y = (what the state gives) + (what the block's own samples give); only the state goes from block to block
-    size = 64
+    drive = top[1:] - low[1:] * top[0]
+    steady = np.linalg.lstsq(np.eye(order) - matrix, drive, rcond=None)[0]
     powers = [np.eye(order)]
-    for _ in range(size):
+    for _ in range(BLOCK):
         powers.append(matrix @ powers[-1])
-    of_state = np.stack([m[0] for m in powers[:size]])
-    response = np.concatenate([[b[0]], of_state[: size - 1] @ drive])
-    own = np.array([[response[i - j] if i >= j else 0.0 for j in range(size)] for i in range(size)])
-    into_state = np.stack([powers[size - 1 - j] @ drive for j in range(size)], axis=1)
-    blocks = np.zeros((-(-len(x) // size), size))
+    of_state = np.stack([m[0] for m in powers[:BLOCK]])
+    response = np.concatenate([[top[0]], of_state[: BLOCK - 1] @ drive])
+    own = np.array([[response[i - j] if i >= j else 0.0 for j in range(BLOCK)] for i in range(BLOCK)])
+    into_state = np.stack([powers[BLOCK - 1 - j] @ drive for j in range(BLOCK)], axis=1)
+    return own, of_state, into_state, powers[BLOCK], steady
+
+
+def recursive_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, steady: bool = True) -> np.ndarray:
+    """y = b/a x, started at rest or in the steady state of the first sample, in blocks of samples: only the state goes from block to block."""
+    own, of_state, into_state, across, ones = _filter_blocks(tuple(map(float, b)), tuple(map(float, a)))
+    state = ones * x[0] if steady else np.zeros(len(ones))
+    blocks = np.zeros((-(-len(x) // BLOCK), BLOCK))
     blocks.ravel()[: len(x)] = x
-    given, states = blocks @ into_state.T, np.empty((len(blocks), order))
+    given, states = blocks @ into_state.T, np.empty((len(blocks), len(ones)))
     for i in range(len(blocks)):
         states[i] = state
-        state = powers[size] @ state + given[i]
+        state = across @ state + given[i]
     return (blocks @ own.T + states @ of_state.T).ravel()[: len(x)]
 
 

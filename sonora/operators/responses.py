@@ -210,11 +210,14 @@ def missing_pairs(df: DataFrame, who: str = "participant", key: str = "stimulus"
     """Stimuli that others rated and a participant did not. Stimuli are dealt by hash to lots of about LOT, and a participant is compared with a lot at a time."""
     stimuli = df.select(key).filter(F.col(key).isNotNull()).distinct()
     lots = max(1, -(-stimuli.count() // LOT))
+    if lots == 1:
+        every = stimuli.agg(F.collect_list(key).alias("_all"))
+        return df.groupBy(who).agg(F.collect_set(key).alias("_own")).join(F.broadcast(every)).select(who, F.explode(F.array_except("_all", "_own")).alias(key))
     lot = F.pmod(F.xxhash64(key), F.lit(lots)).alias("_lot")
     own = df.select(who, key, lot).groupBy(who, "_lot").agg(F.collect_set(key).alias("_own"))
     asked = df.select(who).distinct().withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
     every = stimuli.select(key, lot).groupBy("_lot").agg(F.collect_list(key).alias("_all"))
-    both = asked.join(own, [who, "_lot"], "left").join(F.broadcast(every) if lots == 1 else every, "_lot")
+    both = asked.join(own, [who, "_lot"], "left").join(every, "_lot")
     return both.select(who, F.explode(F.array_except("_all", F.coalesce("_own", F.array().cast(dict(every.dtypes)["_all"])))).alias(key))
 
 

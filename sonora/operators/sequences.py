@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -92,6 +92,8 @@ def in_chunks(df: DataFrame, keys: Sequence[str], order: str, chunk: int, before
     """run over chunks of so many steps, each with the rows `before` and `after` it; only a chunk's own rows are kept.
 
     Rows beside a chunk's end are copied into the neighbour, so a task holds one chunk of a recording, however long.
+    Chunks are dealt by key, sorted, and cut from the stream of a partition's rows, so that many short
+    recordings cost one Python call a batch and not one each.
     """
     ship_package(df.sparkSession)
     at = F.col(order)
@@ -99,12 +101,37 @@ def in_chunks(df: DataFrame, keys: Sequence[str], order: str, chunk: int, before
     first = F.greatest(F.floor((at - after) / chunk), F.least(F.col("_own"), F.lit(0)))
     rows = rows.withColumn("_chunk", F.explode(F.sequence(first, F.floor((at + before) / chunk))))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
+    group = [*keys, "_chunk"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame | None:
         own = (pdf["_own"] == pdf["_chunk"]).to_numpy()
-        return run(pdf)[own] if own.any() else run(pdf.head(1)).head(0)
+        return run(pdf.reset_index(drop=True))[own] if own.any() else None
 
-    return rows.groupBy(*keys, "_chunk").applyInPandas(one, f"{_types(rows, rows.columns)}, {fields}").drop("_own", "_chunk")
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            same = np.ones(len(pdf), bool)  # as the row before
+            for c in group:
+                x = pdf[c].to_numpy()
+                last = held[-1][c].iloc[-1] if held else x[0]
+                before = np.concatenate([np.array([last], dtype=x.dtype), x[:-1]])
+                same &= (x == before) | (pd.isna(x) & pd.isna(before))
+            cuts = [*np.flatnonzero(~same).tolist(), len(pdf)]
+            held.append(pdf.iloc[: cuts[0]])
+            done = []
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                done.append(one(pd.concat(held) if len(held) > 1 else held[0]) if sum(map(len, held)) else None)
+                held = [pdf.iloc[start:end]]
+            done = [d for d in done if d is not None]
+            if done:
+                yield pd.concat(done)
+        if sum(map(len, held)) and (last := one(pd.concat(held))) is not None:
+            yield last
+
+    dealt = rows.repartition(*group).sortWithinPartitions(*group, order)
+    return dealt.mapInPandas(scan, f"{_types(rows, rows.columns)}, {fields}").drop("_own", "_chunk")
 
 
 def _filtered(df: DataFrame, value: str, b: np.ndarray, a: np.ndarray, keys: Sequence[str], order: str, out: str, chunk: int, warm_up: int, steady: bool) -> DataFrame:
