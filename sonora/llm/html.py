@@ -126,7 +126,7 @@ def parse(page: str, weight: dict[tuple[str, str], float], around: frozenset[int
         _, outside, content, block, links, *_ = stack[-1]
         attributes = [(x.lower(), (a or b or c).lower()) for x, a, b, c in ATTRIBUTE.findall(source)] if source else []
         names, place = _names(attributes) if attributes else [], -1
-        outside = outside or name in OUTSIDE or (name == "header" and not content) or (name not in ("html", "body", "main") and _hidden(attributes))
+        outside = outside or name in OUTSIDE or (name in ("header", "svg") and not content) or (name not in ("html", "body", "main") and _hidden(attributes))
         single = name in VOID or (source.endswith("/") and (name in FOREIGN or open_["svg"] > 0 or open_["math"] > 0))
         if name in CONTENT:
             found.update(marked)
