@@ -128,13 +128,13 @@ class _Sets:
         return a
 
 
-class _Texts:
-    """Shingle sets and registers of a task's texts, and whether two of them meet the threshold."""
+class _Members:
+    """Shingle sets and registers of a task's rows, and whether two of them meet the threshold."""
 
-    def __init__(self, texts: pd.Series, percent: int):
-        self.sets, self.percent = [shingles(t) for t in texts], percent
+    def __init__(self, rows: pd.DataFrame, percent: int):
+        self.sets, self.percent = [np.frombuffer(x, np.uint64) for x in rows["items"]], percent
         self.size = np.array([len(s) for s in self.sets])
-        self.sketches = np.stack([registers(s) for s in self.sets])
+        self.sketches = np.stack([np.frombuffer(x, np.uint16) for x in rows["registers"]])
         self.plain: dict[int, set] = {}
 
     def likely(self, a: int, others: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def _with_centre(percent: int):
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         """Which rows are linked with the centre."""
         rows = rows.reset_index(drop=True)
-        found = _Texts(rows["text"], percent)
+        found = _Members(rows, percent)
         cid = rows["cid"].to_numpy()
         at = int(np.flatnonzero(cid == rows["centre"].iloc[0])[0])
         hits = [int(b) for b in found.likely(at, np.flatnonzero(np.arange(len(rows)) != at)) if found.linked(at, int(b))]
@@ -183,7 +183,7 @@ def _among(percent: int):
         """Links between the groups of a block, or of two blocks, as a spanning forest of the groups."""
         i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
         rows = rows.sort_values("cid").reset_index(drop=True)
-        found = _Texts(rows["text"], percent)
+        found = _Members(rows, percent)
         block, root = rows["block"].to_numpy(), rows["root"].to_numpy()
         number = {r: k for k, r in enumerate(dict.fromkeys(root.tolist()))}
         own = np.array([number[r] for r in root.tolist()])
@@ -227,8 +227,8 @@ def _moved(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return settled(roots.join(to, "root", "left").select("cid", F.coalesce("_to", "root").alias("root")))
 
 
-def _texts_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """cid and text of every member, each from one row of docs.
+def _sets_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """cid, items (the shingles' hashes, packed) and registers of every member, each from one row of docs.
 
     Up to BROADCAST_MEMBERS members their keys are broadcast, so that no other text is moved; beyond, docs are
     dealt by id and text, which spreads the copies of one text.
@@ -237,7 +237,14 @@ def _texts_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> Da
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), text_key(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
     same = (rows["text_key"] == keys["text_key"]) & rows["_id"].eqNullSafe(keys["_id"])
     few = members.count() <= BROADCAST_MEMBERS
-    return settled(rows.join(F.broadcast(keys) if few else keys, same).select("cid", "text").dropDuplicates(["cid"]))
+    texts = rows.join(F.broadcast(keys) if few else keys, same).select("cid", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([registers(s).tobytes() for s in sets], pa.binary())], ["cid", "items", "registers"])
+
+    return settled(texts.mapInArrow(run, "cid long, items binary, registers binary").dropDuplicates(["cid"]))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,7 +260,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
        bounded size, so none is cut.
 
     In each step sizes and register estimates leave out pairs far below the threshold, and the others are checked
-    on their full shingle sets. Only classes that share a band ship their text, from one row each. Tasks return
+    on their full shingle sets. Only classes that share a band ship their set, made of one row each. Tasks return
     a spanning forest of the links, not the pairs.
 
     Shingles stand as 64-bit hashes (two different ones of a pair collide with a chance below 1e-9 a pair of
@@ -272,14 +279,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     shared = settled(banded.join(ends, "band"))
     centres = shared.groupBy("cid").agg(F.min("least").alias("least"), F.max("largest").alias("largest"))
     members = settled(classes.select("cid", "n", "class_id", "rep").join(centres, "cid"))
-    texts = _texts_of(docs, members, doc_id, text)
+    sets = _sets_of(docs, members, doc_id, text)
 
     def starred(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (cid, n, centre): a centre's pairs are dealt to blocks, each with the centre's text."""
+        """Links among pairs (cid, n, centre): a centre's pairs are dealt to blocks, each with the centre's set."""
         blocks = pairs.groupBy("centre").agg(_blocks(F.col("n")).alias("blocks"))
         dealt = pairs.join(blocks, "centre").select("cid", "centre", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"))
         hubs = blocks.select(F.col("centre").alias("cid"), "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        return settled(dealt.union(hubs).join(texts, "cid").groupBy("centre", "block").applyInPandas(_with_centre(percent), "u long, v long"))
+        return settled(dealt.union(hubs).join(sets, "cid").groupBy("centre", "block").applyInPandas(_with_centre(percent), "u long, v long"))
 
     up = _pointed(starred(members.filter("cid <> least").select("cid", "n", F.col("least").alias("centre"))))
     roots = settled(members.select("cid").join(up, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root")))
@@ -301,7 +308,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     others = F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda k: F.when(F.col("in_crowd"), pair(k, F.col("block"))).otherwise(pair(F.least(k, "block"), F.greatest(k, "block"))))
     crowd = F.when(F.col("in_crowd"), F.array().cast("array<struct<i:int,j:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("crowd_blocks") - 1), lambda k: pair(F.col("block"), -1 - k)))
     tasks = inside.join(sizes, "band").withColumn("block", own).withColumn("p", F.explode(F.when(F.col("blocks") == 1, F.array(pair(F.lit(0), F.lit(0)))).otherwise(F.concat(others, crowd))))
-    links = settled(tasks.select("cid", "root", "band", "block", "p.i", "p.j").join(texts, "cid").groupBy("band", "i", "j").applyInPandas(_among(percent), "u long, v long"))
+    links = settled(tasks.select("cid", "root", "band", "block", "p.i", "p.j").join(sets, "cid").groupBy("band", "i", "j").applyInPandas(_among(percent), "u long, v long"))
     roots = _moved(roots, links)
 
     least = roots.join(members.select("cid", "class_id"), "cid").groupBy("root").agg(F.min("class_id").alias("least"))
