@@ -40,17 +40,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of smallest doc_id."""
+    """One document of each group of near duplicates stays, the one of smallest doc_id.
+
+    Null, empty and blank texts stay; rows that repeat the kept doc_id all stay; a null doc_id goes where its group has another.
+    """
     return without_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: 0, 1 or 2 rows each."""
+    """Documents as often as the mix takes them: 0, 1 or 2 rows each. Texts without a word are never taken; a null source is a source of its own."""
     return mix_documents(docs, F.array("source"), n_words(F.col("text")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens; null and empty texts are one token, and no documents give no pieces."""
     return pack_documents(docs)
 
 
