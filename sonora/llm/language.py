@@ -120,6 +120,7 @@ def fit_on_fold(docs: DataFrame) -> Model:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with its language; a null text or one without a letter is `und`, and odd rows are treated as in identify."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = identify(docs.select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "text"), fit_on_fold(docs), ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "lang_pred", "score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .textmodels import gram_counts, in_fold, sample_features, sampled, scored, unit
+from .textmodels import ROWS, gram_counts, in_fold, sample_features, sampled, scored, unit
 
 GRAMS = 512
 #: Rows of each kind that the classifier is fitted on, about; the sample's bound.
@@ -72,16 +73,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.05) -> float:
-    """Share of positives among the unlabelled, by the best bin of a classifier's scores.
+def prior_cuts(positive: np.ndarray) -> np.ndarray:
+    return np.quantile(positive, np.linspace(0.0, 0.9, 91))
+
+
+def class_prior(positive: np.ndarray, above: np.ndarray, n: int, confidence: float = 0.05) -> float:
+    """Share of positives among n unlabelled rows, by the best bin of a classifier's scores; above: how many of them reach each of prior_cuts.
 
     Among the highest scores both samples hold positives alone, so the ratio of the shares above a
     threshold nears the prior from above; the smallest ratio, with an allowance for small bins, is taken.
     """
-    cuts = np.quantile(positive, np.linspace(0.0, 0.9, 91))
-    above_p = np.array([(positive >= c).mean() for c in cuts])
-    above_u = np.array([(unlabelled >= c).mean() for c in cuts])
-    slack = np.sqrt(np.log(4 / confidence) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
+    above_p = np.array([(positive >= c).mean() for c in prior_cuts(positive)])
+    above_u = above / n
+    slack = np.sqrt(np.log(4 / confidence) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(n))
     best = int(((above_u + slack) / above_p).argmin())
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
 
@@ -104,7 +108,8 @@ def non_negative_pu(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 30
     return _adam(gradient, p.shape[1], rounds)
 
 
-def fit_arrays(p: np.ndarray, u: np.ndarray) -> Model:
+def fit_arrays(p: np.ndarray, u: np.ndarray, reached: Callable[[Model, np.ndarray], tuple[np.ndarray, int]] | None = None) -> Model:
+    """A model of trusted positives p and unlabelled u. reached(scorer, cuts) counts, of all unlabelled rows there are, those that reach each cut; without it u stands for them."""
     if not len(p) or not len(u):
         size = features("").shape[0]
         return Model(np.zeros(size + 1), np.zeros(size), np.ones(size), 0.5, False)
@@ -121,14 +126,20 @@ def fit_arrays(p: np.ndarray, u: np.ndarray) -> Model:
         return -a.T @ _sigmoid(-(a @ w)) / len(a) + b.T @ _sigmoid(b @ w) / len(b) + 1e-2 * np.append(w[:-1], 0)
 
     w = _adam(against, sp.shape[1], 150)
-    prior = class_prior(sp[1::2] @ w, su[1::2] @ w) if len(sp) > 3 and len(su) > 3 else 0.5
+    prior = 0.5
+    if len(sp) > 3 and len(su) > 3:
+        own = sp[1::2] @ w
+        cuts = prior_cuts(own)
+        above, n = reached(Model(w, mean, scale, prior), cuts) if reached else ((su[1::2] @ w >= cuts[:, None]).sum(axis=1), len(su[1::2]))
+        prior = class_prior(own, above, n)
     return Model(non_negative_pu(sp, su, prior), mean, scale, prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 5) -> Model:
     """docs: doc_id, text; labels: doc_id, quality. Fits on about `positives` documents of label 1 and
     `unlabelled` documents whatever their label, both drawn by a hash of doc_id; labels 0 are not used.
-    Without a label 1 among the documents the model isn't fitted; where there is one, a fit without is an error."""
+    Without a label 1 among the documents the model isn't fitted; where there is one, a fit without is an error.
+    The class prior is estimated over all documents: one pass counts how many reach each of 91 scores."""
     trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
     trusted = trusted.join(docs.select("doc_id"), "doc_id", "left_semi")  # ids alone: only what is among the documents is drawn from
     n_trusted, n_docs = trusted.count(), docs.count()
@@ -143,7 +154,22 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     p, u = x[np.isin(names, ["p", "pu"])], x[np.isin(names, ["u", "pu"])]
     if not len(p) or not len(u):
         raise RuntimeError("there are trusted positives, but none was drawn")
-    return fit_arrays(p, u)
+
+    def reached(model: Model, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            above, n = np.zeros(len(cuts), np.int64), 0
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.column(0).slice(at, ROWS).to_pylist()
+                    margin = model.margin(np.stack([features(t) for t in part]))
+                    above, n = above + (margin >= cuts[:, None]).sum(axis=1), n + len(part)
+            yield pa.RecordBatch.from_arrays([pa.array([[n, *above.tolist()]], pa.list_(pa.int64()))], ["counts"])
+
+        found = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(count, "counts array<long>")
+        sums = [r["n"] for r in found.select(F.posexplode("counts").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).orderBy("i").collect()]
+        return np.array(sums[1:], float), int(sums[0])
+
+    return fit_arrays(p, u, reached)
 
 
 def fit_on_fold(docs: DataFrame, labels: DataFrame) -> Model:
@@ -162,6 +188,7 @@ def rate(docs: DataFrame, model: Model, keep: list[str], text: str = "text", nam
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with its quality score; null and empty texts score like an empty text, and odd rows are treated as in rate."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_on_fold(docs, read(spark, sf_dir, "labels"))
     out = rate(docs.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "text"), model, ["doc_id", "held_out"])

@@ -10,8 +10,8 @@ from .neardup import op8_neardup
 from .neighbours import op2_neighbours
 from .packing import op9_pack
 from .quality import op5_quality
-from .rules import OP3_SQL, op3_rules
+from .rules import ABLATIONS_SQL, OP3_SQL, op3_rules, rule_ablations
 from .sharding import op10_shard
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_neighbours, op3_rules, op4_licenses, op5_quality, op6_language, op7_html, op8_neardup, op9_pack, op10_shard)}
-ORACLES = {"op3_rules": OP3_SQL, "op4_licenses": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_neighbours, op3_rules, op4_licenses, op5_quality, op6_language, op7_html, op8_neardup, op9_pack, op10_shard, rule_ablations)}
+ORACLES = {"op3_rules": OP3_SQL, "op4_licenses": OP4_SQL, "rule_ablations": ABLATIONS_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, read
+from .common import WORD, read, settled
 
 #: Words in a window that counts as repeated.
 WINDOW = 8
@@ -93,14 +93,14 @@ def judged(ledger: DataFrame, policy: str = "web/2") -> DataFrame:
     return ledger.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask_of(POLICIES[policy]))) == 0)
 
 
-def ablations(ledger: DataFrame, policy: str = "web/2") -> DataFrame:
-    """For each rule of the policy: documents that fail it, that only it drops, and that are kept with and without it.
+def ablations(ledger: DataFrame, policy: str = "web/2", n: str | None = None) -> DataFrame:
+    """For each rule of the policy: documents that fail it, that only it drops, and that are kept with and without it; `n` counts rows that stand for several.
 
     Documents are first counted by failure bits (at most 2**rules rows), and all figures come from these counts.
     """
     rules = POLICIES[policy]
     whole = mask_of(rules)
-    counts = ledger.groupBy("failed").agg(F.count("*").alias("n"))
+    counts = ledger.groupBy("failed").agg((F.sum(n) if n else F.count("*")).alias("n"))
     table = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(mask_of((name,))).alias("bit")) for name in rules])
     each = counts.select("failed", "n", F.explode(table).alias("r")).select("failed", "n", "r.*")
     total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
@@ -110,12 +110,24 @@ def ablations(ledger: DataFrame, policy: str = "web/2") -> DataFrame:
 
 
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with its measurements and verdicts; null and empty texts measure 0 and fail, and odd rows are treated as in ledger."""
     out = judged(ledger(read(spark, sf_dir, "documents").select("doc_id", "text")))
     failed = F.col("failed").bitwiseAND(F.lit(mask_of(POLICIES["base/1"]))) != 0
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
 
-OP3_SQL = r"""
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every policy and each of its rules: documents that fail it, that only it drops, and that are kept with and without it."""
+    found = ledger(read(spark, sf_dir, "documents").select("doc_id", "text")).select("failed")
+    counts = settled(found.groupBy("failed").agg(F.count("*").alias("n")))  # at most 2**rules rows
+    out = None
+    for policy in POLICIES:
+        one = ablations(counts, policy, "n").select(F.lit(policy).alias("policy"), "rule", "n_failed", "n_only", "n_kept", "n_kept_without")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_LEDGER_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8),
@@ -125,7 +137,9 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i,
 m AS (SELECT d.doc_id, len(d.w) AS n_words, length(array_to_string(d.w, '')) AS word_chars,
   len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS n_symbols, len(l.l) AS n_lines, len(l.l) - len(list_distinct(l.l)) AS n_dup_lines,
   coalesce(c.n, 0) AS n_repeat_words, len(regexp_extract_all(d.text, '\p{Lu}')) AS n_upper, len(regexp_extract_all(d.text, '\p{L}')) AS n_letters
-  FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+  FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id))"""
+
+OP3_SQL = _LEDGER_SQL + """,
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
@@ -133,3 +147,25 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM b
 """
+
+_FAILS_SQL = {
+    "few_words": "n_words < 20",
+    "repeated_words": "100 * n_repeat_words > 30 * n_words",
+    "symbols": "10 * n_symbols > 3 * n_words",
+    "repeated_lines": "100 * n_dup_lines > 50 * n_lines",
+    "shouting": "2 * n_upper > n_letters",
+    "word_length": "(word_chars < 2 * n_words OR word_chars > 15 * n_words)",
+}
+
+
+def _ablations_sql() -> str:
+    parts = []
+    for policy, rules in POLICIES.items():
+        any_of = lambda names: " OR ".join(_FAILS_SQL[r] for r in names) or "false"
+        for rule in rules:
+            others = any_of([r for r in rules if r != rule])
+            parts.append(f"SELECT '{policy}' AS policy, '{rule}' AS rule, count(*) FILTER ({_FAILS_SQL[rule]}) AS n_failed, count(*) FILTER ({_FAILS_SQL[rule]} AND NOT ({others})) AS n_only, count(*) FILTER (NOT ({any_of(rules)})) AS n_kept, count(*) FILTER (NOT ({others})) AS n_kept_without FROM m")
+    return _LEDGER_SQL + " " + " UNION ALL ".join(parts)
+
+
+ABLATIONS_SQL = _ablations_sql()

@@ -161,7 +161,7 @@ def repeat_words(words):
     return len({p for at in seen.values() if len(at) > 1 for i in at for p in range(i, i + 8)})
 
 
-@pytest.mark.parametrize("name", ["op3_rules", "op4_licenses"])
+@pytest.mark.parametrize("name", ["op3_rules", "op4_licenses", "rule_ablations"])
 def test_against_sql(spark, sf_dir, name):
     from sqlcheck import connection, same
 
@@ -252,7 +252,8 @@ def test_class_prior():
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
     for share in (0.3, 0.6, 0.9):
         u = np.where(rng.random(8000) < share, rng.normal(2, 1, 8000), rng.choice(n, 8000))
-        assert quality.class_prior(p, u) == pytest.approx(share, abs=0.06)
+        above = (u >= quality.prior_cuts(p)[:, None]).sum(axis=1)
+        assert quality.class_prior(p, above, len(u)) == pytest.approx(share, abs=0.06)
 
 
 # html
@@ -702,3 +703,51 @@ def test_html_of_unclosed_tags_is_linear(page):
 ])
 def test_html_keeps_what_a_part_of_a_name_marks(page):
     assert html.extract(page, {}) == "kept words here"
+
+
+def test_prior_counts_all_documents(spark):
+    rows = [(i, "good words of a plain text go here and on " * 3 if i % 4 else "# $ % x9 & | 7 < > 77 " * 6, None, None) for i in range(400)]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(i, 1) for i in range(400) if i % 4 and i % 3 == 0], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert model.prior == pytest.approx(0.75, abs=0.12)
+    scores = {r["doc_id"]: r["score"] for r in quality.rate(docs, model, ["doc_id"]).collect()}
+    assert min(s for i, s in scores.items() if i % 4) > max(s for i, s in scores.items() if i % 4 == 0)
+
+
+def test_non_negative_risk_and_its_gradient():
+    """The fit's risk against a plain loop, and that no small step lowers it much."""
+    rng = np.random.default_rng(16)
+    p, n = rng.normal(1.0, 1, (300, 3)), rng.normal(-1.0, 1, (300, 3))
+    u = np.vstack([p[:150], n[:150]])
+    one = lambda x: np.hstack([x, np.ones((len(x), 1))])
+
+    def risk(w):
+        loss = lambda z: math.log1p(math.exp(-z))
+        of = lambda rows, sign: sum(loss(sign * float(r @ w)) for r in rows) / len(rows)
+        return 0.5 * of(one(p), 1) + max(0.0, of(one(u), -1) - 0.5 * of(one(p), -1)) + 1e-3 / 2 * float(w[:-1] @ w[:-1])
+
+    w = quality.non_negative_pu(one(p).astype(np.float32), one(u).astype(np.float32), 0.5, rounds=600).astype(float)
+    best = risk(w)
+    assert best < risk(np.zeros(4)) and all(risk(w + 0.05 * s * e) > best - 2e-3 for e in np.eye(4) for s in (-1, 1))
+    accuracy = ((one(p) @ w > 0).mean() + (one(n) @ w < 0).mean()) / 2
+    assert accuracy > 0.9
+
+
+def test_classifying_rows_together_or_alone():
+    """Language by a plain loop over families and pairs, a row at a time."""
+    rng = np.random.default_rng(17)
+    names = {"germanic": ["de", "en"], "romance": ["es", "fr", "it"]}
+    pairs = {(a, b): rng.normal(size=language.DIMS + 1) for own in names.values() for i, a in enumerate(own) for b in own[i + 1 :]}
+    model = language.Model(sorted(names), rng.normal(size=(2, language.DIMS + 1)), names, pairs)
+    x = rng.normal(size=(40, language.DIMS)) / 64
+    found, _ = language.classify(model, x)
+    for row, got in zip(x, found, strict=True):
+        family = max(range(2), key=lambda f: row @ model.family_weights[f, :-1] + model.family_weights[f, -1])
+        wins, total = Counter(), Counter()
+        for (a, b), w in pairs.items():
+            if a in names[model.families[family]]:
+                m = float(row @ w[:-1] + w[-1])
+                wins[a if m > 0 else b] += 1
+                total[a], total[b] = total[a] + m, total[b] - m
+        assert got == max(names[model.families[family]], key=lambda k: (wins[k], total[k]))
