@@ -135,7 +135,6 @@ class _Members:
         self.sets, self.percent = [np.frombuffer(x, np.uint64) for x in rows["items"]], percent
         self.size = np.array([len(s) for s in self.sets])
         self.sketches = np.stack([np.frombuffer(x, np.uint16) for x in rows["registers"]])
-        self.plain: dict[int, set] = {}
 
     def likely(self, a: int, others: np.ndarray) -> np.ndarray:
         """Those of the others that may be linked with a by size and registers, the likeliest first."""
@@ -155,13 +154,9 @@ class _Members:
         return others[order[guess[order] >= threshold - SLACK]]
 
     def linked(self, a: int, b: int) -> bool:
-        if max(self.size[a], self.size[b]) > 100_000:
-            both = len(np.intersect1d(self.sets[a], self.sets[b], assume_unique=True))
-        else:
-            for x in (a, b):
-                if x not in self.plain:
-                    self.plain[x] = set(self.sets[x].tolist())
-            both = len(self.plain[a] & self.plain[b])
+        x, y = self.sets[a], self.sets[b]  # sorted
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        both = int(np.count_nonzero(y[at] == x))
         return 100 * both >= self.percent * (self.size[a] + self.size[b] - both)
 
 

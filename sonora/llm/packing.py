@@ -6,6 +6,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +19,7 @@ from .common import ranked, read, settled
 #: Closes every document.
 END_ID = 0
 #: Words whose ids a Python worker remembers (about 100 bytes each); it starts anew when they are reached.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Ranges of the token axis that are swept each by a task.
 RANGES = 16
 #: Runs that are broadcast at most (about 60 bytes each); beyond, they are joined by a shuffle.
@@ -37,21 +38,24 @@ class Encoder:
     hold a special token's string, are encoded whole.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, special: list[str]):
         import base64
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.vocabulary, self.special = vocabulary, special
         ranks_file = public_tokenizers.path(vocabulary.replace(".json", ".tiktoken"))
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.part = tiktoken.Encoding("part", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache: dict[str, bytes] = {}
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, read once a text needs it."""
+        return _tokenizer(self.vocabulary)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -74,9 +78,20 @@ class Encoder:
         return array("I", self.part(first)).tobytes() + b"".join(found)
 
 
-def _encoder(vocabulary: str) -> Encoder:
+def _tokenizer(vocabulary: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(vocabulary))
+
+
+def special_strings(vocabulary: str) -> list[str]:
+    return [t.content for t in _tokenizer(vocabulary).get_added_tokens_decoder().values()]
+
+
+def _encoder(vocabulary: str, special: list[str]) -> Encoder:
     if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
+        _encoders[vocabulary] = Encoder(vocabulary, special)
     return _encoders[vocabulary]
 
 
@@ -86,9 +101,10 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str, doc_id: str = "doc_i
     Null and empty texts are END_ID alone; null and repeated ids are documents of their own; no rows give no pieces.
     """
     ship_package(docs.sparkSession)
+    special = special_strings(vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
+        encoder = _encoder(vocabulary, special)
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             rows: tuple[list, list, list, list, list] = ([], [], [], [], [])

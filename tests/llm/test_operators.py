@@ -412,7 +412,7 @@ def test_packing_round_trip(spark, docs):
 
 @pytest.mark.parametrize("text", ["a  b", " a b ", "a \nb\n c", "it's 12,5 % <|endoftext|> x", "é ü 　x", "x\t y", "  ", "日本 語 テスト", "a\x1c b", "word " * 50])
 def test_encoder_matches_the_tokenizer(text):
-    encoder = packing._encoder("byte_bpe_50k.json")
+    encoder = packing._encoder("byte_bpe_50k.json", packing.special_strings("byte_bpe_50k.json"))
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.whole.encode(text, add_special_tokens=False).ids
 
 
