@@ -575,6 +575,42 @@ def test_flow_costs_least():
         assert (-sum(given), cost) == plain(patterns, quotas, 2)
 
 
+def test_mix_of_more_sources_than_are_broadcast(spark):
+    df = spark.range(26_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 25_000 != 9, F.concat(F.lit("site "), F.col("id") % 25_000)).alias("source"), (1 + F.col("id") % 7).alias("words"))
+    m = mixing.measured(df, F.array("source"), F.col("words"), keep=("doc_id", "source"))
+    out = mixing.with_copies(m, mixing.decide(m)).toPandas()
+    assert len(out) == 26_000 > mixing.BROADCAST_PATTERNS and (out["_copies"] <= 2).all()
+    sizes = out.groupby("source", dropna=False)["_size"].sum()
+    names = sorted(x for x in sizes.index if isinstance(x, str)) + [None]
+    by_name = {k if isinstance(k, str) else None: int(v) for k, v in sizes.items()}
+    want = plain_targets([by_name[x] for x in names], [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(by_name.values()), 2)
+    want, place = dict(zip(names, want, strict=True)), {x: i for i, x in enumerate(names)}
+    assert len(place) == 25_000
+    for x, own in out.groupby("source", dropna=False):
+        x = x if isinstance(x, str) else None
+        assert own["_target"].iloc[0] == pytest.approx(want[x]) and own["_source_size"].iloc[0] == by_name[x]
+        assert abs((own["_size"] * own["_copies"]).sum() - want[x]) <= own["_size"].max() / 2 + 1
+
+
+def test_mix_solves_sets_of_overlapping_sources_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TASK_PATTERNS", 2)
+    monkeypatch.setattr(mixing, "RANGE_SOURCES", 3)
+    sets = [["a", "b"], ["b"], ["b", "c"], ["d"], ["e", None], [None], ["f", "g"]]
+    rows = [(i, sets[i % 7], 1 + i % 4) for i in range(700)]
+    m = mixing.measured(spark.createDataFrame(rows, "doc_id long, members array<string>, words int"), F.col("members"), F.col("words"))
+    out = mixing.with_copies(m, mixing.decide(m)).select("_copies", "_size", "doc_id", "_target").toPandas()
+    names = ["a", "b", "c", "d", "e", "f", "g", None]
+    words = [sum(w for _, own, w in rows if own == s) for s in sets]
+    sizes = [sum(w for _, own, w in rows if x in own) for x in names]
+    targets = plain_targets(sizes, [(3, 1, 2)[i % 3] for i in range(8)], 1.5 * sum(words), 2)
+    whole = mixing.min_cost_flow([([names.index(x) for x in s], n) for s, n in zip(sets, words, strict=True)], [round(t) for t in targets], 2)
+    taken = (out["_size"] * out["_copies"]).groupby(out["doc_id"] % 7).sum()
+    assert sum(taken) == pytest.approx(sum(whole), abs=4 * 7)
+    for i in (0, 1, 2, 3, 6):
+        assert out[out["doc_id"] % 7 == i]["_target"].iloc[0] == pytest.approx(targets[names.index(sets[i][0])])
+    assert abs(taken[3] - targets[3]) <= 4  # no other pattern holds this source
+
+
 def test_shards_of_repeated_rows(spark):
     rows = [(7, "one repeated row of the table", "en", "s") if i % 2 else (i if i % 3 else None, f"text {i % 400} " * 2, "en", "s") for i in range(6000)]
     out = sharding.shard_documents(docs_of(spark, rows), 24).toPandas()
