@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .common import read
 from .textmodels import ROWS, gram_counts, in_fold, sample_features, sampled, scored, unit
 
 GRAMS = 512
 #: Rows of each kind that the classifier is fitted on, about; the sample's bound.
 POSITIVES, UNLABELLED = 3000, 6000
+#: Features are summed over all documents as whole multiples of 1 / FIXED.
+FIXED = 1 << 24
 ALONE = re.compile(rb"(?<![^\s])[!-/:-@\[-`{-~]+(?![^\s])")
 SYMBOLS = re.compile(rb"[#*$%&|<>!^~=_@{}\[\]\\+]")
 
@@ -108,16 +111,21 @@ def non_negative_pu(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 30
     return _adam(gradient, p.shape[1], rounds)
 
 
-def fit_arrays(p: np.ndarray, u: np.ndarray, reached: Callable[[Model, np.ndarray], tuple[np.ndarray, int]] | None = None) -> Model:
-    """A model of trusted positives p and unlabelled u. reached(scorer, cuts) counts, of all unlabelled rows there are, those that reach each cut; without it u stands for them."""
+def fit_arrays(p: np.ndarray, u: np.ndarray, reached: Callable[[Model, np.ndarray], tuple[np.ndarray, int]] | None = None, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """A model of trusted positives p and unlabelled u.
+
+    reached(scorer, cuts) counts, of all unlabelled rows there are, those that reach each cut; moments are the
+    means and mean squares of their features. Without these u stands for them.
+    """
     if not len(p) or not len(u):
         size = features("").shape[0]
         return Model(np.zeros(size + 1), np.zeros(size), np.ones(size), 0.5, False)
-    mean, scale = u.mean(axis=0), np.ones(u.shape[1], np.float32)
+    mean, square = moments or (u.mean(axis=0, dtype=float), np.square(u, dtype=float).mean(axis=0))
     own = u.shape[1] - GRAMS
-    scale[:own] = np.maximum(u[:, :own].std(axis=0), 1e-3)
-    scale[own:] = max(1e-3, float(u[:, own:].std()))
+    scale = np.sqrt(np.maximum(square - mean**2, 1e-6))
+    scale[own:] = np.sqrt(max(1e-6, square[own:].mean() - mean[own:].mean() ** 2))
     scale[own:] *= np.sqrt(GRAMS) / 4  # all n-grams together weigh like some measures
+    mean, scale = mean.astype(np.float32), scale.astype(np.float32)
     stand = lambda x: np.hstack([(x - mean) / scale, np.ones((len(x), 1), np.float32)])  # noqa: E731  single precision halves the driver's memory
     sp, su = stand(p), stand(u)
 
@@ -135,11 +143,31 @@ def fit_arrays(p: np.ndarray, u: np.ndarray, reached: Callable[[Model, np.ndarra
     return Model(non_negative_pu(sp, su, prior), mean, scale, prior)
 
 
+def summed(docs: DataFrame, count: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, int]:
+    """Sums of count(features of a block of rows) over all rows, and the number of rows. Counts are whole numbers, so that any order of tasks gives the same sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.column(0).slice(at, ROWS).to_pylist()
+                sums, n = sums + count(np.stack([features(t) for t in part])).astype(np.int64), n + len(part)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([[n, *sums.tolist()]], pa.list_(pa.int64()))], ["counts"])
+
+    ship_package(docs.sparkSession)
+    found = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "counts array<long>")
+    by_place = found.select(F.posexplode("counts").alias("i", "n")).groupBy("i").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
+    sums = [int(r["n"]) for r in by_place.orderBy("i").collect()]
+    return np.array(sums[1:], float), sums[0]
+
+
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 5) -> Model:
     """docs: doc_id, text; labels: doc_id, quality. Fits on about `positives` documents of label 1 and
     `unlabelled` documents whatever their label, both drawn by a hash of doc_id; labels 0 are not used.
     Without a label 1 among the documents the model isn't fitted; where there is one, a fit without is an error.
-    The class prior is estimated over all documents: one pass counts how many reach each of 91 scores."""
+    The rest covers all documents: one pass sums the features and their squares, for means and scales, and one
+    counts how many reach each of 91 scores, for the class prior."""
     trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
     trusted = trusted.join(docs.select("doc_id"), "doc_id", "left_semi")  # ids alone: only what is among the documents is drawn from
     n_trusted, n_docs = trusted.count(), docs.count()
@@ -156,20 +184,12 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         raise RuntimeError("there are trusted positives, but none was drawn")
 
     def reached(model: Model, cuts: np.ndarray) -> tuple[np.ndarray, int]:
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            above, n = np.zeros(len(cuts), np.int64), 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    part = batch.column(0).slice(at, ROWS).to_pylist()
-                    margin = model.margin(np.stack([features(t) for t in part]))
-                    above, n = above + (margin >= cuts[:, None]).sum(axis=1), n + len(part)
-            yield pa.RecordBatch.from_arrays([pa.array([[n, *above.tolist()]], pa.list_(pa.int64()))], ["counts"])
-
-        found = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(count, "counts array<long>")
-        sums = [r["n"] for r in found.select(F.posexplode("counts").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).orderBy("i").collect()]
-        return np.array(sums[1:], float), int(sums[0])
-
-    return fit_arrays(p, u, reached)
+        above, n = summed(docs, lambda x: (model.margin(x) >= cuts[:, None]).sum(axis=1))
+        return above.astype(float), n
+
+    both, n = summed(docs, lambda x: np.concatenate([np.rint(x * FIXED), np.rint(np.square(x) * FIXED)]).reshape(2, len(x), -1).sum(axis=1).ravel())
+    mean, square = (both / (n * FIXED)).reshape(2, -1)
+    return fit_arrays(p, u, reached, (mean, square))
 
 
 def fit_on_fold(docs: DataFrame, labels: DataFrame) -> Model:

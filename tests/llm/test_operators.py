@@ -247,6 +247,16 @@ def test_quality_odd(spark, odd, empty, docs, sf_dir):
     assert not nothing.fitted and {r["score"] for r in quality.rate(odd, nothing, ["doc_id"]).collect()} == {0.5}
 
 
+def test_quality_sums_cover_all_rows(spark, odd):
+    rows = odd.select("text").unionByName(spark.createDataFrame([(f"text {i} of # many; " * (i % 9),) for i in range(700)], "text string"))
+    got, n = quality.summed(rows.repartition(5), lambda x: np.rint(x * quality.FIXED).sum(axis=0))
+    want = np.stack([quality.features(r["text"] or "") for r in rows.collect()])
+    assert n == len(want) and got / n / quality.FIXED == pytest.approx(want.mean(axis=0, dtype=float), abs=1e-6)
+    u = np.random.default_rng(1).random((50, want.shape[1])).astype(np.float32)
+    plain, given = quality.fit_arrays(u[:20], u), quality.fit_arrays(u[:20], u, moments=(u.mean(axis=0, dtype=float), np.square(u, dtype=float).mean(axis=0)))
+    assert (plain.weights == given.weights).all() and plain.scale[:10] == pytest.approx(u[:, :10].std(axis=0), rel=1e-4)
+
+
 def test_class_prior():
     rng = np.random.default_rng(5)
     p, n = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
