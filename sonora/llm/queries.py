@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .codes import OP11_SQL, op11_codes
 from .html import op7_html
 from .language import op6_language
 from .licenses import OP4_SQL, op4_licenses
@@ -13,5 +14,5 @@ from .quality import op5_quality
 from .rules import ABLATIONS_SQL, OP3_SQL, op3_rules, rule_ablations
 from .sharding import op10_shard
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_neighbours, op3_rules, op4_licenses, op5_quality, op6_language, op7_html, op8_neardup, op9_pack, op10_shard, rule_ablations)}
-ORACLES = {"op3_rules": OP3_SQL, "op4_licenses": OP4_SQL, "rule_ablations": ABLATIONS_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_neighbours, op3_rules, op4_licenses, op5_quality, op6_language, op7_html, op8_neardup, op9_pack, op10_shard, op11_codes, rule_ablations)}
+ORACLES = {"op3_rules": OP3_SQL, "op4_licenses": OP4_SQL, "rule_ablations": ABLATIONS_SQL, "op11_codes": OP11_SQL}
