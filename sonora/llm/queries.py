@@ -13,7 +13,8 @@ from .packing import op9_pack
 from .quality import op5_quality
 from .rules import ABLATIONS_SQL, OP3_SQL, op3_rules, rule_ablations
 from .sharding import op10_shard
+from .toxicity import op12_toxicity
 from .trie import OP13_SQL, op13_trie
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_neighbours, op3_rules, op4_licenses, op5_quality, op6_language, op7_html, op8_neardup, op9_pack, op10_shard, op11_codes, op13_trie, rule_ablations)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_neighbours, op3_rules, op4_licenses, op5_quality, op6_language, op7_html, op8_neardup, op9_pack, op10_shard, op11_codes, op12_toxicity, op13_trie, rule_ablations)}
 ORACLES = {"op3_rules": OP3_SQL, "op4_licenses": OP4_SQL, "rule_ablations": ABLATIONS_SQL, "op11_codes": OP11_SQL, "op13_trie": OP13_SQL}
