@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..runtime import ship_package
 from .common import read, settled
@@ -24,6 +25,8 @@ BAND = 8
 SLACK = 0.1
 #: Documents and shingles in a block of a band; larger ones are compared block by block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Shingles whose indicator columns a product takes at once.
+COLUMNS = 4096
 #: Classes whose keys are broadcast at most, to read their texts (about 100 bytes each).
 BROADCAST_MEMBERS = 1_000_000
 
@@ -173,33 +176,72 @@ def _with_centre(percent: int):
     return verify
 
 
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets, by products of indicator columns, COLUMNS at a time; what stands in one set alone has none."""
+    _, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[where]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1, COLUMNS):
+        low, high = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[low:high], column[low:high] - first] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
 def _among(percent: int):
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         """Links between the groups of a block, or of two blocks, as a spanning forest of the groups."""
         i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
         rows = rows.sort_values("cid").reset_index(drop=True)
-        found = _Members(rows, percent)
-        block, root = rows["block"].to_numpy(), rows["root"].to_numpy()
-        number = {r: k for k, r in enumerate(dict.fromkeys(root.tolist()))}
-        own = np.array([number[r] for r in root.tolist()])
-        groups, edges = _Sets(len(number)), []
-        for a in range(len(rows)):
-            if i == j:
-                others = np.arange(a + 1, len(rows))
-            elif block[a] == i:
-                others = np.flatnonzero(block == j)
-            else:
-                continue
-            for b in found.likely(a, others[own[others] != own[a]]):
-                x, y = groups.find(own[a]), groups.find(own[b])
-                if x != y and found.linked(a, int(b)):
-                    groups.up[x] = y
-                    edges.append((root[a], root[b]))
+        sets = [np.frombuffer(x, np.uint64) for x in rows["items"]]
+        both, size = common(sets), np.array([len(s) for s in sets])
+        root, block = rows["root"].to_numpy(), rows["block"].to_numpy()
+        names, own = np.unique(root, return_inverse=True)
+        linked = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (own[:, None] < own[None, :])
+        if i != j:
+            linked &= block[:, None] != block[None, :]
+        pairs = np.unique(own[np.argwhere(linked)], axis=0)
+        groups, edges = _Sets(len(names)), []
+        for a, b in pairs.tolist():
+            x, y = groups.find(a), groups.find(b)
+            if x != y:
+                groups.up[x] = y
+                edges.append((names[a], names[b]))
         return pd.DataFrame(edges, columns=["u", "v"], dtype=np.int64)
 
     return verify
 
 
+def by_rare_shingles(sets: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    """band, cid, root: classes of crowded bands (cid, root, n) dealt anew by their rarest shingles, so that linked ones meet.
+
+    Each class's shingles are taken in one order, the rarest among these classes first. Of two linked sets the
+    first shingle that they share stands so early in both that overlap can still be reached: within n - t n + 1
+    of the larger and n - 2 t / (1 + t) n + 1 of the smaller one, t being the threshold. So no link is lost,
+    while what a template gives to all of its texts stands late and brings none together.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, root, n, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([x] * n, pa.int64()) for x in (cid, root, n)] + [pa.array(np.frombuffer(items, np.int64))], ["cid", "root", "n", "item"])
+
+    items = settled(crowded.join(sets.select("cid", "items"), "cid").select("cid", "root", "n", "items").mapInArrow(spread, "cid long, root long, n long, item long"))
+    times = items.groupBy("item").agg(F.count("*").alias("times")).filter("times > 1")  # what stands in one set alone comes first in it, and links none
+    own = W.Window.partitionBy("cid")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "item"))
+    ordered = items.join(times, "item").withColumn("place", place)
+    reach = lambda part, whole: F.col("n") - F.expr(f"({part} * n + {whole - 1}) div {whole}") + 1
+    early = ordered.filter(F.col("place") <= reach(percent, 100)).withColumn("first", F.col("place") <= reach(2 * percent, 100 + percent))
+    early = settled(early.select("item", "cid", "root", "first"))
+    met = early.groupBy("item").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.max("first").alias("_first")).filter("_first AND _a <> _b")
+    return early.join(met.select("item"), "item").select(F.xxhash64(F.lit("rare"), "item").alias("band"), "cid", "root")
+
+
 def _blocks(n: Column) -> Column:
     """Blocks that so many documents, with so many shingles each, make."""
     return F.coalesce(F.ceil(F.greatest(F.count(n) / BLOCK_DOCS, F.sum(n) / BLOCK_SHINGLES)), F.lit(0)).cast("int")
@@ -251,11 +293,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
        large group of near copies is linked in linear time. The links make groups.
     2. Classes whose group differs from that of the largest class of their bands are verified against that.
     3. In every band that still holds two groups or more, classes of different groups are compared; the largest
-       group of a band never with itself. Bands of the same classes are compared once, and large ones in blocks of
-       bounded size, so none is cut.
+       group of a band never with itself. Bands of the same classes are compared once. The classes of bands larger
+       than a block (pages of one template, say, that are alike but not linked) are dealt anew by their rarest
+       shingles, which loses no link. What is still larger is compared in blocks of bounded size, so none is cut.
 
-    In each step sizes and register estimates leave out pairs far below the threshold, and the others are checked
-    on their full shingle sets. Only classes that share a band ship their set, made of one row each. Tasks return
+    In steps 1 and 2 sizes and register estimates leave out pairs far below the threshold, and the others are
+    checked on their full shingle sets; in step 3 all intersections of a block are counted at once. Only classes that share a band ship their set, made of one row each. Tasks return
     a spanning forest of the links, not the pairs.
 
     Shingles stand as 64-bit hashes (two different ones of a pair collide with a chance below 1e-9 a pair of
@@ -290,10 +333,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     between = lambda links: links.join(root_of("u"), "u").join(root_of("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).filter("u <> v")
     roots = _moved(roots, between(starred(apart)))
 
-    held = settled(shared.select("band", "cid").join(roots, "cid"))
-    mixed = held.groupBy("band").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("cid")).alias("_x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("_y")).filter("_a <> _b")
-    once = mixed.groupBy("_n", "_x", "_y").agg(F.min("band").alias("band")).select("band")
-    inside = held.join(once, "band").join(members.select("cid", "n"), "cid")
+    def inside_of(held: DataFrame) -> DataFrame:
+        """band, cid, root, n of the bands that hold two groups or more; of bands of the same classes one."""
+        mixed = held.groupBy("band").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("cid")).alias("_x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("_y")).filter("_a <> _b")
+        once = mixed.groupBy("_n", "_x", "_y").agg(F.min("band").alias("band")).select("band")
+        return settled(held.join(once, "band").join(members.select("cid", "n"), "cid").select("band", "cid", "root", "n"))
+
+    inside = inside_of(settled(shared.select("band", "cid").join(roots, "cid")))
+    crowded = settled(inside.groupBy("band").agg(_blocks(F.col("n")).alias("blocks")).filter("blocks > 1").select("band"))
+    if crowded.head(1):
+        finer = by_rare_shingles(sets, settled(inside.join(crowded, "band").select("cid", "root", "n").distinct()), percent)
+        inside = inside_of(settled(inside.join(crowded, "band", "left_anti").select("band", "cid", "root").unionByName(finer)))
     crowds = inside.groupBy("band", "root").agg(F.count("*").alias("_n")).groupBy("band").agg(F.max_by("root", F.struct("_n", "root")).alias("crowd"))
     inside = settled(inside.join(crowds, "band").withColumn("in_crowd", F.col("root") == F.col("crowd")))
     sizes = inside.groupBy("band").agg(_blocks(F.when(F.col("in_crowd"), F.col("n"))).alias("crowd_blocks"), _blocks(F.when(~F.col("in_crowd"), F.col("n"))).alias("other_blocks"), _blocks(F.col("n")).alias("blocks"))

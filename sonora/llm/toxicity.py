@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +19,17 @@ from .textmodels import ROWS, in_fold, sampled
 #: Letters of a subsequence, letters that it may stretch over, and the weight of each letter stretched over.
 LENGTH, STRETCH, DECAY = 3, 6, 0.7
 #: Kernel values are raised to this power, and those below NEAR before that count as 0.
-POWER, NEAR = 2, 0.4
+POWER, NEAR = 3, 0.45
 #: Landmarks, and the least evidence (z of the log odds) and documents of one.
 LANDMARKS, EVIDENCE, LEAST_DOCS = 96, 3.0, 2
-#: Letters of a word that are compared at once; longer words are compared in overlapping pieces.
-PIECE = 24
+#: Letters of a word that are compared at once; longer words are compared in overlapping pieces, of so many letters and so far apart.
+PIECE, CUT, STEP = 24, 10, 4
 #: Labelled documents of each kind that the classifier is fitted on, about; the sample's bound.
 TOXIC, CLEAN = 3000, 6000
 #: Sentences of a labelled document that are learnt from.
 TOP = 4
-#: Words that a task remembers.
-REMEMBERED = 300_000
+#: Letters of texts that are read together, and words that a task remembers.
+TOGETHER, REMEMBERED = 1_000_000, 300_000
 BITS = 20
 
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -47,78 +48,100 @@ def words_of(sentence: str) -> list[str]:
 
 
 def pieces(word: str) -> list[str]:
-    """The word between marks of its start and end; if it is longer than PIECE, in overlapping pieces of half that length, which cover it."""
-    marked, size = f"^{word}$", PIECE // 2
+    """The word between marks of its start and end; if it is longer than PIECE, in overlapping pieces of CUT letters, STEP apart, which cover it."""
+    marked = f"^{word}$"
     if len(word) <= PIECE:
         return [marked]
-    return [marked[at : at + size] for at in range(0, len(marked) - size // 2, size // 2)]
+    return [marked[max(0, min(at, len(marked) - CUT)) :][:CUT] for at in range(0, len(marked) - CUT + STEP, STEP)]
 
 
-def subsequences(marked: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the subsequences of LENGTH letters within STRETCH of every string, and their weights (0: none there)."""
-    width = max(map(len, marked))
-    letters = np.array(marked, f"U{width}").view(np.uint32).reshape(len(marked), width).astype(np.uint64)
-    codes, weights = [], []
+@cache
+def weights_of(size: int) -> np.ndarray:
+    """Weights of the subsequences of a string of so many letters, in the order of `subsequences`."""
+    return np.concatenate([np.full(max(0, size - b), DECAY ** (b + 1), np.float32) for _, b in OFFSETS])
+
+
+def subsequences(marked: list[str]) -> np.ndarray:
+    """Hashes of the subsequences of LENGTH letters within STRETCH of every string; all strings are equally long."""
+    size = len(marked[0])
+    letters = np.array(marked, f"U{size}").view(np.uint32).reshape(len(marked), size)
+    first, second, third = letters * np.uint32(0x9E3779B1), letters * np.uint32(0x85EBCA77), letters * np.uint32(0xC2B2AE3D)
+    out = np.empty((len(marked), len(weights_of(size))), np.uint32)
+    at = 0
     for a, b in OFFSETS:
-        if width <= b:
-            continue
-        h = letters[:, : width - b] * np.uint64(0x9E3779B97F4A7C15) + letters[:, a : width - b + a]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + letters[:, b:]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        codes.append((h >> np.uint64(64 - BITS)).astype(np.int32))
-        weights.append(np.where(letters[:, b:] > 0, np.float32(DECAY ** (b + 1)), np.float32(0)))
-    if not codes:
-        return np.zeros((len(marked), 1), np.int32), np.zeros((len(marked), 1), np.float32)
-    return np.hstack(codes), np.hstack(weights)
+        if size > b:
+            np.add(first[:, : size - b], second[:, a : size - b + a], out=out[:, at : at + size - b])
+            out[:, at : at + size - b] += third[:, b:]
+            at += size - b
+    out ^= out >> np.uint32(15)
+    out *= np.uint32(0x2C1B3C6D)
+    return out >> np.uint32(32 - BITS)
 
 
 def lengths(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Norms of the rows' feature vectors; a subsequence that occurs twice has the sum of its weights."""
-    row, column = np.nonzero(weights)
-    _, where = np.unique((row.astype(np.int64) << BITS) | codes[row, column], return_inverse=True)
-    total = np.bincount(where, weights[row, column])
-    owner = np.zeros(len(total), np.int64)
-    owner[where] = row
-    return np.sqrt(np.maximum(np.bincount(owner, total**2, minlength=len(codes)), 1e-12))
+    square = np.full(len(codes), np.square(weights, dtype=float).sum())
+    order = np.argsort(codes, axis=1)
+    for i in np.flatnonzero((np.diff(np.take_along_axis(codes, order, axis=1), axis=1) == 0).any(axis=1)):
+        _, where = np.unique(codes[i], return_inverse=True)
+        square[i] = np.square(np.bincount(where, weights)).sum()
+    return np.sqrt(np.maximum(square, 1e-12))
 
 
 class Kernel:
     """Normalised kernel values of words against the landmarks, to the power of POWER; those below NEAR are 0, and words without others are not near."""
 
     def __init__(self, landmarks: list[str]):
-        codes, weights = subsequences(landmarks)
-        norm = lengths(codes, weights)
-        row, column = np.nonzero(weights)
-        self.known, place = np.unique(codes[row, column], return_inverse=True)
-        self.table = np.zeros((len(self.known), len(landmarks)), np.float32)
-        np.add.at(self.table, (place, row), weights[row, column] / norm[row])
+        found = []
+        for k, word in enumerate(landmarks):
+            codes, weights = subsequences([word]), weights_of(len(word))
+            found.append((codes[0], np.full(codes.shape[1], k), weights / lengths(codes, weights)[0]))
+        codes, owner, weights = map(np.concatenate, zip(*found, strict=True))
+        known, place = np.unique(codes, return_inverse=True)
+        self.table = np.zeros((len(known), len(landmarks)), np.float32)
+        np.add.at(self.table, (place, owner), weights)
         self.place = np.full(1 << BITS, -1, np.int32)
-        self.place[self.known] = np.arange(len(self.known))
+        self.place[known] = np.arange(len(known))
         self.most = np.zeros(1 << BITS, np.float32)
-        self.most[self.known] = self.table.max(axis=1)
+        self.most[known] = self.table.max(axis=1)
+        similar = np.argsort(landmarks)  # groups of landmarks that begin alike
+        self.groups = np.stack([self.table[:, similar[at : at + 8]].max(axis=1) for at in range(0, len(landmarks), 8)], axis=1)
+        self.groups = np.vstack([self.groups, np.zeros((1, self.groups.shape[1]), np.float32)])  # place -1
 
     def rows(self, marked: list[str]) -> np.ndarray:
+        """Values of every string; strings of one length are taken together, some thousand at a time."""
         out = np.zeros((len(marked), self.table.shape[1]), np.float32)
-        for at in range(0, len(marked), ROWS * 8):
-            self._fill(marked[at : at + ROWS * 8], out[at : at + ROWS * 8])
+        size = np.array([len(m) for m in marked])
+        for n in np.unique(size):
+            own = np.flatnonzero(size == n)
+            for at in range(0, len(own), 4096):
+                part = own[at : at + 4096]
+                self._fill([marked[i] for i in part.tolist()], part, out)
         return out
 
-    def _fill(self, marked: list[str], out: np.ndarray) -> None:
-        codes, weights = subsequences(marked)
-        # no value is above this: each subsequence counts for the landmark that it fits best, and equal ones only lengthen the vector
-        most = (self.most[codes] * weights).sum(axis=1) / np.sqrt(np.maximum(np.square(weights).sum(axis=1), 1e-12))
-        near = np.flatnonzero(most >= NEAR)
+    def _fill(self, marked: list[str], to: np.ndarray, out: np.ndarray) -> None:
+        weights = weights_of(len(marked[0]))
+        if not len(weights):
+            return
+        codes = subsequences(marked)
+        # no value is above these: each subsequence counts for the landmark (of all, then of each group) that it fits best, and equal ones only lengthen the vector
+        least = NEAR * np.sqrt(np.square(weights).sum())
+        near = np.flatnonzero(self.most[codes] @ weights >= least)
+        place = self.place[codes[near]]
+        near = near[np.einsum("ijk,j->ik", self.groups[place], weights).max(axis=1, initial=0) >= least]
         if not len(near):
             return
-        codes, weights = codes[near], weights[near]
+        codes = codes[near]
         place = self.place[codes]
-        row, column = np.nonzero((weights > 0) & (place >= 0))
+        row, column = np.nonzero(place >= 0)
         start = np.flatnonzero(np.diff(row, prepend=-1))
-        value = np.add.reduceat(self.table[place[row, column]] * weights[row, column, None], start, axis=0)
+        value = np.add.reduceat(self.table[place[row, column]] * weights[column, None], start, axis=0)
         own = row[start]
-        value /= lengths(codes, weights)[own, None]
+        hit = value.max(axis=1) >= least
+        value, own = value[hit], own[hit]
+        value /= lengths(codes[own], weights)[:, None]
         value[value < NEAR] = 0
-        out[near[own]] = value**POWER
+        out[to[near[own]]] = value**POWER
 
 
 @dataclass
@@ -149,36 +172,48 @@ class Reader:
         if len(self.far) + len(self.near) > REMEMBERED:
             self.far.clear()
             self.near.clear()
-        new = [w for w in words if w not in self.near and w not in self.far] if self.far else list(words)
+        new = list(words - self.far - self.near.keys())
         if not new:
             return
         cut = [pieces(w) for w in new]
         values = self.kernel.rows([p for x in cut for p in x])
         if len(values) > len(new):
             values = np.maximum.reduceat(values, np.cumsum([0, *map(len, cut[:-1])]), axis=0)
-        for w, v, hit in zip(new, values, values.any(axis=1).tolist(), strict=True):
-            if hit:
-                self.near[w] = v
-            else:
-                self.far.add(w)
-
-    def sentences(self, text: str) -> list[tuple[float, np.ndarray]]:
-        """Decision and values of every sentence that has a word near a landmark: for each landmark, the largest of its words'."""
-        if self.kernel is None:
-            return []
-        self.learn(set(words_of(text)))
+        hits = values.any(axis=1)
+        self.far.update(w for w, hit in zip(new, hits.tolist(), strict=True) if not hit)
+        self.near.update((new[i], values[i].copy()) for i in np.flatnonzero(hits).tolist())
+
+    def sentences(self, texts: list[str]) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """For each text, decision and values of every sentence that has a word near a landmark: for each landmark, the largest of its words'."""
+        group, size = [], 0
+        for text in texts:
+            group.append([words_of(x) for x in SENTENCES.split(text)] if self.kernel else [])
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._decided(group)
+                group, size = [], 0
+        yield from self._decided(group)
+
+    def _decided(self, group: list[list[list[str]]]) -> Iterator[list[tuple[float, np.ndarray]]]:
+        self.learn({w for text in group for sentence in text for w in sentence}) if self.kernel else None
+        near, weights, bias = self.near, self.model.weights, self.model.bias
+        for text in group:
+            out = []
+            for sentence in text:
+                if not near.keys().isdisjoint(sentence):
+                    own = [near[w] for w in set(sentence) if w in near]
+                    value = own[0] if len(own) == 1 else np.max(own, axis=0)
+                    out.append((float(value @ weights) + bias, value))
+            yield out
+
+    def decisions(self, texts: list[str]) -> list[float]:
+        """The largest of each text's sentences, and half of what the next largest has above 0; a text without a near word has the bias."""
         out = []
-        for sentence in SENTENCES.split(text) if self.near else ():
-            own = [v for w in words_of(sentence) if (v := self.near.get(w)) is not None]
-            if own:
-                value = own[0] if len(own) == 1 else np.max(own, axis=0)
-                out.append((float(value @ self.model.weights) + self.model.bias, value))
+        for found in self.sentences(texts):
+            top = sorted((d for d, _ in found), reverse=True)
+            out.append(max([self.model.bias, *top[:1]]) + max([0.0, *top[1:2]]) / 2)
         return out
 
-    def decision(self, text: str) -> float:
-        """The largest of a text's sentences; one without a near word has the bias."""
-        return max([self.model.bias, *(d for d, _ in self.sentences(text))])
-
 
 def top_sentences(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Label and values of the TOP sentences of largest decision of every document of a bounded sample (doc_id, toxic, text), of those near a landmark."""
@@ -187,8 +222,8 @@ def top_sentences(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
-            for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                top = sorted(reader.sentences(text or ""), key=lambda x: -x[0])[:TOP]
+            for toxic, found in zip(batch.column(1).to_pylist(), reader.sentences([t or "" for t in batch.column(2).to_pylist()]), strict=True):
+                top = sorted(found, key=lambda x: -x[0])[:TOP]
                 yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(top), pa.int32()), pa.array([v.astype(np.float16).tobytes() for _, v in top], pa.binary())], ["toxic", "packed"])
 
     rows = sorted((r["toxic"], bytes(r["packed"])) for r in sample.mapInArrow(run, "toxic int, packed binary").collect())
@@ -202,7 +237,7 @@ def decisions(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([float(reader.decision(t or "")) for t in batch.column(2).to_pylist()], pa.float64())], ["toxic", "decision"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(reader.decisions([t or "" for t in batch.column(2).to_pylist()]), pa.float64())], ["toxic", "decision"])
 
     rows = sorted((r["toxic"], r["decision"]) for r in sample.mapInArrow(run, "toxic int, decision double").collect())
     return np.array([t for t, _ in rows]), np.array([d for _, d in rows])
@@ -321,7 +356,7 @@ def rated(docs: DataFrame, model: Model, keep: list[str], text: str = "text", na
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                decision = np.array([reader.decision(x.as_py() or "") for x in part.column(part.num_columns - 1)])
+                decision = np.array(reader.decisions([x.as_py() or "" for x in part.column(part.num_columns - 1)]), float)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.score(decision), pa.float64())], schema.names)
 
     return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)

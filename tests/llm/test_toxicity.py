@@ -52,8 +52,9 @@ def test_kernel_equals_a_plain_one():
 def test_long_words_are_read_to_their_end():
     reader = toxicity.Reader(toxicity.Model(["^idiot$"], np.ones(1)))
     filler = "".join(random.Random(1).choice("bcdefghjklmn") for _ in range(5000))
-    assert reader.decision(filler + "idiot") > 0 and reader.decision(filler) == 0
-    assert "".join(p[: toxicity.PIECE // 4] for p in toxicity.pieces(filler)).startswith("^" + filler[:4980])
+    assert reader.decisions([filler + "idiot", filler])[0] > 0 == reader.decisions([filler])[0]
+    cut = toxicity.pieces(filler)
+    assert "".join(p[: toxicity.STEP] for p in cut[:-1]) + cut[-1] in (f"^{filler}$", f"^{filler}"[: 4 * len(cut) - 4] + cut[-1]) and cut[-1].endswith("$")
 
 
 def test_words_close_gaps():
