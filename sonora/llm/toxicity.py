@@ -23,7 +23,7 @@ POWER, NEAR = 3, 0.45
 #: Landmarks, and the least evidence (z of the log odds) and documents of one.
 LANDMARKS, EVIDENCE, LEAST_DOCS = 96, 3.0, 2
 #: Letters of a word that are compared at once; longer words are compared in overlapping pieces, of so many letters and so far apart.
-PIECE, CUT, STEP = 24, 10, 4
+PIECE, CUT, STEP = 24, 8, 2
 #: Labelled documents of each kind that the classifier is fitted on, about; the sample's bound.
 TOXIC, CLEAN = 3000, 6000
 #: Sentences of a labelled document that are learnt from.
