@@ -25,6 +25,8 @@ BAND = 8
 SLACK = 0.1
 #: Documents and shingles in a block of a band; larger ones are compared block by block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Numbers of blocks of one kind lie below this.
+KIND = 1 << 24
 #: Shingles whose indicator columns a product takes at once.
 COLUMNS = 4096
 #: Classes whose keys are broadcast at most, to read their texts (about 100 bytes each).
@@ -176,19 +178,21 @@ def _with_centre(percent: int):
     return verify
 
 
-def common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of the sets, by products of indicator columns, COLUMNS at a time; what stands in one set alone has none."""
+def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets of the left with sets of the right, by products of indicator columns, COLUMNS at a time; what stands in one set alone has none."""
     _, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[where]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[column >= 0]
+    column = column[column >= 0]
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for first in range(0, int(column[-1]) + 1, COLUMNS):
+    out = np.zeros((len(left), len(right)), np.float32)
+    n = int(column[-1]) + 1 if len(column) else 0
+    for first in range(0, n, COLUMNS):
         low, high = np.searchsorted(column, [first, first + COLUMNS])
-        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part = np.zeros((len(sets), min(COLUMNS, n - first)), np.float32)
         part[row[low:high], column[low:high] - first] = 1
-        out += part @ part.T
+        out += part[left] @ part[right].T
     return out.astype(np.int64)
 
 
@@ -197,32 +201,33 @@ def _among(percent: int):
         """Links between the groups of a block, or of two blocks, as a spanning forest of the groups."""
         i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
         rows = rows.sort_values("cid").reset_index(drop=True)
-        sets = [np.frombuffer(x, np.uint64) for x in rows["items"]]
-        both, size = common(sets), np.array([len(s) for s in sets])
-        root, block = rows["root"].to_numpy(), rows["block"].to_numpy()
-        names, own = np.unique(root, return_inverse=True)
-        linked = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (own[:, None] < own[None, :])
-        if i != j:
-            linked &= block[:, None] != block[None, :]
-        pairs = np.unique(own[np.argwhere(linked)], axis=0)
+        sets, block = [np.frombuffer(x, np.uint64) for x in rows["items"]], rows["block"].to_numpy()
+        names, own = np.unique(rows["root"].to_numpy(), return_inverse=True)
+        left, right = (np.flatnonzero(block == k) for k in (i, j))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
+        both, size = common(sets, left, right), np.array([len(s) for s in sets])
+        linked = (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (own[left][:, None] != own[right][None, :])
+        a, b = np.nonzero(linked)
+        pairs = np.unique(np.sort(np.stack([own[left[a]], own[right[b]]], axis=1), axis=1), axis=0)
         groups, edges = _Sets(len(names)), []
-        for a, b in pairs.tolist():
-            x, y = groups.find(a), groups.find(b)
-            if x != y:
-                groups.up[x] = y
-                edges.append((names[a], names[b]))
+        for x, y in pairs.tolist():
+            p, q = groups.find(x), groups.find(y)
+            if p != q:
+                groups.up[p] = q
+                edges.append((names[x], names[y]))
         return pd.DataFrame(edges, columns=["u", "v"], dtype=np.int64)
 
     return verify
 
 
 def by_rare_shingles(sets: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
-    """band, cid, root: classes of crowded bands (cid, root, n) dealt anew by their rarest shingles, so that linked ones meet.
+    """band, cid, root, first: classes of crowded bands (cid, root, n) dealt anew by their rarest shingles, so that linked ones meet.
 
     Each class's shingles are taken in one order, the rarest among these classes first. Of two linked sets the
     first shingle that they share stands so early in both that overlap can still be reached: within n - t n + 1
-    of the larger and n - 2 t / (1 + t) n + 1 of the smaller one, t being the threshold. So no link is lost,
-    while what a template gives to all of its texts stands late and brings none together.
+    of the larger and n - 2 t / (1 + t) n + 1 of the smaller one (first is true there), t being the threshold. So
+    no link is lost, and rows that aren't first needn't meet, while what a template gives to all of its texts stands late and brings none together.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +244,7 @@ def by_rare_shingles(sets: DataFrame, crowded: DataFrame, percent: int) -> DataF
     early = ordered.filter(F.col("place") <= reach(percent, 100)).withColumn("first", F.col("place") <= reach(2 * percent, 100 + percent))
     early = settled(early.select("item", "cid", "root", "first"))
     met = early.groupBy("item").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.max("first").alias("_first")).filter("_first AND _a <> _b")
-    return early.join(met.select("item"), "item").select(F.xxhash64(F.lit("rare"), "item").alias("band"), "cid", "root")
+    return early.join(met.select("item"), "item").select(F.xxhash64(F.lit("rare"), "item").alias("band"), "cid", "root", "first")
 
 
 def _blocks(n: Column) -> Column:
@@ -337,22 +342,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
         """band, cid, root, n of the bands that hold two groups or more; of bands of the same classes one."""
         mixed = held.groupBy("band").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("cid")).alias("_x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("_y")).filter("_a <> _b")
         once = mixed.groupBy("_n", "_x", "_y").agg(F.min("band").alias("band")).select("band")
-        return settled(held.join(once, "band").join(members.select("cid", "n"), "cid").select("band", "cid", "root", "n"))
+        return settled(held.join(once, "band").join(members.select("cid", "n"), "cid").select("band", "cid", "root", "n", "first"))
 
-    inside = inside_of(settled(shared.select("band", "cid").join(roots, "cid")))
+    inside = inside_of(settled(shared.select("band", "cid").join(roots, "cid").withColumn("first", F.lit(True))))
     crowded = settled(inside.groupBy("band").agg(_blocks(F.col("n")).alias("blocks")).filter("blocks > 1").select("band"))
     if crowded.head(1):
         finer = by_rare_shingles(sets, settled(inside.join(crowded, "band").select("cid", "root", "n").distinct()), percent)
-        inside = inside_of(settled(inside.join(crowded, "band", "left_anti").select("band", "cid", "root").unionByName(finer)))
+        inside = inside_of(settled(inside.join(crowded, "band", "left_anti").select("band", "cid", "root", "first").unionByName(finer)))
+    # what is compared: the rows of the largest group (kind 1) and of others (0); of bands by rare shingles, rows that only look for partners (3 and 2) don't meet each other
     crowds = inside.groupBy("band", "root").agg(F.count("*").alias("_n")).groupBy("band").agg(F.max_by("root", F.struct("_n", "root")).alias("crowd"))
-    inside = settled(inside.join(crowds, "band").withColumn("in_crowd", F.col("root") == F.col("crowd")))
-    sizes = inside.groupBy("band").agg(_blocks(F.when(F.col("in_crowd"), F.col("n"))).alias("crowd_blocks"), _blocks(F.when(~F.col("in_crowd"), F.col("n"))).alias("other_blocks"), _blocks(F.col("n")).alias("blocks"))
-    block = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
-    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
-    own = F.when(F.col("blocks") == 1, F.lit(0)).when(F.col("in_crowd"), -1 - block(F.col("crowd_blocks"))).otherwise(block(F.col("other_blocks")))
-    others = F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda k: F.when(F.col("in_crowd"), pair(k, F.col("block"))).otherwise(pair(F.least(k, "block"), F.greatest(k, "block"))))
-    crowd = F.when(F.col("in_crowd"), F.array().cast("array<struct<i:int,j:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("crowd_blocks") - 1), lambda k: pair(F.col("block"), -1 - k)))
-    tasks = inside.join(sizes, "band").withColumn("block", own).withColumn("p", F.explode(F.when(F.col("blocks") == 1, F.array(pair(F.lit(0), F.lit(0)))).otherwise(F.concat(others, crowd))))
+    kind = (F.col("root") == F.col("crowd")).cast("int") + 2 * (~F.col("first")).cast("int")
+    inside = settled(inside.join(crowds, "band").withColumn("kind", kind).select("band", "cid", "root", "n", "kind"))
+    sizes = inside.groupBy("band").agg(_blocks(F.col("n")).alias("blocks"), *[_blocks(F.when(F.col("kind") == k, F.col("n"))).alias(f"_{k}") for k in range(4)])
+    own = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.col("kind") * KIND + F.pmod(F.xxhash64("cid"), F.greatest(F.lit(1), F.element_at(F.array("_0", "_1", "_2", "_3"), F.col("kind") + 1))).cast("int"))
+    numbers = lambda k: F.when(F.col(f"_{k}") > 0, F.transform(F.sequence(F.lit(0), F.col(f"_{k}") - 1), lambda i: i + k * KIND)).otherwise(F.array().cast("array<int>"))
+    partners = F.when(F.col("blocks") == 1, F.array(F.lit(0)))
+    for k, meets in enumerate(((0, 1, 2, 3), (0, 2), (0, 1), (0,))):
+        partners = partners.when(F.col("kind") == k, F.concat(*map(numbers, meets)))
+    pair = F.transform(partners, lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
+    tasks = inside.join(sizes, "band").withColumn("block", own).withColumn("p", F.explode(pair))
     links = settled(tasks.select("cid", "root", "band", "block", "p.i", "p.j").join(sets, "cid").groupBy("band", "i", "j").applyInPandas(_among(percent), "u long, v long"))
     roots = _moved(roots, links)
 
