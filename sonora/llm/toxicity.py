@@ -32,19 +32,22 @@ TOP = 4
 TOGETHER, REMEMBERED = 1_000_000, 300_000
 BITS = 20
 
-SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
-#: What is left out of words, so that "i.d-i*o_t" is one.
+#: Where sentences end; what is left out of words, so that "i.d-i*o_t" is one; letters that stand alone, three or more in a row, are also taken together.
+ENDS = re.compile(r"[.!?]\s+|\n+")
 INSERTED = re.compile(r"[^\w\s]+|_+")
-#: Letters that stand alone, three or more in a row, are also taken together.
-SPACED = re.compile(r"(?<!\S)\w(?:\s+\w){2,}(?!\S)")
+SPACED = re.compile(r" \w(?: +\w){2,}(?= )")
 OFFSETS = [(a, b) for b in range(LENGTH - 1, STRETCH) for a in range(1, b)]
 FIRST, LAST = ord("^"), ord("$")
 
 
-def words_of(sentence: str) -> list[str]:
-    """Lower-cased words without what isn't a letter or digit; spaced out letters are also a word of their own."""
-    plain = INSERTED.sub("", sentence.lower())
-    return plain.split() + ["".join(m.split()) for m in SPACED.findall(plain)]
+def plain(text: str) -> str:
+    """Lower-cased words, without what isn't a letter or digit, between spaces; sentences end at line feeds."""
+    return f" {INSERTED.sub('', ENDS.sub(' \n ', text.lower())).replace('\t', ' ')} "
+
+
+def words_of(part: str) -> list[str]:
+    """Words of a plain text or sentence; spaced out letters are also a word of their own."""
+    return part.split() + ["".join(m.split()) for m in SPACED.findall(part)]
 
 
 def pieces(word: str) -> list[str]:
@@ -187,22 +190,23 @@ class Reader:
         """For each text, decision and values of every sentence that has a word near a landmark: for each landmark, the largest of its words'."""
         group, size = [], 0
         for text in texts:
-            group.append([words_of(x) for x in SENTENCES.split(text)] if self.kernel else [])
+            group.append(plain(text))
             size += len(text)
             if size >= TOGETHER:
                 yield from self._decided(group)
                 group, size = [], 0
         yield from self._decided(group)
 
-    def _decided(self, group: list[list[list[str]]]) -> Iterator[list[tuple[float, np.ndarray]]]:
-        self.learn({w for text in group for sentence in text for w in sentence}) if self.kernel else None
+    def _decided(self, group: list[str]) -> Iterator[list[tuple[float, np.ndarray]]]:
+        words = [set(words_of(text)) if self.kernel else set() for text in group]
+        self.learn(set().union(*words))
         near, weights, bias = self.near, self.model.weights, self.model.bias
-        for text in group:
+        for text, own in zip(group, words, strict=True):
             out = []
-            for sentence in text:
-                if not near.keys().isdisjoint(sentence):
-                    own = [near[w] for w in set(sentence) if w in near]
-                    value = own[0] if len(own) == 1 else np.max(own, axis=0)
+            for sentence in () if near.keys().isdisjoint(own) else text.split("\n"):
+                values = [near[w] for w in {*words_of(sentence)} if w in near]
+                if values:
+                    value = values[0] if len(values) == 1 else np.max(values, axis=0)
                     out.append((float(value @ weights) + bias, value))
             yield out
 
@@ -249,7 +253,7 @@ def associated(sample: DataFrame, count: int = LANDMARKS) -> tuple[list[str], np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = {w for w in words_of(text or "") if len(w) <= PIECE}
+                words = {w for w in words_of(plain(text or "")) if len(w) <= PIECE}
                 found = [f"^{w}$" for w in words] + list({f"^{w[:k]}" for w in words for k in (4, 5, 6) if len(w) > k})
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())], ["word", "toxic"])
 

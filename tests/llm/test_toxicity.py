@@ -58,9 +58,11 @@ def test_long_words_are_read_to_their_end():
 
 
 def test_words_close_gaps():
-    assert toxicity.words_of("You I.D-i*o_t!") == ["you", "idiot"]
-    assert toxicity.words_of("a b c dd e") == ["a", "b", "c", "dd", "e", "abc"]
-    assert toxicity.words_of(" *** ") == []
+    words = lambda text: toxicity.words_of(toxicity.plain(text))
+    assert words("You I.D-i*o_t!") == ["you", "idiot"]
+    assert words("a b\tc dd e") == ["a", "b", "c", "dd", "e", "abc"]
+    assert words("a b. c d") == ["a", "b", "c", "d"]  # letters of two sentences aren't joined
+    assert words(" *** ") == []
 
 
 def test_machine_finds_the_least_loss():
