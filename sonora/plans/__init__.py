@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import sound, statistics, study
+from . import models, sound, statistics, study
 from .registry import ORACLES, QUERIES
 
-MODULES = (sound, study, statistics)
+MODULES = (sound, study, statistics, models)
 
 
 def all_queries() -> dict:
