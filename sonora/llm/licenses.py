@@ -87,8 +87,13 @@ def _met(around: Column, at: Column, ranks: Column, size: Column, need: Column,
     """
 
     def block(start: Column) -> Column:
-        end = lambda run, own: start + F.array_max(F.transform(own, lambda r: F.array_position(run, r))).cast("int") - 1  # noqa: E731  where the last of the words has come up
-        return let(F.slice(around, start + 1, length), lambda run: let(F.array_distinct(F.filter(run, lambda r: F.array_contains(ranks, r))), lambda own: F.struct(F.size(own).alias("held"), covered(start, end(run, own), own).alias("covered"))))
+        last = lambda run, own: F.array_max(F.transform(own, lambda r: F.array_position(run, r))).cast("int")  # noqa: E731  how far the run goes until the last of the words has come up
+        return let(F.slice(around, start + 1, length), lambda run: let(F.array_distinct(F.filter(run, lambda r: F.array_contains(ranks, r))), lambda own: F.struct(F.size(own).alias("held"), let(last(run, own), lambda n: shortest(start, n, run, own)).alias("covered"))))
+
+    def shortest(start: Column, n: Column, run: Column, own: Column) -> Column:
+        """Whether the shortest run that ends where the block's words are complete, and still holds them all, is covered."""
+        first = lambda back: start + n - F.array_max(F.transform(own, lambda r: F.array_position(back, r))).cast("int")
+        return let(first(F.reverse(F.slice(run, 1, n))), lambda at: covered(at, start + n - 1, own))
 
     def covered(start: Column, end: Column, own: Column) -> Column:
         """Whether a block of a rival template lies around these words, which are all its own, and holds more words (or as many of a smaller template)."""
@@ -191,9 +196,11 @@ c AS (SELECT doc_id, w FROM w WHERE EXISTS (SELECT 1 FROM t WHERE len(list_inter
 a AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM c),
 h AS (SELECT doc_id, t, word, i FROM a JOIN (SELECT t, unnest(words) AS word FROM t) USING (word)),
 n AS (SELECT x.doc_id, x.t, x.i AS s, y.word, min(y.i) AS e FROM h x JOIN t USING (t) JOIN h y ON y.doc_id = x.doc_id AND y.t = x.t AND y.i BETWEEN x.i AND x.i + t.span - 1 GROUP BY ALL),
-m AS (SELECT doc_id, t, s, max(e) AS e, list(word) AS own FROM n GROUP BY ALL),
+m0 AS (SELECT doc_id, t, s, max(e) AS e, list(word) AS own FROM n GROUP BY ALL),
+g AS (SELECT doc_id, t, s, min(last) AS tight FROM (SELECT m0.doc_id, m0.t, m0.s, h.word, max(h.i) AS last FROM m0 JOIN h ON h.doc_id = m0.doc_id AND h.t = m0.t AND h.i BETWEEN m0.s AND m0.e GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT m0.*, tight FROM m0 JOIN g USING (doc_id, t, s)),
 f AS (SELECT m.*, t.label, t.words FROM m JOIN t USING (t) WHERE len(own) >= need),
-r AS (SELECT f.doc_id, f.t, s, e, own, len(f.words) AS size, b.t AS b, b.need, b.span, len(b.words) AS bsize, unnest(range(greatest(0, e - b.span + 1), s + 1)) AS at FROM f JOIN t b ON b.t <> f.t AND list_has_all(b.words, own)),
+r AS (SELECT f.doc_id, f.t, s, e, own, len(f.words) AS size, b.t AS b, b.need, b.span, len(b.words) AS bsize, unnest(range(greatest(0, e - b.span + 1), tight + 1)) AS at FROM f JOIN t b ON b.t <> f.t AND list_has_all(b.words, own)),
 v AS (SELECT DISTINCT doc_id, t, s FROM (SELECT r.doc_id, r.t, s, r.own, size, need, bsize, r.b, r.at, count(DISTINCT h.word) AS o FROM r JOIN h ON h.doc_id = r.doc_id AND h.t = r.b AND h.i BETWEEN r.at AND r.at + r.span - 1 GROUP BY ALL)
   WHERE o >= need AND (o > len(own) OR (o = len(own) AND bsize < size))),
 l AS (SELECT doc_id, list(DISTINCT label) FILTER (v.t IS NULL) AS found, max(len(own) / len(words)) AS held FROM f LEFT JOIN v USING (doc_id, t, s) GROUP BY doc_id)

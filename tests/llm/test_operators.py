@@ -665,9 +665,10 @@ def plain_labels(text):
             if len(own) < t.need:
                 continue
             covered = False
+            tight = min(max(i for i in range(s, end + 1) if words[i] == w) for w in own)  # the shortest run that holds the words
             for r in sets:
                 if r is not t and own <= set(r.words):
-                    for w in range(max(0, end - r.length + 1), s + 1):
+                    for w in range(max(0, end - r.length + 1), tight + 1):
                         n = len({x for x in words[w : w + r.length] if x in r.words})
                         covered |= n >= r.need and (n > len(own) or (n == len(own) and len(r.words) < len(t.words)))
             if not covered:
@@ -700,6 +701,23 @@ def test_licenses_of_every_block(spark):
     assert [out[i] for i in range(9)] == [["cc-by-sa", "gpl-2"], ["gpl-2"], ["mit"], ["gpl-2", "gpl-3"], ["gpl-3", "lgpl-3"], [], ["mit"], ["cc0"], ["apache-2", "cc-by-nc"]]
 
 
+@pytest.mark.parametrize("text,labels", [
+    ("this work is licensed under the gnu general public license version 2 this work is licensed under the gnu general public license version 3", ["gpl-2", "gpl-3"]),
+    ("this work is licensed under the gnu general public license version 3 this work is licensed under the gnu general public license version 2", ["gpl-2", "gpl-3"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3. This work is licensed under the GNU General Public License, version 2.", ["gpl-2", "lgpl-3"]),
+    ("this work is licensed under the gnu general public license version 2 " * 3, ["gpl-2"]),
+    ("this work is licensed under the gnu lesser general public license version 3 " * 2, ["lgpl-3"]),
+    ("licensed under cc by 4 0 " + "and by other terms " * 4 + "licensed under cc by sa 4 0", ["cc-by", "cc-by-sa"]),
+    ("licensed under cc by sa 4 0 and also licensed under cc by nc 4 0", ["cc-by-nc", "cc-by-sa"]),
+    ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", ["apache-2", "mit"]),
+    ("no word of the kind", []),
+])
+def test_licenses_that_a_text_holds(spark, text, labels):
+    """Labels as a reader gives them."""
+    out = licenses.scan(docs_of(spark, [(1, text, None, None)])).first()
+    assert out["block_labels"] == labels
+
+
 def test_html_keeps_what_only_looks_like_a_mark():
     page = """<body><nav>menu</nav><article><div class="post-header"><h1>Title here</h1></div><p class="share-price">Prices rose.</p><div id="hidden-gems">Some gems.</div>
     <p>A formula <math><mi>x</mi></math> and <svg viewBox="0 0 1 1"><path d="M0"/><text>label</text></svg> stay.</p><p class="notice">A notice of old.</p></article><footer>foot</footer></body>"""
