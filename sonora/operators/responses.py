@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.acoustics import highly_annoyed, prob_ha
-
+from .stats import exact_quantiles
 
 #: Ranges of names, and stimuli that a participant is compared with at a time.
 BUCKETS, LOT = 64, 10_000
@@ -126,15 +126,18 @@ def crosstab_counts(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def group_location(df: DataFrame, by: Sequence[str], y: str, base: Column) -> DataFrame:
     """Median and mean by group, with the median of the baseline rows that share the first group column."""
-    stats = df.filter(~base).groupBy(*by).agg(F.percentile(y, F.lit(0.5)).alias("median"), F.avg(y).alias("mean"), F.count(y).alias("n"))
-    bases = df.filter(base).groupBy(by[0]).agg(F.percentile(y, F.lit(0.5)).alias("base_median"))
+    rated = df.filter(~base)
+    medians = exact_quantiles(rated, by, y, [0.5], "_q").select(F.struct(*by).alias("_by"), F.get("_q", F.lit(0)).alias("median"))
+    stats = rated.groupBy(*by).agg(F.avg(y).alias("mean"), F.count(y).alias("n"))
+    stats = stats.join(medians, F.struct(*by) == F.col("_by"), "left").select(*by, "median", "mean", "n")
+    bases = exact_quantiles(df.filter(base), by[:1], y, [0.5], "_q").select(by[0], F.get("_q", F.lit(0)).alias("base_median"))
     return stats.join(bases, by[0], "left")
 
 
 def rating_outliers(df: DataFrame, who: str = "participant", key: str = "stimulus", y: str = "rating", k: float = 1.5, quartiles: DataFrame | None = None) -> DataFrame:
     """Ratings outside the stimulus's Tukey fences, counted by participant and as a share of their ratings. quartiles (key, q1, q3) may come from another estimator."""
     if quartiles is None:
-        quartiles = df.groupBy(key).agg(F.percentile(y, F.lit(0.25)).alias("q1"), F.percentile(y, F.lit(0.75)).alias("q3"))
+        quartiles = exact_quantiles(df, [key], y, [0.25, 0.75], "_q").select(key, F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(1)).alias("q3"))
     far = (F.col(y) < F.col("q1") - k * (F.col("q3") - F.col("q1"))) | (F.col(y) > F.col("q3") + k * (F.col("q3") - F.col("q1")))
     return df.join(quartiles, key).groupBy(who).agg(F.sum(far.cast("int")).alias("n_outliers"), F.count(y).alias("n_ratings")).withColumn("share", F.col("n_outliers") / F.col("n_ratings"))
 
@@ -279,7 +282,7 @@ def first_per_participant(df: DataFrame, who: str, cols: Sequence[str]) -> DataF
 
 def impute_median(df: DataFrame, col: str) -> DataFrame:
     """Missing values become the median of the others; adds a mark."""
-    median = df.agg(F.percentile(col, F.lit(0.5)).alias("_median"))
+    median = exact_quantiles(df, [], col, [0.5], "_q").select(F.get("_q", F.lit(0)).alias("_median"))
     return df.join(F.broadcast(median)).withColumn(f"{col}_missing", F.col(col).isNull()).withColumn(col, F.coalesce(F.col(col).cast("double"), F.col("_median"))).drop("_median")
 
 

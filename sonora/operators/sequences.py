@@ -13,6 +13,7 @@ from pyspark.sql import window as W
 
 from ..functions import numeric as N
 from ..runtime import ship_package
+from .stats import order_counts
 
 KEYS = ("recording", "channel")
 
@@ -244,9 +245,21 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str], value: str, statistic: str
 
 
 def harrell_davis_quartiles(df: DataFrame, key: str, y: str) -> DataFrame:
-    """q1 and q3 of each group as beta-weighted means of its order statistics, for rating_outliers."""
-    one = lambda row: {q: N.harrell_davis(np.asarray(row["values"]), np.asarray(row["counts"]), x) for q, x in (("q1", 0.25), ("q3", 0.75))}
-    return _each(_counted(df, [key], F.col(y)), [key], one, "q1 double, q3 double")
+    """q1 and q3 of each group as beta-weighted means of its order statistics, for rating_outliers.
+
+    A distinct value's weight follows from how many rows of its group lie below it, so the values of a group are
+    weighed where they are, and only weighted sums are grouped.
+    """
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("double")
+    def weight(below: pd.Series, n: pd.Series, all_: pd.Series, q: pd.Series) -> pd.Series:
+        a, b = (all_ + 1) * q, (all_ + 1) * (1 - q)
+        return pd.Series(N.beta_cdfs((below + n) / all_, a, b) - N.beta_cdfs(below / all_, a, b), dtype=float)
+
+    rows = order_counts(df, [key], y)
+    share = lambda q: F.sum(weight("_before", "_n", "_all", F.lit(q)) * F.col("_v"))
+    return rows.groupBy("_key").agg(share(0.25).alias("q1"), share(0.75).alias("q3")).select(F.col(f"_key.{key}").alias(key), "q1", "q3")
 
 
 def permutation_test(df: DataFrame, keys: Sequence[str], a: str, b: str, n: int = 20_000, seed: int = 1) -> DataFrame:

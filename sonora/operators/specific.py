@@ -14,6 +14,7 @@ from pyspark.sql import window as W
 from ..functions import constants as C
 from ..functions.acoustics import POWER
 from .sequences import in_chunks
+from .stats import exact_quantiles
 
 STEP = ("recording", "channel", "t_idx")
 
@@ -48,7 +49,7 @@ def power_average(value: Column) -> Column:
 
 def percentile_exceeded(curve: DataFrame, percents: Sequence[int], keys: Sequence[str] = ("recording", "channel")) -> DataFrame:
     """Values exceeded so many percent of the steps, then the larger channel."""
-    each = curve.groupBy(*keys).agg(F.percentile("value", F.array(*[F.lit((100 - x) / 100) for x in percents])).alias("_p"))
+    each = exact_quantiles(curve, keys, "value", [(100 - x) / 100 for x in percents], "_p")
     return each.groupBy(keys[0]).agg(*[F.max(F.get("_p", F.lit(i))).alias(f"ex{x}") for i, x in enumerate(percents)])
 
 

@@ -12,29 +12,70 @@ from pyspark.sql import window as W
 
 from ..runtime import shared_folder
 
-#: Ranges of values that running counts are taken in.
-RANGES = 64
+#: Distinct values that a range holds, about; quantiles that the first look at the values takes; ranges of few values.
+PER_RANGE, FINE, FEW = 1_000_000, 1024, 64
+
+
+def _cuts(counts: DataFrame, col: str) -> list[float]:
+    """Ends of ranges of about equally many distinct values: one for each PER_RANGE of them, and up to FEW where there are fewer.
+
+    One look takes the number of values and FINE quantiles; only for more ranges than these there is a second one.
+    """
+    value = F.col(col).cast("double")
+    n, found = counts.agg(F.count(col), F.percentile_approx(value, [i / FINE for i in range(1, FINE)], 10 * FINE)).first()
+    ranges = max(min(FEW, (n or 0) // 1000), (n or 0) // PER_RANGE + 1)
+    if ranges > FINE:
+        found = counts.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
+        return sorted(set(found))
+    return sorted({found[i * FINE // ranges - 1] for i in range(1, ranges)}) if found else []
 
 
 def running_counts(counts: DataFrame, col: str, n: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds the sum of n over all smaller values of col, within each group of `by`. counts: one row for each value (and group).
 
-    Values are dealt to ranges between approximate quantiles (RANGES - 1 numbers on the driver); the sums of
+    Values are dealt to ranges between approximate quantiles, the more the more values there are; the sums of
     the ranges before, and a window inside each range, make the exact sums, so no task sorts all values.
     """
-    probabilities = [i / RANGES for i in range(1, RANGES)]
-    cuts = sorted(set(counts.agg(F.percentile_approx(col, probabilities, 10_000).alias("c")).first()["c"] or []))
+    from pyspark.ml.feature import Bucketizer
+
+    cuts = [c for c in _cuts(counts, col) if abs(c) < float("inf")]
     groups = [F.col(c) for c in by] or [F.lit(0)]
     if not cuts:
         return counts.withColumn(out, F.coalesce(F.sum(n).over(W.Window.partitionBy(*groups).orderBy(col).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
-    dealt = counts.withColumn("_range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(col))))
+    dealt = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_value", outputCol="_range", handleInvalid="keep").transform(counts.withColumn("_value", F.col(col).cast("double"))).drop("_value")
     before = W.Window.partitionBy(*groups).orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)
-    first = dealt.groupBy(*by, "_range").agg(F.sum(n).alias("_sum")).withColumn("_first", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")  # RANGES rows a group
+    first = dealt.groupBy(*by, "_range").agg(F.sum(n).alias("_sum")).withColumn("_first", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")  # a row for each range of a group
     inside = W.Window.partitionBy(*by, "_range").orderBy(col).rowsBetween(W.Window.unboundedPreceding, -1)
     rows = dealt.withColumn("_below", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(first if by else F.broadcast(first), [*by, "_range"])
     return rows.withColumn(out, F.col("_below") + F.col("_first")).drop("_range", "_below", "_first")
 
 
+def order_counts(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:
+    """_key (struct of the keys), _v (the distinct values of each group), _n (how often), _before (rows of smaller values) and _all (rows of the group); NULL counts nowhere."""
+    own = value if isinstance(value, Column) else F.col(value)
+    counts = df.select(F.struct(*[F.col(k).alias(k) for k in keys] or [F.lit(0).alias("_one")]).alias("_key"), own.cast("double").alias("_v")).filter(F.col("_v").isNotNull()).groupBy("_key", "_v").agg(F.count("*").alias("_n"))
+    counts = _settled(counts)
+    total = counts.groupBy("_key").agg(F.sum("_n").alias("_all"))
+    return running_counts(counts, "_v", "_n", "_before", ["_key"]).join(total, "_key")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str | Column, shares: Sequence[float], out: str = "quantiles") -> DataFrame:
+    """keys and out: the quantiles of each group at the shares, linear between neighbouring values, as an array.
+
+    Values are counted, and the running counts of their ranges find each rank, so that no buffer holds a group's
+    values, however many and however different these are. A group without a value has no row; without keys there
+    is one row always, of NULLs if there is no value.
+    """
+    rows = order_counts(df, keys, value)
+    here = lambda rank: F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")), F.col("_v")))
+    place = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
+    found = [(here(F.floor(place(q))), here(F.ceil(place(q))), F.max(place(q) - F.floor(place(q)))) for q in shares]
+    columns = [c.alias(f"_{k}{i}") for i, parts in enumerate(found) for k, c in zip("lhf", parts, strict=True)]
+    groups = rows.groupBy("_key").agg(*columns) if keys else rows.agg(*columns)
+    between = F.array(*[F.when(F.col(f"_f{i}") == 0, F.col(f"_l{i}")).otherwise((1 - F.col(f"_f{i}")) * F.col(f"_l{i}") + F.col(f"_f{i}") * F.col(f"_h{i}")) for i in range(len(shares))])
+    return groups.select(*[F.col(f"_key.{k}").alias(k) for k in keys], between.alias(out))
+
+
 def mean_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
     """Adds average ranks (from 1). Distinct values are counted first, and only the counts are summed in order; a NULL has no rank."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
