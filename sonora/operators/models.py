@@ -160,62 +160,112 @@ def elastic_net_selection(df: DataFrame, y: str, x: Sequence[str], who: str, fol
 # estimating equations
 
 
-def gee(df: DataFrame, y: str, x: Sequence[str], who: str, family: str = "binomial", correlation: str = "exchangeable", rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
-    """term, coefficient, robust_se, naive_se, z, rho, dispersion, clusters: a marginal model whose rows correlate alike within a participant.
-
-    Fisher scoring: the inverse of an exchangeable block is I less a multiple of the ones, so a participant enters
-    by its sums (of weighted columns, residuals and products), two aggregates a round: by participant, and over all.
-    family: binomial (logit link) or gaussian (identity); correlation: exchangeable or independence (rho 0, the
-    plain model with sandwich errors). Rows with NULL take no part; without rows there is no row. Collinear columns
-    take the least coefficients; rounds that don't settle are an error.
+class Marginal:
+    """A marginal model whose rows correlate alike within a participant, by Fisher scoring.
+
+    The inverse of an exchangeable block is I less a multiple of the ones, so a participant enters by its sums (of
+    weighted columns, residuals and products), two aggregates a round: by participant, and over all. family: binomial
+    (logit link) or gaussian (identity); correlation: exchangeable or independence (rho 0, the plain model with
+    sandwich errors). Rows with NULL take no part. Collinear columns take the least coefficients; rounds that don't
+    settle are an error.
     """
-    spark, p = df.sparkSession, len(x) + 1
-    terms = ["(intercept)", *x]
-    schema = "term string, coefficient double, robust_se double, naive_se double, z double, rho double, dispersion double, clusters long"
-    columns = [f"_x{i}" for i in range(p)]
-    rows = _settled(_complete(df, y, x, who).groupBy("_who", "_y", *columns).agg(F.count("*").cast("double").alias("_k")))  # equal rows once
-    n, clusters, pairs_in, mean = rows.groupBy("_who").agg(F.sum("_k").alias("n"), F.sum(F.col("_k") * F.col("_y")).alias("s")).agg(F.sum("n"), F.count("*"), F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("s")).first()
-    if not n:
-        return spark.createDataFrame([], schema)
-    beta, rho = np.zeros(p), 0.0
-    share = mean / n
-    beta[0] = math.log(min(max(share, 1e-6), 1 - 1e-6) / (1 - min(max(share, 1e-6), 1 - 1e-6))) if family == "binomial" else share
-    upper = _upper(p)
-    for _ in range(rounds):
-        eta = sum((float(b) * F.col(c) for b, c in zip(beta, columns, strict=True)), F.lit(0.0))
-        mu = 1 / (1 + F.exp(-eta)) if family == "binomial" else eta
-        held = rows.withColumn("_m", mu)
-        held = held.withColumn("_v", F.greatest(F.col("_m") * (1 - F.col("_m")), F.lit(1e-12)) if family == "binomial" else F.lit(1.0)).withColumn("_r", F.col("_y") - F.col("_m"))
+
+    def __init__(self, df: DataFrame, y: str, x: Sequence[str], who: str, family: str = "binomial", correlation: str = "exchangeable", rounds: int = 50, tolerance: float = 1e-9):
+        self.x, self.who, self.p, self.family = list(x), who, len(x) + 1, family
+        self.columns = [f"_x{i}" for i in range(self.p)]
+        self.rows = _settled(_complete(df, y, x, who).groupBy("_who", "_y", *self.columns).agg(F.count("*").cast("double").alias("_k")))  # equal rows once
+        n, self.clusters, pairs_in, total = self.rows.groupBy("_who").agg(F.sum("_k").alias("n"), F.sum(F.col("_k") * F.col("_y")).alias("s")).agg(F.sum("n"), F.count("*"), F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("s")).first()
+        self.n, p, upper = n or 0, self.p, _upper(self.p)
+        if not n:
+            return
+        share = total / n
+        self.beta, self.rho = np.zeros(p), 0.0
+        self.beta[0] = math.log(min(max(share, 1e-6), 1 - 1e-6) / (1 - min(max(share, 1e-6), 1 - 1e-6))) if family == "binomial" else share
+        for _ in range(rounds):
+            w, h = self._score(), self._bread()
+            sums = self._people().agg(
+                F.sum("q").alias("q"), F.sum((F.col("e") * F.col("e") - F.col("q")) / 2).alias("cross"), *[F.sum(w[i]).alias(f"g{i}") for i in range(p)],
+                *[F.sum(c).alias(f"h{i}") for i, c in enumerate(h)], *[F.sum(w[i] * w[j]).alias(f"b{i}_{j}") for i, j in upper],
+            ).first()
+            self.information = _symmetric([sums[f"h{i}"] for i in range(len(upper))], p)
+            self.inverse = np.linalg.pinv(self.information)
+            step = self.inverse @ np.array([sums[f"g{i}"] for i in range(p)])
+            self.dispersion = sums["q"] / max(1.0, n - p)
+            new = sums["cross"] / max(1.0, pairs_in - p) / self.dispersion if correlation == "exchangeable" and pairs_in and self.dispersion > 0 else 0.0
+            new = min(max(new, -0.99 / max(1.0, 2 * pairs_in / n)), 0.99)
+            if np.abs(step).max() < tolerance * (1 + np.abs(self.beta).max()) and abs(new - self.rho) < tolerance:
+                break
+            self.beta, self.rho = self.beta + step, new
+        else:
+            raise RuntimeError(f"the estimating equations didn't settle in {rounds} rounds")
+        self.meat = _symmetric([sums[f"b{i}_{j}"] for i, j in upper], p)
+
+    def _people(self) -> DataFrame:
+        """_who, n, e and q (sums of Pearson residuals and their squares), s, u and m (sums of weighted columns, of columns times residuals and of products) at the present coefficients."""
+        eta = sum((float(b) * F.col(c) for b, c in zip(self.beta, self.columns, strict=True)), F.lit(0.0))
+        held = self.rows.withColumn("_m", 1 / (1 + F.exp(-eta)) if self.family == "binomial" else eta)
+        held = held.withColumn("_v", F.greatest(F.col("_m") * (1 - F.col("_m")), F.lit(1e-12)) if self.family == "binomial" else F.lit(1.0)).withColumn("_r", F.col("_y") - F.col("_m"))
         k, v, r = F.col("_k"), F.col("_v"), F.col("_r")
-        own = held.groupBy("_who").agg(
+        return held.groupBy("_who").agg(
             F.sum(k).alias("n"), F.sum(k * r / F.sqrt(v)).alias("e"), F.sum(k * r * r / v).alias("q"),
-            *[F.sum(k * F.sqrt(v) * F.col(c)).alias(f"s{i}") for i, c in enumerate(columns)],
-            *[F.sum(k * r * F.col(c)).alias(f"u{i}") for i, c in enumerate(columns)],
-            *[F.sum(k * v * F.col(columns[i]) * F.col(columns[j])).alias(f"m{i}_{j}") for i, j in upper],
+            *[F.sum(k * F.sqrt(v) * F.col(c)).alias(f"s{i}") for i, c in enumerate(self.columns)],
+            *[F.sum(k * r * F.col(c)).alias(f"u{i}") for i, c in enumerate(self.columns)],
+            *[F.sum(k * v * F.col(self.columns[i]) * F.col(self.columns[j])).alias(f"m{i}_{j}") for i, j in _upper(self.p)],
         )
-        c = rho / (1 + (F.col("n") - 1) * rho)
-        w = [F.col(f"u{i}") - c * F.col(f"s{i}") * F.col("e") for i in range(p)]
-        sums = own.agg(
-            F.sum("q").alias("q"), F.sum((F.col("e") * F.col("e") - F.col("q")) / 2).alias("cross"), *[F.sum(w[i]).alias(f"g{i}") for i in range(p)],
-            *[F.sum(F.col(f"m{i}_{j}") - c * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"h{i}_{j}") for i, j in upper],
-            *[F.sum(w[i] * w[j]).alias(f"b{i}_{j}") for i, j in upper],
-        ).first()
-        bread = np.linalg.pinv(_symmetric([sums[f"h{i}_{j}"] for i, j in upper], p))
-        step = bread @ np.array([sums[f"g{i}"] for i in range(p)])
-        dispersion = sums["q"] / max(1.0, n - p)
-        new = sums["cross"] / max(1.0, pairs_in - p) / dispersion if correlation == "exchangeable" and pairs_in and dispersion > 0 else 0.0
-        new = min(max(new, -0.99 / max(1.0, 2 * pairs_in / n)), 0.99)
-        done = np.abs(step).max() < tolerance * (1 + np.abs(beta).max()) and abs(new - rho) < tolerance
-        if done:
-            break
-        beta, rho = beta + step, new
-    else:
-        raise RuntimeError(f"the estimating equations didn't settle in {rounds} rounds")
-    meat = _symmetric([sums[f"b{i}_{j}"] for i, j in upper], p)
-    robust = np.sqrt(np.maximum(np.diag(bread @ meat @ bread), 0))
-    naive = np.sqrt(np.maximum(np.diag(bread) * dispersion * (1 - rho), 0))
-    out = [(t, float(b), float(s), float(a), float(b / s) if s > 0 else None, float(rho), float(dispersion), clusters) for t, b, s, a in zip(terms, beta, robust, naive, strict=True)]
-    return spark.createDataFrame(out, schema)
+
+    def _ones(self) -> Column:
+        """What the ones are multiplied by in the inverse of a participant's block."""
+        return self.rho / (1 + (F.col("n") - 1) * self.rho)
+
+    def _score(self) -> list[Column]:
+        return [F.col(f"u{i}") - self._ones() * F.col(f"s{i}") * F.col("e") for i in range(self.p)]
+
+    def _bread(self) -> list[Column]:
+        return [F.col(f"m{i}_{j}") - self._ones() * F.col(f"s{i}") * F.col(f"s{j}") for i, j in _upper(self.p)]
+
+    def coefficients(self) -> DataFrame:
+        """term, coefficient, robust_se, naive_se, z, rho, dispersion, clusters; no row without rows."""
+        schema = "term string, coefficient double, robust_se double, naive_se double, z double, rho double, dispersion double, clusters long"
+        if not self.n:
+            return self.rows.sparkSession.createDataFrame([], schema)
+        robust = np.sqrt(np.maximum(np.diag(self.inverse @ self.meat @ self.inverse), 0))
+        naive = np.sqrt(np.maximum(np.diag(self.inverse) * self.dispersion * (1 - self.rho), 0))
+        out = [(t, float(b), float(s), float(a), float(b / s) if s > 0 else None, float(self.rho), float(self.dispersion), self.clusters) for t, b, s, a in zip(["(intercept)", *self.x], self.beta, robust, naive, strict=True)]
+        return self.rows.sparkSession.createDataFrame(out, schema)
+
+    def influence(self) -> DataFrame:
+        """who, n, mahalanobis (squared distance of a participant's residuals under its block) and cook (how far the coefficients move, one step, without it, per coefficient and in their own covariance).
+
+        Each participant's sums are taken off the whole's, and its small system is solved where its row is.
+        """
+        spark, p, upper = self.rows.sparkSession, self.p, _upper(self.p)
+        kind = self.rows.schema["_who"].dataType.simpleString()
+        schema = f"`{self.who}` {kind}, n long, mahalanobis double, cook double"
+        if not self.n:
+            return spark.createDataFrame([], schema)
+        ship_package(spark)
+        whole, scale = self.information, self.dispersion * (1 - self.rho)
+        distance = (F.col("q") - self._ones() * F.col("e") * F.col("e")) / scale
+        rows = self._people().select("_who", F.col("n").cast("long").alias("n"), distance.alias("mahalanobis"), F.array(*self._score()).alias("w"), F.array(*self._bread()).alias("h"))
+
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.num_rows
+                w = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, p)
+                h = np.zeros((n, p, p))
+                for k, (i, j) in enumerate(upper):
+                    h[:, i, j] = h[:, j, i] = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)[:, k]
+                moved = (np.linalg.pinv(whole[None] - h) @ w[:, :, None])[:, :, 0]
+                cook = np.einsum("ni,ij,nj->n", moved, whole, moved) / (p * scale)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cook)], [self_who, "n", "mahalanobis", "cook"])
+
+        self_who = self.who
+        return rows.mapInArrow(solve, schema)
+
+
+def gee(df: DataFrame, y: str, x: Sequence[str], who: str, family: str = "binomial", correlation: str = "exchangeable") -> DataFrame:
+    """The coefficients of a Marginal model."""
+    return Marginal(df, y, x, who, family, correlation).coefficients()
 
 
 # random intercepts
@@ -287,3 +337,61 @@ class RandomIntercept:
             return rows.select(self.who, F.col("n").cast("long").alias("n"), F.lit(0.0).alias("intercept"))
         left: Column = F.col("_y") - sum((float(b) * F.col(c) for b, c in zip(self.beta, self.columns, strict=False)), F.lit(0.0))
         return rows.select(self.who, F.col("n").cast("long").alias("n"), (self.ratio * left / (1 + F.col("n") * self.ratio)).alias("intercept"))
+
+
+# sigmoids
+
+
+def sigmoid_fits(df: DataFrame, keys: Sequence[str], x: str, y: str, start: Sequence[float] = (1.0, 0.0, 6.0), low: Sequence[float] = (0.0, 0.0, 1e-12), high: Sequence[float] = (10.0, 10.0, 10.0), rounds: int = 200, tolerance: float = 1e-12) -> DataFrame:
+    """keys, q, k, v, n, r2, rse, settled: least squares of y = (1 + q exp(-k x)) ** (-1 / v) in each group, within bounds.
+
+    Damped Gauss-Newton steps for all groups at once: a round sums residuals and slopes over the counts of equal
+    (x, y) of each group at its trial parameters, takes or rejects these, and makes the next trial, so that a group
+    of any size is summed where its rows are. Parameters at a bound that the slope pushes against stay there and
+    count as fixed in the degrees of freedom. Rows with NULL in x or y take no part; a group without others has no
+    row; NULL keys are a group. settled is false where `rounds` were not enough.
+    """
+    ship_package(df.sparkSession)
+    counts = df.select(F.struct(*[F.col(c).alias(c) for c in keys]).alias("_key"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(subset=["_x", "_y"])
+    counts = _settled(counts.groupBy("_key", "_x", "_y").agg(F.count("*").cast("double").alias("_n")))
+    bounds = np.array(low, float), np.array(high, float)
+    array = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    state = counts.groupBy("_key").agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_y")).alias("_s"), F.sum(F.col("_n") * F.col("_y") * F.col("_y")).alias("_q"))
+    state = _settled(state.select("_key", "n", (F.col("_q") - F.col("_s") * F.col("_s") / F.col("n")).alias("total"), array(start).alias("at"), array(start).alias("trial"), F.lit(float("inf")).alias("sse"), array([0] * 9).alias("slopes"), F.lit(1e-3).alias("damping"), F.lit(False).alias("settled")))
+    q, k, v = (F.get("trial", F.lit(i)) for i in range(3))
+    e = F.exp(-k * F.col("_x"))
+    base = 1 + q * e
+    value = F.pow(base, -1 / v)
+    slopes = [-value * e / (v * base), value * q * F.col("_x") * e / (v * base), value * F.log(base) / (v * v)]
+    schema = state.schema
+
+    def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if not r["settled"]:
+                    if r["found"][0] < r["sse"]:
+                        gain = (r["sse"] - r["found"][0]) / max(r["found"][0], 1e-300) if np.isfinite(r["sse"]) else np.inf
+                        r |= {"at": r["trial"], "sse": r["found"][0], "slopes": r["found"][1:], "damping": max(r["damping"] / 3, 1e-12), "settled": gain < tolerance}
+                    else:
+                        r["damping"] *= 4
+                    at, g, h = np.array(r["at"]), np.array(r["slopes"][:3]), _symmetric(r["slopes"][3:], 3)
+                    fixed = ((at <= bounds[0]) & (g < 0)) | ((at >= bounds[1]) & (g > 0))
+                    h[fixed], h[:, fixed], g[fixed] = 0, 0, 0
+                    h += np.diag(r["damping"] * np.maximum(np.diag(h), 1e-12) + fixed)
+                    trial = np.clip(at + np.linalg.solve(h, g), *bounds)
+                    r["settled"] = bool(r["settled"] or r["damping"] > 1e12 or np.abs(trial - at).max() <= 1e-13)
+                    r["trial"] = trial.tolist()
+                out.append({c: r[c] for c in schema.names})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([batch.schema.field(c) for c in schema.names]))
+
+    for _ in range(rounds):
+        rest = F.col("_y") - value
+        held = counts.join(state.filter("NOT settled").select("_key", "trial"), "_key")
+        found = held.groupBy("_key").agg(F.array(F.sum(F.col("_n") * rest * rest), *[F.sum(F.col("_n") * rest * s) for s in slopes], *[F.sum(F.col("_n") * slopes[i] * slopes[j]) for i, j in _upper(3)]).alias("found"))
+        state = _settled(state.join(found, "_key", "left").select(*schema.names, "found").mapInArrow(advance, schema))
+        if not state.filter("NOT settled").head(1):
+            break
+    near = lambda i: sum((F.abs(F.get("at", F.lit(i)) - b[i]) <= 1e-8 + 1e-5 * abs(b[i])).cast("int") for b in bounds)
+    free = F.col("n") - 3 + near(0) + near(1) + near(2)
+    return state.select(*[F.col(f"_key.{c}").alias(c) for c in keys], *[F.get("at", F.lit(i)).alias(c) for i, c in enumerate("qkv")], F.col("n").cast("long").alias("n"), F.when(F.col("total") > 0, 1 - F.col("sse") / F.col("total")).alias("r2"), F.when(free > 0, F.sqrt(F.col("sse") / free)).alias("rse"), "settled")

@@ -121,6 +121,70 @@ def test_gee_equals_whole_blocks(df, rows, family, correlation):
     assert out[0]["rho"] == pytest.approx(rho, abs=1e-6) and out[0]["dispersion"] == pytest.approx(phi, rel=1e-6) and out[0]["clusters"] == 60
 
 
+@pytest.mark.parametrize("family", ["binomial", "gaussian"])
+def test_influence_equals_fits_without_each_participant(df, rows, family):
+    model = M.Marginal(df, "binary" if family == "binomial" else "y", ["a", "b"], "who", family)
+    out = {r["who"]: r for r in model.influence().collect()}
+    x = np.column_stack([np.ones(len(rows)), [r[4:6] for r in rows]])
+    y, who = np.array([r[3] if family == "binomial" else r[2] for r in rows]), np.array([r[0] for r in rows])
+    mu = 1 / (1 + np.exp(-x @ model.beta)) if family == "binomial" else x @ model.beta
+    v = mu * (1 - mu) if family == "binomial" else np.ones(len(y))
+    part = {}
+    for w in np.unique(who):
+        g = np.flatnonzero(who == w)
+        a = np.diag(np.sqrt(v[g]))
+        inverse = np.linalg.inv(model.dispersion * a @ (np.full((len(g), len(g)), model.rho) + (1 - model.rho) * np.eye(len(g))) @ a)
+        d, r = x[g] * v[g][:, None], y[g] - mu[g]
+        part[w] = d.T @ inverse @ d, d.T @ inverse @ r, r @ inverse @ r, len(g)
+    whole = sum(p[0] for p in part.values())
+    for w, (h, u, far, n) in part.items():
+        moved = np.linalg.solve(whole - h, u)
+        assert out[w]["n"] == n and out[w]["mahalanobis"] == pytest.approx(far, rel=1e-6)
+        assert out[w]["cook"] == pytest.approx(moved @ whole @ moved / 3, rel=1e-5, abs=1e-9)
+    if family == "gaussian":  # with the block's shape held, the step is the fit without the participant
+        keep = who != 7
+        again = np.linalg.solve(sum(p[0] for w, p in part.items() if w != 7), sum(p[1] for w, p in part.items() if w != 7))
+        assert keep.any() and np.abs(again + np.linalg.solve(whole - part[7][0], part[7][1])).max() < 1e-6
+
+
+def plain_sigmoid(x, y, starts):
+    """Least squares by many small projected steps from several starts, polished by shrinking random moves."""
+    low, high = np.array([0, 0, 1e-12]), np.array([10.0, 10, 10])
+    loss = lambda p: np.square(y - (1 + p[0] * np.exp(-p[1] * x)) ** (-1 / p[2])).sum()
+    rng, best = np.random.default_rng(1), None
+    for s in starts:
+        p, f, size = np.array(s, float), loss(np.array(s, float)), 1.0
+        for i in range(40_000):
+            trial = np.clip(p + size * rng.normal(size=3) * rng.integers(0, 2, 3), low + 1e-9, high)
+            if (g := loss(trial)) < f:
+                p, f = trial, g
+            elif i % 60 == 59:
+                size = max(size * 0.95, 1e-7)
+        if best is None or f < best:
+            best = f
+    return best
+
+
+def test_sigmoids_fit_as_well_as_a_search(spark):
+    rng = np.random.default_rng(3)
+    rows, truth = [], {"a": (5.0, 0.6, 1.0), "b": (2.0, 1.5, 0.7), None: (8.0, 0.3, 2.0), "flat": (0.0, 1.0, 1.0)}
+    for g, (q, k, v) in truth.items():
+        for _ in range(150):
+            x = float(np.round(rng.uniform(0, 12), 1))
+            rows.append((g, x, float((1 + q * np.exp(-k * x)) ** (-1 / v) + (rng.normal() * 0.05 if g != "flat" else 0))))
+    rows += [("a", None, 1.0), ("none", 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(3)
+    out = {r["g"]: r for r in M.sigmoid_fits(df, ["g"], "x", "y").collect()}
+    assert out.keys() == truth.keys() and all(r["n"] == 150 and r["settled"] for r in out.values())
+    for g in ("a", "b", None):
+        x, y = (np.array([r[i] for r in rows if r[0] == g and r[1] is not None]) for i in (1, 2))
+        r = out[g]
+        sse = np.square(y - (1 + r["q"] * np.exp(-r["k"] * x)) ** (-1 / r["v"])).sum()
+        assert sse <= plain_sigmoid(x, y, [truth[g], (1, 1, 1)]) * (1 + 1e-5)
+        assert r["r2"] == pytest.approx(1 - sse / np.square(y - y.mean()).sum(), abs=1e-9) and r["rse"] >= math.sqrt(sse / 150)
+    assert M.sigmoid_fits(df.limit(0), ["g"], "x", "y").collect() == []
+
+
 def test_gee_of_independent_rows_is_the_logit_model(df):
     out = {r["term"]: r["coefficient"] for r in M.gee(df, "binary", ["a", "b"], "who", correlation="independence").collect()}
     kept = df.dropna(subset=["binary", "a", "b", "who"])
