@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package
-from .common import read
-from .textmodels import ROWS, gram_counts, in_fold, sample_features, sampled, scored, unit
+from .common import read, settled
+from .textmodels import ROWS, gram_counts, in_fold, sampled, scored, unit
 
 GRAMS = 512
-#: Rows of each kind that the classifier is fitted on, about; the sample's bound.
-POSITIVES, UNLABELLED = 3000, 6000
+#: Trusted documents that the classifier is fitted on, about: the bound of what is drawn from labelled rows.
+POSITIVES = 3000
+#: Unlabelled documents that are learnt from together, and rounds of averaging and steps of a round, for the prior's scorer and for the classifier.
+BLOCK = 4096
+PRIOR_ROUNDS, ROUNDS_OF_RISK, STEPS = 3, 8, 25
 #: Features are summed over all documents as whole multiples of 1 / FIXED.
 FIXED = 1 << 24
 ALONE = re.compile(rb"(?<![^\s])[!-/:-@\[-`{-~]+(?![^\s])")
@@ -63,8 +66,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margin(x).astype(float), -30, 30)))
 
 
-def _adam(gradient, size: int, rounds: int, rate: float = 0.05) -> np.ndarray:
-    w, m, v = np.zeros(size, np.float32), np.zeros(size), np.zeros(size)
+def _adam(gradient, size: int, rounds: int, rate: float = 0.05, start: np.ndarray | None = None) -> np.ndarray:
+    w, m, v = np.zeros(size, np.float32) if start is None else start.astype(np.float32), np.zeros(size), np.zeros(size)
     for k in range(1, rounds + 1):
         g = gradient(w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -93,8 +96,8 @@ def class_prior(positive: np.ndarray, above: np.ndarray, n: int, confidence: flo
     return float(np.clip(above_u[best] / above_p[best], 0.05, 0.98))
 
 
-def non_negative_pu(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 300, decay: float = 1e-3) -> np.ndarray:
-    """Linear weights of least prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) under the logistic loss.
+def pu_gradient(p: np.ndarray, u: np.ndarray, prior: float, decay: float = 1e-3) -> Callable[[np.ndarray], np.ndarray]:
+    """Gradient of prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) under the logistic loss.
 
     Where the estimated negative risk falls below zero (over-fitting), the step goes the other way on it.
     """
@@ -108,93 +111,158 @@ def non_negative_pu(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 30
         penalty = decay * np.append(w[:-1], 0)
         return (prior * as_positive + negative if risk >= 0 else -negative) + penalty
 
-    return _adam(gradient, p.shape[1], rounds)
+    return gradient
 
 
-def fit_arrays(p: np.ndarray, u: np.ndarray, reached: Callable[[Model, np.ndarray], tuple[np.ndarray, int]] | None = None, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
-    """A model of trusted positives p and unlabelled u.
+def against_gradient(p: np.ndarray, u: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Gradient of the logistic loss of positives against unlabelled rows."""
+    return lambda w: -p.T @ _sigmoid(-(p @ w)) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + 1e-2 * np.append(w[:-1], 0)
 
-    reached(scorer, cuts) counts, of all unlabelled rows there are, those that reach each cut; moments are the
-    means and mean squares of their features. Without these u stands for them.
-    """
-    if not len(p) or not len(u):
-        size = features("").shape[0]
-        return Model(np.zeros(size + 1), np.zeros(size), np.ones(size), 0.5, False)
-    mean, square = moments or (u.mean(axis=0, dtype=float), np.square(u, dtype=float).mean(axis=0))
-    own = u.shape[1] - GRAMS
+
+def non_negative_pu(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 300, decay: float = 1e-3) -> np.ndarray:
+    """Linear weights of least non-negative unbiased risk (see pu_gradient)."""
+    return _adam(pu_gradient(p, u, prior, decay), p.shape[1], rounds)
+
+
+def scales(mean: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations that features are standardised by; all n-grams together weigh like some measures."""
+    own = len(mean) - GRAMS
     scale = np.sqrt(np.maximum(square - mean**2, 1e-6))
     scale[own:] = np.sqrt(max(1e-6, square[own:].mean() - mean[own:].mean() ** 2))
-    scale[own:] *= np.sqrt(GRAMS) / 4  # all n-grams together weigh like some measures
-    mean, scale = mean.astype(np.float32), scale.astype(np.float32)
-    stand = lambda x: np.hstack([(x - mean) / scale, np.ones((len(x), 1), np.float32)])  # noqa: E731  single precision halves the driver's memory
-    sp, su = stand(p), stand(u)
-
-    def against(w: np.ndarray) -> np.ndarray:  # positives against unlabelled on one half, to estimate the prior on the other
-        a, b = sp[::2], su[::2]
-        return -a.T @ _sigmoid(-(a @ w)) / len(a) + b.T @ _sigmoid(b @ w) / len(b) + 1e-2 * np.append(w[:-1], 0)
-
-    w = _adam(against, sp.shape[1], 150)
-    prior = 0.5
-    if len(sp) > 3 and len(su) > 3:
+    scale[own:] *= np.sqrt(GRAMS) / 4
+    return mean.astype(np.float32), scale.astype(np.float32)
+
+
+def _stand(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.hstack([(x - mean) / scale, np.ones((len(x), 1), np.float32)])
+
+
+def unfitted() -> Model:
+    size = features("").shape[0]
+    return Model(np.zeros(size + 1), np.zeros(size), np.ones(size), 0.5, False)
+
+
+def fit_arrays(p: np.ndarray, u: np.ndarray, moments: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """A model of trusted positives p and unlabelled u, all in one place; moments (means and mean squares of features) are u's if not given."""
+    if not len(p) or not len(u):
+        return unfitted()
+    mean, scale = scales(*(moments or (u.mean(axis=0, dtype=float), np.square(u, dtype=float).mean(axis=0))))
+    sp, su, prior = _stand(p, mean, scale), _stand(u, mean, scale), 0.5
+    if len(sp) > 3 and len(su) > 3:  # positives against unlabelled on one half, to estimate the prior on the other
+        w = _adam(against_gradient(sp[::2], su[::2]), sp.shape[1], 150)
         own = sp[1::2] @ w
-        cuts = prior_cuts(own)
-        above, n = reached(Model(w, mean, scale, prior), cuts) if reached else ((su[1::2] @ w >= cuts[:, None]).sum(axis=1), len(su[1::2]))
-        prior = class_prior(own, above, n)
+        prior = class_prior(own, (su[1::2] @ w >= prior_cuts(own)[:, None]).sum(axis=1), len(su[1::2]))
     return Model(non_negative_pu(sp, su, prior), mean, scale, prior)
 
 
+def packed(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The keep columns and _x: features of every row's whole text as packed half-precision numbers, made once and written to the shared folder (about a kilobyte a document)."""
+    ship_package(docs.sparkSession)
+    schema = docs.select(*keep).schema.add("_x", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t.as_py() or "").astype(np.float16).tobytes() for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], schema.names)
+
+    return settled(docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema))
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], made: bool, rows: int) -> Iterator[np.ndarray]:
+    """Features of the rows of a task, up to `rows` at a time; made: they come packed, and not as texts."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        for value in batch.column(0):
+            held.append(np.frombuffer(value.as_py(), np.float16) if made else features(value.as_py()))
+            if len(held) == rows:
+                yield np.stack(held).astype(np.float32)
+                held = []
+    if held:
+        yield np.stack(held).astype(np.float32)
+
+
+def _added(rows: DataFrame) -> list[int]:
+    """Sums by place of arrays of whole numbers, so that any order of tasks gives the same."""
+    by_place = rows.select(F.posexplode("counts").alias("i", "n")).groupBy("i").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
+    return [int(r["n"]) for r in by_place.orderBy("i").collect()]
+
+
 def summed(docs: DataFrame, count: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, int]:
-    """Sums of count(features of a block of rows) over all rows, and the number of rows. Counts are whole numbers, so that any order of tasks gives the same sums."""
+    """Sums of count(features of a block of rows), whole numbers, over all rows, and the number of rows. docs: packed features, or texts."""
+    made = "_x" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = 0, 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.column(0).slice(at, ROWS).to_pylist()
-                sums, n = sums + count(np.stack([features(t) for t in part])).astype(np.int64), n + len(part)
+        for x in _matrices(batches, made, ROWS):
+            sums, n = sums + count(x).astype(np.int64), n + len(x)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([[n, *sums.tolist()]], pa.list_(pa.int64()))], ["counts"])
 
     ship_package(docs.sparkSession)
-    found = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "counts array<long>")
-    by_place = found.select(F.posexplode("counts").alias("i", "n")).groupBy("i").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
-    sums = [int(r["n"]) for r in by_place.orderBy("i").collect()]
+    sums = _added(docs.select("_x" if made else F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "counts array<long>"))
     return np.array(sums[1:], float), sums[0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 5) -> Model:
-    """docs: doc_id, text; labels: doc_id, quality. Fits on about `positives` documents of label 1 and
-    `unlabelled` documents whatever their label, both drawn by a hash of doc_id; labels 0 are not used.
+def averaged(docs: DataFrame, gradient: Callable[[np.ndarray, np.ndarray], Callable], positive: np.ndarray, mean: np.ndarray, scale: np.ndarray, rounds: int) -> np.ndarray:
+    """Weights learnt from all rows of packed features: in a round, every block of rows goes STEPS steps on from the common weights, on its own rows and the positives, and the weights of the blocks are averaged.
+
+    Blocks have up to BLOCK rows, so memory and the shuffled sums don't follow the partitions; averages are of whole
+    numbers, so that reruns agree.
+    """
+    sc, w = docs.sparkSession.sparkContext, np.zeros(positive.shape[1], np.float32)
+    shared = sc.broadcast(positive)  # POSITIVES rows, about
+    for k in range(rounds):
+        now, rate = w, 0.05 / (1 + k / 2)
+
+        def run(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
+            sums, n = 0, 0
+            for x in _matrices(batches, True, BLOCK):
+                own = _adam(gradient(shared.value, _stand(x, mean, scale)), len(now), STEPS, rate, now)
+                sums, n = sums + np.rint(np.clip(own.astype(float), -1e3, 1e3) * (len(x) * FIXED)).astype(np.int64), n + len(x)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([[n, *sums.tolist()]], pa.list_(pa.int64()))], ["counts"])
+
+        n, *sums = _added(docs.select("_x").mapInArrow(run, "counts array<long>"))
+        w = (np.array([s / n for s in sums]) / FIXED).astype(np.float32)
+    shared.unpersist()
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, seed: int = 5) -> Model:
+    """docs: doc_id, and text or packed features (_x); labels: doc_id, quality. Fits on about `positives` documents of label 1,
+    drawn by a hash of doc_id, and on all documents as the unlabelled ones; labels 0 are not used.
     Without a label 1 among the documents the model isn't fitted; where there is one, a fit without is an error.
-    The rest covers all documents: one pass sums the features and their squares, for means and scales, and one
-    counts how many reach each of 91 scores, for the class prior."""
+    Features are made once. Over all documents go: their sums and squares, for means and scales; rounds of averaged
+    steps of a scorer of positives against unlabelled, and a count of how many reach each of 91 of its scores, for the
+    class prior; and rounds of averaged steps on the non-negative risk."""
     trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
     trusted = trusted.join(docs.select("doc_id"), "doc_id", "left_semi")  # ids alone: only what is among the documents is drawn from
-    n_trusted, n_docs = trusted.count(), docs.count()
+    n_trusted = trusted.count()
     if not n_trusted:
-        return fit_arrays(np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
+        return unfitted()
+    docs = docs.select("doc_id", "_x") if "_x" in docs.columns else packed(docs, ["doc_id"])
     trusted = trusted.filter(sampled(F.col("doc_id"), seed, positives / n_trusted)).distinct()
-    kinds = docs.join(F.broadcast(trusted.withColumn("_p", F.lit(1))), "doc_id", "left")  # about `positives` ids
-    in_u = sampled(F.col("doc_id"), seed + 1, unlabelled / max(1, n_docs))
-    kinds = kinds.select(F.xxhash64(F.lit(seed), "doc_id").alias("_order"), "text", F.when(F.col("_p") == 1, F.when(in_u, "pu").otherwise("p")).when(in_u, "u").alias("label")).filter("label IS NOT NULL")
-    names, x = sample_features(kinds.withColumn("text", F.coalesce("text", F.lit(""))), features)
-    names = np.array(names, str)
-    p, u = x[np.isin(names, ["p", "pu"])], x[np.isin(names, ["u", "pu"])]
-    if not len(p) or not len(u):
+    drawn = docs.join(F.broadcast(trusted), "doc_id").select(F.xxhash64(F.lit(seed), "doc_id").alias("_order"), "_x").collect()  # about `positives` rows
+    if not drawn:
         raise RuntimeError("there are trusted positives, but none was drawn")
-
-    def reached(model: Model, cuts: np.ndarray) -> tuple[np.ndarray, int]:
-        above, n = summed(docs, lambda x: (model.margin(x) >= cuts[:, None]).sum(axis=1))
-        return above.astype(float), n
-
+    p = np.stack([np.frombuffer(r["_x"], np.float16) for r in sorted(drawn, key=lambda r: (r["_order"], r["_x"]))]).astype(np.float32)
     both, n = summed(docs, lambda x: np.concatenate([np.rint(x * FIXED), np.rint(np.square(x) * FIXED)]).reshape(2, len(x), -1).sum(axis=1).ravel())
-    mean, square = (both / (n * FIXED)).reshape(2, -1)
-    return fit_arrays(p, u, reached, (mean, square))
+    mean, scale = scales(*(both / (n * FIXED)).reshape(2, -1))
+    docs = docs.coalesce(max(1, n // BLOCK + 1))
+    sp, prior = _stand(p, mean, scale), 0.5
+    if len(sp) > 3 and n > 3:  # half of the positives teach the scorer, the other half measures it
+        scorer = Model(averaged(docs, against_gradient, sp[::2], mean, scale, PRIOR_ROUNDS), mean, scale, prior)
+        own = sp[1::2] @ scorer.weights
+        cuts = prior_cuts(own)
+        above, _ = summed(docs, lambda x: (scorer.margin(x) >= cuts[:, None]).sum(axis=1))
+        prior = class_prior(own, above, n)
+    return Model(averaged(docs, lambda a, u: pu_gradient(a, u, prior), sp, mean, scale, ROUNDS_OF_RISK), mean, scale, prior)
 
 
 def fit_on_fold(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fitted on the documents that aren't held out; docs may have packed features."""
     kept = lambda df: df.filter(~in_fold(F.col("doc_id"), 4, 2) & F.col("doc_id").isNotNull())
-    return fit(kept(docs.select("doc_id", "text")), kept(labels.select("doc_id", "quality")))
+    return fit(kept(docs.select("doc_id", "_x" if "_x" in docs.columns else "text")), kept(labels.select("doc_id", "quality")))
 
 
 def rate(docs: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
@@ -207,9 +275,23 @@ def rate(docs: DataFrame, model: Model, keep: list[str], text: str = "text", nam
     return scored(docs, keep, text, features, lambda x: [model.score(x)], (empty,), [(name, "double", pa.float64())])
 
 
+def rate_packed(rows: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """rate, of rows that come with packed features."""
+    schema = rows.select(*keep).schema.add(name, "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                x = np.stack([np.frombuffer(v.as_py(), np.float16) for v in part.column(part.num_columns - 1)]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.score(x), pa.float64())], schema.names)
+
+    return rows.select(*keep, "_x").mapInArrow(run, schema)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document with its quality score; null and empty texts score like an empty text, and odd rows are treated as in rate."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_on_fold(docs, read(spark, sf_dir, "labels"))
-    out = rate(docs.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "text"), model, ["doc_id", "held_out"])
+    docs = read(spark, sf_dir, "documents")
+    rows = packed(docs.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "text"), ["doc_id", "held_out"])
+    out = rate_packed(rows, fit_on_fold(rows, read(spark, sf_dir, "labels")), ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
