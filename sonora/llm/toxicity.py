@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +34,23 @@ TOP = 4
 TOGETHER, REMEMBERED = 1_000_000, 300_000
 BITS = 20
 
-#: Where sentences end; what is left out of words, so that "i.d-i*o_t" is one; letters that stand alone, three or more in a row, are also taken together.
-ENDS = re.compile(r"[.!?]\s+|\n+")
-INSERTED = re.compile(r"[^\w\s]+|_+")
+#: Other white space becomes a space; ASCII signs are left out of words, so that "i.d-i*o_t" is one; sentences end at ". ", "! ", "? " and line feeds.
+BLANK = bytes.maketrans(b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f", b" " * 8)
+WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: Letters that stand alone, three or more in a row, are also taken together.
 SPACED = re.compile(r" \w(?: +\w){2,}(?= )")
 OFFSETS = [(a, b) for b in range(LENGTH - 1, STRETCH) for a in range(1, b)]
 FIRST, LAST = ord("^"), ord("$")
 
 
 def plain(text: str) -> str:
-    """Lower-cased words, without what isn't a letter or digit, between spaces; sentences end at line feeds."""
-    return f" {INSERTED.sub('', ENDS.sub(' \n ', text.lower())).replace('\t', ' ')} "
+    """Lower-cased words, without ASCII signs, between spaces; sentences end at line feeds."""
+    data = text.lower().encode("utf-8", "replace").translate(BLANK)
+    for end in (b". ", b"! ", b"? ", b"\n"):
+        data = data.replace(end, b" \n ")
+    out = data.translate(None, SIGNS).decode()
+    return f" {out if out.isascii() else WIDE.sub(' ', out)} "
 
 
 def words_of(part: str) -> list[str]:
@@ -200,16 +208,33 @@ class Reader:
     def _decided(self, group: list[str]) -> Iterator[list[tuple[float, np.ndarray]]]:
         words = [set(words_of(text)) if self.kernel else set() for text in group]
         self.learn(set().union(*words))
-        near, weights, bias = self.near, self.model.weights, self.model.bias
+        weights, bias = self.model.weights, self.model.bias
         for text, own in zip(group, words, strict=True):
             out = []
-            for sentence in () if near.keys().isdisjoint(own) else text.split("\n"):
-                values = [near[w] for w in {*words_of(sentence)} if w in near]
-                if values:
-                    value = values[0] if len(values) == 1 else np.max(values, axis=0)
-                    out.append((float(value @ weights) + bias, value))
+            for values in self._found(text, own & self.near.keys()):
+                value = values[0] if len(values) == 1 else np.max(values, axis=0)
+                out.append((float(value @ weights) + bias, value))
             yield out
 
+    def _found(self, text: str, hits: set[str]) -> list[list[np.ndarray]]:
+        """Values of the words near a landmark, by sentence; hits: those of the text, each of which is looked for."""
+        if not hits:
+            return []
+        if SPACED.search(text):
+            parts = [[self.near[w] for w in hits.intersection(words_of(s))] for s in text.split("\n")]
+            return [p for p in parts if p]
+        ends = list(accumulate(len(s) + 1 for s in text.split("\n")))
+        out: dict[int, list[np.ndarray]] = {}
+        for w in sorted(hits):
+            value, looked, last = self.near[w], f" {w} ", -1
+            at = text.find(looked)
+            while at >= 0:
+                if (sentence := bisect_right(ends, at)) != last:
+                    out.setdefault(sentence, []).append(value)
+                    last = sentence
+                at = text.find(looked, at + 1)
+        return list(out.values())
+
     def decisions(self, texts: list[str]) -> list[float]:
         """The largest of each text's sentences, and half of what the next largest has above 0; a text without a near word has the bias."""
         out = []

@@ -65,6 +65,22 @@ def test_words_close_gaps():
     assert words(" *** ") == []
 
 
+def test_sentences_hold_the_words_that_they_hold():
+    """Words found by place against words read sentence by sentence."""
+    rng = random.Random(6)
+    reader = toxicity.Reader(toxicity.Model(["^idiot$", "^moron$"], np.array([1.0, 0.5])))
+    words = ["idiot", "moron", "idiots", "a", "b", "fine", "idiot's", "mo.ron", "été", "\u00a0", "\t", "c d e"]
+    for _ in range(200):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", ". ", "! ", "\n", "\u3000", "  "]) for _ in range(rng.randint(0, 25)))
+        got = sorted(round(d, 6) for d, _ in next(reader.sentences([text])))
+        want = []
+        for sentence in toxicity.plain(text).split("\n"):
+            own = [reader.near[w] for w in toxicity.words_of(sentence) if w in reader.near]
+            if own:
+                want.append(round(float(np.max(own, axis=0) @ reader.model.weights), 6))
+        assert got == sorted(want)
+
+
 def test_machine_finds_the_least_loss():
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, (200, 4))
