@@ -13,7 +13,7 @@ from pyspark.sql import window as W
 
 from ..functions import numeric as N
 from ..runtime import ship_package
-from .stats import order_counts
+from .stats import _settled, order_counts
 
 KEYS = ("recording", "channel")
 
@@ -165,26 +165,87 @@ def asymmetric_lowpass(spec: DataFrame, rate: float, rise: float = 0.0625, fall:
     return out.select(*keys, "t_idx", F.explode(F.arrays_zip("bands", "values", "smoothed")).alias("x")).select(*keys, "t_idx", F.col("x.bands").alias("band"), F.col("x.values").alias("value"), F.col("x.smoothed").alias("smoothed"))
 
 
+def _in_ranges(rows: DataFrame, t: str, *then: str, ranges: int | None = None) -> DataFrame:
+    """The rows in ranges of _key and time (_chunk numbers them), which cut long recordings; written, so that ranges don't change."""
+    order = ["_key", t, *then]
+    return _settled((rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)).withColumn("_chunk", F.spark_partition_id()))
+
+
+def _around(points: DataFrame, t: str, item: Column, before: int, after: int) -> DataFrame:
+    """Adds _a1, _a2, ... and _b1, ...: an item of the points before and after each one of its recording.
+
+    Inside a range these come from a window; at its ends from the outermost points of all ranges, a few rows a range.
+    """
+    reach = max(before, after)
+    inside = W.Window.partitionBy("_key", "_chunk").orderBy(t)
+    steps = lambda w: [F.lag("_item", i).over(w).alias(f"_a{i}") for i in range(1, before + 1)] + [F.lead("_item", i).over(w).alias(f"_b{i}") for i in range(1, after + 1)]
+    rows = points.withColumn("_item", item).select("*", F.row_number().over(inside).alias("_i"), F.row_number().over(W.Window.partitionBy("_key", "_chunk").orderBy(F.desc(t))).alias("_j"), *steps(inside))
+    ends = _settled(rows.filter((F.col("_i") <= reach) | (F.col("_j") <= reach)).select("_key", t, "_item"))
+    far = ends.select("_key", t, *steps(W.Window.partitionBy("_key").orderBy(t)))
+    names = [f"_a{i}" for i in range(1, before + 1)] + [f"_b{i}" for i in range(1, after + 1)]
+    far = far.select("_key", t, *[F.col(c).alias(f"{c}_far") for c in names])
+    return rows.join(far, ["_key", t], "left").select(*points.columns, *[F.coalesce(c, f"{c}_far").alias(c) for c in names])
+
+
+def _pchip_slope(t: str) -> Column:
+    """Slope of the monotone cubic through a point: a weighted harmonic mean of the slopes beside it, 0 at a turn, and three points at an end."""
+    gap = lambda a, b: b["t"] - a["t"]
+    slope = lambda a, b: (b["v"] - a["v"]) / gap(a, b)
+    here, a1, a2, b1, b2 = F.struct(F.col(t).alias("t"), F.col("_v").alias("v")), *map(F.col, ("_a1", "_a2", "_b1", "_b2"))
+
+    def end(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
+        s = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+        return F.when(s * d0 <= 0, 0.0).when((d0 * d1 <= 0) & (F.abs(s) > 3 * F.abs(d0)), 3 * d0).otherwise(s)
+
+    h0, h1, d0, d1 = gap(a1, here), gap(here, b1), slope(a1, here), slope(here, b1)
+    w0, w1 = 2 * h1 + h0, h1 + 2 * h0
+    inner = F.when(d0 * d1 <= 0, 0.0).otherwise((w0 + w1) / (w0 / d0 + w1 / d1))
+    first = F.when(b2.isNull(), d1).otherwise(end(h1, gap(b1, b2), d1, slope(b1, b2)))
+    last = F.when(a2.isNull(), d0).otherwise(end(h0, gap(a2, a1), d0, slope(a2, a1)))
+    return F.when(a1.isNull() & b1.isNull(), 0.0).when(a1.isNull(), first).when(b1.isNull(), last).otherwise(inner)
+
+
+def resample(curve: DataFrame, grid: DataFrame, keys: Sequence[str] = KEYS, t: str = "t", value: str = "value", cubic: bool = False, ranges: int | None = None) -> DataFrame:
+    """Curve values at the grid's times (keys, t): between the samples around each, linear or on the monotone cubic; NULL outside of them.
+
+    Recordings are cut in ranges of time, and each takes what it needs of the samples beyond its ends, so that no
+    task holds a recording. Samples of one time are averaged, missing ones left out; a recording of one sample has
+    its value at that time alone.
+    """
+    key = F.struct(*[F.col(k).alias(k) for k in keys]).alias("_key")
+    points = curve.select(key, F.col(t), F.col(value).cast("double").alias("_v")).dropna(subset=[t, "_v"]).groupBy("_key", t).agg(F.avg("_v").alias("_v"))
+    points = _in_ranges(points, t, ranges=ranges)
+    if cubic:
+        points = _around(points, t, F.struct(F.col(t).alias("t"), F.col("_v").alias("v")), 2, 2).select("_key", t, "_v", "_chunk", _pchip_slope(t).alias("_m"))
+    else:
+        points = points.withColumn("_m", F.lit(0.0))
+    here = F.struct(F.col(t).cast("double").alias("t"), F.col("_v").alias("v"), F.col("_m").alias("m"))
+    pieces = _around(points, t, here, 0, 1).select("_key", t, F.struct(here.alias("a"), F.col("_b1").alias("b")).alias("_piece"), F.lit(0).alias("_ask"))
+    asked = grid.select(key, t, F.lit(1).alias("_ask"))
+    rows = _in_ranges(pieces.unionByName(asked, allowMissingColumns=True), t, "_ask", ranges=ranges)
+    left = rows.groupBy("_key", "_chunk").agg(F.max_by("_piece", F.when(F.col("_piece").isNotNull(), F.col(t))).alias("_left"))  # a row for each range of a recording
+    carried = left.select("_key", "_chunk", F.last("_left", ignorenulls=True).over(W.Window.partitionBy("_key").orderBy("_chunk").rowsBetween(W.Window.unboundedPreceding, -1)).alias("_carried"))
+    inside = F.last("_piece", ignorenulls=True).over(W.Window.partitionBy("_key", "_chunk").orderBy(t, "_ask").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow))
+    found = rows.withColumn("_at", inside).filter("_ask = 1").join(carried, ["_key", "_chunk"], "left").withColumn("_at", F.coalesce("_at", "_carried"))
+    a, b = F.col("_at.a"), F.col("_at.b")
+    h = b["t"] - a["t"]
+    s = (F.col(t) - a["t"]) / h
+    linear = a["v"] + (b["v"] - a["v"]) * (F.col(t) - a["t"]) / h
+    curved = a["v"] * (1 + 2 * s) * (1 - s) * (1 - s) + h * a["m"] * s * (1 - s) * (1 - s) + b["v"] * s * s * (3 - 2 * s) + h * b["m"] * s * s * (s - 1)
+    return found.select(*[F.col(f"_key.{k}").alias(k) for k in keys], t, F.when(F.col(t) == a["t"], a["v"]).otherwise(curved if cubic else linear).alias(value))
+
+
 def resample_linear(curve: DataFrame, grid: DataFrame, keys: Sequence[str] = KEYS, t: str = "t", value: str = "value") -> DataFrame:
-    """Curve values at the grid's times (keys, t), linear between the samples around each; NULL outside of them."""
-    points = curve.select(*keys, t, F.col(value).alias("_v"), F.lit(0).alias("_ask"))
-    asked = grid.select(*keys, t, F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_ask"))
-    rows = points.unionByName(asked)
-    before = W.Window.partitionBy(*keys).orderBy(t, "_ask").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
-    after = W.Window.partitionBy(*keys).orderBy(F.desc(t), "_ask").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
-    at = lambda c, w: F.last(F.when(F.col("_ask") == 0, c), ignorenulls=True).over(w)
-    rows = rows.select(*keys, t, "_ask", at(F.col("_v"), before).alias("_v0"), at(F.col(t), before).alias("_t0"), at(F.col("_v"), after).alias("_v1"), at(F.col(t), after).alias("_t1"))
-    linear = F.when(F.col("_t0") == F.col("_t1"), F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(t) - F.col("_t0")) / (F.col("_t1") - F.col("_t0")))
-    return rows.filter("_ask = 1").select(*keys, t, linear.alias(value))
-
-
-def align_curves(curves: Mapping[str, DataFrame], onto: str, keys: Sequence[str] = KEYS, t: str = "t", value: str = "value") -> DataFrame:
-    """keys, t and a column for each curve, at the times of the curve `onto` (the finest): the others are linear between their samples, NULL outside of them."""
+    return resample(curve, grid, keys, t, value)
+
+
+def align_curves(curves: Mapping[str, DataFrame], onto: str, keys: Sequence[str] = KEYS, t: str = "t", value: str = "value", cubic: bool = False) -> DataFrame:
+    """keys, t and a column for each curve, at the times of the curve `onto` (the finest): the others are linear, or monotone cubics, between their samples, NULL outside of them."""
     grid = curves[onto].select(*keys, t)
     out = curves[onto].select(*keys, t, F.col(value).alias(onto))
     for name, curve in curves.items():
         if name != onto:
-            out = out.join(resample_linear(curve, grid, keys, t, value).withColumnRenamed(value, name), [*keys, t], "left")
+            out = out.join(resample(curve, grid, keys, t, value, cubic).withColumnRenamed(value, name), [*keys, t], "left")
     return out.select(*keys, t, *curves)
 
 

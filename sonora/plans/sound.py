@@ -398,6 +398,13 @@ def resample_linear(spark, d):
     return Q.resample_linear(c, c.select("recording", "channel", (F.col("t") + 0.25).alias("t")))
 
 
+@plan()
+def resample_cubic(spark, d):
+    """The curve of resample_linear halfway between its steps, on the monotone cubic."""
+    c = curve(spark, d).select("recording", "channel", F.col("t_idx").cast("double").alias("t"), "value")
+    return Q.resample(c, c.select("recording", "channel", (F.col("t") + 0.5).alias("t")), cubic=True)
+
+
 def _overall(loud, sharp, fluct, rough):
     """Annoyance of the recordings in c (recording, channel, value), given the aggregates of each curve."""
     return f"""SELECT recording, channel, CASE WHEN loud > 0 THEN loud * (1 + sqrt({_WS} + {_WM})) ELSE 0 END AS annoyance FROM (
