@@ -342,7 +342,7 @@ class RandomIntercept:
 # sigmoids
 
 
-def sigmoid_fits(df: DataFrame, keys: Sequence[str], x: str, y: str, start: Sequence[float] = (1.0, 0.0, 6.0), low: Sequence[float] = (0.0, 0.0, 1e-12), high: Sequence[float] = (10.0, 10.0, 10.0), rounds: int = 200, tolerance: float = 1e-12) -> DataFrame:
+def sigmoid_fits(df: DataFrame, keys: Sequence[str], x: str, y: str, start: Sequence[float] = (1.0, 0.0, 6.0), low: Sequence[float] = (0.0, 0.0, 1e-12), high: Sequence[float] = (10.0, 10.0, 10.0), rounds: int = 60, tolerance: float = 1e-10) -> DataFrame:
     """keys, q, k, v, n, r2, rse, settled: least squares of y = (1 + q exp(-k x)) ** (-1 / v) in each group, within bounds.
 
     Damped Gauss-Newton steps for all groups at once: a round sums residuals and slopes over the counts of equal

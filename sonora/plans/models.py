@@ -43,10 +43,3 @@ def random_intercepts_by_participant(spark, d):
 def cluster_influence(spark, d):
     """Mahalanobis residuals and Cook's distance of every participant in the model of gee_exchangeable."""
     return M.Marginal(predictions(spark, d), "y", ["mu", "tax"], "participant").influence()
-
-
-@plan(digits=4)
-def sigmoid_fits(spark, d):
-    """Share noticed (high ratings) against loudness, a curve for each stimulus line."""
-    rows = exposures(spark, d)
-    return M.sigmoid_fits(rows.withColumn("noticed", (F.col("rating") > 25).cast("double")).withColumn("loudness", F.floor(F.col("loudness") / 5) / 2), ["line"], "loudness", "noticed").drop("settled")
