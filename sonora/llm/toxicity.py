@@ -22,8 +22,8 @@ from .textmodels import ROWS, in_fold, sampled
 LENGTH, STRETCH, DECAY = 3, 6, 0.7
 #: Kernel values are raised to this power, and those below NEAR before that count as 0.
 POWER, NEAR = 3, 0.45
-#: Landmarks, and the least evidence (z of the log odds) and documents of one.
-LANDMARKS, EVIDENCE, LEAST_DOCS = 96, 3.0, 2
+#: Landmarks, and the least evidence (root of the likelihood ratio; chance among millions of words gives up to about 5) and documents of one.
+LANDMARKS, EVIDENCE, LEAST_DOCS = 96, 5.0, 2
 #: Letters of a word that are compared at once; longer words are compared in overlapping pieces, of so many letters and so far apart.
 PIECE, CUT, STEP = 24, 8, 2
 #: Labelled documents of each kind that the classifier is fitted on, about; the sample's bound.
@@ -273,7 +273,7 @@ def decisions(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def associated(sample: DataFrame, count: int = LANDMARKS) -> tuple[list[str], np.ndarray]:
-    """Words (^word$) and beginnings of four to six letters (^begin) that most set toxic documents apart, and their evidence: z of the log odds of document counts."""
+    """Words (^word$) and beginnings of four to six letters (^begin) that most set toxic documents apart, and their evidence: the root of the likelihood ratio of document counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,8 +284,9 @@ def associated(sample: DataFrame, count: int = LANDMARKS) -> tuple[list[str], np
 
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     counts = sample.mapInArrow(run, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter(F.col("a") >= LEAST_DOCS)
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    z = (F.log(a / (n[1] + 1 - a)) - F.log(b / (n[0] + 1 - b))) / F.sqrt(1 / a + 1 / b)
+    a, b, both = F.col("a"), F.col("b"), n[0] + n[1]
+    due, rest = (a + b) * (n[1] / both), (a + b) * (n[0] / both)
+    z = F.when(a > due, F.sqrt(2 * (a * F.log(a / due) + F.when(b > 0, b * F.log(b / rest)).otherwise(0.0)))).otherwise(0.0)
     rows = counts.select("word", z.alias("z")).filter(F.col("z") >= EVIDENCE).orderBy(F.desc("z"), "word").limit(count).collect()
     return [r["word"] for r in rows], np.array([r["z"] for r in rows])
 
