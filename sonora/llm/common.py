@@ -10,6 +10,8 @@ from ..runtime import checkpoint_folder
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a few numbers that a checkpoint's file takes.
+ROWS_A_FILE = 50_000
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -18,10 +20,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder: computed once, and not lost with an executor."""
+def files(rows: int) -> int:
+    return rows // ROWS_A_FILE + 1
+
+
+def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows, written to the shared checkpoint folder: computed once, and not lost with an executor.
+
+    rows: about how many there are, of a few numbers each, where that is known: they are dealt evenly to as many files
+    as they fill. Otherwise every partition makes a file, and on a local file system each file takes two processes that
+    the executor starts (Hadoop's chmod); tables of a few rows would make as many as large ones.
+    """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.repartition(files(rows))).checkpoint()
 
 
 def ascii_lower(text: Column) -> Column:

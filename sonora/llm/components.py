@@ -20,19 +20,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """u, root for every node of the edges (u, v): root is the least node of its component.
 
     Alternates large-star and small-star steps, each a group-by and a join, until nothing changes (about as many
     rounds as the logarithm of the longest path); edges are written to the checkpoint folder between rounds, and
     only a count and a checksum reach the driver. Repeated edges and loops count once and not at all; no edges
-    give no rows.
+    give no rows. rows: about how many edges there are, where that is known.
     """
-    now, seen = settled(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    now, seen = settled(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows), None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
             break
         seen = state
-        now = settled(_small_star(_large_star(now)))
+        now = settled(_small_star(_large_star(now)), state[0])
     return now.select("u", F.col("v").alias("root")).union(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())

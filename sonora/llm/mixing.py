@@ -135,11 +135,11 @@ def _given(named: DataFrame, sources: DataFrame, n: int, overlapping: bool, most
     """_key, words, given, and size and target of the first source: the flow, solved for each set of overlapping sources on its own."""
     joined = named.join(sources, "_source")
     by = F.sort_array(F.collect_list(F.struct("_at", "_position", "target", "size")))
-    patterns = settled(joined.groupBy("_key", "words").agg(by.alias("_m")).withColumn("_first", F.col("_m")[0]["_position"]))
+    patterns = settled(joined.groupBy("_key", "words").agg(by.alias("_m")).withColumn("_first", F.col("_m")[0]["_position"]), n)
     if overlapping:
         links = patterns.select(F.col("_first").alias("u"), F.explode("_m._position").alias("v"))
         patterns = patterns.join(components(links).withColumnRenamed("u", "_first"), "_first", "left").withColumn("_root", F.coalesce("root", "_first"))
-        patterns = settled(patterns.drop("root"))
+        patterns = settled(patterns.drop("root"), n)
         largest = patterns.groupBy("_root").count().agg(F.max("count")).first()[0] or 0
         if largest > LINKED_PATTERNS:
             raise ValueError(f"over {LINKED_PATTERNS} membership patterns of sources that overlap")
@@ -159,7 +159,7 @@ def _given(named: DataFrame, sources: DataFrame, n: int, overlapping: bool, most
         return pd.DataFrame({"_key": rows["_key"], "words": rows["words"], "given": min_cost_flow(flow, quotas, most), "size": rows["size"], "target": rows["target"]})
 
     ready = patterns.select("_key", "words", F.col("_m._position").alias("positions"), F.col("_m.target").alias("targets"), F.col("_m")[0]["size"].alias("size"), F.col("_m")[0]["target"].alias("target"), F.pmod(F.xxhash64("_root"), F.lit(tasks)).alias("_task"))
-    return settled(ready.groupBy("_task").applyInPandas(solve, "_key array<string>, words long, given long, size long, target double"))
+    return settled(ready.groupBy("_task").applyInPandas(solve, "_key array<string>, words long, given long, size long, target double"), n)
 
 
 def decide(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -179,7 +179,7 @@ def decide(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     n, n_rows, words, widest = patterns.agg(F.count("*"), F.sum("rows"), F.sum("words"), F.max(F.size("_key"))).first()
     small = F.broadcast if n <= BROADCAST_PATTERNS else lambda df: df
     named = patterns.select("_key", "words", F.posexplode("_key").alias("_at", "_source"))
-    sources = settled(source_targets(named.groupBy("_source").agg(F.sum("words").alias("size")), weights, share * (words or 0), most))
+    sources = settled(source_targets(named.groupBy("_source").agg(F.sum("words").alias("size")), weights, share * (words or 0), most), n * (widest or 1))
     given = _given(named, sources, n, (widest or 1) > 1, most)
     buckets = max(1, (n_rows or 0) // 20_000)
     per = F.greatest(F.col("words"), F.lit(1))
@@ -190,7 +190,7 @@ def decide(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     before = W.Window.partitionBy("_key").orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     sums = rows.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_words"), F.first("_part").alias("_cap")).withColumn("_below", F.coalesce(F.sum("_words").over(before), F.lit(0)))
     edge = sums.filter((F.col("_below") < F.col("_cap")) & (F.col("_below") + F.col("_words") >= F.col("_cap"))).select("_key", F.col("_bucket").alias("_edge"), F.col("_below"))
-    plan = settled(plan.join(small(edge), "_key", "left"))
+    plan = settled(plan.join(small(edge), "_key", "left"), n)
     rows = rows.select("_key", "_size", "_hash", "_bucket").join(small(plan), "_key")
     run = W.Window.partitionBy("_key").orderBy("_hash").rangeBetween(W.Window.unboundedPreceding, W.Window.currentRow)
     inside = rows.filter(F.col("_bucket") == F.col("_edge")).groupBy("_key", "_hash").agg(F.sum("_size").alias("_words"), F.max("_size").alias("_own"), F.first("_below").alias("_start"), F.first("_part").alias("_cap"))
@@ -199,14 +199,14 @@ def decide(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     next_ = F.min(F.when(~whole, F.struct(F.col("_hash").alias("hash"), F.floor(left / F.greatest(F.col("_own"), F.lit(1))).alias("rows"), F.col("_own").alias("size"))))
     last = inside.groupBy("_key").agg(F.max(F.when(whole, F.col("_hash"))).alias("_last"), F.max(F.when(whole, F.col("_sum"))).alias("_got"), next_.alias("_n"))
     last = last.select("_key", "_last", "_got", F.col("_n.hash").alias("_next"), F.coalesce("_n.rows", F.lit(0)).alias("_next_rows"), F.coalesce(F.col("_n.rows") * F.col("_n.size"), F.lit(0)).alias("_next_words"))
-    plan = settled(plan.join(small(last), "_key", "left"))
+    plan = settled(plan.join(small(last), "_key", "left"), n)
     rows = rows.select("_key", "_size", "_hash", "_bucket").join(small(plan), "_key").withColumn("_gap", F.col("_part") - F.coalesce("_got", "_below", F.lit(0)) - F.coalesce("_next_words", F.lit(0)))
     near = rows.filter(~_drawn() & ~F.coalesce((F.col("_hash") == F.col("_next")) & (F.col("_next_rows") > 0), F.lit(False)) & (F.col("_part") > 0) & (F.col("_size") > 0)).groupBy("_key").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_gap")).alias("off"), F.col("_hash").alias("hash"), F.col("_gap").alias("gap"))).alias("m"))
     near = near.filter("m.off < m.gap").select("_key", F.col("m.hash").alias("_closing"))
-    plan = settled(plan.join(small(near), "_key", "left"))
+    plan = settled(plan.join(small(near), "_key", "left"), n)
     closing = rows.select("_key", "_hash").join(small(plan.select("_key", F.col("_closing").alias("_hash"))), ["_key", "_hash"])
     several = closing.groupBy("_key").agg(F.count("*").alias("_closing_rows"))
-    return settled(plan.join(small(several), "_key", "left").withColumn("_tied", F.coalesce((F.col("_next_rows") > 0) | (F.col("_closing_rows") > 1), F.lit(False))))
+    return settled(plan.join(small(several), "_key", "left").withColumn("_tied", F.coalesce((F.col("_next_rows") > 0) | (F.col("_closing_rows") > 1), F.lit(False))), n)
 
 
 def _drawn() -> Column:

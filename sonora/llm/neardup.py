@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..runtime import ship_package
-from .common import read, settled
+from .common import files, read, settled
 from .components import components
 
 SHINGLE = 5
@@ -25,6 +25,8 @@ BAND = 8
 SLACK = 0.1
 #: Documents and shingles in a block of a band; larger ones are compared block by block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Rows of a few numbers that a class with its bands is as wide as.
+WIDTH = 16
 #: Numbers of blocks of one kind lie below this.
 KIND = 1 << 24
 #: Shingles whose indicator columns a product takes at once.
@@ -252,25 +254,25 @@ def _blocks(n: Column) -> Column:
     return F.coalesce(F.ceil(F.greatest(F.count(n) / BLOCK_DOCS, F.sum(n) / BLOCK_SHINGLES)), F.lit(0)).cast("int")
 
 
-def _pointed(links: DataFrame) -> DataFrame:
-    """cid, root of links (u, v) in which every u has one v, and v < u: pointers are followed, twice as far every round."""
-    up = settled(links.select(F.col("u").alias("cid"), F.col("v").alias("root")))
+def _pointed(links: DataFrame, n: int) -> DataFrame:
+    """cid, root of links (u, v) in which every u has one v, and v < u: pointers are followed, twice as far every round. n: members."""
+    up = links.select(F.col("u").alias("cid"), F.col("v").alias("root"))
     while True:
         on = up.select(F.col("cid").alias("root"), F.col("root").alias("_on"))
-        further = settled(up.join(on, "root", "left").select("cid", F.coalesce("_on", "root").alias("root"), F.col("_on").isNotNull().alias("_moved")))
+        further = settled(up.join(on, "root", "left").select("cid", F.coalesce("_on", "root").alias("root"), F.col("_on").isNotNull().alias("_moved")), n)
         up = further.drop("_moved")
         if not further.filter("_moved").head(1):
             return up
 
 
-def _moved(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """roots (cid, root) after the groups that edges (u, v) link have become one."""
-    to = components(edges).select(F.col("u").alias("root"), F.col("root").alias("_to"))
-    return settled(roots.join(to, "root", "left").select("cid", F.coalesce("_to", "root").alias("root")))
+def _moved(roots: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """roots (cid, root) of n members after the groups that edges (u, v) link have become one."""
+    to = components(edges, n).select(F.col("u").alias("root"), F.col("root").alias("_to"))
+    return settled(roots.join(to, "root", "left").select("cid", F.coalesce("_to", "root").alias("root")), n)
 
 
-def _sets_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """cid, items (the shingles' hashes, packed) and registers of every member, each from one row of docs.
+def _sets_of(docs: DataFrame, members: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
+    """cid, items (the shingles' hashes, packed) and registers of each of n members, each from one row of docs.
 
     Up to BROADCAST_MEMBERS members their keys are broadcast, so that no other text is moved; beyond, docs are
     dealt by id and text, which spreads the copies of one text.
@@ -278,8 +280,7 @@ def _sets_of(docs: DataFrame, members: DataFrame, doc_id: str, text: str) -> Dat
     keys = members.select("cid", F.col("rep.text_key").alias("text_key"), F.col("rep.doc_id").alias("_id"))
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), text_key(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
     same = (rows["text_key"] == keys["text_key"]) & rows["_id"].eqNullSafe(keys["_id"])
-    few = members.count() <= BROADCAST_MEMBERS
-    texts = rows.join(F.broadcast(keys) if few else keys, same).select("cid", "text")
+    texts = rows.join(F.broadcast(keys) if n <= BROADCAST_MEMBERS else keys, same).select("cid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,46 +314,48 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     """
     ship_package(docs.sparkSession)
     all_rows = settled(sketched(docs, doc_id, text))
-    rows = all_rows.filter("sig IS NOT NULL")
+    rows, n_rows = all_rows.filter("sig IS NOT NULL"), all_rows.count()
     found = rows.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("text_key", "doc_id")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = settled(found.withColumn("cid", F.monotonically_increasing_id()))
+    classes = settled(found.repartition(files(WIDTH * n_rows)).withColumn("cid", F.monotonically_increasing_id()))  # numbered in the stage that writes them
 
     banded = classes.select("cid", F.explode("bands").alias("band"))
     ends = banded.groupBy("band").agg(F.min("cid").alias("least"), F.max("cid").alias("largest")).filter("least <> largest")
-    shared = settled(banded.join(ends, "band"))
+    shared = settled(banded.join(ends, "band"), REGISTERS // BAND * n_rows)
     centres = shared.groupBy("cid").agg(F.min("least").alias("least"), F.max("largest").alias("largest"))
-    members = settled(classes.select("cid", "n", "class_id", "rep").join(centres, "cid"))
-    sets = _sets_of(docs, members, doc_id, text)
+    members = settled(classes.select("cid", "n", "class_id", "rep").join(centres, "cid"), n_rows)
+    n_members = members.count()
+    n_banded = REGISTERS // BAND * n_members
+    sets = _sets_of(docs, members, n_members, doc_id, text)
 
     def starred(pairs: DataFrame) -> DataFrame:
         """Links among pairs (cid, n, centre): a centre's pairs are dealt to blocks, each with the centre's set."""
         blocks = pairs.groupBy("centre").agg(_blocks(F.col("n")).alias("blocks"))
         dealt = pairs.join(blocks, "centre").select("cid", "centre", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"))
         hubs = blocks.select(F.col("centre").alias("cid"), "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        return settled(dealt.union(hubs).join(sets, "cid").groupBy("centre", "block").applyInPandas(_with_centre(percent), "u long, v long"))
+        return settled(dealt.union(hubs).join(sets, "cid").groupBy("centre", "block").applyInPandas(_with_centre(percent), "u long, v long"), n_members)
 
-    up = _pointed(starred(members.filter("cid <> least").select("cid", "n", F.col("least").alias("centre"))))
-    roots = settled(members.select("cid").join(up, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root")))
+    up = _pointed(starred(members.filter("cid <> least").select("cid", "n", F.col("least").alias("centre"))), n_members)
+    roots = settled(members.select("cid").join(up, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root")), n_members)
     root_of = lambda name: roots.select(F.col("cid").alias(name), F.col("root").alias(f"{name}_root"))
     apart = members.join(roots, "cid").join(root_of("largest"), "largest").filter("root <> largest_root").select("cid", "n", F.col("largest").alias("centre"))
     between = lambda links: links.join(root_of("u"), "u").join(root_of("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).filter("u <> v")
-    roots = _moved(roots, between(starred(apart)))
+    roots = _moved(roots, between(starred(apart)), n_members)
 
     def inside_of(held: DataFrame) -> DataFrame:
         """band, cid, root, n of the bands that hold two groups or more; of bands of the same classes one."""
         mixed = held.groupBy("band").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("cid")).alias("_x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("_y")).filter("_a <> _b")
         once = mixed.groupBy("_n", "_x", "_y").agg(F.min("band").alias("band")).select("band")
-        return settled(held.join(once, "band").join(members.select("cid", "n"), "cid").select("band", "cid", "root", "n", "first"))
+        return settled(held.join(once, "band").join(members.select("cid", "n"), "cid").select("band", "cid", "root", "n", "first"), n_banded)
 
-    inside = inside_of(settled(shared.select("band", "cid").join(roots, "cid").withColumn("first", F.lit(True))))
-    crowded = settled(inside.groupBy("band").agg(_blocks(F.col("n")).alias("blocks")).filter("blocks > 1").select("band"))
+    inside = inside_of(settled(shared.select("band", "cid").join(roots, "cid").withColumn("first", F.lit(True)), n_banded))
+    crowded = settled(inside.groupBy("band").agg(_blocks(F.col("n")).alias("blocks")).filter("blocks > 1").select("band"), n_members)
     if crowded.head(1):
-        finer = by_rare_shingles(sets, settled(inside.join(crowded, "band").select("cid", "root", "n").distinct()), percent)
-        inside = inside_of(settled(inside.join(crowded, "band", "left_anti").select("band", "cid", "root", "first").unionByName(finer)))
+        finer = by_rare_shingles(sets, settled(inside.join(crowded, "band").select("cid", "root", "n").distinct(), n_members), percent)
+        inside = inside_of(settled(inside.join(crowded, "band", "left_anti").select("band", "cid", "root", "first").unionByName(finer), n_banded))
     # what is compared: the rows of the largest group (kind 1) and of others (0); of bands by rare shingles, rows that only look for partners (3 and 2) don't meet each other
     crowds = inside.groupBy("band", "root").agg(F.count("*").alias("_n")).groupBy("band").agg(F.max_by("root", F.struct("_n", "root")).alias("crowd"))
     kind = (F.col("root") == F.col("crowd")).cast("int") + 2 * (~F.col("first")).cast("int")
-    inside = settled(inside.join(crowds, "band").withColumn("kind", kind).select("band", "cid", "root", "n", "kind"))
+    inside = settled(inside.join(crowds, "band").withColumn("kind", kind).select("band", "cid", "root", "n", "kind"), n_banded)
     sizes = inside.groupBy("band").agg(_blocks(F.col("n")).alias("blocks"), *[_blocks(F.when(F.col("kind") == k, F.col("n"))).alias(f"_{k}") for k in range(4)])
     own = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.col("kind") * KIND + F.pmod(F.xxhash64("cid"), F.greatest(F.lit(1), F.element_at(F.array("_0", "_1", "_2", "_3"), F.col("kind") + 1))).cast("int"))
     numbers = lambda k: F.when(F.col(f"_{k}") > 0, F.transform(F.sequence(F.lit(0), F.col(f"_{k}") - 1), lambda i: i + k * KIND)).otherwise(F.array().cast("array<int>"))
@@ -361,13 +364,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
         partners = partners.when(F.col("kind") == k, F.concat(*map(numbers, meets)))
     pair = F.transform(partners, lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
     tasks = inside.join(sizes, "band").withColumn("block", own).withColumn("p", F.explode(pair))
-    links = settled(tasks.select("cid", "root", "band", "block", "p.i", "p.j").join(sets, "cid").groupBy("band", "i", "j").applyInPandas(_among(percent), "u long, v long"))
-    roots = _moved(roots, links)
+    links = settled(tasks.select("cid", "root", "band", "block", "p.i", "p.j").join(sets, "cid").groupBy("band", "i", "j").applyInPandas(_among(percent), "u long, v long"), n_members)
+    roots = _moved(roots, links, n_members)
 
     least = roots.join(members.select("cid", "class_id"), "cid").groupBy("root").agg(F.min("class_id").alias("least"))
     # written first, so that the last join stands alone and adaptive execution can split the rows of a large group of copies
-    to = settled(roots.join(least, "root").select("cid", "least"))
-    ids = settled(classes.select("sig", "cid", "class_id").join(to, "cid", "left").select("sig", F.coalesce("least", "class_id").alias("component_id")))
+    to = settled(roots.join(least, "root").select("cid", "least"), n_members)
+    ids = settled(classes.select("sig", "cid", "class_id").join(to, "cid", "left").select("sig", F.coalesce("least", "class_id").alias("component_id")), n_rows)
     linked = rows.select("doc_id", "text_key", "n_shingles", "sig").join(ids, "sig").select("doc_id", "text_key", "n_shingles", "component_id")
     alone = all_rows.filter("sig IS NULL").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

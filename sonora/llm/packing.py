@@ -215,12 +215,12 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
 
     empty = [F.lit(0).cast("long").alias(c) for c in ("each", "sequence", "offset")]
     classes = pieces.groupBy(F.col("length").alias("value")).agg(F.count("*").alias("n")).select(F.lit("length").alias("kind"), "value", F.lit(0).cast("long").alias("first"), "n", *empty)
-    state = settled(classes.union(pieces.sparkSession.createDataFrame([("next", 0, 0, 0, 0, 0, 0)], STATE)))
+    state = settled(classes.union(pieces.sparkSession.createDataFrame([("next", 0, 0, 0, 0, 0, 0)], STATE)), capacity)
     runs = state.filter("kind = 'placed'")
     while state.filter("kind = 'length'").head(1):
         ranges = state.filter("kind <> 'placed'").withColumn("range", F.expr(f"value DIV {width}"))
         swept = ranges.groupBy("range").applyInPandas(in_range, STATE)
-        state = settled(swept.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(carried, STATE))
+        state = settled(swept.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(carried, STATE), capacity)
         runs = runs.union(state.filter("kind = 'placed'"))
     return runs.select(F.col("value").alias("length"), "first", "n", "each", "sequence", "offset")
 
@@ -232,7 +232,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     numbers. Runs are dealt to blocks of numbers, as many as a length has runs, and joined by length and
     block, so a piece meets a few runs whatever their number. Ties and repeated rows are pieces of their own.
     """
-    runs = settled(best_fit(pieces, capacity))
+    runs = settled(best_fit(pieces, capacity), capacity * RANGES)
     n_runs, n_rows = runs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     blocks = runs.groupBy("length").agg(F.ceil(F.sum("n") / F.count("*")).cast("long").alias("_width"))  # at most one row a length
     held = F.broadcast if n_runs <= BROADCAST_RUNS else lambda df: df

@@ -9,9 +9,16 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows go to Python and back in Arrow batches of about so many bytes. Spark's own bound is 64 MB, which an executor holds
+#: several times over for each of its tasks, and its Python worker once more.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context; its functions are pickled by name."""
+    """Sends this package to the executors, once a context, as its functions are pickled by name; bounds the session's Arrow batches unless it names a bound."""
+    if BATCH not in spark.conf.getAll:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_sonora_shipped", False):
         return
