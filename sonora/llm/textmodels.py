@@ -76,8 +76,9 @@ def scored(docs: DataFrame, keep: list[str], text: str, features: Callable[[str]
 
 
 def sample_features(rows: DataFrame, features: Callable[[str], np.ndarray | None], text: str = "text", label: str = "label") -> tuple[list, np.ndarray]:
-    """Labels and features of a bounded sample, brought to the driver as packed half-precision numbers in the order of _order.
+    """Labels and features of a bounded sample, brought to the driver as packed half-precision numbers in the order of _order; the last column is 1.
 
+    The driver holds them packed and once as single-precision numbers, which the fits take as they stand.
     The sample is drawn from rows that exist, so it must not come back without any: that would leave out the
     model in silence, and is an error. Drawn rows without features count as drawn, but aren't returned.
     """
@@ -89,18 +90,22 @@ def sample_features(rows: DataFrame, features: Callable[[str], np.ndarray | None
             packed = [None if x is None or (v := features(x)) is None else v.astype(np.float16).tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["_order", "label", "packed"])
 
-    found = rows.select("_order", F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text")).mapInArrow(run, "_order long, label string, packed binary").collect()
-    if not found:
+    found = rows.select("_order", F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text")).mapInArrow(run, "_order long, label string, packed binary").toArrow()
+    if not found.num_rows:
         raise RuntimeError("nothing was drawn from a table with rows")
-    found = sorted((r for r in found if r["packed"] is not None), key=lambda r: (r["_order"], r["label"]))
-    if not found:
+    orders, names, packed = (found.column(c) for c in ("_order", "label", "packed"))
+    kept = [(order, name, i) for i, (order, name, full) in enumerate(zip(orders.to_pylist(), names.to_pylist(), packed.is_valid().to_pylist(), strict=True)) if full]
+    if not kept:
         return [], np.zeros((0, 0), np.float32)
-    return [r["label"] for r in found], np.stack([np.frombuffer(r["packed"], np.float16) for r in found]).astype(np.float32)
+    kept.sort(key=lambda r: r[:2])
+    x = np.ones((len(kept), len(packed[kept[0][2]].as_py()) // 2 + 1), np.float32)
+    for row, (_, _, i) in zip(x, kept, strict=True):
+        row[:-1] = np.frombuffer(packed[i].as_py(), np.float16)
+    return [name for _, name, _ in kept], x
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 150) -> np.ndarray:
-    """Weights (the last is the bias) of least squared hinge loss, by accelerated gradient steps; y is -1 or 1, both classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights (the last is the bias) of least squared hinge loss, by accelerated gradient steps; the last column of x is 1; y is -1 or 1, both classes weigh the same."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
     step = 1.0 / (1.0 / c + 2.0 * 2.0 * float(share.max()) * len(x) / 1.0)
     w = v = np.zeros(x.shape[1], x.dtype)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
 from pathlib import Path
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sonora.llm import mixing, neardup, packing
+from sonora.llm import language, mixing, neardup, packing
 from sonora.llm.common import ROWS_A_FILE, n_words, read, settled
 from sonora.runtime import BATCH, BATCH_BYTES, checkpoint_folder, ship_package
 
@@ -71,3 +72,23 @@ def test_a_bound_that_the_session_names_stays(spark):
     held = spark.conf.get(BATCH)
     spark.conf.set(BATCH, before)
     assert int(held.removesuffix("b")) == 1 << 20
+
+
+def test_the_driver_holds_a_sample_once(spark):
+    rows = spark.range(1600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"))
+    docs = rows.withColumn("text", F.concat_ws(" ", F.when(F.col("lang") == "en", "the house by the river").otherwise("la maison au bord de l'eau"), F.hex(F.sha2(F.col("doc_id").cast("string"), 512).cast("binary"))))
+    tracemalloc.start()
+    try:
+        model = language.fit(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.languages == {"germanic": ["en"], "romance": ["fr"]}
+    assert peak < 1.75 * 1600 * (language.DIMS + 1) * 4  # packed in half precision, and once in single
+
+
+def test_all_numbered_operators_are_registered():
+    import __spark_entry__
+
+    names = {n.split("_")[0] for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()}
+    assert names == {f"op{n}" for n in range(1, 14)}
