@@ -259,11 +259,15 @@ _WEIGHTED = """WITH RECURSIVE e AS (SELECT user_id AS recording, epoch_us(ts) /
 r AS (SELECT recording, t, i, p * p AS y FROM e WHERE i = 1 UNION ALL SELECT e.recording, e.t, e.i, (1 - exp(-(e.t - r.t) / 3600)) * e.p * e.p + exp(-(e.t - r.t) / 3600) * r.y FROM r JOIN e ON e.recording = r.recording AND e.i = r.i + 1)
 SELECT recording, CAST(round(t * 1e6) AS BIGINT) AS us, 10 * log10(greatest(y, 1e-30) / 4e-10) AS level FROM r"""
 
+#: Seconds of 2,000 years.
+_LATER = 5 * 146_097 * 86_400
+
 
 def _event_stream(spark, d):
-    """The events table as a stream; its file is read in one available-now batch."""
+    """The events table, a file or a folder of files, as a stream; all of it is read in one available-now batch."""
     schema = D.table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+    # a stream can't read a path that is a file, but a pattern that finds one
+    stream = spark.readStream.schema(schema).option("basePath", d).parquet(f"{d}/{{events.parquet}}")
     return stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("recording"), ((F.col("value") - 20.0) / 1000.0).alias("p"))
 
 
@@ -278,8 +282,10 @@ def _finished(df):
 @plan("""SELECT recording, epoch_us(b) // 1000000 AS block_start, 10 * log10(avg(p * p) / 4e-10) AS leq, count(*) AS n FROM (SELECT user_id AS recording, time_bucket(INTERVAL '1 day', ts) AS b, (value - 20.0e0) / 1000.0e0 AS p FROM events)
 WHERE b + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events) GROUP BY recording, b""", "leq")
 def stream_block_leq(spark, d):
-    out = _finished(monitor.stream_block_leq(_event_stream(spark, d), "1 day", "1 hour"))
-    return out.select("recording", F.unix_seconds("block_start").alias("block_start"), "leq", "n")
+    # a watermark starts in 1970 and drops what is older: times are moved by whole days, and back
+    later = _event_stream(spark, d).withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + _LATER * 1_000_000))
+    out = _finished(monitor.stream_block_leq(later, "1 day", "1 hour"))
+    return out.select("recording", (F.unix_seconds("block_start") - _LATER).alias("block_start"), "leq", "n")
 
 
 @plan(_WEIGHTED, "level", digits=4)

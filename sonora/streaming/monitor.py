@@ -22,9 +22,14 @@ RANGE = 500.0
 
 
 def stream_block_leq(stream: DataFrame, block: str, watermark: str, key: str = "recording") -> DataFrame:
-    """Energy mean level of each recording and time block; blocks close when the watermark passes them, later rows are dropped."""
+    """Energy mean level of each recording and time block, -inf where all is silent; blocks close when the watermark passes them, later rows are dropped.
+
+    A watermark starts in 1970, so rows before that are late.
+    """
     blocks = stream.withWatermark("ts", watermark).groupBy(F.window("ts", block), key)
-    return blocks.agg((10 * F.log10(F.avg(F.col("p") * F.col("p")) / P0**2)).alias("leq"), F.count("*").alias("n")).select(key, F.col("window.start").alias("block_start"), "leq", "n")
+    energy = F.avg(F.col("p") * F.col("p"))
+    level = F.when(energy == 0, -math.inf).otherwise(10 * F.log10(energy / P0**2))  # log10 of 0 is NULL in Spark
+    return blocks.agg(level.alias("leq"), F.count("*").alias("n")).select(key, F.col("window.start").alias("block_start"), "leq", "n")
 
 
 def stream_time_weight(stream: DataFrame, tau: float, key: str = "recording") -> DataFrame:
